@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, exact_dedup
+from sievekit.llm import bpe, exact_dedup, pii, secrets, token_counts
 from sievekit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,24 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
+def _spans(found: str, *kinds: str) -> F.Column:
+    """kind:start:end of an array of spans, in its order, comma-joined; of the given kinds only, if any are given."""
+    chosen = F.filter(found, lambda x: x["kind"].isin(*kinds)) if kinds else F.col(found)
+    return F.array_join(F.transform(chosen, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def _number(found: str, kind: str) -> F.Column:
+    return F.size(F.filter(found, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents")).withColumn("base", F.filter("found", lambda x: x["base"]))
+    return found.select(
+        "doc_id", *(_number("base", k) for k in pii.KINDS), F.sha2(_spans("base"), 256).alias("base_sha256"), _spans("found").alias("spans")
+    )
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), digest_all=True)
@@ -37,3 +55,15 @@ FROM t WINDOW g AS (PARTITION BY text_sha256)
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    base = F.sha2(_spans("found", *secrets.BASE), 256).alias("base_sha256")
+    return found.select("doc_id", *(_number("found", k) for k in secrets.BASE), base, _spans("found").alias("spans"))
