@@ -9,42 +9,17 @@ group that holds a third of all rows arrives as one row from each task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievekit.llm.bitmap import BITS, bitmap, marked
 from sievekit.llm.common import ascii_lower, cut
 
-#: Bits of a bitmap: 1 << 24 bits are 2 MB. More bits keep more singletons out of the next level.
-FILTER_BITS = 1 << 24
 HEAD_CHARS = 256
 
 
-def _bit(*key: Column, bits: int) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(bits)) + 1
-
-
-def _bitmap(keys: DataFrame, *key: str, bits: int) -> DataFrame:
-    """At most bits / 32768 rows of 4 KB, one for each bucket of bit numbers that has a bit set."""
-    return (
-        keys.select(_bit(*map(F.col, key), bits=bits).alias("_bit"))
-        .groupBy(F.bitmap_bucket_number("_bit").alias("_bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_bit")).alias("_bitmap"))
-    )
-
-
-def _marked(rows: DataFrame, bitmap: DataFrame, *key: str, bits: int) -> DataFrame:
-    """``rows`` with a boolean ``_in``: is its key's bit set?"""
-    rows = rows.withColumn("_bit", _bit(*map(F.col, key), bits=bits))
-    rows = rows.withColumn("_bucket", F.bitmap_bucket_number("_bit")).withColumn("_pos", F.bitmap_bit_position("_bit"))
-    byte = "cast(conv(hex(substring(_bitmap, cast(_pos div 8 as int) + 1, 1)), 16, 10) as int)"
-    joined = rows.join(F.broadcast(bitmap), "_bucket", "left")  # bits / 8 bytes at most
-    return joined.withColumn("_in", F.expr(f"coalesce(({byte} & shiftleft(1, cast(_pos % 8 as int))) != 0, false)")).drop(
-        "_bit", "_bucket", "_pos", "_bitmap"
-    )
-
-
 def exact_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_chars: int = HEAD_CHARS, filter_bits: int = FILTER_BITS,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", head_chars: int = HEAD_CHARS, filter_bits: int = BITS,
     digest_all: bool = False,
 ) -> DataFrame:
     """One row for each row of ``docs``: id, ``keep_id``, ``group_size``, ``kept``, ``full_hash``.
@@ -63,13 +38,13 @@ def exact_duplicates(
     rows = rows.withColumn("_length", F.octet_length("_text"))
 
     lengths = rows.groupBy("_length").count().filter("count > 1")
-    by_length = _bitmap(lengths, "_length", bits=filter_bits)
-    level2 = _marked(rows, by_length, "_length", bits=filter_bits)
+    by_length = bitmap(lengths, "_length", bits=filter_bits)
+    level2 = marked(rows, by_length, "_length", bits=filter_bits)
     level2 = level2.withColumn("_head", F.when(F.col("_in"), F.xxhash64(ascii_lower(F.substring("_text", 1, head_chars)))))
 
     heads = level2.filter("_in").groupBy("_length", "_head").count().filter("count > 1")
-    by_head = _bitmap(heads, "_length", "_head", bits=filter_bits)
-    level3 = _marked(level2.withColumnRenamed("_in", "_in2"), by_head, "_length", "_head", bits=filter_bits)
+    by_head = bitmap(heads, "_length", "_head", bits=filter_bits)
+    level3 = marked(level2.withColumnRenamed("_in", "_in2"), by_head, "_length", "_head", bits=filter_bits)
     full = F.sha2(ascii_lower(F.col("_text")), 256)
     hashed = level3.select(
         "_id",
