@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, exact_dedup, pii, quality, secrets, token_counts, toxicity
+from sievekit.llm import bpe, exact_dedup, ngram_join, pii, quality, secrets, token_counts, toxicity
 from sievekit.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,6 +76,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(toxicity.toxicity(docs, model), 3, 1, 0.7)
 
 
+@query
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
