@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from sievekit.llm.bitmap import bitmap, marked
+
 #: Rows handled at once inside a task. An Arrow batch is already bounded in bytes by Spark.
 SLICE_ROWS = 256
 
@@ -19,16 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which a cluster shares between all machines.
 
-    The files go to the folder in ``spark.checkpoint.dir``, which a cluster shares between all
-    machines. Only where that is unset (tests on one machine) a temporary folder is made.
+    Only where that is unset (tests on one machine) a temporary folder is made.
     """
-    spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="sievekit-checkpoint-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` reliably, in the shared folder, and drop its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -77,3 +84,21 @@ def ascii_lower(text: F.Column) -> F.Column:
 def remainder(doc_id: F.Column, divisor: int) -> F.Column:
     """crc32 of the id written as text, modulo ``divisor``: the folds of the labelled queries."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(divisor))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet files in the shared folder, read again."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` less the rows whose id is in ``dropped``; rows without an id stay.
+
+    A bitmap of the dropped ids lets every other row pass in the scan. Only rows that may be dropped are joined.
+    """
+    dropped = cut(dropped.select(id_col).distinct())
+    rows = marked(docs, bitmap(dropped, id_col), id_col)
+    sure, open_ = rows.filter("not _in").drop("_in"), rows.filter("_in").drop("_in")
+    return sure.unionByName(open_.join(dropped, id_col, "left_anti")).select(docs.columns)

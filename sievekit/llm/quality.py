@@ -10,13 +10,15 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import map_texts
+from sievekit.llm.common import SLICE_ROWS, map_texts
 from sievekit.llm.logistic import Logistic
 
 BLOCK = 1024
@@ -162,3 +164,20 @@ def quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_c
         return apply
 
     return map_texts(docs, make, "score double", id_col, text_col)
+
+
+def keep_good(docs: DataFrame, model: QualityModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``least``. Nothing is shuffled."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of 64 KB
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        compressors = _compressors(model)
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                scores = model.calibration.score(compressors.features([t or "" for t in part.column(at).to_pylist()]))
+                yield part.filter(pa.array(scores >= least))
+
+    return docs.mapInArrow(run, docs.schema)
