@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievekit.plans import scan
+from sievekit.plans import dependencies, findings, graphs, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (scan,):
+for module in (scan, graphs, dependencies, findings):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
