@@ -25,8 +25,8 @@ from sievekit.llm.common import map_texts
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of a worker's tables: states of the transducer and encoded pieces (each up to MAX_PIECE characters).
-MAX_STATES = 100_000
-MAX_PIECES = 300_000
+MAX_STATES = 300_000
+MAX_PIECES = 400_000
 MAX_PIECE = 64
 
 
