@@ -109,9 +109,32 @@ def summary_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("node", F.array_join("value", ",").alias("brands"))
 
 
+def cross_file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows from rich suppliers into the smallest parts, through suppliers and parts as functions of different files.
+
+    Parts of size 1 are sinks; by their number their parameters aren't known, are slot 0, or are none.
+    """
+    lines = read(spark, sf_dir, "lineitem").filter("l_quantity = 50")
+    slot = F.array((F.col("l_linenumber") % 2).cast("string"))
+    suppliers, parts = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "part")
+    edges = lines.select((F.col("l_suppkey") * 2).alias("caller"), (F.col("l_partkey") * 2 + 1).alias("callee"), slot.alias("tainted_slots"))
+    edges = edges.unionByName(
+        parts.join(suppliers, F.col("p_partkey") == F.col("s_suppkey")).select((F.col("p_partkey") * 2 + 1).alias("caller"), (F.col("s_suppkey") * 2).alias("callee"), F.array(F.lit("0")).alias("tainted_slots"))
+    )
+    edges = edges.select("*", F.col("callee").cast("string").alias("callee_name"), F.lit(True).alias("has_args"))
+    none = F.lit(None).cast("array<string>")
+    params = F.when(F.col("p_partkey") % 3 == 1, F.array(F.lit("0"))).when(F.col("p_partkey") % 3 == 2, F.array().cast("array<string>"))
+    rest = [none.alias(c) for c in ("return_params", "sink_calls", "returned_calls")]
+    functions = parts.select((F.col("p_partkey") * 2 + 1).alias("node"), F.lit("parts").alias("file"), (F.col("p_size") == 1).alias("has_sink"), F.lit(False).alias("has_source"), params.alias("sink_params"), *rest)
+    functions = functions.unionByName(
+        suppliers.select((F.col("s_suppkey") * 2).alias("node"), F.lit("suppliers").alias("file"), F.lit(False).alias("has_sink"), (F.col("s_acctbal") > 8000).alias("has_source"), none.alias("sink_params"), *rest)
+    )
+    return graph.emissions(edges, functions, most=5)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (caller_layers, forward_reach, gated_layers, edge_summary, call_paths, package_chains, handoff_spread, summary_fixpoint)
+    for f in (caller_layers, forward_reach, gated_layers, edge_summary, call_paths, package_chains, handoff_spread, summary_fixpoint, cross_file_findings)
 }
 _UP = "WITH RECURSIVE" + _EDGES + "," + _reach("edges", "callee", "caller", _SEED)
 _PRED = _UP + """,
@@ -149,4 +172,22 @@ r(node, brand, hop) AS (
   SELECT p_partkey * 2 + 1, p_brand, 0 FROM part WHERE p_size = 1
   UNION SELECT e.caller, r.brand, r.hop + 1 FROM r JOIN edges e ON e.callee = r.node WHERE r.hop < 4)
 SELECT node, string_agg(DISTINCT brand, ',' ORDER BY brand) AS brands FROM r GROUP BY node""",
+    "cross_file_findings": """
+WITH RECURSIVE e AS (
+  SELECT l_suppkey * 2 AS caller, l_partkey * 2 + 1 AS callee, CAST(l_linenumber % 2 AS INT) AS slot FROM lineitem WHERE l_quantity = 50
+  UNION ALL SELECT p_partkey * 2 + 1, s_suppkey * 2, 0 FROM part JOIN supplier ON p_partkey = s_suppkey),
+sinks AS (SELECT p_partkey * 2 + 1 AS node, p_partkey % 3 AS k FROM part WHERE p_size = 1),
+gate AS (SELECT e.* FROM e JOIN sinks ON callee = node WHERE k = 0 OR (k = 1 AND slot = 0)),
+one AS (SELECT node, 0 AS dist FROM sinks UNION SELECT caller, 1 FROM gate),
+up(node, dist) AS (SELECT * FROM one UNION SELECT e.caller, up.dist + 1 FROM up JOIN e ON e.callee = up.node WHERE up.dist BETWEEN 1 AND 4),
+to_sink AS (SELECT node, min(dist) AS dist FROM up GROUP BY node),
+sources AS (SELECT s_suppkey * 2 AS node FROM supplier WHERE s_acctbal > 8000),
+down(node, dist) AS (SELECT node, 0 FROM sources UNION SELECT e.callee, down.dist + 1 FROM down JOIN e ON e.caller = down.node WHERE down.dist < 5),
+back(node, dist) AS (SELECT node, 0 FROM sources UNION SELECT e.caller, back.dist + 1 FROM back JOIN e ON e.callee = back.node WHERE back.dist < 5),
+found AS (
+  SELECT 'sink' AS direction, e.caller, e.callee, t.dist AS depth FROM e JOIN to_sink t ON t.node = e.callee LEFT JOIN sinks s ON s.node = e.callee
+  WHERE e.caller IN (SELECT node FROM down) AND (t.dist > 0 OR s.k = 0 OR (s.k = 1 AND e.slot = 0))
+  UNION ALL
+  SELECT 'return', e.caller, e.callee, b.dist FROM e JOIN back b ON b.node = e.callee WHERE e.caller IN (SELECT node FROM sinks))
+SELECT direction, caller, callee, CAST(min(depth) AS INT) AS depth FROM found GROUP BY 1, 2, 3""",
 }

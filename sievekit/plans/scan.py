@@ -79,7 +79,41 @@ def statement_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("stmt_id", F.col("stmt_id").cast("long"))
 
 
+def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and lines of each language and source."""
+    docs = documents(spark, sf_dir)
+    return docs.groupBy("lang", "source").agg(F.count("*").alias("docs"), F.sum(F.size(F.split("text", "\n", -1))).alias("lines"))
+
+
+def rule_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One digest for all the findings of a document, in their order."""
+    rows = findings(spark, sf_dir).select("doc_id", F.struct("line_no", "rule_id").alias("f"))
+    rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("f")).alias("fs"))  # the findings of one document
+    return rows.select("doc_id", F.sha2(F.array_join(F.transform("fs", lambda x: F.concat_ws(":", x["line_no"], x["rule_id"])), ","), 256).alias("digest"))
+
+
+def line_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct identifiers on lines that speak of a licence, without stop words."""
+    rows = lines.lines_of(documents(spark, sf_dir), "doc_id", "text").filter(F.col("line").contains("icense"))
+    return rows.select("doc_id", "line_no", F.array_join(T.identifiers(F.col("line"), ["the", "under", "is"]), ",").alias("identifiers"))
+
+
+_DEPTH = " + ".join(f"(length(line) - length(replace(line, '{c}', '')))" for c in "([{") + "".join(f" - (length(line) - length(replace(line, '{c}', '')))" for c in ")]}")
+_SPANS = (
+    "WITH "
+    + _LINES.replace("doc_id, lang", "page_id").replace("text,", "html,").replace("documents", "pages")
+    + f""",
+s AS (SELECT *, sum({_DEPTH}) OVER (PARTITION BY page_id ORDER BY line_no) AS s FROM lines),
+d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY line_no)) AS depth FROM s),
+i AS (SELECT *, coalesce(sum(CASE WHEN depth = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stmt_id FROM d)
+SELECT page_id, CAST(stmt_id AS BIGINT) AS stmt_id, min(line_no) AS first_line, max(line_no) AS last_line, CAST(max(depth) AS BIGINT) AS max_depth FROM i GROUP BY 1, 2"""
+)
+
 QUERIES = {
+    "statement_spans": statement_spans,
+    "language_histogram": language_histogram,
+    "rule_digest": rule_digest,
+    "line_identifiers": line_identifiers,
     "line_findings": line_findings,
     "line_findings_report": line_findings_report,
     "severity_counts": severity_counts,
@@ -88,4 +122,12 @@ ORACLES = {
     "line_findings": "WITH " + _HITS + " SELECT doc_id, line_no, rule_id, sev_rank, sha256(line) AS line_sha FROM findings",
     "line_findings_report": _ISLANDS,
     "severity_counts": "WITH " + _HITS + " SELECT sev_rank, lang, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM findings GROUP BY 1, 2",
+    "statement_spans": _SPANS,
+    "language_histogram": "SELECT lang, source, count(*) AS docs, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines FROM documents GROUP BY 1, 2",
+    "rule_digest": "WITH " + _HITS + " SELECT doc_id, sha256(string_agg(line_no || ':' || rule_id, ',' ORDER BY line_no, rule_id)) AS digest FROM findings GROUP BY doc_id",
+    "line_identifiers": "WITH " + _LINES + """,
+w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*') AS ws FROM lines WHERE contains(line, 'icense')),
+u AS (SELECT doc_id, line_no, unnest(ws) AS x, unnest(range(len(ws))) AS k FROM w),
+d AS (SELECT doc_id, line_no, x, min(k) AS k FROM u WHERE x NOT IN ('the', 'under', 'is') GROUP BY 1, 2, 3)
+SELECT w.doc_id, w.line_no, coalesce(string_agg(x, ',' ORDER BY k), '') AS identifiers FROM w LEFT JOIN d USING (doc_id, line_no) GROUP BY 1, 2""",
 }
