@@ -102,3 +102,28 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     rows = marked(docs, bitmap(dropped, id_col), id_col)
     sure, open_ = rows.filter("not _in").drop("_in"), rows.filter("_in").drop("_in")
     return sure.unionByName(open_.join(dropped, id_col, "left_anti")).select(docs.columns)
+
+
+def at_least(rows: DataFrame, count_col: str, most: int) -> DataFrame:
+    """The rows with the greatest counts, ``most`` of them at most: all whose count reaches a bound that a histogram gives.
+
+    Equal counts stay or go together. No task ever sorts or holds the candidates of the others.
+    """
+    top = 1 << 16
+    found = {r.c: r["count"] for r in rows.groupBy(F.least(F.col(count_col), F.lit(top)).cast("long").alias("c")).count().collect()}  # 65,536 rows at most
+    bound, sum_ = top + 1, 0
+    for c in sorted(found, reverse=True):
+        sum_ += found[c]
+        if sum_ > most:
+            break
+        bound = c
+    return rows.filter(F.col(count_col) >= bound)
+
+
+def share_of(rows: DataFrame, n: int, id_col: str, salt: int) -> DataFrame:
+    """About ``n`` rows, and never more, chosen by a hash of the id: the same ones in every run, from all over the table."""
+    total = rows.count()
+    if total <= n:
+        return rows
+    place = F.pmod(F.xxhash64(F.lit(salt), id_col), F.lit(1 << 30))
+    return rows.filter(place < int((1 << 30) * 0.97 * n / total)).limit(n)

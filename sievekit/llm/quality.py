@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import SLICE_ROWS, map_texts
+from sievekit.llm.common import SLICE_ROWS, map_texts, share_of
 from sievekit.llm.logistic import Logistic
 
 BLOCK = 1024
@@ -95,11 +95,6 @@ def _dictionaries(samples: list[tuple[int, list[bytes]]], seed: int = 5) -> tupl
     return made[0], made[1]
 
 
-def _first(rows: DataFrame, n: int, id_col: str, salt: int) -> DataFrame:
-    """``n`` rows chosen by a hash of the id: the same ones in every run, from all over the table."""
-    return rows.orderBy(F.xxhash64(F.lit(salt), id_col), id_col).limit(n)
-
-
 class QualityModel:
     def __init__(self, good: bytes, bad: bytes, calibration: Logistic):
         self.good, self.bad, self.calibration = good, bad, calibration
@@ -125,10 +120,10 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "qu
     own = labels.select(id_col, F.col(label_col).cast("int").alias("label")).filter(usable & F.col("label").isin(0, 1) & F.col(id_col).isNotNull())
     own = own.dropDuplicates([id_col])
     for_fit = F.pmod(F.xxhash64(F.lit(1), id_col), F.lit(2)) == 0
-    fitted = [_first(own.filter(for_fit & (F.col("label") == k)), ROWS_OF_CLASS, id_col, 2) for k in (0, 1)]
+    fitted = [share_of(own.filter(for_fit & (F.col("label") == k)), ROWS_OF_CLASS, id_col, 2) for k in (0, 1)]
     good, bad = _dictionaries(_samples(docs, fitted[0].unionByName(fitted[1]), id_col, text_col))
     bare = QualityModel(good, bad, Logistic(np.zeros((0, 2)), np.zeros(0)))
-    held = _first(own.filter(~for_fit), CALIBRATION_ROWS, id_col, 3)
+    held = share_of(own.filter(~for_fit), CALIBRATION_ROWS, id_col, 3)
 
     def make():
         compressors = _compressors(bare)
