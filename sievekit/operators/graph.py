@@ -172,3 +172,17 @@ def handoffs(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> Dat
     free = nodes.filter("not has_schema").select("node")
     open_ = edges.join(free.withColumnRenamed("node", "caller"), "caller", "left_semi").join(free.withColumnRenamed("node", "callee"), "callee", "left_semi")
     return layers(open_, nodes.filter("armed").select("node"), upward=False, most=most)
+
+
+def attributed_sinks(functions: DataFrame, findings: DataFrame) -> DataFrame:
+    """Of each function its earliest finding: on one line the stronger one, then the first. findings: node, line, confidence, seq, rule_id."""
+    first = findings.groupBy("node").agg(F.min_by(F.struct("line", "rule_id"), F.struct("line", -F.col("confidence"), "seq")).alias("_f"))
+    return functions.join(first, "node", "left").select(*functions.columns, F.col("_f.line").alias("sink_line"), F.col("_f.rule_id").alias("sink_rule_id"))
+
+
+def persistent_flows(functions: DataFrame, channels: DataFrame) -> DataFrame:
+    """Flows through a store, within one file too: a writer that has a source and a reader that has a sink of one key."""
+    writes = channels.filter("role = 'write'").select("kind", "key", F.col("fn_id").alias("writer")).distinct()
+    reads = channels.filter("role = 'read'").select("kind", "key", F.col("fn_id").alias("reader")).distinct()
+    rows = writes.join(functions.filter("has_source").select(F.col("node").alias("writer")), "writer", "left_semi")
+    return rows.join(reads.join(functions.filter("has_sink").select(F.col("node").alias("reader")), "reader", "left_semi"), ["kind", "key"])

@@ -110,3 +110,24 @@ def implementers(interfaces: DataFrame, types: DataFrame) -> DataFrame:
     need = interfaces.distinct().groupBy("interface").agg(F.count("*").alias("_need"))
     have = interfaces.distinct().join(types.distinct(), "method").groupBy("interface", "type").agg(F.count("*").alias("_have"))
     return have.join(need, "interface").filter("_have = _need").select("interface", "type")
+
+
+def zipped(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """Questions with the answers of the same place. asked: batch, items array; answers: batch, results array (NULL: not answered).
+
+    An answer that is missing stays NULL, "not checked", and is never an empty one.
+    """
+    left = asked.select("batch", F.posexplode("items").alias("place", "item"))
+    right = answers.select("batch", F.posexplode_outer("results").alias("place", "result"))
+    return left.join(right, ["batch", "place"], "left")
+
+
+def not_yet_reported(found: DataFrame, reported: DataFrame, reach: int = 3) -> DataFrame:
+    """Findings less those that stand where one is reported: on the same line, or near it with a shared CWE (array)."""
+    size = reach + 1
+    left = found.withColumn("_block", F.floor(F.col("line") / size))
+    right = reported.select("path", F.col("line").alias("_line"), F.col("cwe").alias("_cwe"))
+    right = right.withColumn("_block", F.explode(F.sequence(F.floor((F.col("_line") - reach) / size), F.floor((F.col("_line") + reach) / size))))
+    near = (F.abs(F.col("line") - F.col("_line")) <= reach) & F.coalesce(F.arrays_overlap("cwe", "_cwe"), F.lit(False))
+    cond = (left["path"] == right["path"]) & (left["_block"] == right["_block"]) & ((left["line"] == right["_line"]) | near)
+    return left.join(right, cond, "left_anti").drop("_block")
