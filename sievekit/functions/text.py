@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Longest part of a line that patterns see.
 LINE_CHARS = 2000
 #: What ends a line: CR LF, LF, CR, VT, FF, FS, GS, RS, NEL, LS, PS.
-LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def identifiers(line: Column, stop: list[str]) -> Column:
