@@ -46,7 +46,7 @@ def test_rules_negatives_suppressions_and_secrets(spark):
 
 
 def test_all_line_breaks(spark):
-    text = "a\r\nb\nc\rd\x0be\x0cf\x85g h i"
+    text = "a\r\nb\nc\rd\x0be\x0cf\x85g\u2028h\u2029i"
     rows = spark.createDataFrame([(1, text)], "id int, t string")
     assert [r.line for r in lines.lines_of(rows, "id", "t").orderBy("line_no").collect()] == text.splitlines()
 
