@@ -1,12 +1,12 @@
 """Jaccard self-join of documents on sets of word n-grams, exact, without a comparison of all pairs.
 
 1. Sets. Every text becomes a set of hashed shingles; equal sets are one class, named by its smallest id.
-2. Stars. Classes that share a min-hash are compared with the smallest class of that min-hash. This links
+2. Stars. Classes that share a min-hash are compared with the most central class of that min-hash. This links
    most of a large group of near copies at once, in as many comparisons as it has members.
 3. Tiles. For similarity t two sets must share one of the first n - ceil(t n) + 1 shingles in any fixed order.
    Shingles that many documents share come last in it. A shingle that stands in the beginnings of several of
    the components so far opens a tile, split by bands of set sizes: linked sets differ by one band at most.
-4. Bitmaps. In a tile, pairs of different components are bounded from above by bit counts of 1,024-bit
+4. Bitmaps. In a tile, pairs of different components are bounded from above by bit counts of hashed
    signatures: each bit that one set has and the other lacks is a shingle less in the intersection.
 5. Pairs that pass are compared as sorted arrays, and links join the components.
 
@@ -22,27 +22,37 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.llm.bitmap import bitmap
-from sievekit.llm.common import cut
+from sievekit.llm.common import at_least, cut
 from sievekit.llm.components import components
 
 WORDS = 5
 #: Similarity of at least NEAR / 100.
 NEAR = 75
-SIGNATURE = 1024
+#: Bits of a signature at least, and sets up to which it grows (larger ones have a looser bound).
+SIGNATURE, SIGNATURE_MOST = 256, 1 << 14
+#: Bits for each shingle in the signatures that are compared last.
+WIDE = 16
 #: Odd factors: each gives one order of all hashes, and so one min-hash.
-FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 9)], dtype=np.uint64)
 #: Shingles in so many texts of a task's chunk are counted, and so many of the most frequent come last. This
 #: changes the order of the shingles, hence the work, never the result. The table sent to tasks is 1 MB.
 LOCAL_HOT = 6
 HOT = 1 << 17
 CHUNK_SHINGLES = 2_000_000
+#: Pairs that a task remembers to have told; forgetting them only tells some twice.
+MOST_TOLD = 1 << 20
+#: Sets in one side of a tile.
+CELL = 4096
 #: Bits of the filters that keep ids and shingles without a partner from leaving a task: 8 MB.
 BITS = 1 << 26
 CACHE_WORDS = 400_000
+#: Bits of a hash that are left out where hashes only look for candidates. More candidates are harmless.
+DROPPED = 20
 
 
 class Words(dict):
@@ -73,12 +83,21 @@ def shingles(text: str, words: dict[bytes, int], n: int = WORDS) -> np.ndarray:
     return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(SIGNATURE, dtype=bool)
-    bits[(s & np.uint64(SIGNATURE - 1)).astype(np.int64)] = True
+def signature(s: np.ndarray, bits_each: int = 4) -> np.ndarray:
+    """``bits_each`` bits or more for each shingle, a power of two of them; sets of like size have like signatures or one of half the size."""
+    width = min(max(SIGNATURE, 1 << (bits_each * len(s) - 1).bit_length()), bits_each * SIGNATURE_MOST)
+    bits = np.zeros(width, dtype=bool)
+    bits[(s & np.uint64(width - 1)).astype(np.int64)] = True
     return np.packbits(bits).view(np.int64)
 
 
+def folded(bits: list[list[int]]) -> np.ndarray:
+    """Signatures as rows of the same width: a longer one is the union of its halves."""
+    out = [np.array(b, dtype=np.int64).view(np.uint64) for b in bits]
+    width = min(map(len, out))
+    return np.array([np.bitwise_or.reduce(b.reshape(-1, width)) for b in out])
+
+
 def beginning(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """The first shingles of a set, those in ``hot`` (sorted) last: one of them is in every set that is near."""
     size = len(s) - -(-NEAR * len(s) // 100) + 1
@@ -176,9 +195,16 @@ def _held(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def _fold(a: str, b: str) -> F.Column:
+    """Signature ``a``, folded where it is twice as long as ``b``."""
+    half = (F.size(a) / 2).cast("int")
+    both = F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseOR(y))
+    return F.when(F.size(a) > F.size(b), both).otherwise(F.col(a))
+
+
 def _outside(a: str, b: str) -> F.Column:
     """Bits that ``a`` has and ``b`` lacks."""
-    ones = F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    ones = F.zip_with(_fold(a, b), _fold(b, a), lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
     return F.aggregate(ones, F.lit(0), lambda s, x: s + x)
 
 
@@ -186,11 +212,11 @@ def _possible() -> F.Column:
     """May two sets be near, by their sizes and signatures? Columns na, nb, sa, sb."""
     most = F.least(F.col("na") - _outside("sa", "sb"), F.col("nb") - _outside("sb", "sa"))
     sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * NEAR
-    return sizes & (most * (100 + NEAR) >= (F.col("na") + F.col("nb")) * NEAR)
+    return F.when(sizes, most * (100 + NEAR) >= (F.col("na") + F.col("nb")) * NEAR).otherwise(False)
 
 
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose sets are near: exact, on sorted arrays."""
+    """The pairs (a, b) of ids whose sets are near: exact, on sorted arrays, after a last bound by wide signatures."""
     wanted = _filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
     sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
@@ -202,8 +228,9 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                 own = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 keep = np.flatnonzero(_held(bits, own))
                 if len(keep):
-                    found = [shingles(t or "", words).tobytes() for t in part.column(1).take(pa.array(keep)).to_pylist()]
-                    yield pa.RecordBatch.from_pydict({"id": pa.array(own[keep]), "s": pa.array(found, pa.binary())})
+                    found = [shingles(t or "", words) for t in part.column(1).take(pa.array(keep)).to_pylist()]
+                    columns = {"n": pa.array([len(x) for x in found], pa.int32()), "bits": _lists([signature(x, WIDE) for x in found])}
+                    yield pa.RecordBatch.from_pydict({"id": pa.array(own[keep]), **columns, "s": pa.array([x.tobytes() for x in found], pa.binary())})
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,25 +243,71 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                 ok[k] = both and both * 100 >= NEAR * (len(x) + len(y) - both)
             yield batch.filter(pa.array(ok)).select([0, 1])
 
-    made = texts.filter("id is not null").mapInArrow(sets, "id long, s binary")
-    made = cut(made)
+    made = cut(texts.filter("id is not null").mapInArrow(sets, "id long, n int, bits array<long>, s binary"))
+    of = lambda name: made.select(F.col("id").alias(name), F.col("n").alias("n" + name), F.col("bits").alias("s" + name))
+    pairs = cut(pairs.join(of("b"), "b").join(of("a"), "a").filter(_possible()).select("a", "b"))
     joined = pairs.join(made.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     joined = joined.join(made.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
     return cut(joined.select("a", "b", "x", "y").mapInArrow(near, "a long, b long").distinct())
 
 
+def pack(keys: np.ndarray, ids: np.ndarray) -> bytes:
+    """Sorted hashes, without their lowest bits, as differences, and their ids; both compressed."""
+    short = keys >> np.uint64(DROPPED)
+    steps = np.diff(short, prepend=np.uint64(0))
+    columns = [np.array([len(keys)], dtype=np.uint64), steps, ids.astype(np.int64)]
+    # Bytes of one weight stand together, so the high ones, mostly 0, cost nothing.
+    planes = [columns[0].tobytes(), *(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns[1:])]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(raw, dtype=np.uint64, count=1)[0])
+    plane = lambda at: np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=8 * n, offset=at).reshape(8, n).T)
+    return np.cumsum(plane(8).view(np.uint64).ravel(), dtype=np.uint64), plane(8 + 8 * n).view(np.int64).ravel()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The (shingle, class) of every shingle that several classes have, one shingle only for the same classes.
+
+    A partition holds whole ranges of hashes. Shingles that very many texts have aren't here: they are in ``hot``.
+    """
+    found = [unpack(x) for batch in batches for x in batch.column(1).to_pylist()]
+    if not found:
+        return
+    key, own = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    order = np.lexsort((own, key))
+    key, own = key[order], own[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
+    key, own = key[new], own[new]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(start, len(key)))
+    mark = np.add.reduceat(_mix(own.view(np.uint64)), start)
+    several = np.flatnonzero(size > 1)
+    _, once = np.unique(mark[several], return_index=True)
+    keep = np.zeros(len(size), dtype=bool)
+    keep[several[once]] = True
+    rows = np.repeat(keep, size)
+    for at in range(0, int(rows.sum()), 100_000):
+        yield pa.RecordBatch.from_pydict({"shingle": pa.array(_long(key[rows][at : at + 100_000])), "id": pa.array(own[rows][at : at + 100_000])})
+
+
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a partition's tiles that the bit counts leave. Rows come sorted by shingle, band and id."""
-    columns = ("shingle", "band", "guest", "id", "component", "n", "bits")
+    """Pairs of a partition's cells that the bit counts leave. Rows come sorted by cell; one with i != j pairs the sides i and j only."""
+    columns = ("shingle", "band", "i", "j", "side", "guest", "id", "component", "n", "bits")
     held: dict[str, list] = {k: [] for k in columns}
+    told: set[tuple[int, int]] = set()
 
     def pairs() -> Iterator[pa.RecordBatch]:
         guest = np.array(held["guest"], dtype=bool)
-        ids, comp, n = (np.array(held[k], dtype=np.int64) for k in ("id", "component", "n"))
-        bits = np.array(held["bits"], dtype=np.int64).view(np.uint64)
+        ids, comp, n, side = (np.array(held[k], dtype=np.int64) for k in ("id", "component", "n", "side"))
+        apart = bool(held["i"]) and held["i"][0] != held["j"][0]
+        bits = folded(held["bits"]) if len(ids) else None
         for k in np.flatnonzero(~guest):
             # Each pair once: a guest is always from the band below; hosts are compared with later hosts.
-            other = np.flatnonzero((comp != comp[k]) & (guest | (np.arange(len(ids)) > k)))
+            other = np.flatnonzero((comp != comp[k]) & (guest | (np.arange(len(ids)) > k)) & (side != side[k] if apart else True))
             other = other[np.minimum(n[other], n[k]) * 100 >= np.maximum(n[other], n[k]) * NEAR]
             if not len(other):
                 continue
@@ -242,16 +315,20 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             more = np.bitwise_count(bits[other] & ~bits[k]).sum(axis=1, dtype=np.int64)
             most = np.minimum(n[k] - lacks, n[other] - more)
             other = other[most * (100 + NEAR) >= (n[k] + n[other]) * NEAR]
-            if len(other):
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(ids[other], ids[k])), "b": pa.array(np.maximum(ids[other], ids[k]))})
+            new = [p for p in zip(np.minimum(ids[other], ids[k]).tolist(), np.maximum(ids[other], ids[k]).tolist(), strict=True) if p not in told]
+            if new:
+                if len(told) > MOST_TOLD:
+                    told.clear()
+                told.update(new)
+                yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in new], pa.int64()), "b": pa.array([b for _, b in new], pa.int64())})
 
     last = None
     for batch in batches:
         values = [batch.column(k).to_pylist() for k in range(len(columns))]
         for row in zip(*values, strict=True):
-            if row[:2] != last:
+            if row[:4] != last:
                 yield from pairs()
-                last = row[:2]
+                last = row[:4]
                 for v in held.values():
                     v.clear()
             for k, v in zip(columns, row, strict=True):
@@ -276,12 +353,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         )
     )
     hot = made.filter("shingle is not null").groupBy("shingle").agg(F.sum("texts").alias("texts"))
-    hot = np.sort(np.array([r.shingle for r in hot.orderBy(F.col("texts").desc(), "shingle").limit(HOT).collect()], dtype=np.int64).view(np.uint64))
-
-    # Stars around the smallest class of each min-hash.
-    members = classes.select("class", "n", "bits", F.posexplode("least").alias("order", "hash"))
-    centres = members.groupBy("order", "hash").agg(F.min("class").alias("a"), F.count("*").alias("many")).filter("many > 1")
-    pairs = members.join(cut(centres), ["order", "hash"]).filter("class != a").select("a", F.col("class").alias("b")).distinct()
+    hot = np.sort(np.array([r.shingle for r in at_least(hot, "texts", HOT).select("shingle").collect()], dtype=np.int64).view(np.uint64))
+
+    # Stars around the most central class of each min-hash: the one whose other min-hashes are the most common.
+    # An original has those of most of its copies, and is nearer to each of them than they are to each other.
+    members = classes.select("class", F.posexplode("least").alias("order", "hash"))
+    groups = cut(members.groupBy("order", "hash").agg(F.count("*").alias("many")).filter("many > 1"))
+    members = cut(members.join(groups, ["order", "hash"]))
+    central = cut(members.groupBy("class").agg(F.sum("many").alias("central")))
+    members = cut(members.select("class", "order", "hash").join(central, "class"))
+    centres = cut(members.groupBy("order", "hash").agg(F.min_by("class", F.struct(-F.col("central"), "class")).alias("centre")))
+    pairs = members.join(centres, ["order", "hash"]).filter("class != centre")
+    pairs = pairs.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
     of = lambda name: classes.select(F.col("class").alias(name), F.col("n").alias("n" + name), F.col("bits").alias("s" + name))
     pairs = cut(pairs.join(of("b"), "b").join(of("a"), "a").filter(_possible()).select("a", "b"))
     links = _verified(texts, pairs)
@@ -292,56 +375,73 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sent_hot = spark.sparkContext.broadcast(hot)
     sent_classes = spark.sparkContext.broadcast(_filter(classes.select("class"), "class"))
 
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shingles at the beginning of each set: packed by bucket; those in ``hot`` as rows of their own."""
         words, bits, hot = Words(), sent_classes.value, sent_hot.value
+        keys, owners, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            key, own = np.concatenate(keys), np.concatenate(owners)
+            keys.clear()
+            owners.clear()
+            common = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), dtype=bool)
+            rare, own_rare = key[~common], own[~common]
+            order = np.argsort(rare, kind="stable")
+            rare, own_rare = rare[order], own_rare[order]
+            # Buckets are ranges of hashes, so a sorted array is cut at their borders.
+            cuts = np.searchsorted(rare, np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64))
+            parts = [(k, x, y) for k, (x, y) in enumerate(zip(np.split(rare, cuts), np.split(own_rare, cuts), strict=True)) if len(x)]
+            n = int(common.sum())
+            return pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array([*(k for k, _, _ in parts), *[None] * n], pa.int32()),
+                    "packed": pa.array([*(pack(x, y) for _, x, y in parts), *[None] * n], pa.binary()),
+                    "shingle": pa.array([*[None] * len(parts), *_long(key[common]).tolist()], pa.int64()),
+                    "id": pa.array([*[None] * len(parts), *own[common].tolist()], pa.int64()),
+                }
+            )
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 own = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 keep = np.flatnonzero(_held(bits, own))
-                first = [beginning(shingles(t or "", words), hot) for t in part.column(1).take(pa.array(keep)).to_pylist()]
-                yield pa.RecordBatch.from_pydict({"class": pa.array(own[keep]), "first": pa.array([_long(x).tobytes() for x in first], pa.binary())})
-
-    begun = texts.filter("id is not null").mapInArrow(beginnings, "class long, first binary")
-    component = classes.select("class", "n", "bits").join(joined.withColumnRenamed("node", "class"), "class", "left")
-    component = component.withColumn("component", F.coalesce("component", "class"))
-    begun = cut(begun.join(component, "class"))
+                for k, text in zip(keep, part.column(1).take(pa.array(keep)).to_pylist(), strict=True):
+                    first = beginning(shingles(text or "", words), hot)
+                    keys.append(first)
+                    owners.append(np.full(len(first), own[k]))
+                    size += len(first)
+                if size >= CHUNK_SHINGLES:
+                    yield out()
+                    size = 0
+        if keys:
+            yield out()
 
-    def distinct_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(shingle, component), each once for a batch."""
-        for batch in batches:
-            first = [np.frombuffer(x, dtype=np.int64) for x in batch.column(0).to_pylist()]
-            if not first:
-                continue
-            key = np.concatenate(first)
-            comp = np.repeat(batch.column(1).to_numpy(), [len(x) for x in first])
-            order = np.lexsort((comp, key))
-            key, comp = key[order], comp[order]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])]) if len(key) else np.zeros(0, dtype=bool)
-            yield pa.RecordBatch.from_pydict({"shingle": pa.array(key[new]), "component": pa.array(comp[new])})
-
-    keys = begun.select("first", "component").mapInArrow(distinct_keys, "shingle long, component long")
-    shared = keys.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("shingle")
-    shared = cut(shared)
-    sent_shared = spark.sparkContext.broadcast(_filter(shared, "shingle"))
-
-    def members_of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent_shared.value
-        for batch in batches:
-            first = [np.frombuffer(x, dtype=np.int64) for x in batch.column(0).to_pylist()]
-            sizes = [len(x) for x in first]
-            key = np.concatenate(first) if first else np.zeros(0, dtype=np.int64)
-            keep = np.flatnonzero(_held(bits, key))
-            row = np.repeat(np.arange(len(first)), sizes)[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), *(batch.column(k).take(pa.array(row)) for k in range(1, 4))], names=["shingle", "id", "component", "n"])
-
-    tiles = begun.select("first", F.col("class").alias("id"), "component", "n").mapInArrow(members_of_tiles, "shingle long, id long, component long, n int")
-    tiles = tiles.join(shared, "shingle")
+    begun = cut(texts.filter("id is not null").mapInArrow(beginnings, "bucket int, packed binary, shingle long, id long"))
+    rare = begun.filter("bucket is not null").select("bucket", "packed").repartition(buckets // 4, "bucket")
+    members = rare.mapInArrow(_shared, "shingle long, id long").unionByName(begun.filter("bucket is null").select("shingle", "id"))
+    component = classes.select(F.col("class").alias("id"), "n").join(joined.withColumnRenamed("node", "id"), "id", "left")
+    component = component.withColumn("component", F.coalesce("component", "id"))
+    members = cut(members.join(component, "id"))
+    shared = members.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("shingle")
+    tiles = members.join(cut(shared), "shingle")
     # Bands grow by the least ratio of linked sizes; a set is host in its own band and guest in the next one.
     band = F.floor(F.log(100 / NEAR, F.col("n"))).cast("int")
     tiles = tiles.withColumn("place", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))))
-    tiles = tiles.select("shingle", "place.*", "id", "component", "n").join(classes.select(F.col("class").alias("id"), "bits"), "id")
-    tiles = tiles.select("shingle", "band", "guest", "id", "component", "n", "bits").repartition("shingle", "band").sortWithinPartitions("shingle", "band", "id")
+    tiles = cut(tiles.select("shingle", "place.*", "id", "component", "n"))
+    # Two texts that share a passage share many shingles: of tiles with the same members one is enough.
+    members = [F.count("*").alias("many"), *(F.bit_xor(F.xxhash64(F.lit(k), "id", "guest")).alias(f"x{k}") for k in (1, 2))]
+    open_ = tiles.groupBy("shingle", "band").agg(*members, F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("guest").alias("none"))
+    chosen = cut(open_.filter("lo != hi and not none").groupBy("band", "many", "x1", "x2").agg(F.min("shingle").alias("shingle")))
+    # A tile of many sets is cut into cells, one for each two of its sides, so no task holds more than two sides.
+    tiles = tiles.join(chosen.select("shingle", "band", F.ceil(F.col("many") / CELL).cast("int").alias("sides")), ["shingle", "band"])
+    tiles = tiles.withColumn("side", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("sides")).cast("int"))
+    tiles = tiles.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumns({"i": F.least("side", "k"), "j": F.greatest("side", "k")})
+    tiles = tiles.join(classes.select(F.col("class").alias("id"), "bits"), "id")
+    cell = ["shingle", "band", "i", "j"]
+    tiles = tiles.select(*cell, "side", "guest", "id", "component", "n", "bits").repartition(*cell).sortWithinPartitions(*cell, "id")
     more = cut(tiles.mapInArrow(_tiles, "a long, b long").distinct())
     links = links.unionByName(_verified(texts, more))
     joined = cut(components(links))

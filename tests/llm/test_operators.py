@@ -265,8 +265,10 @@ def near_texts(seed=2):
     return texts
 
 
-def test_near_duplicates(spark):
-    texts = near_texts()
+@pytest.mark.parametrize("cell", [4096, 2])
+def test_near_duplicates(spark, monkeypatch, cell):
+    monkeypatch.setattr(ngram_join, "CELL", cell)
+    texts = near_texts(seed=cell)
     df = table(spark, texts)
     df = df.unionByName(df.filter("doc_id = 20"))
     out = ngram_join.near_duplicates(df).collect()
