@@ -4,163 +4,259 @@ Each model interpolates three levels: pairs of words, words, and a distribution
 number of different words before which a word stands. A word that is rare in both classes so gets much the
 same probability from either model, and only well-attested differences count. A text's score comes from the
 difference of the two log-likelihoods for each word: over the whole text, and over its most telling windows.
+
+Counts are tables of the engine, without a bound. Texts travel in chunks; the words and pairs of a chunk that
+the frequent ones sent to every task don't settle are looked up by a join, once for each chunk.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from sievekit.llm.bitmap import bitmap, marked
-from sievekit.llm.common import at_least, cut, map_texts, share_of
+from sievekit.llm.common import at_least, cut, share_of, written
 from sievekit.llm.logistic import Logistic
+from sievekit.llm.ngram_join import Words, _filter, _held
 
-#: Bounds of the model that is broadcast: words, words that may be the first of a pair, pairs.
+#: Frequent words and pairs that every task holds. They save look-ups; scores don't depend on them.
 WORDS = 1 << 14
-CONTEXTS = 1 << 10
 PAIRS = 1 << 18
 DISCOUNT = 0.75
 WINDOWS = (1, 4, 16)
+#: Mean and windows with pairs and by words alone, and the length.
+FEATURES = 2 * (1 + len(WINDOWS)) + 1
 #: Every labelled row is counted; those of one fold in five are left out of the counts and serve the calibration,
 #: at most so many of them.
 CALIBRATION_ROWS = 8000
+#: Words of the texts that are looked up together, and words that a task counts before it hands on.
+CHUNK_WORDS = 1 << 20
+COUNT_WORDS = 2_000_000
 _EDGE = ".,;:!?\"'()[]{}<>|%&*#$-"
+_VALUES = ("a0", "a1", "n0", "n1", "s0", "s1")
+_UNSEEN = np.array([0.0, 0.0, 1.0, 1.0, 1.0, 1.0])
 
 
 def words_of(text: str) -> list[str]:
-    return [w.strip(_EDGE) for w in text.lower().split()]
+    return [w for x in text.lower().split() if (w := x.strip(_EDGE))]
 
 
-class KneserNey:
-    """Log-likelihood differences. Word 0 is any word outside the vocabulary: both classes give it the same probability."""
-
-    def __init__(self, words: list[str], counts: np.ndarray, follow: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray, context: np.ndarray):
-        """``counts``: words x class. ``follow``: of each word, the number of different words before it, both
-        classes together. ``pairs``: sorted first * (WORDS + 1) + second; ``pair_counts``: pairs x class.
-        ``context``: (CONTEXTS + 1) x class x (number of words that follow, number of different ones)."""
-        self.index = {w: k for k, w in enumerate(words, 1)}
-        self.pairs, self.context_words = pairs, min(CONTEXTS, len(words))
-        shared = (follow + 1.0) / (follow + 1.0).sum()
-        total = np.maximum(counts.sum(axis=0), 1.0)
-        types = (counts > 0).sum(axis=0)
-        # Words: discounted counts, the rest spread as both classes share it.
-        self.word = (np.maximum(counts - DISCOUNT, 0) + DISCOUNT * types * shared[:, None] + 1e-9) / total
-        self.pair = np.maximum(pair_counts - DISCOUNT, 0.0)
-        number = context[:, :, 0]
-        self.number = np.maximum(number, 1.0)
-        # Where a class has never seen the first word, its words alone decide.
-        self.spread = np.where(number > 0, DISCOUNT * context[:, :, 1] / self.number, 1.0)
-
-    def ids(self, text: str) -> np.ndarray:
-        words = words_of(text)
-        return np.fromiter(map(self.index.get, words, repeat(0)), dtype=np.int64, count=len(words))
-
-    def differences(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Of each word: log of its toxic probability less that of its ordinary one. ``first`` marks words that begin a text."""
-        word = self.word[ids]
-        before = np.zeros(len(ids), dtype=np.int64)
-        before[1:] = ids[:-1]
-        before[before > self.context_words] = 0
-        key = before * (WORDS + 1) + ids
-        seen = np.zeros_like(word)
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            hit = self.pairs[at] == key
-            seen[hit] = self.pair[at[hit]]
-        p = seen / self.number[before] + self.spread[before] * word
-        p = np.where(first[:, None], word, p)
-        return np.where(ids > 0, np.log(p[:, 1]) - np.log(p[:, 0]), 0.0)
-
-    def features(self, texts: list[str]) -> np.ndarray:
-        """Mean difference, greatest mean over windows of some lengths, log of the length."""
-        parts = [self.ids(t) for t in texts]
-        sizes = np.array([len(p) for p in parts])
-        out = np.zeros((len(texts), 2 + len(WINDOWS)))
-        ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-        if not len(ids):
-            return out
-        ends = np.cumsum(sizes)
-        first = np.zeros(len(ids), dtype=bool)
-        first[(ends - sizes)[sizes > 0]] = True
-        r = self.differences(ids, first)
-        for k, (end, n) in enumerate(zip(ends, sizes, strict=True)):
-            if n:
-                sums = np.concatenate([[0.0], np.cumsum(r[end - n : end])])
-                out[k, 0] = sums[-1] / n
-                for j, w in enumerate(WINDOWS):
-                    w = min(w, n)
-                    out[k, 1 + j] = (sums[w:] - sums[:-w]).max() / w
-                out[k, -1] = np.log1p(n)
-        return out
+def _hashes(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some texts, end to end, and the number of each text's."""
+    own = [words_of(t) for t in texts]
+    sizes = np.array([len(x) for x in own], dtype=np.int64)
+    found = (words[w] for x in own for w in x)
+    return np.fromiter(found, dtype=np.uint64, count=int(sizes.sum())), sizes
 
 
-def _tally(rows: DataFrame, make, columns: str) -> DataFrame:
-    """Sums by key of what each task counts, added up in the task first. ``make`` returns (add(texts, labels), result())."""
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return (first << np.uint64(1) | first >> np.uint64(63)) ^ second
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        add, result = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                if (full := add([t or "" for t in part.column(0).to_pylist()], part.column(1).to_pylist())) is not None:
-                    yield full
-        yield result()
 
-    return rows.mapInArrow(run, columns).groupBy("key").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+def _pair_key() -> Column:
+    """``pair_keys`` of columns v and w."""
+    return F.shiftleft("v", 1).bitwiseOR(F.shiftrightunsigned("v", 63)).bitwiseXOR(F.col("w"))
 
 
-def _count_words(most: int = 400_000):
-    found = (Counter(), Counter())
+def _begins(sizes: np.ndarray) -> np.ndarray:
+    """Marks of the words that begin a text."""
+    out = np.zeros(int(sizes.sum()), dtype=bool)
+    out[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    return out
 
-    def result() -> pa.RecordBatch:
-        keys = list(found[0].keys() | found[1].keys())
-        out = pa.RecordBatch.from_pydict(
-            {"key": pa.array(keys, pa.string()), "c0": pa.array([found[0][k] for k in keys], pa.int64()), "c1": pa.array([found[1][k] for k in keys], pa.int64())}
-        )
-        found[0].clear()
-        found[1].clear()
-        return out
 
-    def add(texts: list[str], labels: list[int]):
-        for text, label in zip(texts, labels, strict=True):
-            found[label].update(words_of(text))
-        return result() if len(found[0]) + len(found[1]) > most else None
+class Entries:
+    """Values of some keys. Of a word: both classes' probability, number of words after it, share left to their words.
+    Of a pair: both classes' discounted counts."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], values[order]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of ``keys``, and which of them are here."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
 
-    return add, result
 
+def _values(keys: np.ndarray, entries: tuple[Entries, ...], other: np.ndarray) -> np.ndarray:
+    out = np.tile(other, (len(keys), 1))
+    for e in entries:
+        at, here = e.find(keys)
+        out[here] = e.values[at[here], : len(other)]
+    return out
 
-def _count_pairs(words: list[str], most: int = 2_000_000):
-    index = {w: k for k, w in enumerate(words, 1)}
-    held: list[list[np.ndarray]] = [[], []]
 
-    def result() -> pa.RecordBatch:
-        keys, counts = [], []
-        for label in (0, 1):
-            k, n = np.unique(np.concatenate(held[label] or [np.zeros(0, dtype=np.int64)]), return_counts=True)
-            keys.append(k)
-            counts.append(n)
-            held[label].clear()
-        union = np.union1d(*keys)
-        out = np.zeros((2, len(union)), dtype=np.int64)
-        for label in (0, 1):
-            out[label, np.searchsorted(union, keys[label])] = counts[label]
-        return pa.RecordBatch.from_pydict({"key": pa.array(union, pa.int64()), "c0": pa.array(out[0]), "c1": pa.array(out[1])})
+def features(h: np.ndarray, sizes: np.ndarray, entries: tuple[Entries, ...]) -> np.ndarray:
+    """Of each text: mean difference and greatest mean over windows of some lengths, with pairs and by words alone; log of the length.
+
+    The difference of a word is the log of its toxic probability less that of its ordinary one. A word that no
+    labelled text holds has the shared level alone, which is the same for both classes: its difference is 0.
+    """
+    out = np.zeros((len(sizes), FEATURES))
+    if not len(h):
+        return out
+    word = _values(h, entries, _UNSEEN)
+    seen = np.zeros((len(h), 2))
+    seen[1:] = _values(pair_keys(h[:-1], h[1:]), entries, np.zeros(2))
+    before = np.roll(word, 1, axis=0)
+    p = np.where(_begins(sizes)[:, None], word[:, :2], seen / before[:, 2:4] + before[:, 4:] * word[:, :2])
+    # A pair after a word that one class has hardly seen tells little, so words by themselves are a second measure.
+    both = np.array([p, word[:, :2]])
+    both[:, word[:, 0] == 0] = 1
+    r = np.log(both[:, :, 1]) - np.log(both[:, :, 0])
+    for k, (end, n) in enumerate(zip(np.cumsum(sizes), sizes, strict=True)):
+        if n:
+            for m in (0, 1):
+                sums = np.concatenate([[0.0], np.cumsum(r[m, end - n : end])])
+                at = m * (1 + len(WINDOWS))
+                out[k, at] = sums[-1] / n
+                for j, w in enumerate(WINDOWS, 1):
+                    w = min(w, n)
+                    out[k, at + j] = (sums[w:] - sums[:-w]).max() / w
+            out[k, -1] = np.log1p(n)
+    return out
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words (v null) and pairs of them in texts of both classes, added up over COUNT_WORDS words."""
+    words, held, size = Words(), [], 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        h, begins, label = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        second = np.flatnonzero(~begins)
+        pairs = pair_keys(h[second - 1], h[second])
+        for keys, at in ((h, np.arange(len(h))), (pairs, second)):
+            _, where, own = np.unique(keys, return_index=True, return_inverse=True)
+            c = [np.bincount(own[label[at] == k], minlength=len(where)) for k in (0, 1)]
+            place = at[where]
+            v = pa.nulls(len(place), pa.int64()) if keys is h else pa.array(h[place - 1].view(np.int64))
+            yield pa.RecordBatch.from_pydict({"v": v, "w": pa.array(h[place].view(np.int64)), "c0": pa.array(c[0], pa.int64()), "c1": pa.array(c[1], pa.int64())})
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            h, sizes = _hashes([t or "" for t in part.column(0).to_pylist()], words)
+            held.append((h, _begins(sizes), np.repeat(np.array(part.column(1).to_pylist(), dtype=np.int64), sizes)))
+            size += len(h)
+            if size >= COUNT_WORDS:
+                yield from out()
+                size = 0
+    if held:
+        yield from out()
 
-    def add(texts: list[str], labels: list[int]):
-        for text, label in zip(texts, labels, strict=True):
-            own = words_of(text)
-            ids = np.fromiter(map(index.get, own, repeat(0)), dtype=np.int64, count=len(own))
-            before = np.where(ids[:-1] > CONTEXTS, 0, ids[:-1])
-            held[label].append(before * (WORDS + 1) + ids[1:])
-        return result() if sum(len(x) for part in held for x in part) > most else None
 
-    return add, result
+class KneserNey:
+    """Both language models. ``table``: key and values of every word and pair of the labelled texts (see ``Entries``)."""
+
+    def __init__(self, counts: DataFrame):
+        """``counts``: v, w, c0, c1; v is null for words."""
+        words, pairs = counts.filter("v is null").drop("v"), counts.filter("v is not null")
+        n = words.agg(*(F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"n{k}") for k in (0, 1)), *(F.count_if(F.col(f"c{k}") > 0).alias(f"t{k}") for k in (0, 1)), F.count("*").alias("words")).first()
+        total, types = [max(n.n0, 1), max(n.n1, 1)], [n.t0, n.t1]
+        follow_sum = pairs.count() + n.words + 1
+        follow = pairs.groupBy("w").agg(F.count("*").alias("follow"))
+        after = pairs.groupBy(F.col("v").alias("w")).agg(
+            *(F.sum(f"c{k}").alias(f"n{k}") for k in (0, 1)), *(F.count_if(F.col(f"c{k}") > 0).alias(f"t{k}") for k in (0, 1))
+        )
+        shared = (F.coalesce("follow", F.lit(0)) + 1.0) / follow_sum
+        # Words: discounted counts, the rest spread as both classes share it.
+        p = [(F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * types[k] * shared + 1e-9) / total[k] for k in (0, 1)]
+        number = [F.greatest(F.coalesce(f"n{k}", F.lit(0)), F.lit(1)).cast("double") for k in (0, 1)]
+        # Where a class has never seen the first word, its words alone decide.
+        spread = [F.when(F.col(f"n{k}") > 0, DISCOUNT * F.col(f"t{k}") / F.col(f"n{k}")).otherwise(1.0) for k in (0, 1)]
+        both = (F.col("c0") + F.col("c1")).alias("both")
+        words = words.join(follow, "w", "left").join(after, "w", "left")
+        words = written(words.select(F.col("w").alias("key"), *(c.alias(a) for c, a in zip([*p, *number, *spread], _VALUES, strict=True)), both))
+        seen = [F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)).alias(f"a{k}") for k in (0, 1)]
+        pairs = pairs.select(_pair_key().alias("key"), *seen, *(F.lit(None).cast("double").alias(a) for a in _VALUES[2:]), both)
+        self.table = words.unionByName(pairs).drop("both")
+        frequent = at_least(words, "both", WORDS).unionByName(at_least(pairs, "both", PAIRS)).drop("both").toPandas()  # WORDS + PAIRS rows at most
+        self.frequent = Entries(frequent["key"].to_numpy(np.int64).view(np.uint64), frequent[list(_VALUES)].to_numpy(float))
+        self.held = _filter(self.table.select("key"), "key")
+
+    def apply(self, docs: DataFrame, finish: Callable[[np.ndarray], dict[str, list]], columns: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+        """The ``keep`` columns of each row and what ``finish`` makes of the texts' features."""
+        sent = docs.sparkSession.sparkContext.broadcast((self.frequent, self.held))  # bounded by WORDS, PAIRS and the filter's bits
+
+        def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """The texts of each chunk, packed, and the keys that have to be looked up for them."""
+            words, (frequent, bits) = Words(), sent.value
+            task, held, own, size = TaskContext.get().partitionId() << 32, [], [], 0
+
+            def out() -> Iterator[pa.RecordBatch]:
+                nonlocal task
+                task += 1
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                    stream.write_batch(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                keys = np.unique(np.concatenate(own))
+                keys = keys[~frequent.find(keys)[1]]
+                keys = keys[_held(bits, keys.view(np.int64))]
+                held.clear()
+                own.clear()
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([task], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "key": pa.nulls(1, pa.int64())})
+                yield pa.RecordBatch.from_pydict(
+                    {"chunk": pa.array(np.full(len(keys), task), pa.int64()), "payload": pa.nulls(len(keys), pa.binary()), "key": pa.array(keys.view(np.int64))}
+                )
+
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    h, sizes = _hashes([t or "" for t in part.column(0).to_pylist()], words)
+                    own += [np.unique(h), np.unique(pair_keys(h[:-1], h[1:])[~_begins(sizes)[1:]])]
+                    held.append(part)
+                    size += len(h)
+                    if size >= CHUNK_WORDS:
+                        yield from out()
+                        size = 0
+            if held:
+                yield from out()
+
+        fields = [*(docs.schema[k] for k in keep), *_parse_datatype_string(columns).fields]
+        schema = StructType([StructField(f.name, f.dataType) for f in fields])
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows come sorted by chunk, the texts after what was looked up for them."""
+            words, frequent, arrow = Words(), sent.value[0], to_arrow_schema(schema)
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def add(part: pa.RecordBatch) -> None:
+                values = [part.column(k).to_numpy(zero_copy_only=False) for k in range(1, 2 + len(_VALUES))]
+                found.append((values[0].astype(np.int64).view(np.uint64), np.array(values[1:], dtype=float).T))
+
+            for batch in batches:
+                start = 0
+                for at in np.flatnonzero(batch.column(0).is_valid().to_numpy(zero_copy_only=False)):
+                    if at > start:
+                        add(batch.slice(start, at - start))
+                    entries = (frequent, Entries(*(np.concatenate(x) for x in zip(*found, strict=True)))) if found else (frequent,)
+                    found.clear()
+                    start = at + 1
+                    for texts in pa.ipc.open_stream(batch.column(0)[int(at)].as_buffer()):
+                        for k in range(0, texts.num_rows, 256):
+                            part = texts.slice(k, 256)
+                            made = finish(features(*_hashes([t or "" for t in part.column(0).to_pylist()], words), entries))
+                            columns = [*part.columns[1:], *made.values()]
+                            yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                if start < batch.num_rows:
+                    add(batch.slice(start))
+
+        made = written(docs.select(text_col, *keep).mapInArrow(chunks, "chunk long, payload binary, key long"))
+        looked_up = made.filter("key is not null").select("chunk", "key").join(self.table, "key").withColumn("payload", F.lit(None).cast("binary"))
+        texts = made.filter("key is null").select("chunk", "payload")
+        rows = looked_up.unionByName(texts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("payload").isNotNull())
+        return rows.select("payload", "key", *_VALUES).mapInArrow(score, schema)
 
 
 class ToxicityModel:
@@ -172,53 +268,19 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "to
     """Both language models and the calibration from all labelled rows for which ``usable`` holds.
 
     ``labels`` has the id and ``label_col`` (1 toxic, 0 ordinary; null: unlabelled). A bitmap of labelled ids keeps
-    other texts out of the join. Counts cover every labelled row; only the model is bounded: words by their share
-    in the class in which it is greater, pairs by their number.
+    other texts out of the join. Counts cover every word and pair of every labelled row outside the calibration's fold.
     """
     own = labels.select(id_col, F.col(label_col).cast("int").alias("_label")).filter(usable & F.col("_label").isin(0, 1) & F.col(id_col).isNotNull())
     own = own.dropDuplicates([id_col])
     texts = marked(docs.select(id_col, text_col), bitmap(own, id_col), id_col).filter("_in").drop("_in")
     rows = cut(texts.join(own.hint("merge"), id_col).withColumn("_fold", F.pmod(F.xxhash64(F.lit(9), id_col), F.lit(5))))
-    counted = rows.filter("_fold != 0").select(text_col, "_label")
-
-    totals = _tally(counted, _count_words, "key string, c0 long, c1 long").filter("key != '' and c0 + c1 >= 3")
-    totals = cut(totals)
-    sums = totals.agg(F.coalesce(F.sum("c0"), F.lit(0)).alias("n0"), F.coalesce(F.sum("c1"), F.lit(0)).alias("n1")).first()
-    share = F.greatest(F.col("c0") / max(sums.n0, 1), F.col("c1") / max(sums.n1, 1))
-    # Steps of a quarter of a per cent make counts of the shares, so that a histogram can choose the words.
-    best = at_least(totals.withColumn("step", F.floor(F.log(share) * 400) + 20_000), "step", WORDS)
-    best = sorted(best.select("key", "c0", "c1").collect(), key=lambda r: (-max(r.c0 / max(sums.n0, 1), r.c1 / max(sums.n1, 1)), r.key))  # WORDS rows
-    words = [r.key for r in best]
-    counts = np.zeros((len(words) + 1, 2))
-    for k, r in enumerate(best, 1):
-        counts[k] = r.c0, r.c1
-    counts[0] = max(sums.n0 - counts[:, 0].sum(), 1), max(sums.n1 - counts[:, 1].sum(), 1)
-
-    sent_words = docs.sparkSession.sparkContext.broadcast(words)
-    pairs = cut(_tally(counted, lambda: _count_pairs(sent_words.value), "key long, c0 long, c1 long"))
-    number = lambda c: F.count_if(F.col(c) > 0)
-    follow = np.zeros(len(words) + 1)
-    for r in pairs.groupBy((F.col("key") % (WORDS + 1)).alias("w")).count().collect():  # a row for each word
-        follow[r.w] = r["count"]
-    context = np.zeros((CONTEXTS + 1, 2, 2))
-    by_first = pairs.groupBy(F.floor(F.col("key") / (WORDS + 1)).alias("v"))
-    for r in by_first.agg(F.sum("c0").alias("n0"), F.sum("c1").alias("n1"), number("c0").alias("t0"), number("c1").alias("t1")).collect():
-        context[r.v] = [[r.n0, r.t0], [r.n1, r.t1]]
-    top = at_least(pairs.withColumn("both", F.col("c0") + F.col("c1")).filter("both > 1"), "both", PAIRS).select("key", "c0", "c1").toPandas().sort_values("key")
-    language = KneserNey(words, counts, follow, top["key"].to_numpy(np.int64), top[["c0", "c1"]].to_numpy(float), context)
-
-    sent = docs.sparkSession.sparkContext.broadcast(language)
-    held = share_of(rows.filter("_fold = 0"), CALIBRATION_ROWS, id_col, 4)
-
-    def make():
-        def apply(ids: list, texts: list[str], labels: list[int]) -> dict[str, list]:
-            return {"label": labels, "features": sent.value.features(texts).tolist()}
+    counts = rows.filter("_fold != 0").select(text_col, "_label").mapInArrow(_count, "v long, w long, c0 long, c1 long")
+    language = KneserNey(written(counts.groupBy("v", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))))
 
-        return apply
-
-    found = map_texts(held, make, "label int, features array<double>", id_col, text_col, keep=("_label",)).collect()
-    found = sorted((r.label, *r.features) for r in found)
-    data = np.array(found, dtype=float).reshape(len(found), 3 + len(WINDOWS))
+    held = share_of(rows.filter("_fold = 0"), CALIBRATION_ROWS, id_col, 4)
+    found = language.apply(held, lambda x: {"features": x.tolist()}, "features array<double>", text_col, ("_label",)).collect()
+    found = sorted((r._label, *r.features) for r in found)
+    data = np.array(found, dtype=float).reshape(len(found), 1 + FEATURES)
     return ToxicityModel(language, Logistic(data[:, 1:], data[:, 0]))
 
 
@@ -229,14 +291,5 @@ def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text
     Equal texts get equal scores. If the labels hold one class only, every score is that class's share. Other
     columns aren't read; an empty table gives an empty result.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by WORDS, CONTEXTS and PAIRS
-
-    def make():
-        model = sent.value
-
-        def apply(ids: list, texts: list[str]) -> dict[str, list]:
-            return {"score": model.calibration.score(model.language.features(texts))}
-
-        return apply
-
-    return map_texts(docs, make, "score double", id_col, text_col)
+    calibration = model.calibration
+    return model.language.apply(docs, lambda x: {"score": calibration.score(x)}, "score double", text_col, (id_col,))

@@ -390,3 +390,23 @@ def test_quality_filter_keeps_columns(spark):
     wide = docs.withColumn("score", F.lit("x"))
     kept = quality.keep_good(wide, model, 0.3)
     assert kept.columns == wide.columns and 0 < kept.count() < docs.count()
+
+
+def test_rare_words_of_one_class_count(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    # Each of these words stands in two rows of one class only, and in no pair twice.
+    frame = "common words here {0}{1} and {0}{2} there"
+    rare = [frame.format(w, k, (k * 7 + 1) % 150) for w in ("vile", "mild") for k in range(150)]
+    docs = docs.unionByName(table(spark, rare, first=10_000).select("doc_id", "text"))
+    labels = labels.unionByName(spark.createDataFrame([(10_000 + k, 1, int(k < 150)) for k in range(300)], labels.schema))
+    texts = ["common words here " + " ".join(f"{w}{k}" for k in range(40)) for w in ("vile", "unmet")]
+
+    def scores():
+        model = toxicity.fit(docs, labels, F.lit(True))
+        return {r.doc_id: r.score for r in toxicity.toxicity(table(spark, texts), model).collect()}
+
+    found = scores()
+    assert found[0] > found[1] + 0.1
+    monkeypatch.setattr(toxicity, "WORDS", 2)
+    monkeypatch.setattr(toxicity, "PAIRS", 2)
+    assert scores() == pytest.approx(found)
