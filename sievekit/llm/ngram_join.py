@@ -421,7 +421,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     begun = cut(texts.filter("id is not null").mapInArrow(beginnings, "bucket int, packed binary, shingle long, id long"))
     rare = begun.filter("bucket is not null").select("bucket", "packed").repartition(buckets // 4, "bucket")
-    members = rare.mapInArrow(_shared, "shingle long, id long").unionByName(begun.filter("bucket is null").select("shingle", "id"))
+    members = rare.mapInArrow(_shared, "shingle long, id long").unionByName(begun.filter("bucket is null").select("shingle", "id").distinct())
     component = classes.select(F.col("class").alias("id"), "n").join(joined.withColumnRenamed("node", "id"), "id", "left")
     component = component.withColumn("component", F.coalesce("component", "id"))
     members = cut(members.join(component, "id"))
