@@ -1,28 +1,31 @@
 """Jaccard self-join of documents on sets of word n-grams, exact, without a comparison of all pairs.
 
-1. Sets. Every text becomes a set of hashed shingles; equal sets are one class, named by its smallest id.
-2. Stars. Classes that share a min-hash are compared with the most central class of that min-hash. This links
-   most of a large group of near copies at once, in as many comparisons as it has members.
+1. Sets. Every text becomes a set of hashed shingles. Half of all hashes are counted over the corpus: a set with
+   more shingles of its own than a link allows has no partner and leaves. Equal sets are one class, named by its
+   smallest id.
+2. Stars, a shortcut: a class is compared with the most central class among those that share a min-hash with it.
+   This links a large group of near copies at once, in as many comparisons as it has members.
 3. Tiles. For similarity t two sets must share one of the first n - ceil(t n) + 1 shingles in any fixed order.
    Shingles that many documents share come last in it. A shingle that stands in the beginnings of several of
    the components so far opens a tile, split by bands of set sizes: linked sets differ by one band at most.
 4. Bitmaps. In a tile, pairs of different components are bounded from above by bit counts of hashed
    signatures: each bit that one set has and the other lacks is a shingle less in the intersection.
-5. Pairs that pass are compared as sorted arrays, and links join the components.
+5. Pairs that pass are compared as sorted arrays, and links join the components. First a set meets only its
+   likeliest partner of another component; what that leaves apart is compared in a second round.
 
-Pairs within a component are never compared again, so copies are not expanded into pairs; no link between
-different components is lost. Texts are shuffled at no step: a class's set is made again from the text where a
-comparison needs it.
+Pairs within a component are never compared again, so copies are not expanded into pairs. Tiles with the same
+members, told by their number and two 64-bit sums of hashed ids, are one tile. Texts are shuffled at no step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +38,6 @@ WORDS = 5
 NEAR = 75
 #: Bits of a signature at least, and sets up to which it grows (larger ones have a looser bound).
 SIGNATURE, SIGNATURE_MOST = 256, 1 << 14
-#: Bits for each shingle in the signatures that are compared last.
-WIDE = 16
 #: Odd factors: each gives one order of all hashes, and so one min-hash.
 FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 9)], dtype=np.uint64)
 #: Shingles in so many texts of a task's chunk are counted, and so many of the most frequent come last. This
@@ -48,11 +49,13 @@ CHUNK_SHINGLES = 2_000_000
 MOST_TOLD = 1 << 20
 #: Sets in one side of a tile.
 CELL = 4096
-#: Bits of the filters that keep ids and shingles without a partner from leaving a task: 8 MB.
+#: Bits of the filter that keeps texts without a partner from being read again: 8 MB.
 BITS = 1 << 26
 CACHE_WORDS = 400_000
 #: Bits of a hash that are left out where hashes only look for candidates. More candidates are harmless.
 DROPPED = 20
+#: Ranges of hashes for each partition; ids in one row of a tile's members.
+FINE, MEMBERS = 8, 1 << 16
 
 
 class Words(dict):
@@ -107,15 +110,6 @@ def beginning(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return s[:size]
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, np.ndarray]]:
-    words = Words()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                yield key, shingles(text or "", words)
-
-
 def _long(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64) if a.dtype == np.uint64 else a
 
@@ -125,49 +119,31 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*map(_long, arrays)]) if arrays else [], pa.int64()))
 
 
-_SETS = "id long, n int, d1 long, d2 long, least array<long>, bits array<long>, shingle long, texts long"
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each text; rows with a ``shingle`` give the number of a chunk's texts that hold it."""
-    rows: dict[str, list] = {k: [] for k in ("id", "n", "d1", "d2", "least", "bits")}
-    held: list[np.ndarray] = []
-
-    def out() -> pa.RecordBatch:
-        k = len(rows["id"])
-        every = np.concatenate(held) if held else np.zeros(0, dtype=np.uint64)
-        hot, n = np.unique(every, return_counts=True)
-        hot, n = hot[n >= LOCAL_HOT], n[n >= LOCAL_HOT]
-        m = len(hot)
-        pad = lambda values, kind: pa.array([*values, *[None] * m], kind)
-        empty = [np.zeros(0, dtype=np.int64)] * m
-        made = pa.RecordBatch.from_pydict(
-            {
-                "id": pad(rows["id"], pa.int64()), "n": pad(rows["n"], pa.int32()), "d1": pad(rows["d1"], pa.int64()), "d2": pad(rows["d2"], pa.int64()),
-                "least": _lists(rows["least"] + empty), "bits": _lists(rows["bits"] + empty),
-                "shingle": pa.array([*[None] * k, *_long(hot).tolist()], pa.int64()), "texts": pa.array([*[None] * k, *n.tolist()], pa.int64()),
-            }
-        )
-        for values in (*rows.values(), held):
-            values.clear()
-        return made
-
-    size = 0
-    for key, s in _texts(batches):
-        rows["id"].append(key)
-        rows["n"].append(len(s))
-        digest = xxhash.xxh3_128_digest(s.tobytes())
-        rows["d1"].append(int.from_bytes(digest[:8], "little", signed=True))
-        rows["d2"].append(int.from_bytes(digest[8:], "little", signed=True))
-        rows["least"].append((s[None, :] * FACTORS[:, None]).min(axis=1) if len(s) else s)
-        rows["bits"].append(signature(s))
-        held.append(s)
-        size += len(s)
-        if size >= CHUNK_SHINGLES:
-            yield out()
-            size = 0
-    if rows["id"]:
-        yield out()
+def pack(keys: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Sorted hashes as differences, and further columns of longs; compressed."""
+    # Bytes of one weight stand together, so the high ones, mostly 0, cost nothing.
+    planes = [np.uint64(len(keys)).tobytes()]
+    planes += [c.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in (np.diff(keys, prepend=np.uint64(0)), *columns)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    n = int(raw[:8].view(np.uint64)[0])
+    if not n:
+        return [np.zeros(0, dtype=np.uint64)] * 3
+    columns = [np.ascontiguousarray(x.T).view(np.uint64).ravel() for x in raw[8:].reshape(-1, 8, n)]
+    return [np.cumsum(columns[0], dtype=np.uint64), *columns[1:]]
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+
+
+def _need(n: np.ndarray) -> np.ndarray:
+    """The least intersection with any partner."""
+    return -(-NEAR * n // 100)
 
 
 def _filter(keys: DataFrame, key: str) -> np.ndarray:
@@ -195,259 +171,373 @@ def _held(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _fold(a: str, b: str) -> F.Column:
-    """Signature ``a``, folded where it is twice as long as ``b``."""
-    half = (F.size(a) / 2).cast("int")
-    both = F.zip_with(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half), lambda x, y: x.bitwiseOR(y))
-    return F.when(F.size(a) > F.size(b), both).otherwise(F.col(a))
+#: Rows of documents; of chunks (ids and set sizes); of shingles with the texts of a chunk that hold them; packed
+#: shingles of a chunk in a range of hashes; for each document of a chunk, the shingles in a range that only it has.
+DOCUMENT, CHUNK, FREQUENT, PACKED, OWN = range(5)
+_MADE = "kind int, bucket int, chunk long, id long, n int, d1 long, d2 long, data binary"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("id", pa.int64()), ("n", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64()), ("data", pa.binary())])
+
+
+def _made(kind: int, rows: int, **columns: list | np.ndarray) -> pa.RecordBatch:
+    columns |= {"kind": np.full(rows, kind)}
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _SCHEMA], schema=_SCHEMA)
+
+
+def _sets(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row for each text, and what is counted of each chunk of texts."""
+    borders = np.array([(k << 63) // buckets for k in range(1, buckets)], dtype=np.uint64) >> np.uint64(DROPPED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, number, size = Words(), TaskContext.get().partitionId() << 32, 0
+        ids, sets = [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            n = np.array([len(s) for s in sets], dtype=np.int64)
+            digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64) for s in sets]).reshape(-1, 2)
+            yield _made(DOCUMENT, len(ids), bucket=digests[:, 0] % buckets, id=ids, n=n, d1=digests[:, 0], d2=digests[:, 1])
+            real = [k for k, x in enumerate(ids) if x is not None and n[k]]
+            own = np.array([ids[k] for k in real], dtype=np.int64)
+            yield _made(CHUNK, 1, bucket=[number % buckets], chunk=[number], data=[own.tobytes() + n[real].tobytes()])
+            every = np.concatenate([sets[k] for k in real]) if real else np.zeros(0, dtype=np.uint64)
+            order = np.argsort(every)
+            every, holder = every[order], np.repeat(np.arange(len(real)), n[real])[order]
+            start = _runs(every)
+            many = np.diff(np.append(start, len(every)))
+            often = many >= LOCAL_HOT
+            keys = _long(every[start[often]])
+            yield _made(FREQUENT, len(keys), bucket=keys % buckets, id=keys, n=many[often])
+            lower = np.searchsorted(every, np.uint64(1 << 63))
+            every, holder = every[:lower] >> np.uint64(DROPPED), holder[:lower]
+            cuts = np.searchsorted(every, borders)
+            parts = [(k, x, y) for k, (x, y) in enumerate(zip(np.split(every, cuts), np.split(holder, cuts), strict=True)) if len(x)]
+            yield _made(PACKED, len(parts), bucket=[k for k, _, _ in parts], chunk=[number] * len(parts), data=[pack(x, y) for _, x, y in parts])
 
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids.append(key)
+                    sets.append(shingles(text or "", words))
+                    size += len(sets[-1])
+                if size >= CHUNK_SHINGLES:
+                    yield from out()
+                    number, size, ids, sets = number + 1, 0, [], []
+        if ids:
+            yield from out()
 
-def _outside(a: str, b: str) -> F.Column:
-    """Bits that ``a`` has and ``b`` lacks."""
-    ones = F.zip_with(_fold(a, b), _fold(b, a), lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
-    return F.aggregate(ones, F.lit(0), lambda s, x: s + x)
+    return run
 
 
-def _possible() -> F.Column:
-    """May two sets be near, by their sizes and signatures? Columns na, nb, sa, sb."""
-    most = F.least(F.col("na") - _outside("sa", "sb"), F.col("nb") - _outside("sb", "sa"))
-    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * NEAR
-    return F.when(sizes, most * (100 + NEAR) >= (F.col("na") + F.col("nb")) * NEAR).otherwise(False)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as they come, but for packed ones: of those, how many hashes only one document holds, for each document."""
+    chunks: list[int] = []
+    found: list[list[np.ndarray]] = []
+    for batch in batches:
+        packed = batch.column(0).to_numpy() == PACKED
+        yield batch.filter(pa.array(~packed))
+        mine = batch.filter(pa.array(packed))
+        chunks += mine.column(2).to_pylist()
+        found += map(unpack, mine.column(7).to_pylist())
+    if not found:
+        return
+    key, holder = (np.concatenate(x) for x in zip(*found, strict=True))
+    source = np.repeat(np.arange(len(found), dtype=np.int32), [len(x[0]) for x in found])
+    del found
+    order = np.argsort(key)
+    key = key[order]
+    start = _runs(key)
+    once = order[start[np.diff(np.append(start, len(key))) == 1]]
+    once = np.sort(once)
+    source, holder = source[once], holder[once].astype(np.int64)
+    each = np.searchsorted(source, np.arange(len(chunks) + 1))
+    counts = [np.bincount(holder[each[k] : each[k + 1]]).astype(np.uint64) for k in range(len(chunks))]
+    yield _made(OWN, len(chunks), chunk=chunks, data=[pack(np.zeros(len(c), dtype=np.uint64), c) for c in counts])
+
+
+def _partnered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids of the documents of each chunk that may have a partner."""
+    ids: dict[int, np.ndarray] = {}
+    sums: dict[int, np.ndarray] = {}
+    sizes: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for kind, chunk, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if kind == CHUNK:
+                ids[chunk], sizes[chunk] = np.frombuffer(data, dtype=np.int64).reshape(2, -1)
+            else:
+                new = unpack(data)[1].astype(np.int64)
+                old = sums.get(chunk, np.zeros(0, dtype=np.int64))
+                new, old = (new, old) if len(new) >= len(old) else (old, new)
+                new[: len(old)] += old
+                sums[chunk] = new
+    for chunk, n in sizes.items():
+        own = np.zeros(len(n), dtype=np.int64)
+        own[: len(sums.get(chunk, ()))] = sums.get(chunk, 0)
+        yield pa.RecordBatch.from_pydict({"id": pa.array(ids[chunk][n - own >= _need(n)], pa.int64())})
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose sets are near, on sorted arrays."""
+    for batch in batches:
+        ok = np.zeros(batch.num_rows, dtype=bool)
+        for k, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            x, y = unpack(x)[0], unpack(y)[0]
+            if len(x) > len(y):
+                x, y = y, x
+            both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+            ok[k] = both and both * 100 >= NEAR * (len(x) + len(y) - both)
+        yield batch.filter(pa.array(ok)).select([0, 1])
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ids whose sets are near: exact, on sorted arrays, after a last bound by wide signatures."""
-    wanted = _filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id")
-    sent = texts.sparkSession.sparkContext.broadcast(wanted)
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids whose sets are near."""
+    joined = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
+    joined = joined.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
+    return cut(joined.select("a", "b", "x", "y").mapInArrow(_near, "a long, b long").distinct())
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bits = Words(), sent.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                own = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                keep = np.flatnonzero(_held(bits, own))
-                if len(keep):
-                    found = [shingles(t or "", words) for t in part.column(1).take(pa.array(keep)).to_pylist()]
-                    columns = {"n": pa.array([len(x) for x in found], pa.int32()), "bits": _lists([signature(x, WIDE) for x in found])}
-                    yield pa.RecordBatch.from_pydict({"id": pa.array(own[keep]), **columns, "s": pa.array([x.tobytes() for x in found], pa.binary())})
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = ([np.frombuffer(x, dtype=np.uint64) for x in batch.column(k).to_pylist()] for k in (2, 3))
-            ok = np.zeros(batch.num_rows, dtype=bool)
-            for k, (x, y) in enumerate(zip(a, b, strict=True)):
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-                ok[k] = both and both * 100 >= NEAR * (len(x) + len(y) - both)
-            yield batch.filter(pa.array(ok)).select([0, 1])
-
-    made = cut(texts.filter("id is not null").mapInArrow(sets, "id long, n int, bits array<long>, s binary"))
-    of = lambda name: made.select(F.col("id").alias(name), F.col("n").alias("n" + name), F.col("bits").alias("s" + name))
-    pairs = cut(pairs.join(of("b"), "b").join(of("a"), "a").filter(_possible()).select("a", "b"))
-    joined = pairs.join(made.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
-    joined = joined.join(made.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-    return cut(joined.select("a", "b", "x", "y").mapInArrow(near, "a long, b long").distinct())
-
-
-def pack(keys: np.ndarray, ids: np.ndarray) -> bytes:
-    """Sorted hashes, without their lowest bits, as differences, and their ids; both compressed."""
-    short = keys >> np.uint64(DROPPED)
-    steps = np.diff(short, prepend=np.uint64(0))
-    columns = [np.array([len(keys)], dtype=np.uint64), steps, ids.astype(np.int64)]
-    # Bytes of one weight stand together, so the high ones, mostly 0, cost nothing.
-    planes = [columns[0].tobytes(), *(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns[1:])]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+def _stars(sets: DataFrame) -> DataFrame:
+    """For each class the class to compare it with: of those most central for one of its min-hashes, the one that it shares most with.
 
+    Central is whose min-hashes are the most common: an original has those of most of its copies, and is nearer
+    to each of them than they are to each other.
+    """
+    members = sets.select(F.col("id").alias("class"), F.posexplode("least").alias("order", "hash"))
+    groups = members.groupBy("order", "hash").agg(F.count("*").alias("many")).filter("many > 1")
+    members = cut(members.join(groups, ["order", "hash"]))
+    central = members.groupBy("class").agg(F.sum("many").alias("central"))
+    members = cut(members.select("class", "order", "hash").join(central, "class"))
+    centres = members.groupBy("order", "hash").agg(F.min_by("class", F.struct(-F.col("central"), "class")).alias("centre"))
+    pairs = members.join(centres, ["order", "hash"]).filter("class != centre").groupBy("class", "centre").agg(F.count("*").alias("same"))
+    pairs = pairs.groupBy("class").agg(F.max_by("centre", F.struct("same", -F.col("centre"))).alias("centre"))
+    return pairs.select(F.col("class").alias("a"), F.col("centre").alias("b"))
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw, dtype=np.uint64, count=1)[0])
-    plane = lambda at: np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8, count=8 * n, offset=at).reshape(8, n).T)
-    return np.cumsum(plane(8).view(np.uint64).ravel(), dtype=np.uint64), plane(8 + 8 * n).view(np.int64).ravel()
+
+def _beginnings(buckets: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The shingles at the beginning of each set: packed by range of hashes; those in ``hot`` as rows of their own."""
+    borders = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            key, own, comp = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            common = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), dtype=bool)
+            order = np.flatnonzero(~common)[np.argsort(key[~common])]
+            columns = key[order] >> np.uint64(DROPPED), own[order].view(np.uint64), comp[order].view(np.uint64)
+            cuts = np.searchsorted(key[order], borders)
+            parts = [(k, x) for k, x in enumerate(zip(*(np.split(c, cuts) for c in columns), strict=True)) if len(x[0])]
+            n, m = int(common.sum()), len(parts)
+            return pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array([*(k for k, _ in parts), *[None] * n], pa.int32()), "packed": pa.array([*(pack(*x) for _, x in parts), *[None] * n], pa.binary()),
+                    "shingle": pa.array([*[None] * m, *_long(key[common]).tolist()], pa.int64()), "id": pa.array([*[None] * m, *own[common].tolist()], pa.int64()),
+                    "component": pa.array([*[None] * m, *comp[common].tolist()], pa.int64()),
+                }
+            )
+
+        for batch in batches:
+            for own, comp, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                first = beginning(unpack(s)[0], hot)
+                held.append((first, np.full(len(first), own), np.full(len(first), comp)))
+                size += len(first)
+            if size >= CHUNK_SHINGLES:
+                yield out()
+                size = 0
+        if held:
+            yield out()
+
+    return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The (shingle, class) of every shingle that several classes have, one shingle only for the same classes.
+    """The ids of every shingle that several components have, one shingle only for the same ids.
 
     A partition holds whole ranges of hashes. Shingles that very many texts have aren't here: they are in ``hot``.
     """
     found = [unpack(x) for batch in batches for x in batch.column(1).to_pylist()]
     if not found:
         return
-    key, own = (np.concatenate(x) for x in zip(*found, strict=True))
+    key, own, comp = (np.concatenate(x) for x in zip(*found, strict=True))
     del found
     order = np.lexsort((own, key))
-    key, own = key[order], own[order]
+    key, own, comp = key[order], own[order], comp[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1])])
-    key, own = key[new], own[new]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key, own, comp = key[new], own[new], comp[new]
+    start = _runs(key)
     size = np.diff(np.append(start, len(key)))
-    mark = np.add.reduceat(_mix(own.view(np.uint64)), start)
-    several = np.flatnonzero(size > 1)
-    _, once = np.unique(mark[several], return_index=True)
-    keep = np.zeros(len(size), dtype=bool)
-    keep[several[once]] = True
-    rows = np.repeat(keep, size)
-    for at in range(0, int(rows.sum()), 100_000):
-        yield pa.RecordBatch.from_pydict({"shingle": pa.array(_long(key[rows][at : at + 100_000])), "id": pa.array(own[rows][at : at + 100_000])})
-
-
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a partition's cells that the bit counts leave. Rows come sorted by cell; one with i != j pairs the sides i and j only."""
-    columns = ("shingle", "band", "i", "j", "side", "guest", "id", "component", "n", "bits")
-    held: dict[str, list] = {k: [] for k in columns}
-    told: set[tuple[int, int]] = set()
-
-    def pairs() -> Iterator[pa.RecordBatch]:
-        guest = np.array(held["guest"], dtype=bool)
-        ids, comp, n, side = (np.array(held[k], dtype=np.int64) for k in ("id", "component", "n", "side"))
-        apart = bool(held["i"]) and held["i"][0] != held["j"][0]
-        bits = folded(held["bits"]) if len(ids) else None
-        for k in np.flatnonzero(~guest):
-            # Each pair once: a guest is always from the band below; hosts are compared with later hosts.
-            other = np.flatnonzero((comp != comp[k]) & (guest | (np.arange(len(ids)) > k)) & (side != side[k] if apart else True))
-            other = other[np.minimum(n[other], n[k]) * 100 >= np.maximum(n[other], n[k]) * NEAR]
-            if not len(other):
-                continue
-            lacks = np.bitwise_count(bits[k] & ~bits[other]).sum(axis=1, dtype=np.int64)
-            more = np.bitwise_count(bits[other] & ~bits[k]).sum(axis=1, dtype=np.int64)
-            most = np.minimum(n[k] - lacks, n[other] - more)
-            other = other[most * (100 + NEAR) >= (n[k] + n[other]) * NEAR]
-            new = [p for p in zip(np.minimum(ids[other], ids[k]).tolist(), np.maximum(ids[other], ids[k]).tolist(), strict=True) if p not in told]
-            if new:
-                if len(told) > MOST_TOLD:
-                    told.clear()
-                told.update(new)
-                yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in new], pa.int64()), "b": pa.array([b for _, b in new], pa.int64())})
-
-    last = None
+    several = np.flatnonzero(np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start))
+    if not len(several):
+        return
+    marks = [size[several].astype(np.uint64), *(np.add.reduceat(_mix(own ^ np.uint64(x)), start)[several] for x in (0, 0x5DEECE66D))]
+    _, once = np.unique(np.array(marks), axis=1, return_index=True)
+    for j in once.tolist():
+        k = several[j]
+        ids = own[start[k] : start[k] + size[k]]
+        parts = [ids[at : at + MEMBERS].tobytes() for at in range(0, len(ids), MEMBERS)]
+        values = [key[start[k]], *(m[j] for m in marks)]
+        yield pa.RecordBatch.from_arrays([*(pa.array([int(v.view(np.int64))] * len(parts), pa.int64()) for v in values), pa.array(parts, pa.binary())], names=["shingle", "many", "m0", "m1", "ids"])
+
+
+def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = [batch.column(k).to_pylist() for k in range(len(columns))]
-        for row in zip(*values, strict=True):
-            if row[:4] != last:
-                yield from pairs()
-                last = row[:4]
-                for v in held.values():
-                    v.clear()
-            for k, v in zip(columns, row, strict=True):
-                held[k].append(v)
-    yield from pairs()
+        for shingle, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(ids, dtype=np.int64)
+            yield pa.RecordBatch.from_pydict({"shingle": pa.array(np.full(len(own), shingle)), "id": pa.array(own)})
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: id, ``n_shingles``, ``component_id`` (the smallest id reachable by links, itself included).
+def _tiles(best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of a partition's cells that the bit counts leave; with ``best`` only the likeliest of a set with each other component.
 
-    Two documents link when their sets of distinct five-word shingles have a Jaccard similarity of 0.75 or more.
-    A text of fewer words has one shingle, the whole of it; a null text or one without words has none and is
-    linked with nothing. Repeated rows of an id are one document. A row without an id has no component.
-    Other columns aren't read; an empty table gives an empty result.
+    Rows come sorted by cell. In a cell of kind 0 sets of the tile's largest component meet the others; in one of
+    kind 1 these others meet each other, and if i != j only the sides i and j do. ``rest``: pairs were left for later.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    made = cut(texts.mapInArrow(_sets, _SETS))
-    rows = made.filter("shingle is null").select("id", "n", "d1", "d2", "least", "bits")
-    classes = cut(
-        rows.filter("n > 0 and id is not null").groupBy("d1", "d2").agg(
-            F.min("id").alias("class"), F.min("n").alias("n"), F.min("least").alias("least"), F.min("bits").alias("bits")
-        )
-    )
-    hot = made.filter("shingle is not null").groupBy("shingle").agg(F.sum("texts").alias("texts"))
-    hot = np.sort(np.array([r.shingle for r in at_least(hot, "texts", HOT).select("shingle").collect()], dtype=np.int64).view(np.uint64))
+    columns = ("shingle", "band", "kind", "i", "j", "side", "guest", "id", "component", "n", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {k: [] for k in columns}
+        told: set[tuple[int, int]] = set()
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            guest = np.array(held["guest"], dtype=bool)
+            ids, comp, n, side = (np.array(held[k], dtype=np.int64) for k in ("id", "component", "n", "side"))
+            apart = bool(held["i"]) and (held["kind"][0] == 0 or held["i"][0] != held["j"][0])
+            bits = folded(held["bits"]) if len(ids) else None
+            for k in np.flatnonzero(~guest):
+                # Each pair once: a guest is always from the band below; hosts are compared with later hosts.
+                other = np.flatnonzero((comp != comp[k]) & (guest | (np.arange(len(ids)) > k)) & (side != side[k] if apart else True))
+                other = other[np.minimum(n[other], n[k]) * 100 >= np.maximum(n[other], n[k]) * NEAR]
+                if not len(other):
+                    continue
+                lacks = np.bitwise_count(bits[k] & ~bits[other]).sum(axis=1, dtype=np.int64)
+                more = np.bitwise_count(bits[other] & ~bits[k]).sum(axis=1, dtype=np.int64)
+                most = np.minimum(n[k] - lacks, n[other] - more)
+                left = most * (100 + NEAR) >= (n[k] + n[other]) * NEAR
+                other, most = other[left], most[left]
+                rest = False
+                if best and len(other):
+                    other = other[np.argsort((n[k] + n[other]) / (most + 1), kind="stable")]
+                    _, first = np.unique(comp[other], return_index=True)
+                    rest, other = len(first) < len(other), other[first]
+                new = [p for p in zip(np.minimum(ids[other], ids[k]).tolist(), np.maximum(ids[other], ids[k]).tolist(), strict=True) if rest or p not in told]
+                if new:
+                    if len(told) > MOST_TOLD:
+                        told.clear()
+                    told.update(new)
+                    yield pa.RecordBatch.from_pydict(
+                        {"a": pa.array([a for a, _ in new], pa.int64()), "b": pa.array([b for _, b in new], pa.int64()), "rest": pa.array([rest] * len(new))}
+                    )
+
+        last = None
+        for batch in batches:
+            values = [batch.column(k).to_pylist() for k in range(len(columns))]
+            for row in zip(*values, strict=True):
+                if row[:5] != last:
+                    yield from pairs()
+                    last = row[:5]
+                    for v in held.values():
+                        v.clear()
+                for k, v in zip(columns, row, strict=True):
+                    held[k].append(v)
+        yield from pairs()
 
-    # Stars around the most central class of each min-hash: the one whose other min-hashes are the most common.
-    # An original has those of most of its copies, and is nearer to each of them than they are to each other.
-    members = classes.select("class", F.posexplode("least").alias("order", "hash"))
-    groups = cut(members.groupBy("order", "hash").agg(F.count("*").alias("many")).filter("many > 1"))
-    members = cut(members.join(groups, ["order", "hash"]))
-    central = cut(members.groupBy("class").agg(F.sum("many").alias("central")))
-    members = cut(members.select("class", "order", "hash").join(central, "class"))
-    centres = cut(members.groupBy("order", "hash").agg(F.min_by("class", F.struct(-F.col("central"), "class")).alias("centre")))
-    pairs = members.join(centres, ["order", "hash"]).filter("class != centre")
-    pairs = pairs.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
-    of = lambda name: classes.select(F.col("class").alias(name), F.col("n").alias("n" + name), F.col("bits").alias("s" + name))
-    pairs = cut(pairs.join(of("b"), "b").join(of("a"), "a").filter(_possible()).select("a", "b"))
-    links = _verified(texts, pairs)
-    joined = cut(components(links))
-
-    # Tiles of shingles that stand at the beginning of sets of several components.
-    spark = docs.sparkSession
-    sent_hot = spark.sparkContext.broadcast(hot)
-    sent_classes = spark.sparkContext.broadcast(_filter(classes.select("class"), "class"))
+    return run
 
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The shingles at the beginning of each set: packed by bucket; those in ``hot`` as rows of their own."""
-        words, bits, hot = Words(), sent_classes.value, sent_hot.value
-        keys, owners, size = [], [], 0
+def _compared(members: DataFrame, component: DataFrame, sets: DataFrame, best: bool) -> DataFrame:
+    """a, b, rest of the pairs of different components that meet in a tile and that the bit counts leave.
+
+    ``members``: shingle, id. ``component``: id, n, component.
+    """
+    # Bands grow by the least ratio of linked sizes; a set is host in its own band and guest in the next one.
+    band = F.floor(F.log(100 / NEAR, F.col("n"))).cast("int")
+    places = [F.struct((band + k).alias("band"), F.lit(bool(k)).alias("guest")) for k in (0, 1)]
+    tiles = members.join(component, "id").withColumn("place", F.explode(F.array(*places)))
+    tiles = cut(tiles.select("shingle", "place.*", "id", "component", "n"))
+    # Two texts that share a passage share many shingles: of tiles with the same members one is enough.
+    sums = [F.bit_xor(F.xxhash64(F.lit(k), "id", "guest")).alias(f"x{k}") for k in (1, 2)]
+    open_ = tiles.groupBy("shingle", "band", "component").agg(F.count("*").alias("many"), F.min("guest").alias("none"), *sums)
+    open_ = open_.groupBy("shingle", "band").agg(
+        F.sum("many").alias("many"), F.max("many").alias("most"), F.max_by("component", F.struct("many", "component")).alias("major"),
+        F.count("*").alias("components"), F.min("none").alias("none"), *(F.bit_xor(f"x{k}").alias(f"x{k}") for k in (1, 2)),
+    )
+    chosen = open_.filter("components > 1 and not none").groupBy("band", "many", "x1", "x2").agg(F.min_by(F.struct("shingle", "most", "major", "components"), "shingle").alias("s"))
+    sides = [F.ceil(F.expr(c) / CELL).cast("int") for c in ("s.most", "many - s.most")]
+    chosen = chosen.select("band", "s.shingle", "s.major", F.col("s.components").alias("components"), sides[0].alias("sides"), sides[1].alias("others"))
+    # A tile of many sets is cut into cells, so no task holds more than two sides. The largest component's sets are in
+    # one cell each; the others are in all of those, and in one cell for each two of their own sides.
+    rows = tiles.join(chosen, ["shingle", "band"]).withColumn("at", F.xxhash64(F.lit(3), "id"))
+    cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    major = F.array(cell(0, F.pmod("at", F.col("sides")), F.lit(0), F.lit(0)))
+    across = F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda k: cell(0, k, F.lit(0), F.lit(1)))
+    side = F.pmod("at", F.col("others"))
+    among = F.when(F.col("components") > 2, F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: cell(1, F.least(side, k), F.greatest(side, k), side))).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int,side:int>>"))
+    rows = rows.withColumn("cell", F.explode(F.when(F.col("component") == F.col("major"), major).otherwise(F.concat(across, among))))
+    keys = ["shingle", "band", "kind", "i", "j"]
+    rows = rows.select("shingle", "band", "cell.*", "guest", "id", "component", "n").join(sets.select("id", "bits"), "id")
+    rows = rows.select(*keys, "side", "guest", "id", "component", "n", "bits").repartition(*keys).sortWithinPartitions(*keys, "id")
+    return cut(rows.mapInArrow(_tiles(best), "a long, b long, rest boolean").groupBy("a", "b").agg(F.max("rest").alias("rest")))
 
-        def out() -> pa.RecordBatch:
-            key, own = np.concatenate(keys), np.concatenate(owners)
-            keys.clear()
-            owners.clear()
-            common = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), dtype=bool)
-            rare, own_rare = key[~common], own[~common]
-            order = np.argsort(rare, kind="stable")
-            rare, own_rare = rare[order], own_rare[order]
-            # Buckets are ranges of hashes, so a sorted array is cut at their borders.
-            cuts = np.searchsorted(rare, np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64))
-            parts = [(k, x, y) for k, (x, y) in enumerate(zip(np.split(rare, cuts), np.split(own_rare, cuts), strict=True)) if len(x)]
-            n = int(common.sum())
-            return pa.RecordBatch.from_pydict(
-                {
-                    "bucket": pa.array([*(k for k, _, _ in parts), *[None] * n], pa.int32()),
-                    "packed": pa.array([*(pack(x, y) for _, x, y in parts), *[None] * n], pa.binary()),
-                    "shingle": pa.array([*[None] * len(parts), *_long(key[common]).tolist()], pa.int64()),
-                    "id": pa.array([*[None] * len(parts), *own[common].tolist()], pa.int64()),
-                }
-            )
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: id, ``n_shingles``, ``component_id`` (the smallest id reachable by links, itself included).
+
+    Two documents link when their sets of distinct five-word shingles have a Jaccard similarity of 0.75 or more.
+    A text of fewer words has one shingle, the whole of it; a null text or one without words has none and is
+    linked with nothing. Whole texts are read, however long. Repeated rows of an id are one document; ties don't
+    arise, as every link counts. A row without an id has no component. Other columns aren't read, whatever their
+    names; an empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = FINE * partitions
+    made = cut(texts.mapInArrow(_sets(buckets), _MADE).repartition(partitions, "bucket").mapInArrow(_counted, _MADE))
+    rows = made.filter(F.col("kind") == DOCUMENT).select("id", "n", "d1", "d2")
+    chunks = made.filter(F.col("kind").isin(CHUNK, OWN)).select("kind", "chunk", "data")
+    partnered = chunks.repartition("chunk").mapInArrow(_partnered, "id long").distinct()
+    classes = cut(rows.filter("n > 0 and id is not null").join(partnered, "id").groupBy("d1", "d2").agg(F.min("id").alias("class"), F.min("n").alias("n")))
+    hot = made.filter(F.col("kind") == FREQUENT).groupBy(F.col("id").alias("shingle")).agg(F.sum("n").alias("texts"))
+    hot = np.sort(at_least(hot, "texts", HOT).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))  # HOT rows at most
+    wanted = spark.sparkContext.broadcast(_filter(classes.select("class"), "class"))
+
+    def classes_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, bits = Words(), wanted.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 own = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 keep = np.flatnonzero(_held(bits, own))
-                for k, text in zip(keep, part.column(1).take(pa.array(keep)).to_pylist(), strict=True):
-                    first = beginning(shingles(text or "", words), hot)
-                    keys.append(first)
-                    owners.append(np.full(len(first), own[k]))
-                    size += len(first)
-                if size >= CHUNK_SHINGLES:
-                    yield out()
-                    size = 0
-        if keys:
-            yield out()
-
-    begun = cut(texts.filter("id is not null").mapInArrow(beginnings, "bucket int, packed binary, shingle long, id long"))
-    rare = begun.filter("bucket is not null").select("bucket", "packed").repartition(buckets // 4, "bucket")
-    members = rare.mapInArrow(_shared, "shingle long, id long").unionByName(begun.filter("bucket is null").select("shingle", "id").distinct())
-    component = classes.select(F.col("class").alias("id"), "n").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    component = component.withColumn("component", F.coalesce("component", "id"))
-    members = cut(members.join(component, "id"))
-    shared = members.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("shingle")
-    tiles = members.join(cut(shared), "shingle")
-    # Bands grow by the least ratio of linked sizes; a set is host in its own band and guest in the next one.
-    band = F.floor(F.log(100 / NEAR, F.col("n"))).cast("int")
-    tiles = tiles.withColumn("place", F.explode(F.array(F.struct(band.alias("band"), F.lit(False).alias("guest")), F.struct((band + 1).alias("band"), F.lit(True).alias("guest")))))
-    tiles = cut(tiles.select("shingle", "place.*", "id", "component", "n"))
-    # Two texts that share a passage share many shingles: of tiles with the same members one is enough.
-    members = [F.count("*").alias("many"), *(F.bit_xor(F.xxhash64(F.lit(k), "id", "guest")).alias(f"x{k}") for k in (1, 2))]
-    open_ = tiles.groupBy("shingle", "band").agg(*members, F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("guest").alias("none"))
-    chosen = cut(open_.filter("lo != hi and not none").groupBy("band", "many", "x1", "x2").agg(F.min("shingle").alias("shingle")))
-    # A tile of many sets is cut into cells, one for each two of its sides, so no task holds more than two sides.
-    tiles = tiles.join(chosen.select("shingle", "band", F.ceil(F.col("many") / CELL).cast("int").alias("sides")), ["shingle", "band"])
-    tiles = tiles.withColumn("side", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("sides")).cast("int"))
-    tiles = tiles.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).withColumns({"i": F.least("side", "k"), "j": F.greatest("side", "k")})
-    tiles = tiles.join(classes.select(F.col("class").alias("id"), "bits"), "id")
-    cell = ["shingle", "band", "i", "j"]
-    tiles = tiles.select(*cell, "side", "guest", "id", "component", "n", "bits").repartition(*cell).sortWithinPartitions(*cell, "id")
-    more = cut(tiles.mapInArrow(_tiles, "a long, b long").distinct())
-    links = links.unionByName(_verified(texts, more))
-    joined = cut(components(links))
-
-    named = classes.select("d1", "d2", "class").join(joined.withColumnRenamed("node", "class"), "class", "left")
-    named = cut(named.select("d1", "d2", F.coalesce("component", "class").alias("found")))
-    out = rows.select("id", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
-    component_id = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("found")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n_shingles"), component_id.alias("component_id"))
+                sets = [shingles(t or "", words) for t in part.column(1).take(pa.array(keep)).to_pylist()]
+                least = [(s[None, :] * FACTORS[:, None]).min(axis=1) if len(s) else s for s in sets]
+                yield pa.RecordBatch.from_pydict({"id": pa.array(own[keep]), "least": _lists(least), "bits": _lists([signature(s) for s in sets]), "s": pa.array([pack(s) for s in sets], pa.binary())})
+
+    sets = cut(texts.filter("id is not null").mapInArrow(classes_sets, "id long, least array<long>, bits array<long>, s binary"))
+    links = _verified(sets, _stars(sets))
+
+    def named(links: DataFrame) -> DataFrame:
+        found = classes.select(F.col("class").alias("id"), "n").join(components(links).withColumnRenamed("node", "id"), "id", "left")
+        return cut(found.select("id", "n", F.coalesce("component", "id").alias("component")))
+
+    component = named(links)
+    sent = sets.select("id", "s").join(component, "id").select("id", "component", "s")
+    begun = cut(sent.mapInArrow(_beginnings(buckets, hot), "bucket int, packed binary, shingle long, id long, component long"))
+    rare = begun.filter("bucket is not null").select("bucket", "packed").repartition(partitions, "bucket")
+    rare = cut(rare.mapInArrow(_shared, "shingle long, many long, m0 long, m1 long, ids binary"))
+    same = ["many", "m0", "m1"]
+    rare = rare.join(rare.groupBy(*same).agg(F.min("shingle").alias("shingle")), [*same, "shingle"]).select("shingle", "ids").mapInArrow(_unfolded, "shingle long, id long")
+    common = begun.filter("bucket is null").select("shingle", "id", "component").distinct()
+    several = common.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("shingle")
+    members = cut(rare.unionByName(common.select("shingle", "id").join(several, "shingle")))
+    for best in (True, False):
+        pairs = _compared(members, component, sets, best)
+        links = links.unionByName(_verified(sets, pairs))
+        component = named(links)
+        if not best or pairs.filter("rest").isEmpty():
+            break
+
+    named_ = cut(classes.select("d1", "d2", F.col("class").alias("id")).join(component.select("id", "component"), "id").select("d1", "d2", "component"))
+    out = rows.join(named_, ["d1", "d2"], "left")
+    component_id = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), component_id.alias("component_id"))
