@@ -4,14 +4,15 @@
    more shingles of its own than a link allows has no partner and leaves. Equal sets are one class, named by its
    smallest id.
 2. Stars, a shortcut: a class is compared with the most central class among those that share a min-hash with it.
-   This links a large group of near copies at once, in as many comparisons as it has members.
+   This links a large group of near copies at once, in as many comparisons as it has members. A class then leaves
+   if more of its shingles than a link allows are in no other component.
 3. Tiles. For similarity t two sets must share one of the first n - ceil(t n) + 1 shingles in any fixed order.
    Shingles that many documents share come last in it. A shingle that stands in the beginnings of several of
    the components so far opens a tile, split by bands of set sizes: linked sets differ by one band at most.
 4. Bitmaps. In a tile, pairs of different components are bounded from above by bit counts of hashed
    signatures: each bit that one set has and the other lacks is a shingle less in the intersection.
-5. Pairs that pass are compared as sorted arrays, and links join the components. First a set meets only its
-   likeliest partner of another component; what that leaves apart is compared in a second round.
+5. Pairs that pass are compared as sorted arrays, and links join the components. Where a set has many partners left, it
+   first meets only the likeliest of each other component; what that leaves apart is compared in a second round.
 
 Pairs within a component are never compared again, so copies are not expanded into pairs. Tiles with the same
 members, told by their number and two 64-bit sums of hashed ids, are one tile. Texts are shuffled at no step.
@@ -26,7 +27,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.llm.bitmap import bitmap
@@ -49,13 +50,15 @@ CHUNK_SHINGLES = 2_000_000
 MOST_TOLD = 1 << 20
 #: Sets in one side of a tile.
 CELL = 4096
+#: With more partners left than this a set meets only the likeliest of each other component in the first round.
+LIKELIEST = 512
 #: Bits of the filter that keeps texts without a partner from being read again: 8 MB.
 BITS = 1 << 26
 CACHE_WORDS = 400_000
 #: Bits of a hash that are left out where hashes only look for candidates. More candidates are harmless.
 DROPPED = 20
-#: Ranges of hashes for each partition; ids in one row of a tile's members.
-FINE, MEMBERS = 8, 1 << 16
+#: Ids in one row of a tile's members.
+MEMBERS = 1 << 16
 
 
 class Words(dict):
@@ -183,34 +186,52 @@ def _made(kind: int, rows: int, **columns: list | np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(rows, f.type) for f in _SCHEMA], schema=_SCHEMA)
 
 
-def _sets(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _ordered(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All hashes, sorted, and the number of the set that each is from."""
+    every = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    order = np.argsort(every)
+    return every[order], np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+
+
+def _keys_of_partitions(spark: SparkSession) -> list[int]:
+    """For each shuffle partition a number that the engine's hash sends there, so that ranges of hashes are dealt out evenly."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = spark.range(40 * n + 1000).select(F.col("id").cast("int").alias("k")).groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k"))
+    keys = {r.p: r.k for r in found.collect()}  # one for each partition
+    return [keys.get(p, p) for p in range(n)]
+
+
+def _split(columns: tuple[np.ndarray, ...], bits: int, buckets: list[int]) -> list[tuple[int, bytes]]:
+    """Sorted hashes of ``bits`` bits and further columns, packed by range of hashes."""
+    cuts = np.searchsorted(columns[0], np.array([(k << bits) // len(buckets) for k in range(1, len(buckets))], dtype=np.uint64))
+    return [(k, pack(*x)) for k, x in zip(buckets, zip(*(np.split(c, cuts) for c in columns), strict=True), strict=True) if len(x[0])]
+
+
+def _chunk(number: int, ids: list[int], sizes: list[int], packed: list[tuple[int, bytes]], buckets: list[int]) -> Iterator[pa.RecordBatch]:
+    yield _made(CHUNK, 1, bucket=[buckets[number % len(buckets)]], chunk=[number], data=[np.array([ids, sizes], dtype=np.int64).tobytes()])
+    yield _made(PACKED, len(packed), bucket=[k for k, _ in packed], chunk=[number] * len(packed), data=[x for _, x in packed])
+
+
+def _sets(buckets: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A row for each text, and what is counted of each chunk of texts."""
-    borders = np.array([(k << 63) // buckets for k in range(1, buckets)], dtype=np.uint64) >> np.uint64(DROPPED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, number, size = Words(), TaskContext.get().partitionId() << 32, 0
+        words, number, size, dealt = Words(), TaskContext.get().partitionId() << 32, 0, np.array(buckets)
         ids, sets = [], []
 
         def out() -> Iterator[pa.RecordBatch]:
-            n = np.array([len(s) for s in sets], dtype=np.int64)
             digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64) for s in sets]).reshape(-1, 2)
-            yield _made(DOCUMENT, len(ids), bucket=digests[:, 0] % buckets, id=ids, n=n, d1=digests[:, 0], d2=digests[:, 1])
-            real = [k for k, x in enumerate(ids) if x is not None and n[k]]
-            own = np.array([ids[k] for k in real], dtype=np.int64)
-            yield _made(CHUNK, 1, bucket=[number % buckets], chunk=[number], data=[own.tobytes() + n[real].tobytes()])
-            every = np.concatenate([sets[k] for k in real]) if real else np.zeros(0, dtype=np.uint64)
-            order = np.argsort(every)
-            every, holder = every[order], np.repeat(np.arange(len(real)), n[real])[order]
+            yield _made(DOCUMENT, len(ids), bucket=dealt[digests[:, 0] % len(dealt)], id=ids, n=[len(x) for x in sets], d1=digests[:, 0], d2=digests[:, 1])
+            real = [k for k, x in enumerate(ids) if x is not None and len(sets[k])]
+            every, holder = _ordered([sets[k] for k in real])
             start = _runs(every)
             many = np.diff(np.append(start, len(every)))
             often = many >= LOCAL_HOT
             keys = _long(every[start[often]])
-            yield _made(FREQUENT, len(keys), bucket=keys % buckets, id=keys, n=many[often])
+            yield _made(FREQUENT, len(keys), bucket=dealt[keys % len(dealt)], id=keys, n=many[often])
             lower = np.searchsorted(every, np.uint64(1 << 63))
-            every, holder = every[:lower] >> np.uint64(DROPPED), holder[:lower]
-            cuts = np.searchsorted(every, borders)
-            parts = [(k, x, y) for k, (x, y) in enumerate(zip(np.split(every, cuts), np.split(holder, cuts), strict=True)) if len(x)]
-            yield _made(PACKED, len(parts), bucket=[k for k, _, _ in parts], chunk=[number] * len(parts), data=[pack(x, y) for _, x, y in parts])
+            packed = _split((every[:lower] >> np.uint64(DROPPED), holder[:lower]), 63 - DROPPED, buckets)
+            yield from _chunk(number, [ids[k] for k in real], [len(sets[k]) for k in real], packed, buckets)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -228,8 +249,35 @@ def _sets(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
+def _sets_of_components(buckets: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What is counted of each chunk of classes (id, component, s): all hashes, with the component of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = TaskContext.get().partitionId() << 32, 0
+        ids, components_, sets = [], [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            every, holder = _ordered(sets)
+            columns = every >> np.uint64(DROPPED), holder, np.array(components_, dtype=np.int64)[holder]
+            yield from _chunk(number, ids, [len(x) for x in sets], _split(columns, 64 - DROPPED, buckets), buckets)
+
+        for batch in batches:
+            for own, component, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                ids.append(own)
+                components_.append(component)
+                sets.append(unpack(s)[0])
+                size += len(sets[-1])
+            if size >= CHUNK_SHINGLES:
+                yield from out()
+                number, size, ids, components_, sets = number + 1, 0, [], [], []
+        if ids:
+            yield from out()
+
+    return run
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows as they come, but for packed ones: of those, how many hashes only one document holds, for each document."""
+    """Rows as they come, but for packed ones: of those, how many hashes only it (or only its component) holds, for each document."""
     chunks: list[int] = []
     found: list[list[np.ndarray]] = []
     for batch in batches:
@@ -240,14 +288,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found += map(unpack, mine.column(7).to_pylist())
     if not found:
         return
-    key, holder = (np.concatenate(x) for x in zip(*found, strict=True))
+    key, holder, *component = (np.concatenate(x) for x in zip(*found, strict=True))
     source = np.repeat(np.arange(len(found), dtype=np.int32), [len(x[0]) for x in found])
     del found
     order = np.argsort(key)
     key = key[order]
     start = _runs(key)
-    once = order[start[np.diff(np.append(start, len(key))) == 1]]
-    once = np.sort(once)
+    many = np.diff(np.append(start, len(key)))
+    if component:
+        of = component[0][order]
+        alone = np.minimum.reduceat(of, start) == np.maximum.reduceat(of, start)
+    else:
+        alone = many == 1
+    once = np.sort(order[np.repeat(alone, many)])
     source, holder = source[once], holder[once].astype(np.int64)
     each = np.searchsorted(source, np.arange(len(chunks) + 1))
     counts = [np.bincount(holder[each[k] : each[k + 1]]).astype(np.uint64) for k in range(len(chunks))]
@@ -312,9 +365,8 @@ def _stars(sets: DataFrame) -> DataFrame:
     return pairs.select(F.col("class").alias("a"), F.col("centre").alias("b"))
 
 
-def _beginnings(buckets: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _beginnings(buckets: list[int], hot: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The shingles at the beginning of each set: packed by range of hashes; those in ``hot`` as rows of their own."""
-    borders = np.array([(k << 64) // buckets for k in range(1, buckets)], dtype=np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -325,13 +377,11 @@ def _beginnings(buckets: int, hot: np.ndarray) -> Callable[[Iterator[pa.RecordBa
             held.clear()
             common = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key if len(hot) else np.zeros(len(key), dtype=bool)
             order = np.flatnonzero(~common)[np.argsort(key[~common])]
-            columns = key[order] >> np.uint64(DROPPED), own[order].view(np.uint64), comp[order].view(np.uint64)
-            cuts = np.searchsorted(key[order], borders)
-            parts = [(k, x) for k, x in enumerate(zip(*(np.split(c, cuts) for c in columns), strict=True)) if len(x[0])]
+            parts = _split((key[order] >> np.uint64(DROPPED), own[order].view(np.uint64), comp[order].view(np.uint64)), 64 - DROPPED, buckets)
             n, m = int(common.sum()), len(parts)
             return pa.RecordBatch.from_pydict(
                 {
-                    "bucket": pa.array([*(k for k, _ in parts), *[None] * n], pa.int32()), "packed": pa.array([*(pack(*x) for _, x in parts), *[None] * n], pa.binary()),
+                    "bucket": pa.array([*(k for k, _ in parts), *[None] * n], pa.int32()), "packed": pa.array([*(x for _, x in parts), *[None] * n], pa.binary()),
                     "shingle": pa.array([*[None] * m, *_long(key[common]).tolist()], pa.int64()), "id": pa.array([*[None] * m, *own[common].tolist()], pa.int64()),
                     "component": pa.array([*[None] * m, *comp[common].tolist()], pa.int64()),
                 }
@@ -388,7 +438,7 @@ def _unfolded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tiles(best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Pairs of a partition's cells that the bit counts leave; with ``best`` only the likeliest of a set with each other component.
+    """Pairs of a partition's cells that the bit counts leave; with ``best`` only the likeliest of a set with each other component, if there are many.
 
     Rows come sorted by cell. In a cell of kind 0 sets of the tile's largest component meet the others; in one of
     kind 1 these others meet each other, and if i != j only the sides i and j do. ``rest``: pairs were left for later.
@@ -416,7 +466,7 @@ def _tiles(best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 left = most * (100 + NEAR) >= (n[k] + n[other]) * NEAR
                 other, most = other[left], most[left]
                 rest = False
-                if best and len(other):
+                if best and len(other) > LIKELIEST:
                     other = other[np.argsort((n[k] + n[other]) / (most + 1), kind="stable")]
                     _, first = np.unique(comp[other], return_index=True)
                     rest, other = len(first) < len(other), other[first]
@@ -491,13 +541,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = FINE * partitions
+    buckets = _keys_of_partitions(spark)
+    partitions = len(buckets)
     made = cut(texts.mapInArrow(_sets(buckets), _MADE).repartition(partitions, "bucket").mapInArrow(_counted, _MADE))
     rows = made.filter(F.col("kind") == DOCUMENT).select("id", "n", "d1", "d2")
-    chunks = made.filter(F.col("kind").isin(CHUNK, OWN)).select("kind", "chunk", "data")
-    partnered = chunks.repartition("chunk").mapInArrow(_partnered, "id long").distinct()
-    classes = cut(rows.filter("n > 0 and id is not null").join(partnered, "id").groupBy("d1", "d2").agg(F.min("id").alias("class"), F.min("n").alias("n")))
+
+    def partnered(made: DataFrame) -> DataFrame:
+        chunks = made.filter(F.col("kind").isin(CHUNK, OWN)).select("kind", "chunk", "data")
+        return chunks.repartition("chunk").mapInArrow(_partnered, "id long").distinct()
+
+    classes = cut(rows.filter("n > 0 and id is not null").join(partnered(made), "id").groupBy("d1", "d2").agg(F.min("id").alias("class"), F.min("n").alias("n")))
     hot = made.filter(F.col("kind") == FREQUENT).groupBy(F.col("id").alias("shingle")).agg(F.sum("n").alias("texts"))
     hot = np.sort(at_least(hot, "texts", HOT).select("shingle").toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))  # HOT rows at most
     wanted = spark.sparkContext.broadcast(_filter(classes.select("class"), "class"))
@@ -521,7 +574,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return cut(found.select("id", "n", F.coalesce("component", "id").alias("component")))
 
     component = named(links)
-    sent = sets.select("id", "s").join(component, "id").select("id", "component", "s")
+    # What may have a partner outside its component, by all hashes this time.
+    joined = cut(sets.select("id", "s").join(component, "id").select("id", "component", "s"))
+    counted = joined.mapInArrow(_sets_of_components(buckets), _MADE).repartition(partitions, "bucket").mapInArrow(_counted, _MADE)
+    sent = joined.join(cut(partnered(counted)), "id").select("id", "component", "s")
     begun = cut(sent.mapInArrow(_beginnings(buckets, hot), "bucket int, packed binary, shingle long, id long, component long"))
     rare = begun.filter("bucket is not null").select("bucket", "packed").repartition(partitions, "bucket")
     rare = cut(rare.mapInArrow(_shared, "shingle long, many long, m0 long, m1 long, ids binary"))
