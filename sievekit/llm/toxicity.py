@@ -1,262 +1,248 @@
 """Toxicity by two Kneser-Ney language models, one of toxic and one of ordinary text.
 
-Each model interpolates three levels: pairs of words, words, and a distribution that both share, made of the
-number of different words before which a word stands. A word that is rare in both classes so gets much the
-same probability from either model, and only well-attested differences count. A text's score comes from the
-difference of the two log-likelihoods for each word: over the whole text, and over its most telling windows.
-
-Counts are tables of the engine, without a bound. Texts travel in chunks; the words and pairs of a chunk that
-the frequent ones sent to every task don't settle are looked up by a join, once for each chunk.
+A word is a sequence of letters between a start and an end mark; each symbol is predicted from the five before it.
+Each class has its own discounted counts and hands the rest to a model that both share: the counts of both
+classes together, which in turn backs off to continuation counts (before how many different symbols does a shorter
+context with this symbol stand?). A word that is rare in both classes so gets much the same probability from either
+model, also if only its beginning has been met. Texts are compared by the difference of the two log-likelihoods for
+each word: over the whole text, and over its most telling windows, for a long text may be toxic in one place.
+
+All counts are tables of the engine, without a bound. Texts are not shuffled when they are scored: every task
+holds the differences in a table of a fixed number of hashed places.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from sievekit.llm.bitmap import bitmap, marked
-from sievekit.llm.common import at_least, cut, share_of, written
+from sievekit.llm.common import cut, map_texts, share_of, written
 from sievekit.llm.logistic import Logistic
-from sievekit.llm.ngram_join import Words, _filter, _held
 
-#: Frequent words and pairs that every task holds. They save look-ups; scores don't depend on them.
-WORDS = 1 << 14
-PAIRS = 1 << 18
+#: Symbols before the one that is predicted.
+CONTEXT = 5
 DISCOUNT = 0.75
+#: Observations that the shared model weighs against a class's own counts.
+PRIOR = 30.0
 WINDOWS = (1, 4, 16)
-#: Mean and windows with pairs and by words alone, and the length.
-FEATURES = 2 * (1 + len(WINDOWS)) + 1
 #: Every labelled row is counted; those of one fold in five are left out of the counts and serve the calibration,
 #: at most so many of them.
 CALIBRATION_ROWS = 8000
-#: Words of the texts that are looked up together, and words that a task counts before it hands on.
-CHUNK_WORDS = 1 << 20
-COUNT_WORDS = 2_000_000
-_EDGE = ".,;:!?\"'()[]{}<>|%&*#$-"
-_VALUES = ("a0", "a1", "n0", "n1", "s0", "s1")
-_UNSEEN = np.array([0.0, 0.0, 1.0, 1.0, 1.0, 1.0])
+#: Places of the table that tasks hold, 2 bytes each. Sequences that share a place share the mean of their differences,
+#: weighted by their counts; none is left out.
+PLACES = 1 << 24
+BLOCK = 1 << 16
+#: Words and sequences that a task counts before it hands on; words whose difference it remembers.
+COUNTED = 200_000
+CACHE_WORDS = 200_000
+START, END = "\x02", "\x03"
+_EDGE = ".,;:!?\"'()[]{}<>|%&*#$-" + START + END
 
 
 def words_of(text: str) -> list[str]:
     return [w for x in text.lower().split() if (w := x.strip(_EDGE))]
 
 
-def _hashes(texts: list[str], words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of some texts, end to end, and the number of each text's."""
-    own = [words_of(t) for t in texts]
-    sizes = np.array([len(x) for x in own], dtype=np.int64)
-    found = (words[w] for x in own for w in x)
-    return np.fromiter(found, dtype=np.uint64, count=int(sizes.sum())), sizes
-
+def sequences(word: str) -> list[str]:
+    """Each symbol of a word after the first mark, behind its context."""
+    marked_ = START + word + END
+    return [marked_[max(0, k - CONTEXT) : k + 1] for k in range(1, len(marked_))]
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return (first << np.uint64(1) | first >> np.uint64(63)) ^ second
 
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words and the number of texts of either class that hold them, added up over many texts."""
+    found: tuple[Counter, Counter] = (Counter(), Counter())
 
-def _pair_key() -> Column:
-    """``pair_keys`` of columns v and w."""
-    return F.shiftleft("v", 1).bitwiseOR(F.shiftrightunsigned("v", 63)).bitwiseXOR(F.col("w"))
-
+    def out() -> Iterator[pa.RecordBatch]:
+        every = list(found[0].keys() | found[1].keys())
+        for at in range(0, len(every), 100_000):
+            part = every[at : at + 100_000]
+            yield pa.RecordBatch.from_pydict({"word": pa.array(part, pa.string()), **{f"c{k}": pa.array([found[k][w] for w in part], pa.int64()) for k in (0, 1)}})
+        for counts in found:
+            counts.clear()
 
-def _begins(sizes: np.ndarray) -> np.ndarray:
-    """Marks of the words that begin a text."""
-    out = np.zeros(int(sizes.sum()), dtype=bool)
-    out[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
-    return out
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                found[label].update(set(words_of(text or "")))
+            if len(found[0]) + len(found[1]) > COUNTED:
+                yield from out()
+    yield from out()
 
 
-class Entries:
-    """Values of some keys. Of a word: both classes' probability, number of words after it, share left to their words.
-    Of a pair: both classes' discounted counts."""
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sequences of the words and their counts."""
+    found: dict[str, list[int]] = {}
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+    def out() -> pa.RecordBatch:
+        columns = [pa.array(x, pa.int64()) for x in zip(*found.values(), strict=True)] or [pa.array([], pa.int64())] * 2
+        made = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *columns], names=["s", "c0", "c1"])
+        found.clear()
+        return made
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of ``keys``, and which of them are here."""
-        if not len(self.keys):
-            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+    for batch in batches:
+        for word, c0, c1 in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for s in sequences(word):
+                counts = found.setdefault(s, [0, 0])
+                counts[0] += c0
+                counts[1] += c1
+        if len(found) > COUNTED:
+            yield out()
+    yield out()
 
 
-def _values(keys: np.ndarray, entries: tuple[Entries, ...], other: np.ndarray) -> np.ndarray:
-    out = np.tile(other, (len(keys), 1))
-    for e in entries:
-        at, here = e.find(keys)
-        out[here] = e.values[at[here], : len(other)]
-    return out
+def differences(words: DataFrame) -> DataFrame:
+    """``s`` and ``value``, the log of the toxic probability of its last symbol less that of the ordinary one, and ``weight``.
 
+    ``words``: word, c0, c1. A sequence of ``s`` without its last symbol, ``context`` true, has the value of any
+    symbol that was never met behind it.
+    """
+    seen = cut(words.mapInArrow(_sequences, "s string, c0 long, c1 long").groupBy("s").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")))
+    parts = [F.expr("substring(s, 1, char_length(s) - 1)").alias("h"), F.expr("right(s, 1)").alias("c")]
+    # Shared backoff: continuation counts of ever longer contexts. ``t`` is a context with its symbol.
+    ends = seen.select(F.explode(F.expr("transform(sequence(2, char_length(s)), k -> right(s, k))")).alias("t")).distinct()
+    after = ends.groupBy(F.expr("substring(t, 2)").alias("t")).agg(F.count("*").alias("n"))
+    after = cut(after.withColumn("h", F.expr("substring(t, 1, char_length(t) - 1)")))
+    sums = after.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
+    after = cut(after.join(sums, "h").select("t", F.char_length("t").alias("size"), (F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) / F.col("all")).alias("own"), (DISCOUNT * F.col("kinds") / F.col("all")).alias("left")))
+    kinds = after.filter("size = 1").count()
+    shared = after.filter("size = 1").select("t", (F.col("own") + F.col("left") / (kinds + 1.0)).alias("p"))
+    levels = [shared]
+    for size in range(2, CONTEXT + 1):
+        shorter = levels[-1].withColumnRenamed("t", "u")
+        longer = after.filter(F.col("size") == size).withColumn("u", F.expr("substring(t, 2)")).join(shorter, "u")
+        levels.append(cut(longer.select("t", (F.col("own") + F.col("left") * F.col("p")).alias("p"))))
+    backoff = levels[0]
+    for level in levels[1:]:
+        backoff = backoff.unionByName(level)
+    sums = [F.sum(f"c{k}").alias(f"n{k}") for k in (0, 1)] + [F.count_if(F.col(f"c{k}") > 0).alias(f"k{k}") for k in (0, 1)]
+    contexts = cut(seen.select(*parts, "c0", "c1").groupBy("h").agg(*sums, F.count("*").alias("kinds")))
+    rows = seen.select("s", *parts, "c0", "c1", F.expr("substring(s, 2)").alias("t")).join(contexts, "h").join(backoff, "t")
+    both, total = F.col("c0") + F.col("c1"), F.col("n0") + F.col("n1")
+    pooled = (F.greatest(both - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("p")) / total
+    spread = [(DISCOUNT * F.col(f"k{k}") + PRIOR) / (F.col(f"n{k}") + PRIOR) for k in (0, 1)]
+    p = [F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) / (F.col(f"n{k}") + PRIOR) + spread[k] * pooled for k in (0, 1)]
+    met = rows.select("s", F.lit(False).alias("context"), (F.ln(p[1]) - F.ln(p[0])).alias("value"), both.alias("weight"))
+    never = contexts.select(F.col("h").alias("s"), F.lit(True).alias("context"), (F.ln(spread[1]) - F.ln(spread[0])).alias("value"), total.alias("weight"))
+    return met.unionByName(never)
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _keys(symbols: np.ndarray, place: np.ndarray, context: bool) -> np.ndarray:
+    """Places in the table of the sequences that end at each symbol, or of their contexts. ``place``: of the symbol in its word."""
+    h = np.full(len(symbols), 3 if context else 1, dtype=np.uint64)
+    for k in range(int(context), CONTEXT + 1):
+        inside = place >= k
+        h[inside] = h[inside] * _BASE + symbols[np.flatnonzero(inside) - k]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(29))) & np.uint64(PLACES - 1)).astype(np.int64)
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The place of each sequence, as sums to add up."""
+    for batch in batches:
+        s, context = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), dtype=bool)
+        at = np.zeros(len(s), dtype=np.int64)
+        # A context is what stands before a symbol that doesn't matter.
+        symbols = np.array([ord(x) for t, c in zip(s, context, strict=True) for x in (t + END if c else t)], dtype=np.uint64)
+        sizes = np.array([len(t) + c for t, c in zip(s, context, strict=True)], dtype=np.int64)
+        if len(s):
+            last = np.cumsum(sizes) - 1
+            place = np.arange(len(symbols)) - np.repeat(last - sizes + 1, sizes)
+            for kind in (False, True):
+                at[context == kind] = _keys(symbols, place, kind)[last[context == kind]]
+        weight = batch.column(3).to_numpy().astype(float)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at), "sum": pa.array(batch.column(2).to_numpy() * weight), "weight": pa.array(weight)})
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        at, value = (batch.column(k).to_numpy() for k in (1, 2))
+        for block in np.unique(at // BLOCK).tolist():
+            own = at // BLOCK == block
+            found.setdefault(block, np.full(BLOCK, np.nan, dtype=np.float16))[at[own] % BLOCK] = value[own]
+    packed = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in found.values()]
+    yield pa.RecordBatch.from_pydict({"block": pa.array(list(found), pa.int64()), "packed": pa.array(packed, pa.binary())})
 
-def features(h: np.ndarray, sizes: np.ndarray, entries: tuple[Entries, ...]) -> np.ndarray:
-    """Of each text: mean difference and greatest mean over windows of some lengths, with pairs and by words alone; log of the length.
 
-    The difference of a word is the log of its toxic probability less that of its ordinary one. A word that no
-    labelled text holds has the shared level alone, which is the same for both classes: its difference is 0.
-    """
-    out = np.zeros((len(sizes), FEATURES))
-    if not len(h):
-        return out
-    word = _values(h, entries, _UNSEEN)
-    seen = np.zeros((len(h), 2))
-    seen[1:] = _values(pair_keys(h[:-1], h[1:]), entries, np.zeros(2))
-    before = np.roll(word, 1, axis=0)
-    p = np.where(_begins(sizes)[:, None], word[:, :2], seen / before[:, 2:4] + before[:, 4:] * word[:, :2])
-    # A pair after a word that one class has hardly seen tells little, so words by themselves are a second measure.
-    both = np.array([p, word[:, :2]])
-    both[:, word[:, 0] == 0] = 1
-    r = np.log(both[:, :, 1]) - np.log(both[:, :, 0])
-    for k, (end, n) in enumerate(zip(np.cumsum(sizes), sizes, strict=True)):
-        if n:
-            for m in (0, 1):
-                sums = np.concatenate([[0.0], np.cumsum(r[m, end - n : end])])
-                at = m * (1 + len(WINDOWS))
-                out[k, at] = sums[-1] / n
+class KneserNey:
+    """The differences of all sequences in PLACES places, and those of words."""
+
+    def __init__(self, blocks: dict[int, bytes]):
+        self.blocks = blocks
+        self.key = xxhash.xxh3_64_hexdigest(b"".join(k.to_bytes(8) + blocks[k] for k in sorted(blocks)))
+        self.values: np.ndarray | None = None
+        self.known: dict[str, float] = {}
+
+    @classmethod
+    def of(cls, words: DataFrame) -> KneserNey:
+        """``words``: word, c0, c1, the number of ordinary and of toxic texts that hold it."""
+        found = differences(words).mapInArrow(_folded, "at long, sum double, weight double")
+        found = found.groupBy("at").agg((F.sum("sum") / F.sum("weight")).alias("value")).select(F.floor(F.col("at") / BLOCK).alias("block"), "at", "value")
+        made = found.repartition("block").mapInArrow(_blocks, "block long, packed binary").collect()  # 2 x PLACES bytes at most
+        return cls({r.block: bytes(r.packed) for r in made})
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"values": None, "known": {}}
+
+    def learn(self, words: list[str]) -> None:
+        """Differences of words that aren't known yet."""
+        if self.values is None:
+            self.values = np.full(PLACES, np.nan, dtype=np.float16)
+            for block, packed in self.blocks.items():
+                self.values[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.float16)
+        for at in range(0, len(words), 4096):
+            part = [START + w + END for w in words[at : at + 4096]]
+            symbols = np.frombuffer("".join(part).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+            sizes = np.array([len(w) for w in part], dtype=np.int64)
+            begin = np.cumsum(sizes) - sizes
+            place = np.arange(len(symbols)) - np.repeat(begin, sizes)
+            value = self.values[_keys(symbols, place, False)].astype(float)
+            never = np.flatnonzero(np.isnan(value))
+            if len(never):
+                value[never] = np.nan_to_num(self.values[_keys(symbols, place, True)[never]].astype(float))
+            value[begin] = 0  # the start mark isn't predicted
+            self.known.update(zip(words[at : at + 4096], np.add.reduceat(value, begin).tolist(), strict=True))
+
+    def features(self, texts: list[str]) -> np.ndarray:
+        """Of each text: mean difference of its words, and the greatest mean over windows of some lengths. A text without words has 0."""
+        out = np.zeros((len(texts), 1 + len(WINDOWS)))
+        own = [words_of(t) for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        self.learn(list({w for x in own for w in x if w not in self.known}))
+        for k, words in enumerate(own):
+            if n := len(words):
+                sums = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.known.__getitem__, words), dtype=float, count=n))])
+                out[k, 0] = sums[-1] / n
                 for j, w in enumerate(WINDOWS, 1):
                     w = min(w, n)
-                    out[k, at + j] = (sums[w:] - sums[:-w]).max() / w
-            out[k, -1] = np.log1p(n)
-    return out
+                    out[k, j] = (sums[w:] - sums[:-w]).max() / w
+        return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words (v null) and pairs of them in texts of both classes, added up over COUNT_WORDS words."""
-    words, held, size = Words(), [], 0
+_LOADED: dict[str, KneserNey] = {}
 
-    def out() -> Iterator[pa.RecordBatch]:
-        h, begins, label = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        second = np.flatnonzero(~begins)
-        pairs = pair_keys(h[second - 1], h[second])
-        for keys, at in ((h, np.arange(len(h))), (pairs, second)):
-            _, where, own = np.unique(keys, return_index=True, return_inverse=True)
-            c = [np.bincount(own[label[at] == k], minlength=len(where)) for k in (0, 1)]
-            place = at[where]
-            v = pa.nulls(len(place), pa.int64()) if keys is h else pa.array(h[place - 1].view(np.int64))
-            yield pa.RecordBatch.from_pydict({"v": v, "w": pa.array(h[place].view(np.int64)), "c0": pa.array(c[0], pa.int64()), "c1": pa.array(c[1], pa.int64())})
 
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            h, sizes = _hashes([t or "" for t in part.column(0).to_pylist()], words)
-            held.append((h, _begins(sizes), np.repeat(np.array(part.column(1).to_pylist(), dtype=np.int64), sizes)))
-            size += len(h)
-            if size >= COUNT_WORDS:
-                yield from out()
-                size = 0
-    if held:
-        yield from out()
-
-
-class KneserNey:
-    """Both language models. ``table``: key and values of every word and pair of the labelled texts (see ``Entries``)."""
-
-    def __init__(self, counts: DataFrame):
-        """``counts``: v, w, c0, c1; v is null for words."""
-        words, pairs = counts.filter("v is null").drop("v"), counts.filter("v is not null")
-        n = words.agg(*(F.coalesce(F.sum(f"c{k}"), F.lit(0)).alias(f"n{k}") for k in (0, 1)), *(F.count_if(F.col(f"c{k}") > 0).alias(f"t{k}") for k in (0, 1)), F.count("*").alias("words")).first()
-        total, types = [max(n.n0, 1), max(n.n1, 1)], [n.t0, n.t1]
-        follow_sum = pairs.count() + n.words + 1
-        follow = pairs.groupBy("w").agg(F.count("*").alias("follow"))
-        after = pairs.groupBy(F.col("v").alias("w")).agg(
-            *(F.sum(f"c{k}").alias(f"n{k}") for k in (0, 1)), *(F.count_if(F.col(f"c{k}") > 0).alias(f"t{k}") for k in (0, 1))
-        )
-        shared = (F.coalesce("follow", F.lit(0)) + 1.0) / follow_sum
-        # Words: discounted counts, the rest spread as both classes share it.
-        p = [(F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)) + DISCOUNT * types[k] * shared + 1e-9) / total[k] for k in (0, 1)]
-        number = [F.greatest(F.coalesce(f"n{k}", F.lit(0)), F.lit(1)).cast("double") for k in (0, 1)]
-        # Where a class has never seen the first word, its words alone decide.
-        spread = [F.when(F.col(f"n{k}") > 0, DISCOUNT * F.col(f"t{k}") / F.col(f"n{k}")).otherwise(1.0) for k in (0, 1)]
-        both = (F.col("c0") + F.col("c1")).alias("both")
-        words = words.join(follow, "w", "left").join(after, "w", "left")
-        words = written(words.select(F.col("w").alias("key"), *(c.alias(a) for c, a in zip([*p, *number, *spread], _VALUES, strict=True)), both))
-        seen = [F.greatest(F.col(f"c{k}") - DISCOUNT, F.lit(0.0)).alias(f"a{k}") for k in (0, 1)]
-        pairs = pairs.select(_pair_key().alias("key"), *seen, *(F.lit(None).cast("double").alias(a) for a in _VALUES[2:]), both)
-        self.table = words.unionByName(pairs).drop("both")
-        frequent = at_least(words, "both", WORDS).unionByName(at_least(pairs, "both", PAIRS)).drop("both").toPandas()  # WORDS + PAIRS rows at most
-        self.frequent = Entries(frequent["key"].to_numpy(np.int64).view(np.uint64), frequent[list(_VALUES)].to_numpy(float))
-        self.held = _filter(self.table.select("key"), "key")
-
-    def apply(self, docs: DataFrame, finish: Callable[[np.ndarray], dict[str, list]], columns: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-        """The ``keep`` columns of each row and what ``finish`` makes of the texts' features."""
-        sent = docs.sparkSession.sparkContext.broadcast((self.frequent, self.held))  # bounded by WORDS, PAIRS and the filter's bits
-
-        def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """The texts of each chunk, packed, and the keys that have to be looked up for them."""
-            words, (frequent, bits) = Words(), sent.value
-            task, held, own, size = TaskContext.get().partitionId() << 32, [], [], 0
-
-            def out() -> Iterator[pa.RecordBatch]:
-                nonlocal task
-                task += 1
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                    stream.write_batch(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                keys = np.unique(np.concatenate(own))
-                keys = keys[~frequent.find(keys)[1]]
-                keys = keys[_held(bits, keys.view(np.int64))]
-                held.clear()
-                own.clear()
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([task], pa.int64()), "payload": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "key": pa.nulls(1, pa.int64())})
-                yield pa.RecordBatch.from_pydict(
-                    {"chunk": pa.array(np.full(len(keys), task), pa.int64()), "payload": pa.nulls(len(keys), pa.binary()), "key": pa.array(keys.view(np.int64))}
-                )
-
-            for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    part = batch.slice(at, 256)
-                    h, sizes = _hashes([t or "" for t in part.column(0).to_pylist()], words)
-                    own += [np.unique(h), np.unique(pair_keys(h[:-1], h[1:])[~_begins(sizes)[1:]])]
-                    held.append(part)
-                    size += len(h)
-                    if size >= CHUNK_WORDS:
-                        yield from out()
-                        size = 0
-            if held:
-                yield from out()
-
-        fields = [*(docs.schema[k] for k in keep), *_parse_datatype_string(columns).fields]
-        schema = StructType([StructField(f.name, f.dataType) for f in fields])
-
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            """Rows come sorted by chunk, the texts after what was looked up for them."""
-            words, frequent, arrow = Words(), sent.value[0], to_arrow_schema(schema)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-
-            def add(part: pa.RecordBatch) -> None:
-                values = [part.column(k).to_numpy(zero_copy_only=False) for k in range(1, 2 + len(_VALUES))]
-                found.append((values[0].astype(np.int64).view(np.uint64), np.array(values[1:], dtype=float).T))
-
-            for batch in batches:
-                start = 0
-                for at in np.flatnonzero(batch.column(0).is_valid().to_numpy(zero_copy_only=False)):
-                    if at > start:
-                        add(batch.slice(start, at - start))
-                    entries = (frequent, Entries(*(np.concatenate(x) for x in zip(*found, strict=True)))) if found else (frequent,)
-                    found.clear()
-                    start = at + 1
-                    for texts in pa.ipc.open_stream(batch.column(0)[int(at)].as_buffer()):
-                        for k in range(0, texts.num_rows, 256):
-                            part = texts.slice(k, 256)
-                            made = finish(features(*_hashes([t or "" for t in part.column(0).to_pylist()], words), entries))
-                            columns = [*part.columns[1:], *made.values()]
-                            yield pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-                if start < batch.num_rows:
-                    add(batch.slice(start))
-
-        made = written(docs.select(text_col, *keep).mapInArrow(chunks, "chunk long, payload binary, key long"))
-        looked_up = made.filter("key is not null").select("chunk", "key").join(self.table, "key").withColumn("payload", F.lit(None).cast("binary"))
-        texts = made.filter("key is null").select("chunk", "payload")
-        rows = looked_up.unionByName(texts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("payload").isNotNull())
-        return rows.select("payload", "key", *_VALUES).mapInArrow(score, schema)
+def _loaded(language: KneserNey) -> KneserNey:
+    """One table for all tasks that a worker runs one after the other."""
+    if language.key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[language.key] = language
+    return _LOADED[language.key]
 
 
 class ToxicityModel:
@@ -268,28 +254,52 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "to
     """Both language models and the calibration from all labelled rows for which ``usable`` holds.
 
     ``labels`` has the id and ``label_col`` (1 toxic, 0 ordinary; null: unlabelled). A bitmap of labelled ids keeps
-    other texts out of the join. Counts cover every word and pair of every labelled row outside the calibration's fold.
+    other texts out of the join. Counts cover every word of every labelled row outside the calibration's fold; a text
+    counts a word once. Of rows with one label's id each is counted.
     """
-    own = labels.select(id_col, F.col(label_col).cast("int").alias("_label")).filter(usable & F.col("_label").isin(0, 1) & F.col(id_col).isNotNull())
-    own = own.dropDuplicates([id_col])
-    texts = marked(docs.select(id_col, text_col), bitmap(own, id_col), id_col).filter("_in").drop("_in")
-    rows = cut(texts.join(own.hint("merge"), id_col).withColumn("_fold", F.pmod(F.xxhash64(F.lit(9), id_col), F.lit(5))))
-    counts = rows.filter("_fold != 0").select(text_col, "_label").mapInArrow(_count, "v long, w long, c0 long, c1 long")
-    language = KneserNey(written(counts.groupBy("v", "w").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))))
-
-    held = share_of(rows.filter("_fold = 0"), CALIBRATION_ROWS, id_col, 4)
-    found = language.apply(held, lambda x: {"features": x.tolist()}, "features array<double>", text_col, ("_label",)).collect()
-    found = sorted((r._label, *r.features) for r in found)
-    data = np.array(found, dtype=float).reshape(len(found), 1 + FEATURES)
+    own = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label"), usable.alias("_usable"))
+    own = own.filter(F.col("_usable") & F.col("_label").isin(0, 1) & F.col("_id").isNotNull()).dropDuplicates(["_id"])
+    own = cut(own.select("_id", "_label", F.pmod(F.xxhash64(F.lit(9), "_id"), F.lit(5)).alias("_fold")))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    counted = own.filter("_fold != 0").select("_id", "_label")
+    rows = marked(texts, bitmap(counted, "_id"), "_id").filter("_in").drop("_in").join(counted.hint("merge"), "_id")
+    words = rows.select("_text", "_label").mapInArrow(_words, "word string, c0 long, c1 long")
+    language = KneserNey.of(written(words.groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))))
+
+    sent = docs.sparkSession.sparkContext.broadcast(language)
+
+    def make():
+        language = _loaded(sent.value)
+
+        def apply(ids: list, texts: list[str], labels: list[int]) -> dict[str, list]:
+            return {"label": labels, "features": language.features(texts).tolist()}
+
+        return apply
+
+    held = share_of(own.filter("_fold = 0"), CALIBRATION_ROWS, "_id", 4)
+    rows = texts.join(F.broadcast(held), "_id").dropDuplicates(["_id"])  # bounded by CALIBRATION_ROWS
+    found = map_texts(rows, make, "label int, features array<double>", "_id", "_text", keep=("_label",)).collect()
+    sent.destroy()
+    data = np.array(sorted((r.label, *r.features) for r in found), dtype=float).reshape(len(found), 2 + len(WINDOWS))
     return ToxicityModel(language, Logistic(data[:, 1:], data[:, 0]))
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id and ``score`` from 0 to 1, higher for text that is more likely toxic.
 
-    The score depends on the whole text alone; a null or empty text has no words and gets the score of nothing.
-    Equal texts get equal scores. If the labels hold one class only, every score is that class's share. Other
-    columns aren't read; an empty table gives an empty result.
+    The score depends on the whole text alone, however long; a null or empty text has no words and gets the score of
+    nothing. Equal texts, and so repeated rows, get equal scores. If the labels hold one class only, every score is
+    that class's share. Other columns aren't read, whatever their names; an empty table gives an empty result.
     """
-    calibration = model.calibration
-    return model.language.apply(docs, lambda x: {"score": calibration.score(x)}, "score double", text_col, (id_col,))
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by PLACES
+
+    def make():
+        model = sent.value
+        language = _loaded(model.language)
+
+        def apply(ids: list, texts: list[str]) -> dict[str, list]:
+            return {"score": model.calibration.score(language.features(texts))}
+
+        return apply
+
+    return map_texts(docs, make, "score double", id_col, text_col)

@@ -310,7 +310,7 @@ def test_contamination(spark):
     other = "Anna has 12 apples. Then nothing else happened in the town for a very long time and nobody cared"
     broken = "Anna has 12 pears and gives " + item.split("gives ")[1].split(" near")[0]
     texts = [f"before. {item} after", changed, other, item.upper(), broken, *AWKWARD]
-    bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, "what is the capital of the country")], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None), (4, "what is the capital of the country"), (5, "")], "item_id long, text string")
     out = {(r.doc_id, r.item_id): r.literal for r in decontamination.contaminated(table(spark, texts), bench).collect()}
     assert out[0, 1] is True and out[1, 1] is False and (2, 1) not in out
     assert {i for _, i in out} == {1}
@@ -326,10 +326,39 @@ def test_short_items_are_found_whole(spark):
 
 def test_slots_must_agree(spark):
     item = "the train leaves at 9 and arrives at 9 so the trip of the train takes 9 hours in all they say"
-    same, mixed = item.replace("9", "4"), item.replace("9", "4", 1)
+    texts = [item.replace("9", "4"), item.replace("9", "4", 1), item.replace("at 9 and", "at 4 and").replace("at 9 so", "at 5 so").replace("takes 9", "takes 6")]
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
-    out = {r.doc_id: r.literal for r in decontamination.contaminated(table(spark, [same, mixed]), bench).collect()}
-    assert out == {0: False}
+    out = {r.doc_id: (r.covered, r.n_windows, r.literal) for r in decontamination.contaminated(table(spark, texts), bench).collect()}
+    # Another number throughout; one changed: windows with it don't count; three different ones: hardly any window agrees.
+    assert out == {0: (15, 15, False), 1: (10, 15, True)}
+
+
+@pytest.mark.parametrize("change", [str.upper, str.lower, str.title, lambda t: t.replace(".", ","), lambda t: t.replace(". ", " "), lambda t: "Question: " + t, lambda t: "- " + t.replace(" ", "\n")])
+def test_templates_do_not_depend_on_case_and_punctuation(spark, change):
+    items = ["Anna buys 12 apples. She gives Bruno 5 of them.", "Where does the river Elbe begin? Name the country.", "What Is The Old Name Of Oslo", "12 + 30 = 42 and 7 * 6 = 42", "Nine lives"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    out = decontamination.contaminated(table(spark, [change(t) for t in items[:4]] + ["a list:\n  nine lives!\nend", "of nine lives"]), bench)
+    assert {(r.doc_id, r.item_id) for r in out.collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4)}
+
+
+def test_reparameterised_items_are_found(spark):
+    rng = random.Random(7)
+    words = "the of and a train walks old river house buys gives then many red small under market stone paper".split()
+    names, other = ["Anna", "Bruno", "Carla", "Dario"], ["Elena", "Franz", "Gina", "Hugo"]
+
+    def made():
+        return [rng.choice(names) if rng.random() < 0.1 else str(rng.randint(2, 99)) if rng.random() < 0.1 else rng.choice(words) for _ in range(30)]
+
+    items = [made() for _ in range(40)]
+    numbers = {str(k): str(k + 100) for k in range(100)}
+    texts = []
+    for item in items:
+        swap = dict(zip(names, other, strict=True)) | numbers
+        texts.append(" ".join([rng.choice(words) for _ in range(50)] + [swap.get(w, w) for w in item] + [rng.choice(words) for _ in range(50)]))
+    clean = [" ".join(made() + made()) for _ in range(60)]
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    out = {(r.doc_id, r.item_id): r.literal for r in decontamination.contaminated(table(spark, texts + clean), bench).collect()}
+    assert sum((k, k) in out for k in range(40)) >= 36 and all(a == b for a, b in out)
 
 
 # Licences
@@ -392,21 +421,50 @@ def test_quality_filter_keeps_columns(spark):
     assert kept.columns == wide.columns and 0 < kept.count() < docs.count()
 
 
-def test_rare_words_of_one_class_count(spark, monkeypatch):
+def test_rare_words_of_one_class_count(spark):
     docs, labels = labelled(spark)
-    # Each of these words stands in two rows of one class only, and in no pair twice.
+    # Each of these words stands in two rows of one class only.
     frame = "common words here {0}{1} and {0}{2} there"
     rare = [frame.format(w, k, (k * 7 + 1) % 150) for w in ("vile", "mild") for k in range(150)]
     docs = docs.unionByName(table(spark, rare, first=10_000).select("doc_id", "text"))
     labels = labels.unionByName(spark.createDataFrame([(10_000 + k, 1, int(k < 150)) for k in range(300)], labels.schema))
-    texts = ["common words here " + " ".join(f"{w}{k}" for k in range(40)) for w in ("vile", "unmet")]
-
-    def scores():
-        model = toxicity.fit(docs, labels, F.lit(True))
-        return {r.doc_id: r.score for r in toxicity.toxicity(table(spark, texts), model).collect()}
-
-    found = scores()
-    assert found[0] > found[1] + 0.1
-    monkeypatch.setattr(toxicity, "WORDS", 2)
-    monkeypatch.setattr(toxicity, "PAIRS", 2)
-    assert scores() == pytest.approx(found)
+    texts = ["common words here " + " ".join(f"{w}{k}" for k in range(200, 240)) for w in ("vile", "mild")]  # never met, but their beginning
+    model = toxicity.fit(docs, labels, F.lit(True))
+    found = {r.doc_id: r.score for r in toxicity.toxicity(table(spark, texts), model).collect()}
+    assert found[0] > found[1] + 0.3
+
+
+def test_kneser_ney_against_brute_force(spark):
+    counts = {"abba": (3, 0), "abc": (1, 2), "b": (5, 1), "cab": (0, 4), "aaaaaaaaab": (2, 1), "bcbcbc": (0, 1), "éa": (1, 0)}
+    seen = collections.defaultdict(lambda: [0, 0])
+    for word, c in counts.items():
+        for s in toxicity.sequences(word):
+            seen[s] = [a + b for a, b in zip(seen[s], c, strict=True)]
+    ends = {s[-k:] for s in seen for k in range(2, len(s) + 1)}
+    n = collections.Counter(t[1:] for t in ends)
+    kinds = len({t for t in n if len(t) == 1})
+
+    def shared(t):
+        same = [x for x in n if len(x) == len(t) and x[:-1] == t[:-1]]
+        total = sum(n[x] for x in same)
+        below = shared(t[1:]) if len(t) > 1 else 1 / (kinds + 1)
+        return (max(n[t] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(same) * below) / total
+
+    def p(s, k):
+        same = [x for x in seen if x[:-1] == s[:-1]]
+        total = sum(sum(seen[x]) for x in same)
+        pooled = (max(sum(seen[s]) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(same) * shared(s[1:])) / total
+        own, there = sum(seen[x][k] for x in same), sum(seen[x][k] > 0 for x in same)
+        return (max(seen[s][k] - toxicity.DISCOUNT, 0) + (toxicity.DISCOUNT * there + toxicity.PRIOR) * pooled) / (own + toxicity.PRIOR)
+
+    words = spark.createDataFrame([(w, *c) for w, c in counts.items()], "word string, c0 long, c1 long")
+    found = {(r.s, r.context): r.value for r in toxicity.differences(words).collect()}
+    assert {s for s, context in found if not context} == set(seen) and {s for s, context in found if context} == {s[:-1] for s in seen}
+    for s in seen:
+        assert found[s, False] == pytest.approx(np.log(p(s, 1) / p(s, 0)))
+    # A symbol never met behind a context has the context's value, one behind a context never met has none.
+    language = toxicity.KneserNey.of(words)
+    language.learn(["abba", "abd", "zz"])
+    value = lambda s: found.get((s, False), found.get((s[:-1], True), 0.0))
+    for word, got in language.known.items():
+        assert got == pytest.approx(sum(map(value, toxicity.sequences(word))), abs=0.01)
