@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which a cluster shares between all machines.
 
-    Only where that is unset (tests on one machine) a temporary folder is made.
+    Only where that is unset on a single machine (local mode) a temporary folder is made; elsewhere it is an error.
     """
     if spark.sparkContext.getCheckpointDir() is None:
         where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="sievekit-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -97,27 +99,31 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> Data
     """``docs`` less the rows whose id is in ``dropped``; rows without an id stay.
 
     A bitmap of the dropped ids lets every other row pass in the scan. Only rows that may be dropped are joined.
+    All columns travel as one, so theirs may have any names.
     """
-    dropped = cut(dropped.select(id_col).distinct())
-    rows = marked(docs, bitmap(dropped, id_col), id_col)
-    sure, open_ = rows.filter("not _in").drop("_in"), rows.filter("_in").drop("_in")
-    return sure.unionByName(open_.join(dropped, id_col, "left_anti")).select(docs.columns)
+    dropped = cut(dropped.select(F.col(id_col).alias("_id")).distinct())
+    rows = docs.select(F.col(id_col).alias("_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    rows = marked(rows, bitmap(dropped, "_id"), "_id")
+    sure, open_ = rows.filter("not _in"), rows.filter("_in")
+    return sure.select("_row.*").unionByName(open_.join(dropped, "_id", "left_anti").select("_row.*"))
 
 
 def at_least(rows: DataFrame, count_col: str, most: int) -> DataFrame:
     """The rows with the greatest counts, ``most`` of them at most: all whose count reaches a bound that a histogram gives.
 
-    Equal counts stay or go together. No task ever sorts or holds the candidates of the others.
+    The histogram has eight bins for each doubling, over the whole range. Counts of one bin stay or go together; no
+    task ever sorts or holds the candidates of the others. Counts below 1 never stay.
     """
-    top = 1 << 16
-    found = {r.c: r["count"] for r in rows.groupBy(F.least(F.col(count_col), F.lit(top)).cast("long").alias("c")).count().collect()}  # 65,536 rows at most
-    bound, sum_ = top + 1, 0
-    for c in sorted(found, reverse=True):
-        sum_ += found[c]
+    bin_ = F.floor(F.log2(F.col(count_col)) * 8)
+    rows = rows.filter(F.col(count_col) >= 1)
+    found = {r.b: r["count"] for r in rows.groupBy(bin_.alias("b")).count().collect()}  # 8 x 63 rows at most
+    bound, sum_ = None, 0
+    for b in sorted(found, reverse=True):
+        sum_ += found[b]
         if sum_ > most:
             break
-        bound = c
-    return rows.filter(F.col(count_col) >= bound)
+        bound = b
+    return rows.filter(F.lit(False) if bound is None else bin_ >= bound)
 
 
 def share_of(rows: DataFrame, n: int, id_col: str, salt: int) -> DataFrame:

@@ -18,22 +18,29 @@ CUES = {
     "email": "mail", "e-mail": "mail", "mail": "mail", "write": "mail", "contact": "mail", "correo": "mail", "courriel": "mail",
     "card": "card", "visa": "card", "mastercard": "card", "credit": "card", "karte": "card", "carte": "card", "tarjeta": "card",
     "ip": "host", "host": "host", "server": "host", "address": "host", "adresse": "host",
-    "at": "at", "dot": "dot", "(at)": "at", "[at]": "at", "(dot)": "dot", "[dot]": "dot",
+    "ring": "phone", "llama": "phone",  "text": "phone", "whatsapp": "phone", "ruf": "phone", "llámame": "phone", "teléfono": "phone", "appelle": "phone", "tél": "phone", "erreichbar": "phone", "handy": "phone", "portable": "phone", "móvil": "phone",
+    "invoice": "number", "number": "number", "nr": "number", "no": "number", "pages": "number", "order": "number", "account": "number", "parcel": "number", "rechnung": "number", "factura": "number", "dossier": "number", "serial": "number", "commande": "number", "pedido": "number", "konto": "number", "lines": "number", "seats": "number",
+    "at": "at", "dot": "dot", "(at)": "at", "[at]": "at", "(dot)": "dot", "[dot]": "dot", "arroba": "at", "arobase": "at", "punkt": "dot", "punto": "dot", "point": "dot",
 }
 _EDGE = ".,;:!?"
+#: Parts of a written shape.
+PARTS = 16
 
 
 def shape(token: str) -> str:
-    """X, x and d for runs of capitals, small letters and digits (with the number of digits), other characters as they are."""
+    """X, x and d for runs of capitals, small letters and digits (with the number of digits), other characters as they are.
+
+    The whole token counts; a shape of many parts is written as its first and last ones.
+    """
     out = []
-    for part in _PART.findall(token[:48]):
+    for part in _PART.findall(token):
         if part.isdigit():
             out.append("d" + str(min(len(part), 9)))
         elif part[0].isalpha():
             out.append("X" if part.isupper() else "x")
         elif not out or out[-1] != part:
             out.append(part)
-    return "".join(out[:16])
+    return "".join(out if len(out) <= PARTS else [*out[: PARTS // 2], "~", *out[-PARTS // 2 :]])
 
 
 def features(token: str) -> tuple[str, ...]:
@@ -44,8 +51,8 @@ def features(token: str) -> tuple[str, ...]:
     digits = sum(map(str.isdigit, core))
     cue = CUES.get(core.lower())
     return (
-        "s=" + full, "r=" + re.sub(r"(d[. -]?)+", "d", rough)[:8], f"n={min(digits, 20)}",
-        "@" if "@" in core else "", "+" if core[:1] == "+" else "", "(" if core[:1] in "([" else "",
+        "s=" + full, "r=" + re.sub(r"(d[. -]?)+", "d", rough), f"n={min(digits, 20)}",
+        "@" if "@" in core else "", "+" if core[:1] == "+" else "", f"0{min(digits, 9)}" if core[:1] == "0" else "", "(" if core[:1] in "([" else "",
         f"dots={min(core.count('.'), 4)}" if digits else "", "cue=" + cue if cue else "", "end" if token[-1:] in _EDGE else "",
     )
 
@@ -76,7 +83,7 @@ class Crf:
         out[:-1] += own[1:, 2]
         return out
 
-    def train(self, sentences: list[tuple[list[str], list[str]]], rounds: int = 60, rate: float = 0.4, ridge: float = 1e-3) -> Crf:
+    def train(self, sentences: list[tuple[list[str], list[str]]], rounds: int = 80, rate: float = 0.5, ridge: float = 1e-4) -> Crf:
         """Maximum likelihood by AdaGrad over whole sentences; the order of sentences is fixed, so is the result."""
         at = {t: k for k, t in enumerate(self.tags)}
         data = []

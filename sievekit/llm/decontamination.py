@@ -1,10 +1,14 @@
 """Benchmark passages in documents, also with other numbers, names or units put in.
 
-Texts become templates: numbers, names and units turn into typed placeholders, other words lose case and
-edge punctuation. Windows of template words are hashed and joined with the benchmark's. What stood in the
-placeholders decides in the end: along one alignment, equal values of the item must be equal in the document
-(or else the passage only has the same frame). A document holds an item when consistent windows cover at
-least half of the item's.
+Texts become templates: numbers and units turn into typed placeholders, other words lose case and edge punctuation.
+Capitalised words may be names or not, wherever they stand, so each window of words is hashed under two readings, with
+names as placeholders and with names as plain words, and joined with the benchmark's windows of the same reading.
+What stood in the placeholders decides in the end: along one alignment, equal values of the item have to be equal in
+the document; windows that disagree with what most windows say don't count. A document holds an item when the other
+windows cover at least half of the item's.
+
+What templates can't tell is compared word by word: windows that are mostly placeholders under both readings, and
+items of very few words, which have to stand alone on a line.
 """
 
 from __future__ import annotations
@@ -21,12 +25,12 @@ from pyspark.sql import functions as F
 from sievekit.llm.common import cut
 
 WINDOW = 8
-#: Items of fewer words aren't searched: they stand in ordinary text by chance.
+#: Items of fewer words stand in ordinary text by chance; they are looked for as whole lines.
 LEAST_WORDS = 5
 #: A window needs so many words outside placeholders, in eighths of its words.
 LEAST_PLAIN = 4
 SHARE = 0.5
-#: Bits of the filter of window hashes that every task holds (2 MB).
+#: Bits of the filter of window hashes that every task holds: 2 MB.
 BITS = 1 << 24
 CACHE_WORDS = 300_000
 
@@ -42,21 +46,21 @@ _EDGE = ".,;:!?\"'()[]{}<>|%&*#$"
 _MARKS = {"number": 1, "name": 2, "unit": 3}
 
 
+#: Readings of a window: names as placeholders, names as plain words, everything literally, a whole line literally.
+NAMED, PLAIN, LITERAL, LINE = range(4)
+
+
 class Vocabulary:
-    """Words met by a task, each with its hash, kind of placeholder (0: none), whether it looks like a name, whether it ends a sentence."""
+    """Words met by a task, each with its literal hash, kind of placeholder (0: none) and whether it looks like a name."""
 
     def __init__(self):
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, 4), dtype=np.uint64)
+        self.rows = np.zeros((1024, 3), dtype=np.uint64)
 
-    def _row(self, token: str) -> tuple[int, int, int, int]:
+    def _row(self, token: str) -> tuple[int, int, int]:
         core = token.strip(_EDGE)
-        ends = token[-1:] in ".!?"
-        if _NUMBER.fullmatch(core):
-            return _MARKS["number"], _MARKS["number"], 0, ends
-        if core.lower() in UNITS:
-            return _MARKS["unit"], _MARKS["unit"], 0, ends
-        return xxhash.xxh3_64_intdigest(core.lower().encode()), 0, bool(_NAME.fullmatch(core)), ends
+        kind = _MARKS["number"] if _NUMBER.fullmatch(core) else _MARKS["unit"] if core.lower() in UNITS else 0
+        return xxhash.xxh3_64_intdigest(core.lower().encode()), kind, not kind and bool(_NAME.fullmatch(core))
 
     def numbers(self, tokens: list[str]) -> np.ndarray:
         known = self.known
@@ -74,44 +78,66 @@ class Vocabulary:
         return np.array(out, dtype=np.int64)
 
 
+def _hashed(words: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each window of ``size`` words."""
+    n = len(words) - size + 1
+    h = np.full(n, size, dtype=np.uint64)
+    for k in range(size):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + words[k : k + n]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
 class Template:
-    """A text's words as hashes and placeholder kinds."""
+    """A text's words as literal hashes, placeholder kinds and looks of names."""
 
     def __init__(self, text: str, vocabulary: Vocabulary):
-        self.tokens = text.split()
-        numbers = vocabulary.numbers(self.tokens)
-        rows = vocabulary.rows[numbers]
-        self.hash, self.kind = rows[:, 0].copy(), rows[:, 1].copy()
-        # A capital after the end of a sentence, or at the start, makes no name.
-        inner = np.concatenate([[False], rows[:-1, 3] == 0]) if len(rows) else np.zeros(0, dtype=bool)
-        names = (rows[:, 2] == 1) & inner
-        self.hash[names] = self.kind[names] = _MARKS["name"]
-
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the windows of ``size`` words that hold enough plain words."""
-        n = len(self.tokens) - size + 1
-        if n <= 0:
+        self.text, self.tokens = text, text.split()
+        rows = vocabulary.rows[vocabulary.numbers(self.tokens)]
+        self.literal, self.kind, self.name = rows[:, 0], rows[:, 1], rows[:, 2] == 1
+
+    def windows(self, size: int, reading: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows of ``size`` words that a reading tells apart: those with enough plain words, or any."""
+        if len(self.tokens) < size:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        h = np.full(n, size, dtype=np.uint64)
-        for k in range(size):
-            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + self.hash[k : k + n]
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        slots = np.concatenate([[0], np.cumsum(self.kind > 0)])
-        at = np.flatnonzero((size - (slots[size:] - slots[:-size])) * 8 >= LEAST_PLAIN * size)
-        return at, h[at] ^ (h[at] >> np.uint64(32))
-
-    def slots(self, at: int, size: int) -> list[str]:
+        if reading == LITERAL:
+            h = _hashed(self.literal, size)
+            return np.arange(len(h)), h
+        slot = self._slot(reading)
+        word = np.where(self.kind > 0, self.kind, self.literal)
+        if reading == NAMED:
+            word = np.where(self.name, np.uint64(_MARKS["name"]), word)
+        sums = np.concatenate([[0], np.cumsum(slot)])
+        at = np.flatnonzero((size - (sums[size:] - sums[:-size])) * 8 >= LEAST_PLAIN * size)
+        if not len(at):
+            return at, np.zeros(0, dtype=np.uint64)
+        return at, _hashed(word, size)[at] + np.uint64(reading)
+
+    def _slot(self, reading: int) -> np.ndarray:
+        return (self.kind > 0) | self.name if reading == NAMED else self.kind > 0
+
+    def slots(self, at: int, size: int, reading: int) -> list[str]:
         """What stands in the placeholders of a window, lower case."""
-        return [self.tokens[k].strip(_EDGE).lower() for k in range(at, at + size) if self.kind[k]]
+        if reading >= LITERAL:
+            return []
+        slot = self._slot(reading)
+        return [self.tokens[k].strip(_EDGE).lower() for k in range(at, at + size) if slot[k]]
+
+    def lines(self, sizes: set[int], vocabulary: Vocabulary) -> Iterator[tuple[int, int, np.uint64]]:
+        """Number, number of words and hash of the lines that have one of these numbers of words."""
+        for number, line in enumerate(self.text.splitlines()):
+            words = line.split(None, max(sizes))
+            if len(words) in sizes:
+                yield number, len(words), _hashed(vocabulary.rows[vocabulary.numbers(words)][:, 0], len(words))[0]
 
 
-_WINDOWS = "id long, place int, size int, hash long, slots array<string>"
+_WINDOWS = "id long, place int, size int, reading int, hash long, slots array<string>"
+_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*found, strict=True)) if found else [[]] * 5
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "place", "size", "hash", "slots"])
+    columns = list(zip(*found, strict=True)) if found else [[]] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=["id", "place", "size", "reading", "hash", "slots"])
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,9 +147,17 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             template = Template(text or "", vocabulary)
             size = min(WINDOW, len(template.tokens))
-            if size >= LEAST_WORDS:
-                at, h = template.windows(size)
-                found += [(key, int(p), size, int(x), template.slots(int(p), size)) for p, x in zip(at, h.view(np.int64), strict=True)]
+            if 0 < size < LEAST_WORDS:
+                found.append((key, 0, size, LINE, int(_hashed(template.literal, size)[0].view(np.int64)), []))
+            elif size:
+                told = np.zeros(len(template.tokens) - size + 1, dtype=bool)
+                for reading in (NAMED, PLAIN, LITERAL):
+                    at, h = template.windows(size, reading)
+                    for p, x in zip(at.tolist(), h.view(np.int64).tolist(), strict=True):
+                        # Literally only where no template can tell.
+                        if reading != LITERAL or not told[p]:
+                            found.append((key, p, size, reading, x, template.slots(p, size, reading)))
+                    told[at] = True
         yield _rows(found)
 
 
@@ -132,48 +166,63 @@ def contaminated(
 ) -> DataFrame:
     """One row for each document and benchmark item that it holds: id, item, ``n_windows`` of the item, ``covered``, ``share``, ``literal``.
 
-    ``literal``: every placeholder holds what it holds in the item. Whole texts are searched; a task only sends
-    on the windows whose hash may be one of the benchmark's. Items of fewer than five words, null texts, and
-    rows without an id take no part; repeated rows count once. Other columns aren't read. If either table is
-    empty, so is the result.
+    ``literal``: every placeholder of the windows that count holds what it holds in the item. Whole texts are searched,
+    however long; a task only sends on the windows whose hash may be one of the benchmark's. Null and empty texts hold
+    nothing and are held by nothing; rows without an id take no part; repeated rows count once. If two values are equally
+    frequent for one placeholder, the greater one in the order of strings counts. Other columns aren't read, whatever
+    their names. If either table is empty, so is the result.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).filter("id is not null and text is not null")
     items = cut(items.mapInArrow(_item_windows, _WINDOWS).distinct())
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW of them
+    wanted = sorted((r.size_, r.reading) for r in items.select(F.col("size").alias("size_"), "reading").distinct().collect())  # 4 x WINDOW of them at most
     held = np.zeros(BITS // 8, dtype=np.uint8)
     own_bit = items.select((F.col("hash").bitwiseAND(F.lit(BITS - 1))).alias("bit"))
     own_bit = own_bit.select(F.bitmap_bucket_number(F.col("bit") + 1).alias("k"), F.bitmap_bit_position(F.col("bit") + 1).alias("p"))
     for r in own_bit.groupBy("k").agg(F.bitmap_construct_agg("p").alias("b")).collect():  # BITS / 8 bytes at most
         held[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.b), dtype=np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast((sizes, np.unpackbits(held, bitorder="little").astype(bool)))
+    sent = docs.sparkSession.sparkContext.broadcast((wanted, held))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, (sizes, bits) = Vocabulary(), sent.value
+        vocabulary, (wanted, bits) = Vocabulary(), sent.value
+        short = {size for size, reading in wanted if reading == LINE}
+
+        def hit(h: np.ndarray) -> np.ndarray:
+            at = (h & np.uint64(BITS - 1)).astype(np.int64)
+            return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1
+
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part, found = batch.slice(start, 256), []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     template = Template(text or "", vocabulary)
-                    for size in sizes:
-                        at, h = template.windows(size)
-                        hit = np.flatnonzero(bits[(h & np.uint64(BITS - 1)).astype(np.int64)])
-                        found += [(key, int(at[k]), size, int(h[k].view(np.int64)), template.slots(int(at[k]), size)) for k in hit]
+                    for size, reading in wanted:
+                        if reading != LINE:
+                            at, h = template.windows(size, reading)
+                            for k in np.flatnonzero(hit(h)).tolist():
+                                found.append((key, int(at[k]), size, reading, int(h[k].view(np.int64)), template.slots(int(at[k]), size, reading)))
+                    if short:
+                        for number, size, h in template.lines(short, vocabulary):
+                            if hit(np.array([h]))[0]:
+                                found.append((key, number, size, LINE, int(h.view(np.int64)), []))
                 if found:
                     yield _rows(found)
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null")
     hits = own.mapInArrow(search, _WINDOWS)
-    right = items.select(F.col("id").alias("item"), F.col("place").alias("item_place"), "size", "hash", F.col("slots").alias("item_slots"))
-    met = hits.join(right, ["hash", "size"]).select("id", "item", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", F.arrays_zip("item_slots", "slots").alias("pairs"))
+    right = items.select(F.col("id").alias("item"), F.col("place").alias("item_place"), "size", "reading", "hash", F.col("slots").alias("item_slots"))
+    met = hits.join(right, ["hash", "size", "reading"])
     # One alignment: the item's words at one distance in the document. It has each place of the item once.
-    aligned = met.groupBy("id", "item", "shift").agg(
-        F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
-    values = F.array_distinct(F.transform("pairs", lambda x: x["item_slots"]))
-    aligned = aligned.filter(F.size(values) == F.size("pairs"))
-    aligned = aligned.withColumn("literal", F.forall("pairs", lambda x: x["item_slots"] == x["slots"]))
-    by_item = aligned.select("id", "item", "literal", F.explode("places").alias("place")).groupBy("id", "item")
-    by_item = by_item.agg(F.count_distinct("place").alias("covered"), F.bool_and("literal").alias("literal"))
+    aligned = ["id", "item", "reading", "shift"]
+    met = met.select("id", "item", "reading", (F.col("place") - F.col("item_place")).alias("shift"), "item_place", F.arrays_zip("item_slots", "slots").alias("pairs"))
+    met = cut(met.distinct())
+    values = met.select(*aligned, "item_place", F.explode("pairs").alias("pair")).select(*aligned, "item_place", "pair.*")
+    votes = values.groupBy(*aligned, "item_slots", "slots").agg(F.count("*").alias("n"))
+    votes = votes.groupBy(*aligned, "item_slots").agg(F.max_by("slots", F.struct("n", "slots")).alias("most"))
+    odd = values.join(votes, [*aligned, "item_slots"]).filter("slots != most").select(*aligned, "item_place").distinct()
+    agreed = met.join(odd, [*aligned, "item_place"], "left_anti")
+    agreed = agreed.select("id", "item", "item_place", F.forall("pairs", lambda x: x["item_slots"] == x["slots"]).alias("literal"))
+    by_item = agreed.groupBy("id", "item", "item_place").agg(F.max("literal").alias("literal")).groupBy("id", "item")
+    by_item = by_item.agg(F.count("*").alias("covered"), F.min("literal").alias("literal"))
     number = items.groupBy(F.col("id").alias("item")).agg(F.count_distinct("place").alias("n_windows"))
     out = by_item.join(number, "item").withColumn("share", F.col("covered") / F.col("n_windows")).filter(F.col("share") >= share)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "covered", "share", "literal")

@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and spans that a conditional random field finds beyond them.
 
 The field is trained on a small labelled table of marked sentences. It is decoded only in windows around
-tokens that hold a digit or an @ or spell out a dot: no span of these kinds is without one.
+tokens that hold a digit or an @ or spell out a dot in one of four languages: no span of these kinds is without one.
 """
 
 from __future__ import annotations
@@ -20,6 +20,9 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = ["O", *(f"{b}-{k}" for k in KINDS for b in "BI")]
 #: Tokens to either side of a signal that the field sees.
 REACH = 6
+#: Tokens of a window at most, and those that two pieces of a longer one share on either side; tokens decoded at once.
+LONGEST, OVERLAP = 256, 24
+TOGETHER = 20_000
 
 #: The labelled table: spans are marked [kind|text]; {name} stands for made-up values of that sort.
 SENTENCES = """
@@ -66,6 +69,47 @@ follow @{handle} for news
 card games are fun
 they host a party at home
 mail order is slow , the phone is dead
+reach [email|{at_email}] for the keys
+just drop [email|{at_email}] a line
+you will find [email|{at_name}] in the list
+reach [email|{at_name}] any time
+ask [email|{at_name}] or [email|{email}]
+my address is [email|{at_email}] ok
+adresse : [email|{at_de}] bitte
+schreib an [email|{at_de}] wegen der Miete
+escribe a [email|{at_es}] hoy
+mi correo es [email|{at_es}] , gracias
+écris à [email|{at_fr}] demain
+mon adresse est [email|{at_fr}] merci
+ring me on [phone|{uk}] tonight
+ring [phone|{uk}] before six
+text me at [phone|{uk}] please
+ruf mich unter [phone|{de}] an
+Telefon [phone|{de}] oder [phone|{local}]
+erreichbar unter [phone|{de}]
+llámame al [phone|{es}] mañana
+teléfono [phone|{es}]
+appelle le [phone|{fr}] ce soir
+tél. [phone|{fr}]
+whatsapp [phone|{phone}] or [phone|{es}]
+invoice number {zero_number} is open
+invoice {zero_number} , customer {long_number}
+order no {zero_number} from {date}
+parcel {zero_number} arrives at {time}
+account {long_number} at the bank
+Rechnung Nr. {zero_number} vom {date}
+factura {zero_number} del {year}
+dossier {zero_number} du {date}
+the dot at the end of the line
+we met at noon and left at dawn
+polka dot dress at the shop
+a dot com company at the edge of town
+the score was {small} {small} {small} at half time
+lines {small} {small} {small} {small} of the table
+pages {small} {small} {small} {small}
+pages {small} {small} {small} of the book
+seats {small} {small} and {small} at the back
+in {year} {year} and {year} the river rose
 """
 
 
@@ -85,11 +129,14 @@ def _values(rng: random.Random) -> dict[str, str]:
         "card": card, "card_spaced": " ".join(groups), "card_dashed": "-".join(groups),
         "small": d(rng.randint(1, 3)), "year": "1" + d(3), "version": f"{d(1)}.{d(2)}.{d(1)}", "price": f"${d(2)}.{d(2)}", "month": f"0{d(1)}/{d(2)}",
         "long_number": d(rng.randint(6, 12)), "date": f"20{d(2)}-0{d(1)}-1{d(1)}", "time": f"1{d(1)}:{d(2)}", "big": f"{d(1)},{d(3)},{d(3)}",
+        "at_name": f"{word()} dot {word()} at {word()} dot {rng.choice(['com', 'org', 'net'])}", "at_de": f"{word()} at {word()} punkt de", "at_es": f"{word()} arroba {word()} punto es", "at_fr": f"{word()} arobase {word()} point fr",
+        "uk": rng.choice([f"0{d(3)} {d(3)} {d(4)}", f"0{d(4)} {d(6)}", f"0{d(2)} {d(4)} {d(4)}"]), "de": rng.choice([f"0{d(3)}/{d(7)}", f"0{d(3)} {d(7)}", f"0{d(2)}-{d(8)}"]),
+        "es": rng.choice([f"6{d(2)} {d(3)} {d(3)}", f"9{d(8)}"]), "fr": f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", "zero_number": "0" + d(9),
         "hex": "".join(rng.choice("0123456789abcdef") for _ in range(32)), "decimal": f"0.{d(3)}", "handle": word(),
     }
 
 
-def labelled(sentences: str = SENTENCES, copies: int = 5, seed: int = 11) -> list[tuple[list[str], list[str]]]:
+def labelled(sentences: str = SENTENCES, copies: int = 4, seed: int = 11) -> list[tuple[list[str], list[str]]]:
     """The labelled table as tokens and tags."""
     rng, out = random.Random(seed), []
     for _ in range(copies):
@@ -117,11 +164,11 @@ def luhn(digits: str) -> bool:
 
 
 _LOCAL = r"[A-Za-z0-9._%+-]++"
-_DOMAIN = r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+_DOMAIN = r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)++"
 _EMAIL_RUN = re.compile(rf"(?<![A-Za-z0-9._%+-]){_LOCAL}{_DOMAIN}")
 _EMAIL_HERE = re.compile(_LOCAL + _DOMAIN)
 _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 
@@ -153,19 +200,18 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-_SIGNAL = re.compile(r"[0-9@]|\b[dD][oO][tT]\b")
+_SIGNAL = re.compile(r"[0-9@]|\b(?:dot|punkt|punto|point)\b", re.IGNORECASE)
 _TOKEN = re.compile(r"\S+")
 
 
-def _plausible(kind: str, text: str) -> bool:
+def _valid(kind: str, text: str) -> bool:
+    """What no context can make up for: a card's checksum, an address's numbers, a telephone's number of digits."""
     digits = "".join(c for c in text if c.isascii() and c.isdigit())
-    if kind == "email":
-        return "@" in text or bool(re.search(r"\bat\b.*\bdot\b", text, re.IGNORECASE))
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", text)) and all(int(p) <= 255 for p in text.split("."))
+        return all(p.isdigit() and int(p) <= 255 for p in text.split("."))
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
-    return 9 <= len(digits) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][0-9 ().-]*", text))
+    return kind == "email" or 7 <= len(digits) <= 15
 
 
 class Finder:
@@ -174,43 +220,62 @@ class Finder:
     def __init__(self, crf: Crf):
         self.crf = crf
 
-    def _windows(self, text: str) -> Iterable[list[tuple[int, str]]]:
-        """Tokens with their places around signals, line by line; neighbours' windows are joined."""
+    def _windows(self, text: str) -> Iterable[tuple[list[tuple[int, str]], int, int]]:
+        """Tokens with their places around signals, line by line; neighbours' windows are joined.
+
+        A long window comes in pieces that overlap: of each, the spans that begin in the given range of its tokens count.
+        """
         at = 0
         while signal := _SIGNAL.search(text, at):
             begin, stop = text.rfind("\n", 0, signal.start()) + 1, text.find("\n", signal.start())
             stop = len(text) if stop < 0 else stop
             at = stop
-            tokens = [(begin + m.start(), m[0]) for m in _TOKEN.finditer(text[begin:stop])]
-            marks = [k for k, (_, t) in enumerate(tokens) if not plain(t)]
-            first = last = None
-            for k in marks:
-                if first is not None and k - REACH > last:
-                    yield tokens[first:last]
-                    first = None
-                if first is None:
-                    first = max(0, k - REACH)
-                last = k + REACH + 1
-            if first is not None:
-                yield tokens[first:last]
+            held: list[tuple[int, str]] = []
+            core, since = 0, -1  # tokens since the last signal; -1: none is held
+            for m in _TOKEN.finditer(text, begin, stop):
+                held.append((m.start(), m[0]))
+                if not plain(m[0]):
+                    if since < 0:
+                        held = held[-REACH - 1 :]
+                    since = 0
+                elif since >= 0:
+                    since += 1
+                    if since > 2 * REACH:
+                        yield held[: len(held) - since + REACH], core, len(held)
+                        held, core, since = held[-REACH:], 0, -1
+                elif len(held) > LONGEST:
+                    held = held[-REACH:]
+                if since >= 0 and len(held) >= LONGEST:
+                    yield held, core, len(held) - OVERLAP
+                    held, core = held[-2 * OVERLAP :], OVERLAP
+            if since >= 0:
+                yield held[: len(held) - max(0, since - REACH)], core, len(held)
 
     def __call__(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
         found = [base_spans(text) for text in texts]
-        windows = [(n, w) for n, text in enumerate(texts) for w in self._windows(text)]
-        for at in range(0, len(windows), 2048):
-            part = windows[at : at + 2048]
-            known = {t: None for _, w in part for _, t in w}
-            rows = self.crf.rows(list(known))
-            place = {t: k for k, t in enumerate(known)}
-            tags = self.crf.decode([rows[[place[t] for _, t in w]] for _, w in part])
-            for (n, window), best in zip(part, tags, strict=True):
-                if best.any():
-                    self._add(found[n], texts[n], window, best)
+        held: list[tuple[int, tuple]] = []
+        size = 0
+        for n, text in enumerate(texts):
+            for window in self._windows(text):
+                held.append((n, window))
+                size += len(window[0])
+                if size >= TOGETHER:
+                    self._decode(held, texts, found)
+                    held, size = [], 0
+        self._decode(held, texts, found)
         return [sorted(set(spans), key=lambda x: (x[0], KINDS.index(x[2]), x[1])) for spans in found]
 
+    def _decode(self, held: list[tuple[int, tuple]], texts: list[str], found: list) -> None:
+        place = {t: k for k, t in enumerate(dict.fromkeys(t for _, (w, _, _) in held for _, t in w))}
+        rows = self.crf.rows(list(place))
+        tags = self.crf.decode([rows[[place[t] for _, t in w]] for _, (w, _, _) in held])
+        for (n, (window, core, end)), best in zip(held, tags, strict=True):
+            if best.any():
+                self._add(found[n], texts[n], window, best, core, end)
+
     @staticmethod
-    def _add(spans: list, text: str, window: list[tuple[int, str]], best: np.ndarray) -> None:
-        """The window's spans that are plausible and touch no span that is there already."""
+    def _add(spans: list, text: str, window: list[tuple[int, str]], best: np.ndarray, core: int, stop: int) -> None:
+        """The window's valid spans that touch no span that is there already."""
         k = 0
         while k < len(window):
             tag = TAGS[best[k]]
@@ -223,7 +288,7 @@ class Finder:
             begin, end = window[k][0], window[j - 1][0] + len(window[j - 1][1])
             while end > begin and text[end - 1] in ".,;:!?\"'":
                 end -= 1
-            if _plausible(tag[2:], text[begin:end]) and not any(a < end and begin < b for a, b, _ in spans):
+            if core <= k < stop and _valid(tag[2:], text[begin:end]) and not any(a < end and begin < b for a, b, _ in spans):
                 spans.append((begin, end, tag[2:]))
             k = j
 
@@ -236,8 +301,9 @@ def find_pii(docs: DataFrame, examples: list[tuple[list[str], list[str]]] | None
     """One row for each row of ``docs``: id and ``found``, an array of (start, end, kind, base) in code points, end exclusive.
 
     ``base`` tells the fixed patterns' spans from those that the field adds. A null or empty text has none.
-    Whole texts are searched, the patterns in time linear in the length. Repeated rows give repeated rows;
-    other columns aren't read; an empty table gives an empty result. ``examples``: the labelled table as
+    Whole texts are searched, the patterns in time linear in the length; the field sees long lines in overlapping
+    pieces of a fixed size. Spans that begin at one place come in the order of KINDS. Repeated rows give repeated rows;
+    other columns aren't read, whatever their names; an empty table gives an empty result. ``examples``: the labelled table as
     tokens and tags, by default the one in this module.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(examples))  # a few thousand weights

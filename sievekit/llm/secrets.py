@@ -7,7 +7,6 @@ without keywords cost one pass. Runs of hexadecimal digits have no keyword and a
 from __future__ import annotations
 
 import base64
-import binascii
 import json
 import re
 import zlib
@@ -31,7 +30,7 @@ _ANCHORED = {
     "github": (re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     "npm": (re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), ("npm_",)),
     "jwt": (re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+"), ("eyj",)),
-    "pem": (re.compile(r"-----BEGIN ([A-Z ]{0,32}PRIVATE KEY)-----\s*([A-Za-z0-9+/=\s]+?)\s*-----END \1-----"), ("-----begin",)),
+    "pem": (re.compile(r"-----BEGIN ([A-Z ]{0,32}PRIVATE KEY)-----([A-Za-z0-9+/=\s]++)-----END \1-----"), ("-----begin",)),
 }
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _UPPER = {k: k + 32 for k in range(65, 91)}
@@ -50,7 +49,7 @@ def crc_suffix(value: str) -> bool:
 def _json(part: str) -> object:
     try:
         return json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except (ValueError, binascii.Error):
+    except (ValueError, RecursionError):  # nested too deep: no token has that
         return None
 
 
@@ -58,7 +57,7 @@ def _der(body: str) -> bool:
     """Does the block decode to one ASN.1 sequence whose length field fits?"""
     try:
         data = base64.b64decode("".join(body.split()), validate=True)
-    except (ValueError, binascii.Error):
+    except ValueError:
         return False
     if len(data) < 4 or data[0] != 0x30:
         return False
@@ -111,8 +110,10 @@ def scan(text: str, words: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id and ``found``, an array of (start, end, kind) in code points, end exclusive.
 
-    A null or empty text has no findings. Whole texts are scanned, in time linear in their length. Repeated
-    rows give repeated rows; other columns aren't read; an empty table gives an empty result.
+    A null or empty text has no findings. Whole texts are scanned, in time linear in their length. Matches of one kind
+    don't overlap; those that begin at one place come in the order of KINDS. A key block without an end, and a token
+    whose parts aren't JSON or are nested beyond the parser's depth, is no finding. Repeated rows give repeated rows;
+    other columns aren't read, whatever their names; an empty table gives an empty result.
     """
 
     def make():
