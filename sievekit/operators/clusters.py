@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievekit.operators.materialise import cut
+
 
 def gap_clusters(rows: DataFrame, keys: list[str], line: str, gap: Column | int, order: list[Column]) -> DataFrame:
     """Gaps and islands: within ``keys``, a row more than ``gap`` after the one before it begins a cluster.
@@ -28,9 +30,17 @@ def gap_clusters(rows: DataFrame, keys: list[str], line: str, gap: Column | int,
 
 
 def occurrence_ids(rows: DataFrame, base: str, *order: str) -> DataFrame:
-    """``ordinal`` among equal ``base`` values and ``fingerprint``: the base itself first, then a hash of base#n."""
-    n = F.row_number().over(W.partitionBy(base).orderBy(*order)) - 1
-    rows = rows.withColumn("ordinal", n)
+    """``ordinal`` among equal ``base`` values and ``fingerprint``: the base itself first, then a hash of base#n.
+
+    Rows are sorted into ranges, so copies of one value may fill many of them; numbers begin where the ranges before end.
+    """
+    dealt = rows.repartitionByRange(base, *order).withColumn("_range", F.spark_partition_id())
+    dealt = cut(dealt)  # the ranges have to stay as they are
+    own = F.row_number().over(W.partitionBy("_range", base).orderBy(*order)) - 1
+    counts = dealt.groupBy(base, "_range").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(base).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    counts = counts.select(base, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = dealt.withColumn("_own", own).join(counts, [base, "_range"]).withColumn("ordinal", F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")
     hashed = F.sha2(F.concat(F.col(base), F.lit("#"), F.col("ordinal").cast("string")), 256)
     return rows.withColumn("fingerprint", F.when(F.col("ordinal") == 0, F.col(base)).otherwise(hashed))
 

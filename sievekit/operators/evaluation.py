@@ -38,12 +38,16 @@ def best_setting(rows: DataFrame, grid: list[tuple[float, float, float]]) -> Dat
 
 
 def credited(cases: DataFrame, found: DataFrame) -> DataFrame:
-    """How a case was met: by the expected rule, else the category, else the CWE; NULL if not at all. Cases: case_id, path, rule_id, category, cwe."""
-    f = found.select("path", F.col("rule_id").alias("_rule"), F.col("category").alias("_category"), F.col("cwe").alias("_cwe"))
-    rows = cases.join(f, "path", "left")
-    met = F.when(F.col("_rule") == F.col("rule_id"), 1).when(F.col("_category") == F.col("category"), 2).when(F.array_contains("_cwe", F.col("cwe")), 3)
-    out = rows.groupBy("case_id").agg(F.min(met).alias("_met"))
-    return out.select("case_id", F.create_map(F.lit(1), F.lit("rule"), F.lit(2), F.lit("category"), F.lit(3), F.lit("cwe"))[F.col("_met")].alias("credit"))
+    """How a case was met: by the expected rule, else the category, else the CWE; NULL if not at all. Cases: case_id, path, rule_id, category, cwe.
+
+    Three equi-joins with distinct keys, so a path with very many findings isn't paired with its cases.
+    """
+    ways = [("rule_id", F.col("rule_id")), ("category", F.col("category")), ("cwe", F.explode("cwe"))]
+    out = cases.select("case_id").distinct()
+    for number, (key, value) in enumerate(ways):
+        met = cases.select("case_id", "path", key).join(found.select("path", value.alias(key)).distinct(), ["path", key])
+        out = out.join(met.select("case_id", F.lit(("rule", "category", "cwe")[number]).alias(f"_{number}")).distinct(), "case_id", "left")
+    return out.select("case_id", F.coalesce("_0", "_1", "_2").alias("credit"))
 
 
 def pairs_hold(rows: DataFrame) -> DataFrame:

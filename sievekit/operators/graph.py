@@ -7,15 +7,36 @@ reached before, so a node is expanded once and cycles end. Rounds stop when the
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievekit.operators.findings import hop_confidence
 from sievekit.operators.materialise import cut
 
 
+#: Fronts that are kept apart until they are written as one.
+FRONTS = 16
+
+
+class Fronts:
+    """Rows found so far, front by front; each is written once, and now and then all are written as one."""
+
+    def __init__(self, first: DataFrame):
+        self.parts = [first]
+
+    def add(self, front: DataFrame) -> None:
+        self.parts.append(front)
+        if len(self.parts) > FRONTS:
+            self.parts = [cut(self.all())]
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, self.parts)
+
+
 def layers(edges: DataFrame, seeds: DataFrame, first_edges: DataFrame | None = None, most: int | None = None, upward: bool = True) -> DataFrame:
-    """Breadth-first layers from all ``seeds`` (column ``node``): node, ``dist`` (fewest hops), ``pred`` (the smallest node of the layer before).
+    """Breadth-first layers from all ``seeds`` (column ``node``): node, ``dist`` (fewest hops), ``pred`` (the smallest node of the layer before), ``origin`` (the seed that ``pred`` leads to).
 
     ``upward`` goes from callees to callers, else from callers to callees. ``first_edges`` replaces the edges of
     the first hop. ``most``: hops at most; None: as many as there are.
@@ -28,17 +49,18 @@ def layers(edges: DataFrame, seeds: DataFrame, first_edges: DataFrame | None = N
     later = pairs(edges)
     first = pairs(first_edges) if first_edges is not None else later
     node_type = seeds.schema["node"].dataType
-    front = cut(seeds.select("node", F.lit(0).alias("dist"), F.lit(None).cast(node_type).alias("pred")).distinct())
-    reached, hop = front, 0
+    front = cut(seeds.select("node", F.lit(0).alias("dist"), F.lit(None).cast(node_type).alias("pred"), F.col("node").alias("origin")).distinct())
+    reached, hop = Fronts(front), 0
     while most is None or hop < most:
         hop += 1
         moves = first if hop == 1 else later
-        found = moves.join(front.select(F.col("node").alias("_near")), "_near").groupBy(F.col("_far").alias("node")).agg(F.min("_near").alias("pred"))
-        front = cut(found.join(reached.select("node"), "node", "left_anti").select("node", F.lit(hop).alias("dist"), "pred"))
+        found = moves.join(front.select(F.col("node").alias("_near"), "origin"), "_near").groupBy(F.col("_far").alias("node"))
+        found = found.agg(F.min("_near").alias("pred"), F.min_by("origin", "_near").alias("origin"))
+        front = cut(found.join(reached.all().select("node"), "node", "left_anti").select("node", F.lit(hop).alias("dist"), "pred", "origin"))
         if front.isEmpty():
             break
-        reached = cut(reached.unionByName(front))
-    return reached
+        reached.add(front)
+    return reached.all()
 
 
 def closure(edges: DataFrame, seeds: DataFrame, upward: bool = False, most: int | None = None) -> DataFrame:
@@ -46,14 +68,20 @@ def closure(edges: DataFrame, seeds: DataFrame, upward: bool = False, most: int
     return layers(edges, seeds, most=most, upward=upward).select("node")
 
 
-def sink_first_hop() -> Column:
-    """May an edge carry taint into a sink's parameter? Only if slots and summary are both known must they overlap.
+def misses_sink() -> Column:
+    """Do a call's tainted arguments surely miss the callee's sink? Only if slots and summary are both known and share nothing.
 
     Edge columns: ``tainted_slots``, ``sink_params`` (of the callee), arrays or NULL, and ``has_args``. NULL is
     "not computed"; an empty array is "computed, nothing gets there".
     """
     known = F.col("sink_params").isNotNull() & F.col("tainted_slots").isNotNull()
-    return F.when(known, F.coalesce(F.arrays_overlap("sink_params", "tainted_slots"), F.lit(False))).otherwise(passes_taint())
+    return known & ~F.coalesce(F.arrays_overlap("sink_params", "tainted_slots"), F.lit(False))
+
+
+def hits_sink() -> Column:
+    """Does a call hand taint to the callee's own sink? With a summary a slot has to be shown; without one any tainted argument will do."""
+    shown = F.coalesce(F.arrays_overlap("sink_params", "tainted_slots"), F.lit(False))
+    return F.when(F.col("sink_params").isNotNull(), shown).otherwise(passes_taint())
 
 
 def passes_taint() -> Column:
@@ -93,40 +121,63 @@ def resolved_calls(calls: DataFrame, imports: DataFrame, functions: DataFrame) -
     return rows.withColumn("callee_file", F.coalesce("resolved_file", "_module_file", by_name)).drop("_module_file", "_name_file", "_own_file")
 
 
+#: CWE of forged log entries: real, but not what a sink usually is.
+LOG_FORGING = 117
+RULES = {"sink": "CF-SINK-001", "return": "CF-RETURN-001"}
+
+
 def emissions(edges: DataFrame, functions: DataFrame, most: int | None = None) -> DataFrame:
-    """Cross-file findings: ``direction`` sink, return or pass, with ``caller``, ``callee`` and ``depth``.
+    """Cross-file findings, one for each (caller, callee, direction): direction ``sink`` or ``return``, depth, severity, confidence, rule_id, sink.
 
-    functions: node, file, has_sink, has_source, sink_params, return_params, sink_calls, returned_calls. edges:
-    caller, callee, callee_name, has_args, tainted_slots. A finding needs two files; of equal (caller, callee,
-    direction) the least deep one stays.
+    functions: node, file, has_sink, has_source, operator_only (its sources are the operator's own), sink_params,
+    return_params, sink_calls, returned_calls, sink_cwe (array of int), classified (its sink has a category or a
+    description). edges: caller, callee, callee_name, has_args, tainted_slots. A finding needs two files.
+
+    sink: a caller that taint reaches hands it to a callee from which a sink is reached. return: a caller with a sink
+    of its own uses a callee's tainted result, or that of a callee that returns what it is given (depth 0, where the
+    first way found nothing). ``sink``: the function at the end of the chain; of a return the callee. High; medium for
+    forged log entries and for an operator's own input, whose confidence is at most 0.5; low for a return from a
+    callee of which nothing is known.
     """
     f = lambda side, *names: functions.select(F.col("node").alias(side), *(F.col(n).alias(f"{side}_{n}") for n in names))
-    rows = edges.join(f("caller", "file", "has_sink", "has_source", "sink_calls", "returned_calls"), "caller")
-    rows = cut(rows.join(f("callee", "file", "sink_params", "return_params", "has_source"), "callee"))
+    rows = edges.join(f("caller", "file", "has_sink", "sink_calls", "returned_calls"), "caller")
+    rows = cut(rows.join(f("callee", "file", "sink_params", "return_params"), "callee"))
     gated = rows.withColumnRenamed("callee_sink_params", "sink_params").withColumnRenamed("caller_returned_calls", "returned_calls")
+    passing = gated.filter(passes_taint())
     sinks = functions.filter("has_sink").select("node")
-    sources = functions.filter("has_source").select("node")
-    to_sink = layers(gated.filter(passes_taint()), sinks, first_edges=gated.filter(sink_first_hop()), most=most)
-    returning = layers(gated.filter(returns_call()), sources, most=most)
-    from_source = closure(edges, sources, upward=False, most=most)
+    sources = functions.filter("has_source")
+    to_sink = layers(passing, sinks, first_edges=gated.filter(~misses_sink()), most=most)
+    returning = layers(gated.filter(returns_call()), sources.select("node"), most=most)
+    from_source = closure(passing, sources.select("node"), upward=False, most=most)
+    from_remote = closure(passing, sources.filter("not operator_only").select("node"), upward=False, most=most)
     across = gated.filter("caller_file != callee_file")
 
-    hit = across.join(to_sink.select(F.col("node").alias("callee"), "dist"), "callee").join(from_source.select(F.col("node").alias("caller")), "caller", "left_semi")
-    hit = hit.filter(F.when(F.col("dist") == 0, sink_first_hop()).otherwise(passes_taint()))
+    hit = across.join(to_sink.select(F.col("node").alias("callee"), "dist", "origin"), "callee").join(from_source.select(F.col("node").alias("caller")), "caller", "left_semi")
+    hit = hit.filter(F.when(F.col("dist") == 0, hits_sink()).otherwise(passes_taint()))
+    remote = from_remote.select(F.col("node").alias("caller"), F.lit(False).alias("own_input"))
+    hit = hit.select("caller", "callee", F.lit("sink").alias("direction"), F.col("dist").alias("depth"), F.col("origin").alias("sink")).distinct()
+    hit = hit.join(remote, "caller", "left").withColumn("own_input", F.coalesce("own_input", F.lit(True)))
     back = across.filter("caller_has_sink").join(returning.select(F.col("node").alias("callee"), "dist"), "callee")
     back = back.filter(F.col("caller_sink_calls").isNull() | F.array_contains("caller_sink_calls", F.col("callee_name")))
-    through = across.filter("caller_has_sink and caller_has_source").filter(F.coalesce(F.arrays_overlap("tainted_slots", "callee_return_params"), F.lit(False)))
-    found = (
-        hit.select(F.lit("sink").alias("direction"), "caller", "callee", F.col("dist").alias("depth"))
-        .unionByName(back.select(F.lit("return").alias("direction"), "caller", "callee", F.col("dist").alias("depth")))
-        .unionByName(through.select(F.lit("pass").alias("direction"), "caller", "callee", F.lit(0).alias("depth")))
-    )
-    return found.groupBy("direction", "caller", "callee").agg(F.min("depth").alias("depth"))
+    through = across.filter("caller_has_sink").filter(F.coalesce(F.arrays_overlap("tainted_slots", "callee_return_params"), F.lit(False)))
+    # Where both ways find an edge, the relayed one counts.
+    back = back.select("caller", "callee", F.col("dist").alias("depth"), F.lit(0).alias("_way")).unionByName(through.select("caller", "callee", F.lit(0).alias("depth"), F.lit(1).alias("_way")))
+    back = back.groupBy("caller", "callee").agg(F.min_by("depth", F.struct("_way", "depth")).alias("depth"))
+    back = back.select("caller", "callee", F.lit("return").alias("direction"), "depth", F.col("callee").alias("sink"), F.lit(False).alias("own_input"))
+    found = hit.unionByName(back).join(functions.select(F.col("node").alias("sink"), "sink_cwe", "classified"), "sink")
+    unknown = (F.col("direction") == "return") & (F.size("sink_cwe") == 0) & ~F.col("classified")
+    mild = F.array_contains("sink_cwe", LOG_FORGING) | F.col("own_input")
+    confidence = hop_confidence(F.col("depth"), "cross-file")
+    return found.select(
+        "direction", "caller", "callee", "depth", "sink", F.when(unknown, "low").when(mild, "medium").otherwise("high").alias("severity"),
+        F.when(F.col("own_input"), F.least(confidence, F.lit(0.5))).otherwise(confidence).alias("confidence"),
+        F.when(F.col("direction") == "sink", RULES["sink"]).otherwise(RULES["return"]).alias("rule_id"),
+    )
 
 
 def merge_directions(found: DataFrame) -> DataFrame:
     """Of a sink and a return finding between the same two functions the sink one stays, with the greater confidence."""
-    first = F.when(F.col("direction") == "sink", 0).when(F.col("direction") == "return", 1).otherwise(2)
+    first = F.when(F.col("direction") == "sink", 0).otherwise(1)
     return found.groupBy("caller", "callee").agg(
         F.min_by("direction", first).alias("direction"), F.min_by("depth", first).alias("depth"), F.max("confidence").alias("confidence")
     )
@@ -135,35 +186,38 @@ def merge_directions(found: DataFrame) -> DataFrame:
 def paths(reached: DataFrame, most: int | None = None) -> DataFrame:
     """``path`` of each node of ``layers()``: itself, its predecessor, and so on to the seed."""
     front = cut(reached.filter("dist = 0").select("node", "dist", F.array("node").alias("path")))
-    done, hop = front, 0
+    done, hop = Fronts(front), 0
     while most is None or hop < most:
         hop += 1
         step = reached.filter(F.col("dist") == hop).join(front.select(F.col("node").alias("pred"), F.col("path").alias("_tail")), "pred")
         front = cut(step.select("node", "dist", F.concat(F.array("node"), "_tail").alias("path")))
         if front.isEmpty():
             break
-        done = cut(done.unionByName(front))
-    return done
+        done.add(front)
+    return done.all()
 
 
-def fixpoint(state: DataFrame, key: str, edges: DataFrame, combine: Callable[[DataFrame], DataFrame], rounds: int) -> DataFrame:
+def fixpoint(state: DataFrame, key: str, edges: DataFrame, combine: Callable[[DataFrame], DataFrame], rounds: int | None = None) -> DataFrame:
     """Round-based summaries: callers of functions that changed are summed up anew until nothing changes.
 
     ``state``: ``key`` and ``value`` (an array of what a function's summary holds). ``combine`` turns rows
-    (key, value of a callee) into rows (key, value). Values only grow, so their sizes tell what has changed.
+    (key, value of a callee) into rows (key, value). Values only grow, so their sizes tell what has changed, and
+    the rounds end. Raises RuntimeError if ``rounds`` is given and doesn't suffice.
     """
     state = cut(state.select(key, "value"))
-    changed = state
-    for _ in range(rounds):
+    kind = state.schema["value"].dataType
+    changed, done = state, 0
+    while not changed.isEmpty():
+        if done == rounds:
+            raise RuntimeError("fixpoint: more rounds are needed")
+        done += 1
         news = edges.join(changed.withColumnRenamed(key, "callee"), "callee").select(F.col("caller").alias(key), "value")
         news = combine(news).withColumnRenamed("value", "_more")
         joined = state.join(news, key, "full_outer")
-        union = F.array_sort(F.array_union(F.coalesce("value", F.array().cast(state.schema["value"].dataType)), F.coalesce("_more", F.array().cast(state.schema["value"].dataType))))
+        union = F.array_sort(F.array_union(F.coalesce("value", F.array().cast(kind)), F.coalesce("_more", F.array().cast(kind))))
         after = cut(joined.select(key, union.alias("value"), (F.size(union) > F.coalesce(F.size("value"), F.lit(0))).alias("_grew")))
         changed = after.filter("_grew").select(key, "value")
         state = after.select(key, "value")
-        if changed.isEmpty():
-            break
     return state
 
 

@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 from sievekit.operators.materialise import cut
 
 
-def innermost(points: DataFrame, scopes: DataFrame, key: str, at: str, begin: str, end: str, carry: list[str], bucket: Column | None = None) -> DataFrame:
-    """Of each point the scope of its key that holds it and begins last; NULLs if none does.
+def innermost(points: DataFrame, scopes: DataFrame, key: str, at: str, begin: str, end: str, carry: list[str]) -> DataFrame:
+    """Of each point the scope of its key that holds it and begins last; NULLs if none does. Places are whole numbers.
 
-    An equi-join on ``key`` narrows the range join; the best scope is chosen while rows are summed up, not by a sort.
-    Points need an id column ``point_id``. Of scopes that begin alike the one that ends first wins, then the smallest carried values.
+    Scopes stand in blocks of a power of two that is at least their length, so in two at most; a point looks into its
+    block of each such size. Points need an id column ``point_id``. Of scopes that begin alike the one that ends first
+    wins, then the smallest carried values.
     """
-    found = points.select("point_id", key, at).join(scopes.select(key, begin, end, *carry), key)
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col(end) - F.col(begin) + 1))).cast("int")
+    block = lambda place, size: F.floor(F.col(place) / F.pow(F.lit(2.0), size)).cast("long")
+    held = scopes.filter(F.col(begin) <= F.col(end)).select(key, begin, end, *carry, level.alias("_level"))
+    held = held.withColumn("_block", F.explode(F.array_distinct(F.array(block(begin, F.col("_level")), block(end, F.col("_level"))))))
+    sizes = sorted(r._level for r in held.select("_level").distinct().collect())  # 64 at most
+    asked = points.select("point_id", key, at).withColumn("_level", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")))
+    found = asked.withColumn("_block", block(at, F.col("_level"))).join(held, [key, "_level", "_block"])
     found = found.filter((F.col(begin) <= F.col(at)) & (F.col(at) <= F.col(end)))
     rank = F.struct(-F.col(begin).cast("double"), F.col(end), *carry)
     best = found.groupBy("point_id").agg(F.min_by(F.struct(begin, end, *carry), rank).alias("_best"))
@@ -101,8 +108,8 @@ def re_exports(names: DataFrame, exports: DataFrame, most: int = 5) -> DataFrame
 
 def sole_owners(calls: DataFrame, methods: DataFrame, most: int) -> DataFrame:
     """Calls on receivers of unknown type, with every class that defines the method, if 1 to ``most`` do."""
-    counted = methods.withColumn("_n", F.count("*").over(W.partitionBy("method")))
-    return calls.join(counted.filter(F.col("_n") <= most).drop("_n"), "method")
+    few = methods.groupBy("method").agg(F.count("*").alias("_n")).filter(F.col("_n") <= most).select("method")
+    return calls.join(methods.join(few, "method"), "method")
 
 
 def implementers(interfaces: DataFrame, types: DataFrame) -> DataFrame:

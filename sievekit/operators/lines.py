@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
+import fnmatch
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievekit.functions.text import LINE_BREAK, LINE_CHARS, entropy, is_placeholder, net_depth
+from sievekit.functions.text import LINE_BREAK, entropy, is_placeholder, net_depth
 
 SUPPRESSION = r"#\s*nosec\b|//\s*nosec\b|nosemgrep"
 
 
-def lines_of(texts: DataFrame, id_col: str, text_col: str, *keep: str) -> DataFrame:
-    """One row a line: id, ``line_no`` from 1, ``line`` (what patterns see of it)."""
+def lines_of(texts: DataFrame, id_col: str, text_col: str, *keep: str, most: int | None = None) -> DataFrame:
+    """One row a line: id, ``line_no`` from 1, ``line``: the whole of it, or its first ``most`` characters (rules see LINE_CHARS)."""
     rows = texts.select(id_col, *keep, F.posexplode(F.split(text_col, LINE_BREAK, -1)).alias("_pos", "_line"))
-    return rows.select(id_col, *keep, (F.col("_pos") + 1).cast("long").alias("line_no"), F.substring("_line", 1, LINE_CHARS).alias("line"))
+    return rows.select(id_col, *keep, (F.col("_pos") + 1).cast("long").alias("line_no"), (F.substring("_line", 1, most) if most else F.col("_line")).alias("line"))
 
 
 def _either(line: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (line.rlike(p) for p in patterns)) if patterns else F.lit(False)
 
 
-def rule_hits(lines: DataFrame, rules: list[dict], line_col: str = "line", language_col: str | None = None) -> DataFrame:
+def excluded(path: Column, globs: list[str]) -> Column:
+    """Does a glob match the whole path, or does one without wildcards stand in it?"""
+    plain = [g for g in globs if not any(c in g for c in "*?[")]
+    wild = [fnmatch.translate(g).replace("\\Z", "$").replace("\\z", "$") for g in globs if g not in plain]
+    return reduce(lambda a, b: a | b, [*(path.contains(g) for g in plain), *(path.rlike("^" + w) for w in wild)], F.lit(False))
+
+
+def rule_hits(lines: DataFrame, rules: list[dict], line_col: str = "line", language_col: str | None = None, path_col: str | None = None) -> DataFrame:
     """Lines with each rule that finds something in them.
 
-    A rule is {rule_id, patterns, not, languages, every, secret}: any of ``patterns`` finds something and none of
+    A rule is {rule_id, patterns, not, languages, every, secret, exclude_paths}: any of ``patterns`` finds something and none of
     ``not`` does; suppressed lines are out. ``every`` gives a row for each pattern that matches. ``secret`` drops
     values that look like stand-ins or have under 3 bits a character. The rules are plain expressions on one scan:
     no join, and a line that no rule matches leaves the scan at once.
@@ -37,6 +45,8 @@ def rule_hits(lines: DataFrame, rules: list[dict], line_col: str = "line", langu
         ok = ~_either(line, rule.get("not", []))
         if language_col and rule.get("languages"):
             ok = ok & F.col(language_col).isin(*rule["languages"])
+        if path_col and rule.get("exclude_paths"):
+            ok = ok & ~excluded(F.col(path_col), rule["exclude_paths"])
         groups = [[p] for p in rule["patterns"]] if rule.get("every") else [rule["patterns"]]
         for number, patterns in enumerate(groups):
             match = F.regexp_extract(line, "|".join(f"(?:{p})" for p in patterns), 0)

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder (spark.checkpoint.dir, shared on a cluster; a temporary one where unset)."""
+    """``df`` written to the reliable checkpoint folder (spark.checkpoint.dir, shared on a cluster; a temporary one where unset in local mode)."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievekit-checkpoint-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not where and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="sievekit-checkpoint-"))
     return df.checkpoint(eager=True)

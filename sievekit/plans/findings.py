@@ -259,7 +259,7 @@ s AS (SELECT ord, base, loss, floor, round(coalesce(avg(round(greatest(floor, ba
   FROM g CROSS JOIN r GROUP BY 1, 2, 3, 4)
 SELECT base, loss, floor, separation FROM s ORDER BY separation DESC, ord LIMIT 1""",
     "token_entropy": _ENTROPY,
-    "flagged_context": "WITH " + scan._LINES + """,
+    "flagged_context": "WITH " + scan._WHOLE + """,
 m AS (SELECT doc_id, line_no, max(regexp_matches(line, '[Ll]icense')) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM lines)
 SELECT doc_id, count(*) AS lines, min(line_no) AS first_line FROM m WHERE near GROUP BY doc_id""",
 }

@@ -24,7 +24,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lines.lines_of(documents(spark, sf_dir), "doc_id", "text", "lang")
+    rows = lines.lines_of(documents(spark, sf_dir), "doc_id", "text", "lang", most=T.LINE_CHARS)
     rank = F.create_map(*(x for r in RULES for x in (F.lit(r["rule_id"]), F.lit(r["rank"]))))
     return lines.rule_hits(rows, RULES).withColumn("sev_rank", rank[F.col("rule_id")])
 
@@ -34,6 +34,7 @@ lines AS (
   SELECT doc_id, lang, line_no, substring(line, 1, 2000) AS line FROM (
     SELECT doc_id, lang, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS line_no
     FROM (SELECT doc_id, lang, regexp_split_to_array(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\\x{85}\\x{2028}\\x{2029}]') AS ls FROM documents)))"""
+_WHOLE = _LINES.replace("substring(line, 1, 2000) AS line", "line")
 _HITS = _LINES + ", findings AS (" + " UNION ALL ".join(
     f"SELECT doc_id, lang, line_no, line, '{r['rule_id']}' AS rule_id, {r['rank']} AS sev_rank FROM lines WHERE ("
     + " OR ".join(f"regexp_matches(line, '{p}')" for p in r["patterns"])
@@ -79,6 +80,13 @@ def statement_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("stmt_id", F.col("stmt_id").cast("long"))
 
 
+def excluded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rules that leave out some sources, by name and by glob."""
+    rows = lines.lines_of(documents(spark, sf_dir), "doc_id", "text", "source", most=T.LINE_CHARS)
+    rules = [RULES[1] | {"exclude_paths": ["rc1", "src?"]}, RULES[3] | {"exclude_paths": ["*[02468]"]}]
+    return lines.rule_hits(rows, rules, path_col="source").groupBy("source", "rule_id").agg(F.count("*").alias("n"))
+
+
 def language_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and lines of each language and source."""
     docs = documents(spark, sf_dir)
@@ -101,7 +109,7 @@ def line_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DEPTH = " + ".join(f"(length(line) - length(replace(line, '{c}', '')))" for c in "([{") + "".join(f" - (length(line) - length(replace(line, '{c}', '')))" for c in ")]}")
 _SPANS = (
     "WITH "
-    + _LINES.replace("doc_id, lang", "page_id").replace("text,", "html,").replace("documents", "pages")
+    + _WHOLE.replace("doc_id, lang", "page_id").replace("text,", "html,").replace("documents", "pages")
     + f""",
 s AS (SELECT *, sum({_DEPTH}) OVER (PARTITION BY page_id ORDER BY line_no) AS s FROM lines),
 d AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY line_no)) AS depth FROM s),
@@ -111,6 +119,7 @@ SELECT page_id, CAST(stmt_id AS BIGINT) AS stmt_id, min(line_no) AS first_line,
 
 QUERIES = {
     "statement_spans": statement_spans,
+    "excluded_paths": excluded_paths,
     "language_histogram": language_histogram,
     "rule_digest": rule_digest,
     "line_identifiers": line_identifiers,
@@ -123,9 +132,12 @@ ORACLES = {
     "line_findings_report": _ISLANDS,
     "severity_counts": "WITH " + _HITS + " SELECT sev_rank, lang, count(*) AS hits, count(DISTINCT doc_id) AS docs FROM findings GROUP BY 1, 2",
     "statement_spans": _SPANS,
+    "excluded_paths": "WITH " + _HITS + """
+SELECT source, rule_id, count(*) AS n FROM findings JOIN documents USING (doc_id)
+WHERE (rule_id = 'TXT-ADDRESS' AND NOT contains(source, 'rc1') AND NOT regexp_full_match(source, 'src.')) OR (rule_id = 'TXT-LICENSE' AND NOT regexp_matches(source, '[02468]$')) GROUP BY 1, 2""",
     "language_histogram": "SELECT lang, source, count(*) AS docs, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS lines FROM documents GROUP BY 1, 2",
     "rule_digest": "WITH " + _HITS + " SELECT doc_id, sha256(string_agg(line_no || ':' || rule_id, ',' ORDER BY line_no, rule_id)) AS digest FROM findings GROUP BY doc_id",
-    "line_identifiers": "WITH " + _LINES + """,
+    "line_identifiers": "WITH " + _WHOLE + """,
 w AS (SELECT doc_id, line_no, regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*') AS ws FROM lines WHERE contains(line, 'icense')),
 u AS (SELECT doc_id, line_no, unnest(ws) AS x, unnest(range(len(ws))) AS k FROM w),
 d AS (SELECT doc_id, line_no, x, min(k) AS k FROM u WHERE x NOT IN ('the', 'under', 'is') GROUP BY 1, 2, 3)

@@ -17,12 +17,45 @@ def test_version(spark, text, parts):
     [
         ("^1.2.3", "1.9", True), ("^1.2.3", "2.0", False), ("^0.2.3", "0.3.0", False), ("~1.2", "1.2.9", True), ("~1.2", "1.3", False), ("~=1.4.2", "1.4.9", True),
         ("~=1.4.2", "1.5", False), (">=1,<2", "1.5", True), (">= 1.0 < 2", "2.0", False), ("1.0 - 2.0", "2.0", True), ("1.0", "1.0.0", True), ("1.0", "1.0.1", False),
-        ("*", "9", True), ("", "1", True), (">=1 || <0", "1", None), ("!=1", "1", None), ("nope", "1", None), (">1.2", "1.2.0.0", False), ("<1.0", "1.0rc1", True),
+        ("*", "9", None), ("", "1", None), (">=1 || <0", "1", None), ("!=1", "1", False), ("!=1", "2", True), ("nope", "1", None), (">1.2", "1.2.0.0", False), ("<1.0", "1.0rc1", True),
+        ("^0.0.3", "0.0.9", True), ("^0.0.3", "0.1", False), ("^0.0.3", "0", False), ("<=1.2", "1.2.1", False), ("~1", "1.9", True), ("=1.0", "1.0", None), (">=2,nope", "1", False), ("nope,>=2", "1", None),
+        ("~=1.0.0", "1", False), ("1.2.*", "1.2", True), (">=1.0 && <2", "1.5", True),
     ],
 )
 def test_ranges(spark, spec, version, ok):
     row = spark.createDataFrame([(spec, version)], "s string, v string")
-    assert row.select(versions.includes(F.col("s"), versions.version(F.col("v")))).first()[0] is ok
+    assert row.select(versions.includes(F.col("s"), F.col("v"))).first()[0] is ok
+
+
+TOP, LEAST = [2**31 - 1] * 6, [-(2**31)] * 6
+
+
+@pytest.mark.parametrize(
+    ("spec", "lo", "hi"),
+    [
+        ("1.2", [1, 2], [1, 3]), ("==1.2", [1, 2], [1, 3]), ("1.2.*", [1, 2], [1, 3]), ("<=1.2", LEAST, [1, 3]), ("<1.2", LEAST, [1, 2]), (">1.2", [1, 2, 1], TOP), (">=1.2", [1, 2], TOP),
+        ("^1.2", [1, 2], [2]), ("^0.2.3", [0, 2, 3], [0, 3]), ("^0.0.3", [0, 0, 3], [0, 1]), ("~1.2.3", [1, 2, 3], [1, 3]), ("~1", [1], [2]), ("~=1.4.2", [1, 4, 2], [1, 5]), ("~=1", [1], [2]),
+        ("!=1.0", LEAST, TOP), (">=1,!=1.5,<2", [1], [2]), ("1.0 - 2.0", [1], [2, 1]), ("==1.0rc1", [1, 0, -1], [1]), ("*", None, None), ("", None, None), ("1 || 2", None, None), ("=1", None, None),
+    ],
+)
+def test_intervals(spark, spec, lo, hi):
+    found = spark.createDataFrame([(spec,)], "s string").select(versions.interval(F.col("s"))).first()[0]
+    full = lambda x: (x + [0] * 6)[:6]
+    assert (found if found is None else (found.lo, found.hi)) == (None if lo is None else (full(lo), full(hi)))
+
+
+def test_entries_of_the_package_alone_or_all(spark):
+    affected = spark.createDataFrame([("A", "PyPI", "foo.bar", 1), ("A", "PyPI", "other", 2), ("B", "Go", "x/v2", 3)], "advisory_id string, ecosystem string, package string, affected int")
+    matches = spark.createDataFrame([("pypi", "Foo_Bar", "A"), ("Go", "x", "B")], "ecosystem string, package string, advisory_id string")
+    assert sorted((r.package, r.affected) for r in versions.scoped(matches, affected).collect()) == [("Foo_Bar", 1), ("x", 3)]
+
+
+def test_spellings_of_a_package_meet_and_unread_events_stay(spark):
+    events = "advisory_id string, ecosystem string, package string, events array<struct<introduced:string,fixed:string,last_affected:string>>"
+    advisories = spark.createDataFrame([("A", "PyPI", "foo-bar", [(None, "1.2", None)]), ("B", "PyPI", "foo-bar", [("x", None, None)]), ("C", "PyPI", "foo-bar", [])], events)
+    packages = spark.createDataFrame([("pypi", "Foo_Bar", "==1.1"), ("pypi", "foo.bar", "==1.2")], "ecosystem string, package string, spec string")
+    out = {(r.package, r.advisory_id): r.confidence for r in versions.vulnerable(packages, versions.advisory_intervals(advisories)).collect()}
+    assert out == {("Foo_Bar", "A"): 1.0, ("Foo_Bar", "B"): 0.5, ("Foo_Bar", "C"): 0.5, ("foo.bar", "B"): 0.5, ("foo.bar", "C"): 0.5}
 
 
 def test_advisories_pair_events_and_keep_the_unknown(spark):
@@ -35,9 +68,10 @@ def test_advisories_pair_events_and_keep_the_unknown(spark):
     assert out == {"1.1": 1.0, "2.3": 1.0, "a || b": 0.5}
 
 
-def test_lowest_fix(spark):
-    row = spark.createDataFrame([("1.2", ["1.10", "1.3", "1.1"])], "v string, f array<string>")
-    assert row.select(versions.lowest_fix(versions.version(F.col("v")), F.col("f"))).first()[0] == "1.3"
+@pytest.mark.parametrize(("current", "fix"), [("1.2", "1.3"), ("==1.3", "1.10"), (">=1", "1.1"), ("2", None)])
+def test_lowest_fix(spark, current, fix):
+    row = spark.createDataFrame([(current, ["1.10", "1.3", "1.1", "odd"])], "v string, f array<string>")
+    assert row.select(versions.lowest_fix(F.col("v"), F.col("f"))).first()[0] == fix
 
 
 @pytest.mark.parametrize(

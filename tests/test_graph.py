@@ -48,7 +48,8 @@ def test_relay_gates_tell_null_from_empty(spark):
         [(1, None, ["0"], True), (2, [], ["0"], True), (3, ["0"], ["0"], True), (4, ["1"], ["0"], True), (5, ["1"], None, True), (6, None, [], False)],
         "id int, sink_params array<string>, tainted_slots array<string>, has_args boolean",
     )
-    assert {r.id for r in rows.filter(graph.sink_first_hop()).collect()} == {1, 3, 5}
+    assert {r.id for r in rows.filter(~graph.misses_sink()).collect()} == {1, 3, 5, 6}
+    assert {r.id for r in rows.filter(graph.hits_sink()).collect()} == {1, 3}
 
 
 def test_edge_summary_keeps_three_values(spark):
@@ -72,19 +73,48 @@ def test_calls_resolve_in_order(spark):
     assert found == {("run", None, None): "name.py", ("run", "m", None): "mod.py", ("run", "m", "typed"): "typed", ("own", None, None): "f", ("none", None, None): None}
 
 
+FUNCTION = (
+    "node string, file string, has_sink boolean, has_source boolean, operator_only boolean, sink_params array<string>, return_params array<string>, sink_calls array<string>, "
+    "returned_calls array<string>, sink_cwe array<int>, classified boolean"
+)
+EDGE = "caller string, callee string, callee_name string, has_args boolean, tainted_slots array<string>"
+
+
+def function(node, file, sink=False, source=False, own=False, sink_params=None, return_params=None, sink_calls=None, returned_calls=None, cwe=(), classified=True):
+    return node, file, sink, source, own, sink_params, return_params, sink_calls, returned_calls, list(cwe), classified
+
+
+def emitted(spark, functions, edges):
+    rows = graph.emissions(spark.createDataFrame(edges, EDGE), spark.createDataFrame(functions, FUNCTION)).collect()
+    return {(r.direction, r.caller, r.callee): r for r in rows}
+
+
 def test_emissions_need_two_files_and_a_source(spark):
-    functions = spark.createDataFrame(
-        [("src", "a.py", False, True, None, None, None, None), ("mid", "b.py", False, False, None, None, None, None), ("snk", "c.py", True, False, ["0"], None, None, None)],
-        "node string, file string, has_sink boolean, has_source boolean, sink_params array<string>, return_params array<string>, sink_calls array<string>, returned_calls array<string>",
-    )
-    e = spark.createDataFrame(
-        [("src", "mid", "mid", True, ["0"]), ("mid", "snk", "snk", True, ["0"]), ("src", "snk", "snk", True, ["1"])],
-        "caller string, callee string, callee_name string, has_args boolean, tainted_slots array<string>",
-    )
-    found = {(r.direction, r.caller, r.callee): r.depth for r in graph.emissions(e, functions).collect()}
-    assert found[("sink", "mid", "snk")] == 0
-    assert found[("sink", "src", "mid")] == 1
-    assert ("sink", "src", "snk") not in found  # slot 1 doesn't reach the sink
+    functions = [function("src", "a.py", source=True), function("mid", "b.py"), function("snk", "c.py", sink=True, sink_params=["0"], cwe=[89]), function("same", "c.py", source=True)]
+    found = emitted(spark, functions, [("src", "mid", "mid", True, ["0"]), ("mid", "snk", "snk", True, ["0"]), ("src", "snk", "snk", True, ["1"]), ("same", "snk", "snk", True, ["0"])])
+    assert set(found) == {("sink", "mid", "snk"), ("sink", "src", "mid")}  # slot 1 doesn't reach the sink, one file isn't two
+    assert (found["sink", "mid", "snk"].depth, found["sink", "src", "mid"].depth, found["sink", "src", "mid"].sink) == (0, 1, "snk")
+    assert {r.severity for r in found.values()} == {"high"} and found["sink", "src", "mid"].confidence == 0.65
+
+
+def test_a_summary_unknown_relays_but_does_not_show(spark):
+    # Without slots the first hop relays (nothing proves that it misses), but a known summary has to be hit for a finding.
+    functions = [function("src", "a.py", source=True), function("mid", "b.py", source=True), function("snk", "c.py", sink=True, sink_params=["0"])]
+    found = emitted(spark, functions, [("src", "mid", "mid", True, ["0"]), ("mid", "snk", "snk", False, None)])
+    assert set(found) == {("sink", "src", "mid")}
+
+
+def test_severity_and_confidence(spark):
+    functions = [
+        function("remote", "a.py", source=True), function("own", "b.py", source=True, own=True), function("log", "c.py", sink=True, cwe=[117]), function("run", "d.py", sink=True),
+        function("get", "e.py", source=True, classified=False), function("echo", "f.py", return_params=["0"]), function("user", "g.py", sink=True, sink_calls=["get"]),
+    ]
+    calls = [("remote", "log"), ("own", "run"), ("user", "get"), ("user", "echo"), ("user", "run")]
+    found = emitted(spark, functions, [(a, b, b, True, ["0"]) for a, b in calls])
+    assert {k: (r.severity, r.confidence, r.rule_id) for k, r in found.items()} == {
+        ("sink", "remote", "log"): ("medium", 0.75, "CF-SINK-001"), ("sink", "own", "run"): ("medium", 0.5, "CF-SINK-001"),
+        ("return", "user", "get"): ("low", 0.75, "CF-RETURN-001"), ("return", "user", "echo"): ("high", 0.75, "CF-RETURN-001"),
+    }
 
 
 def test_merge_keeps_the_sink_direction_and_the_greater_confidence(spark):
@@ -107,3 +137,13 @@ def test_fixpoint_spreads_through_a_cycle(spark, rounds):
     combine = lambda rows: rows.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("value"))).alias("value"))
     out = graph.fixpoint(state, "node", edges(spark, [("a", "b"), ("b", "c"), ("b", "a")]), combine, rounds)
     assert {r.node: r.value for r in out.collect()} == {"a": ["p", "q"], "b": ["p", "q"], "c": ["p"]}
+    with pytest.raises(RuntimeError):
+        graph.fixpoint(state, "node", edges(spark, [("a", "b"), ("b", "c"), ("b", "a")]), combine, 1)
+
+
+def test_many_fronts(spark, monkeypatch):
+    monkeypatch.setattr(graph, "FRONTS", 2)
+    e = edges(spark, [(f"n{k}", f"n{k + 1}") for k in range(8)])
+    found = graph.layers(e, seeds(spark, "n8"))
+    assert {r.node: (r.dist, r.origin) for r in found.collect()} == {f"n{k}": (8 - k, "n8") for k in range(9)}
+    assert max(len(r.path) for r in graph.paths(found).collect()) == 9
