@@ -27,7 +27,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = written(large.filter("a != b").distinct())
+        edges = written(large.filter("a != b"))
         least = written(edges.groupBy("a").agg(F.min("b").alias("m")))
         small = edges.join(least, "a")
         small = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))

@@ -569,11 +569,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = cut(texts.filter("id is not null").mapInArrow(classes_sets, "id long, least array<long>, bits array<long>, s binary"))
     links = _verified(sets, _stars(sets))
 
-    def named(links: DataFrame) -> DataFrame:
-        found = classes.select(F.col("class").alias("id"), "n").join(components(links).withColumnRenamed("node", "id"), "id", "left")
-        return cut(found.select("id", "n", F.coalesce("component", "id").alias("component")))
-
-    component = named(links)
+    def named(found: DataFrame) -> DataFrame:
+        """id, n and component of each class. ``found``: id, component of those in a link."""
+        rows = classes.select(F.col("class").alias("id"), "n").join(found, "id", "left")
+        return cut(rows.select("id", "n", F.coalesce("component", "id").alias("component")))
+
+    # Here a set goes by its centre's centre: sets of one name are linked, which is all that is asked of a component.
+    centre = links.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    above = links.select(F.col("a").alias("component"), F.col("b").alias("above"))
+    component = named(centre.join(above, "component", "left").select("id", F.coalesce("above", "component").alias("component")))
     # What may have a partner outside its component, by all hashes this time.
     joined = cut(sets.select("id", "s").join(component, "id").select("id", "component", "s"))
     counted = joined.mapInArrow(_sets_of_components(buckets), _MADE).repartition(partitions, "bucket").mapInArrow(_counted, _MADE)
@@ -589,7 +593,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for best in (True, False):
         pairs = _compared(members, component, sets, best)
         links = links.unionByName(_verified(sets, pairs))
-        component = named(links)
+        component = named(components(links).withColumnRenamed("node", "id"))
         if not best or pairs.filter("rest").isEmpty():
             break
 
