@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sievekit.llm import bpe, components, crf, decontamination, exact_dedup, licences, ngram_join, pii, quality, secrets, token_counts, toxicity
-from sievekit.llm.common import remainder, without
+from sievekit.llm.common import at_least, remainder, without
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -468,3 +469,104 @@ def test_kneser_ney_against_brute_force(spark):
     value = lambda s: found.get((s, False), found.get((s[:-1], True), 0.0))
     for word, got in language.known.items():
         assert got == pytest.approx(sum(map(value, toxicity.sequences(word))), abs=0.01)
+
+
+# Texts and tables that are hard to handle
+
+
+def test_hard_secrets():
+    words = secrets.automaton()
+    began = time.monotonic()
+    assert secrets.scan("-----BEGIN PRIVATE KEY-----" + " " * 200_000, words) == []
+    assert secrets.scan(("-----BEGIN PRIVATE KEY-----" + " " * 50) * 10_000, words) == []
+    nested = ".".join([base64.urlsafe_b64encode(b'{"alg":"x"}').decode().strip("="), base64.urlsafe_b64encode(b"[" * 100_000).decode().strip("="), "abc"])
+    assert secrets.scan(nested, words) == []
+    assert time.monotonic() - began < 10
+
+
+def test_long_lines_of_numbers(spark):
+    """A line of several MB is seen in pieces, beside many short texts; spans are those of the pieces' cores."""
+    finder = pii.Finder(pii.train())
+    line = "page 12 of 99 , " * 60_000
+    assert [s for s in finder(["x"] * 600 + [line + "ring me on 0171 555 0199 tonight"])[-1]] == [(len(line) + 11, len(line) + 24, "phone")]
+    many = "\n".join(["call 0171 555 0199 now"] * 500)
+    assert finder([many.replace("\n", " ")])[0] and len(finder([many])[0]) == 500
+
+
+HELD_OUT = """
+call me on [phone|0171 555 0199] tomorrow
+ring me on [phone|0171 555 0199]
+you reach us at [phone|(212) 555-0187] daily
+reach [email|maria dot lopez at example dot com]
+send the plan to [email|jo at web dot de] today
+mi correo es [email|ana arroba correo punto es]
+schreib an [email|karl at post punkt de]
+ruf [phone|030/1234567] an
+appelle [phone|01 44 55 66 77] vite
+llama al [phone|612 345 678]
+mobile [phone|07700 900123]
+Invoice number 0123456789
+order no 0987654321 was lost
+the year 1999 and 2004
+pages 12 14 16 18
+version 1.2.10 of the tool
+meet at 10:45 on 2024-05-11
+the dot at the top of the i
+sold 1200 units at 3.50 each
+a point at issue
+"""
+
+
+def test_field_on_held_out_sentences():
+    finder, hits, said, real = pii.Finder(pii.train()), 0, 0, 0
+    for words, tags in pii.labelled(HELD_OUT, copies=1):
+        places, gold, at = [], set(), 0
+        for w in words:
+            places.append((at, at + len(w)))
+            at += len(w) + 1
+        for k, tag in enumerate(tags):
+            if tag[0] == "B":
+                last = k
+                while last + 1 < len(tags) and tags[last + 1] == "I" + tag[1:]:
+                    last += 1
+                gold.add((places[k][0], places[last][1], tag[2:]))
+        found = set(finder([" ".join(words)])[0])
+        hits, said, real = hits + len(gold & found), said + len(found), real + len(gold)
+    assert hits / said >= 0.85 and hits / real >= 0.85
+
+
+def test_at_least_never_exceeds_its_bound(spark):
+    rows = spark.range(300).select("id", F.lit(70_000).alias("n"))
+    assert at_least(rows, "n", 10).count() == 0
+    mixed = rows.unionByName(spark.range(5).select("id", F.lit(5_000_000).alias("n")))
+    assert {r.n for r in at_least(mixed, "n", 10).collect()} == {5_000_000} and at_least(mixed, "n", 305).count() == 305
+
+
+def test_without_keeps_columns_of_any_name(spark):
+    docs = spark.range(6).select(F.col("id").alias("doc_id"), *(F.lit(k).alias(k) for k in ("_bit", "_bucket", "_pos", "_bitmap", "_in", "_id", "_row", "a.b")))
+    docs = docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long")).limit(1))
+    out = without(docs, spark.createDataFrame([(1,), (4,)], "doc_id long"))
+    assert out.columns == docs.columns and sorted(str(r.doc_id) for r in out.collect()) == ["0", "2", "3", "5", "None"]
+
+
+@pytest.mark.parametrize("apply", [pii.find_pii, secrets.find_secrets, licences.licence_scan])
+def test_empty_tables_and_repeated_rows(spark, apply):
+    df = table(spark, AWKWARD)
+    assert apply(df.filter("false")).count() == 0
+    twice = df.unionByName(df)
+    rows = collections.Counter(map(str, apply(twice).collect()))
+    times = 1 if apply is licences.licence_scan else 2  # the licence scan puts the rows of an id together
+    assert sum(rows.values()) == times * len(AWKWARD) and set(rows.values()) == {times}
+
+
+@pytest.mark.parametrize("module", [quality, toxicity])
+def test_classifiers_take_empty_tables_and_repeated_rows(spark, module):
+    docs, labels = labelled(spark)
+    score = module.quality if module is quality else module.toxicity
+    doubled = docs.unionByName(docs.filter("doc_id < 50")).unionByName(labels.select("doc_id", F.lit(None).cast("string").alias("text")).limit(3))
+    model = module.fit(doubled, labels.unionByName(labels.limit(9)), F.lit(True))
+    assert score(docs.filter("false"), model).count() == 0
+    out = collections.defaultdict(set)
+    for r in score(docs.unionByName(docs), model).collect():
+        out[r.doc_id].add(r.score)
+    assert len(out) == docs.count() and all(len(x) == 1 for x in out.values())

@@ -4,6 +4,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -38,6 +39,25 @@ def test_stages(spark, tmp_path):
     assert kept["byte-level BPE"] == kept["benchmark decontamination"]
 
 
+def test_stages_take_awkward_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, rows without an id, extra columns; then an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(20)
+    odd = spark.createDataFrame([(7001, None), (7002, ""), (None, "a text without an id"), (7003, "twice the same row"), (7003, "twice the same row")], "doc_id long, text string")
+    docs = docs.unionByName(odd, allowMissingColumns=True).withColumns({c: F.lit(1) for c in ("_bit", "_in", "n", "component_id", "kept", "score", "item_id")})
+    path = str(tmp_path / "docs")
+    docs.write.parquet(path)
+    for docs in (spark.read.parquet(path), spark.read.parquet(path).filter("false")):
+        many = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            rows = out.collect()
+            assert len(rows) <= many, name
+            if name in ("exact dedup", "n-gram Jaccard join", "benchmark decontamination") and many:
+                ids = [r.doc_id for r in rows]
+                assert out.columns == docs.columns and ids.count(7003) == 2 and None in ids, name
+                assert ids.count(7001) + ids.count(7002) == (1 if name == "exact dedup" else 2), name
+
+
 def test_registered():
     names = entry.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] and names["pipeline"] is corpus_pipeline.run
