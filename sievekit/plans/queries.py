@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievekit.plans import dependencies, findings, graphs, outputs, resolution, scan, selection
+from sievekit.plans import checks, dependencies, findings, graphs, outputs, resolution, scan, selection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (scan, graphs, dependencies, findings, selection, resolution, outputs):
+for module in (scan, graphs, dependencies, findings, selection, resolution, outputs, checks):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
