@@ -77,6 +77,10 @@ class Vocabulary:
                 out[k] = n
         return np.array(out, dtype=np.int64)
 
+    def of(self, tokens: list[str]) -> np.ndarray:
+        numbers = self.numbers(tokens)  # may replace the rows
+        return self.rows[numbers]
+
 
 def _hashed(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of each window of ``size`` words."""
@@ -93,7 +97,7 @@ class Template:
 
     def __init__(self, text: str, vocabulary: Vocabulary):
         self.text, self.tokens = text, text.split()
-        rows = vocabulary.rows[vocabulary.numbers(self.tokens)]
+        rows = vocabulary.of(self.tokens)
         self.literal, self.kind, self.name = rows[:, 0], rows[:, 1], rows[:, 2] == 1
 
     def windows(self, size: int, reading: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +132,7 @@ class Template:
         for number, line in enumerate(self.text.splitlines()):
             words = line.split(None, max(sizes))
             if len(words) in sizes:
-                yield number, len(words), _hashed(vocabulary.rows[vocabulary.numbers(words)][:, 0], len(words))[0]
+                yield number, len(words), _hashed(vocabulary.of(words)[:, 0], len(words))[0]
 
 
 _WINDOWS = "id long, place int, size int, reading int, hash long, slots array<string>"

@@ -342,6 +342,13 @@ def test_templates_do_not_depend_on_case_and_punctuation(spark, change):
     assert {(r.doc_id, r.item_id) for r in out.collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4)}
 
 
+def test_vocabularies_grow(spark):
+    words = [f"word{k}" for k in range(5000)]
+    bench = spark.createDataFrame([(1, " ".join(words[2000:2030]))], "item_id long, text string")
+    out = decontamination.contaminated(table(spark, [" ".join(words), " ".join(words[:1990])]), bench)
+    assert [(r.doc_id, r.share) for r in out.collect()] == [(0, 1.0)]
+
+
 def test_reparameterised_items_are_found(spark):
     rng = random.Random(7)
     words = "the of and a train walks old river house buys gives then many red small under market stone paper".split()
