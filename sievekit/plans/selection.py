@@ -35,7 +35,7 @@ def priority_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def priority_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same where nothing is severe: the first medium ones, and what concerns AI."""
     rows = _ranked(spark, sf_dir).filter("sev_rank >= 2 and not has_flow and engine != 'crossfile' and reachability is null")
-    return selection.priority(rows, ["path", "line"]).select("path", "line", "rule_id", "sev_rank")
+    return selection.priority(rows, ["path", "line", "rule_id"]).select("path", "line", "rule_id", "sev_rank")
 
 
 def kill_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,8 +95,9 @@ ORACLES = {
 SELECT path, line, rule_id, sev_rank, engine FROM r WHERE engine <> 'depguard' AND (sev_rank <= 1 OR has_flow OR engine = 'crossfile' OR reachable OR (is_ai AND sev_rank <> 4))""",
     "priority_fallback": _RANKED + """,
 m AS (SELECT * FROM r WHERE engine NOT IN ('depguard', 'crossfile') AND sev_rank >= 2 AND NOT has_flow AND NOT reachable),
-t AS (SELECT path, line, rule_id, sev_rank FROM m WHERE sev_rank = 2 AND confidence >= 0.6 ORDER BY path, line LIMIT 150)
-SELECT * FROM t UNION SELECT path, line, rule_id, sev_rank FROM m WHERE is_ai AND sev_rank <> 4""",
+t AS (SELECT path, line, rule_id, sev_rank, is_ai FROM m WHERE sev_rank = 2 AND confidence >= 0.6 ORDER BY path, line, rule_id LIMIT 150)
+SELECT path, line, rule_id, sev_rank FROM t
+UNION ALL (SELECT path, line, rule_id, sev_rank FROM m WHERE is_ai AND sev_rank <> 4 EXCEPT ALL SELECT path, line, rule_id, sev_rank FROM t WHERE is_ai)""",
     "kill_chains": f"""
 SELECT chain, count(DISTINCT token) AS tokens, count(DISTINCT doc_id) AS contributors, min(doc_id) AS first_source FROM ({_TOKENS}) GROUP BY chain HAVING count(DISTINCT token) >= 2""",
     "absorbed_by_flows": "WITH " + _SCORED + """,
