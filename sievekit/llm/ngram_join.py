@@ -567,6 +567,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_pydict({"id": pa.array(own[keep]), "least": _lists(least), "bits": _lists([signature(s) for s in sets]), "s": pa.array([pack(s) for s in sets], pa.binary())})
 
     sets = cut(texts.filter("id is not null").mapInArrow(classes_sets, "id long, least array<long>, bits array<long>, s binary"))
+    wanted.destroy()
     links = _verified(sets, _stars(sets))
 
     def named(found: DataFrame) -> DataFrame:
