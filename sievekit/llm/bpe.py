@@ -21,7 +21,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from sievekit.llm.common import map_texts
+from sievekit.llm.common import map_texts, worker_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of a worker's tables: states of the transducer and encoded pieces (each up to MAX_PIECE characters).
@@ -286,20 +286,17 @@ class StreamDecoder:
             yield held.decode()
 
 
-_LOADED: dict[str, tuple] = {}
-
-
 def _load(data: bytes) -> tuple[Encoder, list[bytes], np.ndarray]:
     """A worker's tables, kept between its tasks."""
-    key = hashlib.sha256(data).hexdigest()
-    if key not in _LOADED:
+
+    def make() -> tuple:
         ranks = read_ranks(data)
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
-        _LOADED.clear()
-        _LOADED[key] = Encoder(ranks), tokens, StreamDecoder.opens(tokens)
-    return _LOADED[key]
+        return Encoder(ranks), tokens, StreamDecoder.opens(tokens)
+
+    return worker_table(hashlib.sha256(data).hexdigest(), make)
 
 
 #: Ids decoded at once.

@@ -18,6 +18,17 @@ from sievekit.llm.bitmap import bitmap, marked
 SLICE_ROWS = 256
 
 
+_TABLES: dict[str, object] = {}
+
+
+def worker_table(key: str, make: Callable[[], object]) -> object:
+    """A large table for all tasks that a worker runs one after the other. There is one at a time: a new one takes its place."""
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = make()
+    return _TABLES[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import cut
+from sievekit.llm.common import cut, worker_table
 
 WINDOW = 8
 #: Items of fewer words stand in ordinary text by chance; they are looked for as whole lines.
@@ -187,7 +187,7 @@ def contaminated(
     sent = docs.sparkSession.sparkContext.broadcast((wanted, held))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, (wanted, bits) = Vocabulary(), sent.value
+        vocabulary, (wanted, bits) = worker_table("vocabulary", Vocabulary), sent.value
         short = {size for size, reading in wanted if reading == LINE}
 
         def hit(h: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.llm.bitmap import bitmap
-from sievekit.llm.common import at_least, cut
+from sievekit.llm.common import at_least, cut, worker_table
 from sievekit.llm.components import components
 
 WORDS = 5
@@ -45,7 +45,7 @@ FACTORS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(1, 9)], d
 #: changes the order of the shingles, hence the work, never the result. The table sent to tasks is 1 MB.
 LOCAL_HOT = 6
 HOT = 1 << 17
-CHUNK_SHINGLES = 2_000_000
+CHUNK_SHINGLES = 1_000_000
 #: Pairs that a task remembers to have told; forgetting them only tells some twice.
 MOST_TOLD = 1 << 20
 #: Sets in one side of a tile.
@@ -54,7 +54,7 @@ CELL = 4096
 LIKELIEST = 512
 #: Bits of the filter that keeps texts without a partner from being read again: 8 MB.
 BITS = 1 << 26
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Bits of a hash that are left out where hashes only look for candidates. More candidates are harmless.
 DROPPED = 20
 #: Ids in one row of a tile's members.
@@ -216,7 +216,7 @@ def _sets(buckets: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     """A row for each text, and what is counted of each chunk of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, number, size, dealt = Words(), TaskContext.get().partitionId() << 32, 0, np.array(buckets)
+        words, number, size, dealt = worker_table("words", Words), TaskContext.get().partitionId() << 32, 0, np.array(buckets)
         ids, sets = [], []
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -556,7 +556,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = spark.sparkContext.broadcast(_filter(classes.select("class"), "class"))
 
     def classes_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, bits = Words(), wanted.value
+        words, bits = worker_table("words", Words), wanted.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

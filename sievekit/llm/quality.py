@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievekit.llm.common import SLICE_ROWS, cut, map_texts, share_of
+from sievekit.llm.common import SLICE_ROWS, cut, map_texts, share_of, worker_table
 from sievekit.llm.logistic import Logistic
 
 BLOCK = 1024
@@ -88,14 +88,8 @@ class QualityModel:
         self.key = hashlib.sha256(good + b"|" + bad).hexdigest()
 
 
-_LOADED: dict[str, Compressors] = {}
-
-
 def _compressors(model: QualityModel) -> Compressors:
-    if model.key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[model.key] = Compressors(model.good, model.bad)
-    return _LOADED[model.key]
+    return worker_table(model.key, lambda: Compressors(model.good, model.bad))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> QualityModel:

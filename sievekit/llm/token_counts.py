@@ -18,7 +18,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from sievekit.llm.common import map_texts
+from sievekit.llm.common import map_texts, worker_table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -123,7 +123,6 @@ def frequent_words(docs: DataFrame, text_col: str, share: float = SAMPLE_SHARE,
     return [w for w, _ in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:words]]
 
 
-_LOADED: dict[str, Tokens] = {}
 
 
 def token_counts(docs: DataFrame, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -142,10 +141,7 @@ def token_counts(docs: DataFrame, limit: int = 4096, id_col: str = "doc_id", tex
     key = hashlib.sha256(repr(sorted(frequent.items())).encode() + model).hexdigest()
 
     def make():
-        if key not in _LOADED:
-            _LOADED.clear()
-            _LOADED[key] = Tokens(*sent.value)
-        count = _LOADED[key]
+        count = worker_table(key, lambda: Tokens(*sent.value))
 
         def apply(ids: list, texts: list[str]) -> dict[str, list]:
             numbers = [count(text) for text in texts]

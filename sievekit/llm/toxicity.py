@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.llm.bitmap import bitmap, marked
-from sievekit.llm.common import cut, map_texts, share_of, written
+from sievekit.llm.common import cut, map_texts, share_of, worker_table, written
 from sievekit.llm.logistic import Logistic
 
 #: Symbols before the one that is predicted.
@@ -234,15 +234,8 @@ class KneserNey:
         return out
 
 
-_LOADED: dict[str, KneserNey] = {}
-
-
 def _loaded(language: KneserNey) -> KneserNey:
-    """One table for all tasks that a worker runs one after the other."""
-    if language.key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[language.key] = language
-    return _LOADED[language.key]
+    return worker_table(language.key, lambda: language)
 
 
 class ToxicityModel:
