@@ -82,12 +82,22 @@ class Vocabulary:
         return self.rows[numbers]
 
 
+_BASE = 0x9FB21C651E98DF25
+_powers = np.zeros((2, 0), dtype=np.uint64)
+
+
 def _hashed(words: np.ndarray, size: int) -> np.ndarray:
-    """A hash of each window of ``size`` words."""
+    """A hash of each window of ``size`` words: differences of one running sum, whatever the size."""
+    global _powers
+    if _powers.shape[1] < len(words):
+        n = max(1 << 14, 2 * len(words))
+        both = np.full((2, n), 1, dtype=np.uint64)
+        both[0, 1:], both[1, 1:] = _BASE, pow(_BASE, -1, 1 << 64)
+        _powers = np.cumprod(both, axis=1, dtype=np.uint64)
     n = len(words) - size + 1
-    h = np.full(n, size, dtype=np.uint64)
-    for k in range(size):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9FB21C651E98DF25) + words[k : k + n]
+    sums = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * _powers[1, : len(words)], out=sums[1:])
+    h = (sums[size:] - sums[:-size]) * _powers[0, :n] + np.uint64(size)
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(32))
 
