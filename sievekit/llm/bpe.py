@@ -26,7 +26,7 @@ from sievekit.llm.common import map_texts, worker_table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bounds of a worker's tables: states of the transducer and encoded pieces (each up to MAX_PIECE characters).
 MAX_STATES = 300_000
-MAX_PIECES = 400_000
+MAX_PIECES = 200_000
 MAX_PIECE = 64
 
 
@@ -81,7 +81,7 @@ class MergeTransducer:
 
     def _pair(self, left: bytes, right: bytes) -> bool:
         if (ok := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > 8 * self.max_states:
+            if len(self.pairs) > 2 * self.max_states:
                 self.pairs.clear()
             ok = self.pairs[left, right] = self.merge(left + right) == [left, right]
         return ok
