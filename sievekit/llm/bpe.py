@@ -24,9 +24,10 @@ from pyspark.sql import DataFrame
 from sievekit.llm.common import map_texts, worker_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bounds of a worker's tables: states of the transducer and encoded pieces (each up to MAX_PIECE characters).
-MAX_STATES = 300_000
-MAX_PIECES = 200_000
+#: Bounds of a worker's tables, about 150 MB together: states of the transducer (half a KB each with their steps) and encoded
+#: pieces in each of two generations (0.2 KB each, up to MAX_PIECE characters).
+MAX_STATES = 80_000
+MAX_PIECES = 120_000
 MAX_PIECE = 64
 
 
@@ -49,7 +50,8 @@ class MergeTransducer:
         self.numbers: dict[tuple, int] = {}
         self.states: list[tuple] = []
         self.last: list[bytes | None] = []
-        self.steps: dict[int, tuple[int, bytes]] = {}
+        self.steps: dict[int, int] = {}  # the next state; its complement where something is emitted
+        self.emits: dict[int, bytes] = {}
         self.suffixes: dict[bytes, tuple] = {}
         self._number((b"", None, (), ()))
 
@@ -145,10 +147,12 @@ class MergeTransducer:
         ends = tuple([x & -2 for x in ends])
         if full := len(self.states) >= self.max_states:
             self._reset()
-        after = self._number((suffix, before, pending, ends)), emitted
+        after = self._number((suffix, before, pending, ends))
         if not full:
-            self.steps[number << 8 | byte] = after
-        return after
+            self.steps[number << 8 | byte] = ~after if emitted else after
+            if emitted:
+                self.emits[number << 8 | byte] = emitted
+        return after, emitted
 
     def _finish(self, number: int) -> bytes:
         pending, tokens = self.states[number][2], []
@@ -162,15 +166,19 @@ class MergeTransducer:
     def encode(self, piece: bytes) -> bytes:
         if (whole := self.packed.get(piece)) is not None:
             return whole
-        number, out, steps = 0, [], self.steps
+        number, out, steps, emits = 0, [], self.steps, self.emits
         for byte in piece:
             found = steps.get(number << 8 | byte)
             if found is None:
-                found = self._step(number, byte)
-                steps = self.steps
-            number, emitted = found
-            if emitted:
-                out.append(emitted)
+                number, emitted = self._step(number, byte)
+                steps, emits = self.steps, self.emits
+                if emitted:
+                    out.append(emitted)
+            elif found < 0:
+                out.append(emits[number << 8 | byte])
+                number = ~found
+            else:
+                number = found
         rest = self.last[number]
         out.append(self._finish(number) if rest is None else rest)
         return b"".join(out)
