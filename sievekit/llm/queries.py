@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, decontamination, exact_dedup, licences, ngram_join, packing, pii, quality, secrets, token_counts, toxicity
+from sievekit.llm import bpe, decontamination, exact_dedup, licences, ngram_join, packing, pii, prefix_trie, quality, secrets, token_counts, toxicity
 from sievekit.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +106,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(_number("found", k) for k in secrets.BASE), base, _spans("found").alias("spans"))
 
 
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_prefix_trie"] = prefix_trie.oracle()
+
+
 @query
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
