@@ -34,26 +34,65 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID, WINDOW, BLOCK_TOKENS, LEAST_PIECE = 2, 4096, 1 << 20, 256
 #: Shares of blocks (block and source) up to which they are broadcast, about 20 MB; beyond, Spark joins them.
 BROADCAST_SHARES = 400_000
-#: Characters of texts looked up at once.
+#: Words that a worker remembers and their characters, about 150 MB; characters of texts looked up at once.
+WORDS, WORD_CHARS = 800_000, 12_000_000
 CHARS_AT_ONCE = 4_000_000
 
 
 class WordTokens:
-    """Ids of whole texts of a tokenizer that drops white space: no token crosses a space or line feed, so words are encoded one by one."""
+    """Ids of whole texts of a tokenizer that drops white space: no token crosses a space or line feed, so words are encoded one by one.
+
+    Letters and the marks that follow them are never in one token either. So a word of letters that ends in points or commas
+    is put together from its two parts; and words of letters alone are encoded many at once, as each has one token that ends it.
+    """
 
     def __init__(self, data: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(data)
-        self.store = WordStore(self._add, self._clear)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.store = WordStore(self._add, self._clear, WORDS, WORD_CHARS, self._order)
         self._clear()
 
     def _clear(self) -> None:
-        self.ids = Ragged(np.uint32)
-
-    def _add(self, words: list[str]) -> None:
+        self.ids = Ragged(np.uint16 if len(self.ends) <= 1 << 16 else np.uint32)
+
+    def _order(self, new: set[str], index: dict[str, int]) -> list[str]:
+        """Words of letters, then others, then those of two parts; parts that are missing are added to the first two."""
+        self.letters, self.joined, others = [], [], []
+        for word in new:
+            core = word.rstrip(".,")
+            low = core.lower() if core.isascii() or core.isalpha() and max(core) <= "\xff" else core  # as the tokenizer would
+            if not low.isalpha():
+                others.append(word)
+            elif low == word:
+                self.letters.append(word)
+            else:
+                self.joined.append((word, low, word[len(core) :]))
+        self.letters += {low for _, low, _ in self.joined}.difference(index, new)
+        others += {mark for *_, mark in self.joined}.difference(index, new)
+        return [*self.letters, *others, *(word for word, *_ in self.joined)]
+
+    def _encoded(self, words: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         self.ids.extend(np.fromiter((i for ids in found for i in ids), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
 
+    def _add(self, words: list[str]) -> None:
+        for begin in range(0, len(self.letters), 2048):
+            some = self.letters[begin : begin + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) == len(some) and last[-1] == len(ids) - 1:
+                self.ids.extend(ids, np.diff(last, prepend=-1))
+            else:
+                self._encoded(some)
+        self._encoded(words[len(self.letters) : len(words) - len(self.joined)])
+        if self.joined:
+            index = self.store.index
+            values, lengths = self.ids.take(np.array([index[part] for _, *parts in self.joined for part in parts], np.int64))
+            self.ids.extend(values, lengths[::2] + lengths[1::2])
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out = []
         for begin, end in parts_of(texts, list(map(len, texts)), CHARS_AT_ONCE):
@@ -62,7 +101,7 @@ class WordTokens:
                 own = text.replace("\n", " ").split(" ")
                 words += own
                 sizes.append(len(own))
-            ids, lengths = self.ids.take(rows) if len(rows := self.store.rows(words)) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            ids, lengths = self.ids.take(rows) if len(rows := self.store.rows(words)) else (self.ids.flat[:0], np.zeros(0, np.int64))
             ends = np.concatenate([[0], np.cumsum(lengths)])[np.cumsum([0, *sizes])]
             out += [ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return out
@@ -84,7 +123,7 @@ def blocks(docs: DataFrame, data: str, id_col: str, text_col: str, source_col: s
         tokens = worker_table("packing " + key, lambda: WordTokens(sent.value))
 
         def apply(ids: list, texts: list[str], sources: list) -> dict[str, list]:
-            found = [np.append(x, np.uint32(END_ID)) for x in tokens(texts)]
+            found = [np.append(x, x.dtype.type(END_ID)) for x in tokens(texts)]
             return {"source": sources, "n": [len(x) for x in found], "tokens": [x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in found]}
 
         return apply

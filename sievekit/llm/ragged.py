@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from operator import itemgetter
 
 import numpy as np
 
@@ -41,11 +42,14 @@ class WordStore:
     """Numbers words. ``add`` gets the new words, distinct, and computes what is kept of them in the order of their numbers.
 
     The store is emptied before a look-up once it holds ``most`` words or ``most_chars`` characters, so beyond the
-    words of one look-up its size is bounded by both.
+    words of one look-up its size is bounded by both. ``order``: may put the new words into an order of its own and add others.
     """
 
-    def __init__(self, add: Callable[[list[str]], None], clear: Callable[[], None], most: int = 300_000, most_chars: int = 8_000_000):
+    def __init__(
+        self, add: Callable[[list[str]], None], clear: Callable[[], None], most: int, most_chars: int, order: Callable[[set[str], dict[str, int]], list[str]] | None = None
+    ):
         self.add, self.clear, self.most, self.most_chars = add, clear, most, most_chars
+        self.order = order or (lambda new, _: list(new))
         self.index: dict[str, int] = {}
         self.chars = 0
 
@@ -53,11 +57,14 @@ class WordStore:
         if len(self.index) >= self.most or self.chars >= self.most_chars:
             self.index, self.chars = {}, 0
             self.clear()
-        if new := list(set(words).difference(self.index)):
+        if found := set(words).difference(self.index):
+            new = self.order(found, self.index)
             self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
             self.chars += sum(map(len, new))
             self.add(new)
-        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if len(words) < 2:
+            return np.array([self.index[w] for w in words], np.int64)
+        return np.array(itemgetter(*words)(self.index), np.int64)
 
 
 def parts_of(items: list, sizes: list[int], most: int) -> list[tuple[int, int]]:
