@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievekit.llm import bpe, decontamination, exact_dedup, licences, ngram_join, packing, pii, prefix_trie, quality, secrets, token_counts, toxicity
+from sievekit.llm import alignment, bpe, decontamination, exact_dedup, licences, ngram_join, packing, pii, prefix_trie, quality, secrets, token_counts, toxicity
 from sievekit.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,6 +114,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op11_prefix_trie"] = prefix_trie.oracle()
 
 
+@query
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
 @query
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
