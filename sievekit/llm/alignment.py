@@ -83,7 +83,7 @@ class Aligner:
     def _clear(self) -> None:
         self.numbers, self.links, self.groups = Ragged(np.int32), Ragged(np.uint64), []
 
-    def _add(self, words: list[str]) -> None:
+    def _add(self, words: list[str], rows: np.ndarray) -> None:
         units = [w if w[:1].isspace() else " " + w for w in words]
         a_ids = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)]
         b_ids = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
@@ -97,8 +97,8 @@ class Aligner:
             self.groups.append(groups)
             links += own
             sizes.append(len(own))
-        self.numbers.extend(np.array(numbers, np.int32), np.full(len(words), 4, np.int64))
-        self.links.extend(np.array(links, np.uint64), np.array(sizes, np.int64))
+        self.numbers.put(rows, np.array(numbers, np.int32), np.full(len(words), 4, np.int64))
+        self.links.put(rows, np.array(links, np.uint64), np.array(sizes, np.int64))
 
     def _aligned(self, data: bytes, a: list[int], b: list[int]) -> tuple[str, int, list[int]] | None:
         """Groups as text, their number, and links as A id << 32 | B id; None where a side's bytes are others."""

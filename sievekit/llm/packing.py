@@ -52,46 +52,44 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.store = WordStore(self._add, self._clear, WORDS, WORD_CHARS, self._order)
+        self.store = WordStore(self._add, self._clear, WORDS, WORD_CHARS)
         self._clear()
 
     def _clear(self) -> None:
         self.ids = Ragged(np.uint16 if len(self.ends) <= 1 << 16 else np.uint32)
 
-    def _order(self, new: set[str], index: dict[str, int]) -> list[str]:
-        """Words of letters, then others, then those of two parts; parts that are missing are added to the first two."""
-        self.letters, self.joined, others = [], [], []
-        for word in new:
+    def _add(self, words: list[str], rows: np.ndarray) -> None:
+        letters, joined, others = [], [], []  # of the last: number, letters in lower case, marks
+        for word, row in zip(words, rows.tolist(), strict=True):
             core = word.rstrip(".,")
             low = core.lower() if core.isascii() or core.isalpha() and max(core) <= "\xff" else core  # as the tokenizer would
             if not low.isalpha():
-                others.append(word)
+                others.append((word, row))
             elif low == word:
-                self.letters.append(word)
+                letters.append((word, row))
             else:
-                self.joined.append((word, low, word[len(core) :]))
-        self.letters += {low for _, low, _ in self.joined}.difference(index, new)
-        others += {mark for *_, mark in self.joined}.difference(index, new)
-        return [*self.letters, *others, *(word for word, *_ in self.joined)]
-
-    def _encoded(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        self.ids.extend(np.fromiter((i for ids in found for i in ids), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
-
-    def _add(self, words: list[str]) -> None:
-        for begin in range(0, len(self.letters), 2048):
-            some = self.letters[begin : begin + 2048]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            last = np.flatnonzero(self.ends[ids])
-            if len(last) == len(some) and last[-1] == len(ids) - 1:
-                self.ids.extend(ids, np.diff(last, prepend=-1))
-            else:
-                self._encoded(some)
-        self._encoded(words[len(self.letters) : len(words) - len(self.joined)])
-        if self.joined:
-            index = self.store.index
-            values, lengths = self.ids.take(np.array([index[part] for _, *parts in self.joined for part in parts], np.int64))
-            self.ids.extend(values, lengths[::2] + lengths[1::2])
+                joined.append((row, low, word[len(core) :]))
+        known = len(self.store.index)
+        parts = self.store.numbers([part for _, *both in joined for part in both])
+        for word, row in zip(self.store.index.new, range(known, len(self.store.index)), strict=True):
+            (letters if word.isalpha() else others).append((word, row))
+        for begin in range(0, len(letters), 2048):
+            self._letters(letters[begin : begin + 2048])
+        self._each(others)
+        values, lengths = self.ids.take(parts)
+        self.ids.put(np.array([row for row, *_ in joined], np.int64), values, lengths[::2] + lengths[1::2])
+
+    def _letters(self, words: list[tuple[str, int]]) -> None:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(w for w, _ in words)], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) == len(words) and last[-1] == len(ids) - 1:
+            self.ids.put(np.array([row for _, row in words]), ids, np.diff(last, prepend=-1))
+        else:
+            self._each(words)
+
+    def _each(self, words: list[tuple[str, int]]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, _ in words], add_special_tokens=False)]
+        self.ids.put(np.array([row for _, row in words], np.int64), np.fromiter((i for ids in found for i in ids), np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         out = []
