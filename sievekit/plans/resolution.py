@@ -73,11 +73,12 @@ def upgrade_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def included_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Does a range of every sign allow the version of the part?"""
-    rows = _parts(spark, sf_dir)
+    """Does a range of every sign allow the version of the part? Some versions end in a time in digits, some bounds have seven numbers."""
     k = F.col("p_partkey")
+    rows = _parts(spark, sf_dir).withColumn("v", F.concat_ws(".", "v", (k % 2).cast("string"))).withColumn("v", F.concat(F.col("v"), F.when(k % 5 == 0, ".20240101123000").otherwise("")))
     sign = F.element_at(F.array(*map(F.lit, [">=", ">", "<", "<=", "^", "~", "~=", "==", "!=", ""])), (k % 10 + 1).cast("int"))
     bound = F.concat_ws(".", (k % 4).cast("string"), (F.col("p_size") % 3).cast("string"), (k % 2).cast("string"))
+    bound = F.concat(bound, F.when(k % 6 == 0, ".0.20230101123000.1.9").otherwise(""))
     return rows.select("p_partkey", versions.includes(F.concat(sign, bound), F.col("v")).alias("allowed"))
 
 
@@ -138,9 +139,10 @@ WITH p AS (SELECT p_partkey, p_partkey % 3 AS k, (p_size % 4) || '.' || (p_partk
 x AS (SELECT *, list_min(list_filter(fixes, lambda f: k = 2 OR f.v > own)).v AS best FROM p)
 SELECT p_partkey, CASE k WHEN 0 THEN v WHEN 1 THEN '==' || v ELSE '>=' || v END AS spec, best[1] || '.' || best[2] AS fix FROM x""",
     "included_versions": """
-WITH p AS (SELECT p_partkey, p_partkey % 10 AS k, [p_size % 4, p_partkey % 10, p_size % 7] AS v, [p_partkey % 4, p_size % 3, p_partkey % 2] AS b FROM part)
+WITH p AS (SELECT p_partkey, p_partkey % 10 AS k, [p_size % 4, p_partkey % 10, p_size % 7, p_partkey % 2, CASE WHEN p_partkey % 5 = 0 THEN 20240101123000 ELSE 0 END, 0, 0] AS v,
+  [p_partkey % 4, p_size % 3, p_partkey % 2] || CASE WHEN p_partkey % 6 = 0 THEN [0, 20230101123000, 1, 9] ELSE [0, 0, 0, 0] END AS b, CASE WHEN p_partkey % 6 = 0 THEN 6 ELSE 2 END AS lead FROM part)
 SELECT p_partkey, CASE k WHEN 0 THEN v >= b WHEN 1 THEN v > b WHEN 2 THEN v < b WHEN 3 THEN v <= b WHEN 4 THEN v >= b AND (CASE WHEN b[1] > 0 THEN v[1] = b[1] ELSE v[1] = 0 AND v[2] = b[2] END)
-  WHEN 5 THEN v >= b AND v[1] = b[1] AND v[2] = b[2] WHEN 6 THEN v >= b AND v[1] = b[1] AND v[2] = b[2] WHEN 8 THEN v <> b ELSE v = b END AS allowed FROM p""",
+  WHEN 5 THEN v >= b AND v[1] = b[1] AND v[2] = b[2] WHEN 6 THEN v >= b AND v[:lead] = b[:lead] AND (lead = 2 OR p_partkey % 5 = 0) WHEN 8 THEN v <> b ELSE v = b END AS allowed FROM p""",
     "scoped_advisories": """
 WITH l AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS k, l_linenumber AS n FROM lineitem WHERE l_linenumber < 3),
 m AS (SELECT DISTINCT a, k FROM l), e AS (SELECT * FROM l WHERE k % 3 = 0),

@@ -6,8 +6,11 @@ from sievekit.operators import dependencies, reports, versions
 
 @pytest.mark.parametrize(
     ("text", "parts"),
-    [("1.2.3", [1, 2, 3, 0, 0, 0]), ("v2.0", [2, 0, 0, 0, 0, 0]), ("1.0rc1", [1, 0, -1, 0, 0, 0]), ("1.0.0-beta+x", [1, 0, 0, -1, 0, 0]), ("1!2.0", None), ("0!2.0", [2, 0, 0, 0, 0, 0]), ("abc", None)],
-)
+    [
+        ("1.2.3", [1, 2, 3]), ("v2.0", [2, 0]), ("1.0rc1", [1, 0, -1]), ("1.0.0-beta+x", [1, 0, 0, -1]), ("1!2.0", None), ("0!2.0", [2, 0]), ("abc", None), ("1.0.DEV3", [1, 0, -1]), ("1.0.post2", [1, 0]),
+        ("1.2.3.4.5.6.7", [1, 2, 3, 4, 5, 6, 7]), ("20240101123000", [20240101123000]), ("3000000000.1", [3000000000, 1]), ("1.99999999999999999999", None), ("000000000000000000001", [1]), (" 1 ", [1]), ("1.", [1]),
+    ],
+)
 def test_version(spark, text, parts):
     assert spark.createDataFrame([(text,)], "t string").select(versions.version(F.col("t"))).first()[0] == parts
 
@@ -20,6 +23,8 @@ def test_version(spark, text, parts):
         ("*", "9", None), ("", "1", None), (">=1 || <0", "1", None), ("!=1", "1", False), ("!=1", "2", True), ("nope", "1", None), (">1.2", "1.2.0.0", False), ("<1.0", "1.0rc1", True),
         ("^0.0.3", "0.0.9", True), ("^0.0.3", "0.1", False), ("^0.0.3", "0", False), ("<=1.2", "1.2.1", False), ("~1", "1.9", True), ("=1.0", "1.0", None), (">=2,nope", "1", False), ("nope,>=2", "1", None),
         ("~=1.0.0", "1", False), ("1.2.*", "1.2", True), (">=1.0 && <2", "1.5", True),
+        (">=3000000000.1", "1.0", False), (">=1.2", "3000000000.0", True), (">=20240101123000", "20230101", False), ("1.2.3.4.5.6.7", "1.2.3.4.5.6.8", False), ("1.2.3.4.5.6.7", "1.2.3.4.5.6.7.0", True),
+        (">=1.99999999999999999999", "1", None), ("^", "1", None), (">=v1", "1", None), (">= ,1", "1", None), ("1.0 - x", "1", None),
     ],
 )
 def test_ranges(spark, spec, version, ok):
@@ -27,7 +32,7 @@ def test_ranges(spark, spec, version, ok):
     assert row.select(versions.includes(F.col("s"), F.col("v"))).first()[0] is ok
 
 
-TOP, LEAST = [2**31 - 1] * 6, [-(2**31)] * 6
+TOP, LEAST = versions.HIGH, versions.LOW
 
 
 @pytest.mark.parametrize(
@@ -35,13 +40,13 @@ TOP, LEAST = [2**31 - 1] * 6, [-(2**31)] * 6
     [
         ("1.2", [1, 2], [1, 3]), ("==1.2", [1, 2], [1, 3]), ("1.2.*", [1, 2], [1, 3]), ("<=1.2", LEAST, [1, 3]), ("<1.2", LEAST, [1, 2]), (">1.2", [1, 2, 1], TOP), (">=1.2", [1, 2], TOP),
         ("^1.2", [1, 2], [2]), ("^0.2.3", [0, 2, 3], [0, 3]), ("^0.0.3", [0, 0, 3], [0, 1]), ("~1.2.3", [1, 2, 3], [1, 3]), ("~1", [1], [2]), ("~=1.4.2", [1, 4, 2], [1, 5]), ("~=1", [1], [2]),
-        ("!=1.0", LEAST, TOP), (">=1,!=1.5,<2", [1], [2]), ("1.0 - 2.0", [1], [2, 1]), ("==1.0rc1", [1, 0, -1], [1]), ("*", None, None), ("", None, None), ("1 || 2", None, None), ("=1", None, None),
+        ("!=1.0", LEAST, TOP), (">=1,!=1.5,<2", [1], [2]), ("1.0 - 2.0", [1], [2, 1]), ("==1.0rc1", [1, 0, -1], [1]), ("*", None, None), ("", None, None), ("1 || 2", None, None), ("=1", None, None), ("1.2.3.4.5.6.7", [1, 2, 3, 4, 5, 6, 7], [1, 2, 3, 4, 5, 6, 8]), (">=3000000000", [3000000000], TOP),
     ],
 )
 def test_intervals(spark, spec, lo, hi):
     found = spark.createDataFrame([(spec,)], "s string").select(versions.interval(F.col("s"))).first()[0]
-    full = lambda x: (x + [0] * 6)[:6]
-    assert (found if found is None else (found.lo, found.hi)) == (None if lo is None else (full(lo), full(hi)))
+    bare = lambda x: x[: max((k + 1 for k, n in enumerate(x) if n), default=1)]
+    assert (found if found is None else (bare(found.lo), bare(found.hi))) == (None if lo is None else (lo, hi))
 
 
 def test_entries_of_the_package_alone_or_all(spark):
