@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -214,6 +216,20 @@ def _valid(kind: str, text: str) -> bool:
     return kind == "email" or 7 <= len(digits) <= 15
 
 
+class Spans:
+    """A text's spans. Whether a new one touches an earlier one takes a binary search: new ones come in the order of their starts."""
+
+    def __init__(self, base: list[tuple[int, int, str]]):
+        self.all, self.end = base, 0
+        self.starts, self.ends = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
+
+    def add(self, begin: int, end: int, kind: str) -> None:
+        before = bisect_left(self.starts, end)
+        if self.end <= begin and not (before and self.ends[before - 1] > begin):
+            self.all.append((begin, end, kind))
+            self.end = end
+
+
 class Finder:
     """Base spans and the field's spans of whole texts."""
 
@@ -252,7 +268,7 @@ class Finder:
                 yield held[: len(held) - max(0, since - REACH)], core, len(held)
 
     def __call__(self, texts: list[str]) -> list[list[tuple[int, int, str]]]:
-        found = [base_spans(text) for text in texts]
+        found = [Spans(base_spans(text)) for text in texts]
         held: list[tuple[int, tuple]] = []
         size = 0
         for n, text in enumerate(texts):
@@ -263,7 +279,7 @@ class Finder:
                     self._decode(held, texts, found)
                     held, size = [], 0
         self._decode(held, texts, found)
-        return [sorted(set(spans), key=lambda x: (x[0], KINDS.index(x[2]), x[1])) for spans in found]
+        return [sorted(set(spans.all), key=lambda x: (x[0], KINDS.index(x[2]), x[1])) for spans in found]
 
     def _decode(self, held: list[tuple[int, tuple]], texts: list[str], found: list) -> None:
         place = {t: k for k, t in enumerate(dict.fromkeys(t for _, (w, _, _) in held for _, t in w))}
@@ -274,7 +290,7 @@ class Finder:
                 self._add(found[n], texts[n], window, best, core, end)
 
     @staticmethod
-    def _add(spans: list, text: str, window: list[tuple[int, str]], best: np.ndarray, core: int, stop: int) -> None:
+    def _add(spans: Spans, text: str, window: list[tuple[int, str]], best: np.ndarray, core: int, stop: int) -> None:
         """The window's valid spans that touch no span that is there already."""
         k = 0
         while k < len(window):
@@ -288,8 +304,8 @@ class Finder:
             begin, end = window[k][0], window[j - 1][0] + len(window[j - 1][1])
             while end > begin and text[end - 1] in ".,;:!?\"'":
                 end -= 1
-            if core <= k < stop and _valid(tag[2:], text[begin:end]) and not any(a < end and begin < b for a, b, _ in spans):
-                spans.append((begin, end, tag[2:]))
+            if core <= k < stop and _valid(tag[2:], text[begin:end]):
+                spans.add(begin, end, tag[2:])
             k = j
 
 

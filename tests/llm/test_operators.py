@@ -221,6 +221,32 @@ def test_pii_adds_spans_and_keeps_the_base(spark):
     assert [x.kind for x in out[0]] == ["email"]
 
 
+def test_many_hits_in_one_text_take_linear_time():
+    """Telephone numbers on every line: four times the lines take about four times as long."""
+    finder = pii.Finder(pii.train())
+    took = []
+    for n in (2_000, 8_000):
+        text = "please call 0171 555 0000 now\n" * n
+        began = time.process_time()
+        (spans,) = finder([text])
+        took.append(time.process_time() - began)
+        assert len(spans) == n and all(text[a:b] == "0171 555 0000" for a, b, _ in spans)
+    assert took[1] < 8 * took[0]
+
+
+def test_spans_touch_as_all_pairs_tell():
+    rng = random.Random(3)
+    for _ in range(300):
+        base = sorted((a, a + rng.randint(1, 9), rng.choice(pii.KINDS)) for a in rng.sample(range(60), rng.randint(0, 8)))
+        spans, plain = pii.Spans(list(base)), list(base)
+        for a in sorted(rng.choices(range(60), k=10)):
+            b = a + rng.randint(1, 6)
+            spans.add(a, b, "phone")
+            if not any(x < b and a < y for x, y, _ in plain):
+                plain.append((a, b, "phone"))
+        assert spans.all == plain
+
+
 def test_shapes():
     assert crf.shape("Abc-12.5") == "Xx-d2.d1" and crf.shape("(743)") == "(d3)"
 
