@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievekit.operators.graph import Fronts
+from sievekit.operators.joins import containing
+from sievekit.operators.materialise import cut
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.round(a / F.nullif(b, F.lit(0)), 6)
@@ -65,3 +69,73 @@ def drift(counts: DataFrame, baseline: DataFrame, total: int = 5, urgent: int =
 def unreviewed(found: DataFrame, reviewed: DataFrame) -> DataFrame:
     """Urgent findings that nobody has judged."""
     return found.filter("sev_rank <= 1").join(reviewed.select("fingerprint").distinct(), "fingerprint", "left_anti")
+
+
+def one_to_one(candidates: DataFrame) -> DataFrame:
+    """``finding`` and ``sink`` of a matching in which each has one partner at most, as taking the best pairs one after the other gives it.
+
+    candidates: finding, sink, rank, distance; less is better, then the smaller sink, then the smaller finding. In each round
+    findings and sinks that are each other's best pair leave, so the rounds are as many as the longest chain of pairs that wait for
+    another; only the least is kept of each finding and sink before a shuffle.
+    """
+    order = F.struct("rank", "distance", "sink", "finding")
+    left = cut(candidates.groupBy("finding", "sink").agg(F.min(F.struct("rank", "distance")).alias("_b")).select("finding", "sink", "_b.rank", "_b.distance"))
+    taken: Fronts | None = None
+    while True:
+        of_finding = left.groupBy("finding").agg(F.min_by("sink", order).alias("sink"))
+        of_sink = left.groupBy("sink").agg(F.min_by("finding", order).alias("finding"))
+        pairs = cut(of_finding.join(of_sink, ["finding", "sink"]).select("finding", "sink"))
+        if taken is None:
+            taken = Fronts(pairs)
+        else:
+            taken.add(pairs)
+        if pairs.isEmpty():
+            return taken.all()
+        left = cut(left.join(pairs.select("finding"), "finding", "left_anti").join(pairs.select("sink"), "sink", "left_anti"))
+
+
+#: Lines to either side of a labelled sink in which a finding may count for it.
+SINK_WINDOW = 15
+
+
+def distinct_findings(findings: DataFrame, expected: DataFrame, decoys: DataFrame, reach: int = SINK_WINDOW) -> DataFrame:
+    """Each finding with its ``state`` and ``sink``: decoy, hit, duplicate, mismatch, or unmatched.
+
+    findings: finding, path, line, cwe (array), rule_id; expected: sink, path, line_hint, cwe, native_rule; decoys: path,
+    first, last, cwe. A finding with the CWE of a decoy within its lines is its alarm and nothing else. Others are
+    candidates for the sinks near them that name their rule (rank 0) or their CWE (1); each sink has one hit, and a candidate without
+    a sink of its own is a duplicate of its best one. A finding that is near sinks but has other CWEs than all of them is a mismatch of
+    the nearest.
+    """
+    size = reach + 1
+    alarms = findings.select("finding", "path", "line", F.explode("cwe").alias("cwe"))
+    alarms = _within(alarms, decoys)
+    free = findings.join(alarms, "finding", "left_anti")
+    left = free.withColumn("_block", F.floor(F.col("line") / size))
+    right = expected.select("sink", "path", "line_hint", F.col("cwe").alias("_cwe"), "native_rule")
+    right = right.withColumn("_block", F.explode(F.sequence(F.floor((F.col("line_hint") - reach) / size), F.floor((F.col("line_hint") + reach) / size))))
+    near = left.join(right, ["path", "_block"]).withColumn("distance", F.abs(F.col("line") - F.col("line_hint"))).filter(F.col("distance") <= reach)
+    rank = F.when(F.col("native_rule") == F.col("rule_id"), 0).when(F.array_contains("cwe", F.col("_cwe")), 1)
+    near = cut(near.select("finding", "sink", "distance", rank.alias("rank"), (F.size("cwe") > 0).alias("_told")))
+    candidates = near.filter("rank is not null")
+    best = candidates.groupBy("finding").agg(F.min(F.struct("rank", "distance", "sink")).alias("_b")).select("finding", F.col("_b.sink").alias("_best"))
+    hits = one_to_one(candidates.select("finding", "sink", "rank", "distance")).select("finding", F.col("sink").alias("_hit"))
+    drift = near.groupBy("finding").agg(F.min(F.struct("distance", "sink")).alias("_n"), F.bool_or("_told").alias("_told")).filter("_told").select("finding", F.col("_n.sink").alias("_near"))
+    rows = findings.join(alarms.withColumn("_alarm", F.lit(True)), "finding", "left").join(hits, "finding", "left").join(best, "finding", "left").join(drift, "finding", "left")
+    state = F.when(F.col("_alarm"), "decoy").when(F.col("_hit").isNotNull(), "hit").when(F.col("_best").isNotNull(), "duplicate").when(F.col("_near").isNotNull(), "mismatch").otherwise("unmatched")
+    return rows.select(*findings.columns, state.alias("state"), F.coalesce("_hit", "_best", "_near").alias("sink"))
+
+
+def _within(alarms: DataFrame, decoys: DataFrame) -> DataFrame:
+    """The findings that lie in a decoy of their path and CWE."""
+    key = F.concat_ws("#", "cwe", "path")
+    held = containing(alarms.withColumn("_key", key), decoys.withColumn("_key", key).select("_key", "first", "last"), "_key", "line", "first", "last", [])
+    return held.select("finding").distinct()
+
+
+def rule_scores(scored: DataFrame) -> DataFrame:
+    """Findings, hits, duplicates, alarms at decoys, mismatches and the rest by rule; the last five add up to the first."""
+    n = lambda s: F.count_if(F.col("state") == s)
+    return scored.groupBy("rule_id").agg(
+        F.count("*").alias("findings"), n("hit").alias("distinct_tp"), n("duplicate").alias("duplicates"), n("decoy").alias("decoy_fp"), n("mismatch").alias("mismatches"), n("unmatched").alias("unmatched")
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,21 +11,28 @@ from pyspark.sql import functions as F
 from sievekit.operators.materialise import cut
 
 
-def innermost(points: DataFrame, scopes: DataFrame, key: str, at: str, begin: str, end: str, carry: list[str]) -> DataFrame:
-    """Of each point the scope of its key that holds it and begins last; NULLs if none does. Places are whole numbers.
+def containing(points: DataFrame, scopes: DataFrame, key: str, at: str, begin: str, end: str, carry: list[str]) -> DataFrame:
+    """Each point with every scope of its key that holds it. Places are whole numbers.
 
     Scopes stand in blocks of a power of two that is at least their length, so in two at most; a point looks into its
-    block of each such size. Points need an id column ``point_id``. Of scopes that begin alike the one that ends first
-    wins, then the smallest carried values.
+    block of each such size.
     """
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.col(end) - F.col(begin) + 1))).cast("int")
     block = lambda place, size: F.floor(F.col(place) / F.pow(F.lit(2.0), size)).cast("long")
     held = scopes.filter(F.col(begin) <= F.col(end)).select(key, begin, end, *carry, level.alias("_level"))
     held = held.withColumn("_block", F.explode(F.array_distinct(F.array(block(begin, F.col("_level")), block(end, F.col("_level"))))))
     sizes = sorted(r._level for r in held.select("_level").distinct().collect())  # 64 at most
-    asked = points.select("point_id", key, at).withColumn("_level", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")))
+    asked = points.withColumn("_level", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")))
     found = asked.withColumn("_block", block(at, F.col("_level"))).join(held, [key, "_level", "_block"])
-    found = found.filter((F.col(begin) <= F.col(at)) & (F.col(at) <= F.col(end)))
+    return found.filter((F.col(begin) <= F.col(at)) & (F.col(at) <= F.col(end))).drop("_level", "_block")
+
+
+def innermost(points: DataFrame, scopes: DataFrame, key: str, at: str, begin: str, end: str, carry: list[str]) -> DataFrame:
+    """Of each point the scope of its key that holds it and begins last; NULLs if none does.
+
+    Points need an id column ``point_id``. Of scopes that begin alike the one that ends first wins, then the smallest carried values.
+    """
+    found = containing(points.select("point_id", key, at), scopes, key, at, begin, end, carry)
     rank = F.struct(-F.col(begin).cast("double"), F.col(end), *carry)
     best = found.groupBy("point_id").agg(F.min_by(F.struct(begin, end, *carry), rank).alias("_best"))
     return points.join(best, "point_id", "left").select(*points.columns, *(F.col(f"_best.{c}").alias(c) for c in (begin, end, *carry)))
@@ -86,24 +95,33 @@ def near_lines(found: DataFrame, expected: DataFrame, reach: int = 15) -> DataFr
     return left.join(right, ["path", "cwe", "_block"]).filter(F.abs(F.col("line") - F.col("line_hint")) <= reach).drop("_block")
 
 
-def re_exports(names: DataFrame, exports: DataFrame, most: int = 5) -> DataFrame:
-    """Where a name is really defined: follows re-exports for ``most`` steps at most and ends at cycles.
+def re_exports(names: DataFrame, exports: DataFrame, definitions: DataFrame, most: int = 5) -> DataFrame:
+    """Where a name is really defined. names: file, name; definitions: file, name; exports: file, name, place, target_file, target_name.
 
-    names: file, name; exports: file, name, target_file, target_name. Adds ``final_file`` and ``final_name``.
+    Where a file doesn't define a name itself, its re-exports are followed: those of the name, and those of everything (``name``
+    NULL, as in ``export *``, which hand the name on as it is). Ways are tried in the order of ``place``, each to its end, and the
+    first that ends at a definition counts. At most ``most`` steps; a way that meets a file and name again, or ends in the open, gives nothing.
+    Adds ``final_file`` and ``final_name``, NULL where no definition is found.
     """
-    rows = names.select("file", "name", F.col("file").alias("final_file"), F.col("name").alias("final_name"), F.array(F.concat_ws("#", "file", "name")).alias("_seen"))
-    step = cut(exports.select(F.col("file").alias("final_file"), F.col("name").alias("final_name"), "target_file", "target_name"))
-    for _ in range(most):
-        rows = rows.join(step, ["final_file", "final_name"], "left")
+    place = lambda prefix="": [F.col("file").alias(f"{prefix}file"), F.col("name").alias(f"{prefix}name")]
+    defined = cut(definitions.select(*place("at_")).distinct().withColumn("_defined", F.lit(True)))
+    named = exports.filter("name is not null").select(*place("at_"), "place", "target_file", "target_name")
+    stars = exports.filter("name is null").select(F.col("file").alias("at_file"), "place", "target_file")
+    ways = names.select("file", "name").distinct().select("file", "name", *place("at_"), F.array().cast("array<int>").alias("way"), F.array(F.concat_ws("#", "file", "name")).alias("_seen"))
+    found: list[DataFrame] = []
+    for step in range(most + 1):
+        ways = cut(ways.join(defined, ["at_file", "at_name"], "left"))
+        found.append(ways.filter("_defined").select("file", "name", "at_file", "at_name", "way"))
+        open_ = ways.filter("_defined is null").drop("_defined")
+        if step == most or open_.isEmpty():
+            break
+        next_ = open_.join(named, ["at_file", "at_name"]).unionByName(open_.join(stars, "at_file").withColumn("target_name", F.col("at_name")))
         key = F.concat_ws("#", "target_file", "target_name")
-        go = F.col("target_file").isNotNull() & ~F.array_contains("_seen", key)
-        rows = rows.select(
-            "file", "name",
-            F.when(go, F.col("target_file")).otherwise(F.col("final_file")).alias("final_file"),
-            F.when(go, F.col("target_name")).otherwise(F.col("final_name")).alias("final_name"),
-            F.when(go, F.array_append("_seen", key)).otherwise(F.col("_seen")).alias("_seen"),
-        )
-    return rows.drop("_seen")
+        ways = next_.filter(~F.array_contains("_seen", key)).select(
+            "file", "name", F.col("target_file").alias("at_file"), F.col("target_name").alias("at_name"), F.array_append("way", F.col("place").cast("int")).alias("way"), F.array_append("_seen", key).alias("_seen")
+        )
+    first = reduce(DataFrame.unionByName, found).groupBy("file", "name").agg(F.min_by(F.struct("at_file", "at_name"), "way").alias("_f"))
+    return names.join(first, ["file", "name"], "left").select(*names.columns, F.col("_f.at_file").alias("final_file"), F.col("_f.at_name").alias("final_name"))
 
 
 def sole_owners(calls: DataFrame, methods: DataFrame, most: int) -> DataFrame:

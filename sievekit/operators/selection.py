@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievekit.operators.materialise import cut
+
 
 def at_least_severe(rows: DataFrame, rank: int) -> DataFrame:
     """Findings of severity ``rank`` or worse."""
@@ -27,7 +29,9 @@ def priority(rows: DataFrame, order: list[str], most: int = 150) -> DataFrame:
     if not code.filter(urgent).isEmpty():
         return code.filter(urgent | ai)
     medium = (F.col("sev_rank") == 2) & (F.col("confidence") >= 0.6)
-    first = code.filter(medium).orderBy(*order).limit(most)
+    # All columns follow the order, so the first ones are the same whenever they are taken; equal rows are counted.
+    every = [c for c in code.columns if c not in order]
+    first = cut(code.filter(medium).orderBy(*order, *every).limit(most))
     return first.unionByName(code.filter(ai).exceptAll(first.filter(ai)))
 
 

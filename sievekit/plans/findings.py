@@ -155,9 +155,9 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bypassed_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as calls of parts: part 10k wraps part 10k + 1; orders are files."""
+    """Order lines as calls of parts: each part wraps the next one; orders are files."""
     calls = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file"), F.col("l_partkey").alias("callee"))
-    wrappers = read(spark, sf_dir, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("wrapper"), (F.col("p_partkey") + 1).alias("primitive"), F.col("p_partkey").alias("file"))
+    wrappers = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("wrapper"), (F.col("p_partkey") + 1).alias("primitive"), F.col("p_partkey").alias("file"))
     return joins.bypasses(calls, wrappers, 25, 20).groupBy("wrapper", "primitive", "uses", "files").agg(F.count("*").alias("bypasses"))
 
 
@@ -243,7 +243,7 @@ w AS (SELECT key, user_id, min(event_id) AS writer FROM e WHERE event_type = 'si
 SELECT key, w.user_id AS writer_file, count(*) AS readers, min(r.event_id) AS first_reader, min(writer) AS writer FROM w JOIN e r USING (key) WHERE r.event_type = 'error' GROUP BY 1, 2""",
     "bypassed_wrappers": """
 WITH c AS (SELECT l_orderkey AS file, l_partkey AS callee FROM lineitem),
-w AS (SELECT p_partkey AS wrapper, p_partkey + 1 AS primitive FROM part WHERE p_partkey % 10 = 0),
+w AS (SELECT p_partkey AS wrapper, p_partkey + 1 AS primitive FROM part),
 u AS (SELECT callee AS wrapper, count(*) AS uses, count(DISTINCT file) AS files FROM c GROUP BY 1 HAVING count(*) >= 25 AND count(DISTINCT file) >= 20)
 SELECT wrapper, primitive, uses, files, count(*) AS bypasses FROM w JOIN u USING (wrapper) JOIN c ON c.callee = primitive AND c.file <> wrapper GROUP BY 1, 2, 3, 4""",
     "near_expected": "WITH " + _SCORED + """

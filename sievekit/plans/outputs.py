@@ -56,8 +56,8 @@ def exit_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def smuggled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose words only hold a phrase when hidden characters are read: tags stand for the letters of their source."""
     docs = read(spark, sf_dir, "documents")
-    hidden = F.concat(F.substring("text", 1, 20), F.lit("\u200big\U000e006e\U000e006fre\u2060 this "), F.when(F.col("doc_id") % 3 == 0, "ignore this").otherwise(F.lit("\u00adend")))
-    rows = docs.withColumn("t", F.when(F.col("doc_id") % 2 == 0, hidden).otherwise(F.col("text")))
+    hidden = F.concat(F.col("text"), F.lit("\u200big\U000e006e\U000e006fre\u2060 this "), F.when(F.col("doc_id") % 3 == 0, "ignore this").otherwise(F.lit("\u00adend")))
+    rows = docs.withColumn("t", F.when(F.col("lang") != "en", hidden).otherwise(F.col("text")))
     return rows.select("doc_id", unicode.smuggled(F.col("t"), "ignore this").alias("smuggled"), F.sha2(unicode.visible(F.col("t")), 256).alias("visible_sha"))
 
 
@@ -82,7 +82,7 @@ SELECT CAST(to_json({'ruleId': rule_id, 'level': ['error', 'error', 'warning', '
 SELECT CAST(to_json({'severity': ['critical', 'high', 'medium', 'low', 'info'][sev_rank + 1], 'rule_id': rule_id, 'sev_rank': sev_rank, 'path': path, 'line': line, 'message': message}) AS VARCHAR) AS value FROM m""",
     "exit_status": "SELECT CASE WHEN bool_or(n_regionkey > 3) THEN 2 WHEN (SELECT count(*) FROM lineitem) > 0 THEN 1 ELSE 0 END AS status, bool_or(n_regionkey > 3) AS degraded FROM nation",
     "smuggled_documents": r"""
-SELECT doc_id, doc_id % 2 = 0 AND doc_id % 3 <> 0 AND NOT contains(substring(text, 1, 20), 'ignore this') AS smuggled,
-  sha256(regexp_replace(CASE WHEN doc_id % 2 = 0 THEN substring(text, 1, 20) || 'igre this ' || CASE WHEN doc_id % 3 = 0 THEN 'ignore this' ELSE 'end' END ELSE text END,
+SELECT doc_id, lang <> 'en' AND doc_id % 3 <> 0 AND NOT contains(text, 'ignore this') AS smuggled,
+  sha256(regexp_replace(CASE WHEN lang <> 'en' THEN text || 'igre this ' || CASE WHEN doc_id % 3 = 0 THEN 'ignore this' ELSE 'end' END ELSE text END,
     '[\x{00AD}\x{061C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{FEFF}]', '', 'g')) AS visible_sha FROM documents""",
 }

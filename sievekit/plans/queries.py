@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievekit.plans import checks, dependencies, findings, graphs, origins, outputs, proofs, resolution, scan, selection
+from sievekit.plans import checks, dependencies, findings, graphs, guards, origins, outputs, proofs, resolution, scan, selection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (scan, graphs, origins, dependencies, findings, selection, resolution, outputs, proofs, checks):
+for module in (scan, graphs, origins, dependencies, findings, selection, resolution, outputs, proofs, guards, checks):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

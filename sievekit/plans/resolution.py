@@ -30,13 +30,14 @@ def resolved_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def re_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers pass names on to the customer whose number is 7 times theirs and 3; where do they end?"""
+    """Customers pass names on, first to the customer whose number is 7 times theirs and 3, then all names to the next one; every fourth defines them. Where do they end?"""
     keys = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     many = keys.select("k").agg(F.count("*").alias("many"))  # a single row
-    exports = keys.filter("k % 4 != 0").join(F.broadcast(many), F.lit(True))
-    exports = exports.select(F.col("k").cast("string").alias("file"), F.lit("x").alias("name"), ((F.col("k") * 7 + 3) % F.col("many")).cast("string").alias("target_file"), F.lit("x").alias("target_name"))
+    rest = keys.filter("k % 4 != 0").join(F.broadcast(many), F.lit(True))
+    to = lambda target, name, place: rest.select(F.col("k").cast("string").alias("file"), name.alias("name"), F.lit(place).alias("place"), target.cast("string").alias("target_file"), F.lit("x").alias("target_name"))
+    exports = to((F.col("k") * 7 + 3) % F.col("many"), F.lit("x"), 0).unionByName(to((F.col("k") * 3 + 2) % F.col("many"), F.lit(None).cast("string"), 1))
     names = keys.select(F.col("k").cast("string").alias("file"), F.lit("x").alias("name"))
-    return joins.re_exports(names, exports).select("file", "final_file")
+    return joins.re_exports(names, exports, names.filter("cast(file as long) % 4 = 0")).select("file", "final_file")
 
 
 def implementers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,12 +49,12 @@ def implementers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sole_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as calls of methods (part numbers) that at most two customers (classes) own."""
+    """Order lines as calls of methods (part numbers) that few customers (classes) own."""
     lines, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    owned = lines.filter("l_quantity > 45").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    owned = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     methods = owned.select(F.col("l_partkey").alias("method"), F.col("o_custkey").alias("class")).distinct()
     calls = lines.select(F.col("l_partkey").alias("method"), F.col("l_suppkey").alias("caller"))
-    return joins.sole_owners(calls, methods, 2).groupBy("method", "class").agg(F.count("*").alias("calls"))
+    return joins.sole_owners(calls, methods, 25).groupBy("method", "class").agg(F.count("*").alias("calls"))
 
 
 def undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,7 @@ def included_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scoped_advisories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' advisories list parts in several spellings; a part's own entries count, else all of the advisory's."""
-    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("advisory_id"), F.col("l_partkey").alias("k"), "l_linenumber").filter("l_linenumber < 3")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("advisory_id"), F.col("l_partkey").alias("k"), "l_linenumber")
     matches = lines.select("advisory_id", F.lit("PyPI").alias("ecosystem"), _text("Pkg_", F.col("k")).alias("package")).distinct()
     entries = lines.filter("k % 3 = 0").select("advisory_id", F.lit("pypi").alias("ecosystem"), _text("pkg.", F.col("k")).alias("package"), F.col("l_linenumber").alias("affected")).distinct()
     return versions.scoped(matches, entries).groupBy("package").agg(F.count("*").alias("entries"), F.sum("affected").cast("long").alias("total"))
@@ -95,7 +96,7 @@ def reachable_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read(spark, sf_dir, "part")
     package, tail = _text("p", F.col("p_size")), _text("f", F.col("p_partkey") % 30)
     advisories = parts.select(F.col("p_partkey").alias("advisory_id"), package.alias("package"), F.when(F.col("p_partkey") % 2 == 0, tail).otherwise(F.concat(package, F.lit("."), tail)).alias("symbol"))
-    lines = read(spark, sf_dir, "lineitem").filter("l_quantity = 50")
+    lines = read(spark, sf_dir, "lineitem")
     calls = lines.select(F.concat(_text("p", F.col("l_suppkey") % 50), F.lit("."), _text("f", F.col("l_partkey") % 30)).alias("symbol"))
     return dependencies.reachable_symbol(advisories, calls).select("advisory_id", "reachability", "evidence")
 
@@ -113,19 +114,22 @@ o AS (SELECT DISTINCT 'file' || (p_partkey % 50) AS file, 'f' || (p_size % 40) A
 SELECT c.file, coalesce(typed, m.target, CASE WHEN c.q IS NULL THEN coalesce(n.target, o.file) END, '?') AS callee_file, count(*) AS n
 FROM c LEFT JOIN m ON m.file = c.file AND m.q = c.q LEFT JOIN n ON n.file = c.file AND n.fn = c.fn LEFT JOIN o ON o.file = c.file AND o.fn = c.fn GROUP BY 1, 2""",
     "re_exports": """
-WITH RECURSIVE k AS (SELECT c_custkey AS k FROM customer), e AS (SELECT k AS a, (k * 7 + 3) % (SELECT count(*) FROM k) AS b FROM k WHERE k % 4 <> 0),
-w(file, place, seen, hop) AS (
-  SELECT k, k, [k], 0 FROM k
-  UNION ALL SELECT file, b, list_append(seen, b), hop + 1 FROM w JOIN e ON e.a = w.place WHERE hop < 5 AND NOT list_contains(seen, b))
-SELECT CAST(file AS VARCHAR) AS file, CAST(arg_max(place, hop) AS VARCHAR) AS final_file FROM w GROUP BY w.file""",
+WITH RECURSIVE k AS (SELECT c_custkey AS k FROM customer),
+e AS (
+  SELECT k AS a, 0 AS place, (k * 7 + 3) % (SELECT count(*) FROM k) AS b FROM k WHERE k % 4 <> 0
+  UNION ALL SELECT k, 1, (k * 3 + 2) % (SELECT count(*) FROM k) FROM k WHERE k % 4 <> 0),
+w(file, place, way, seen) AS (
+  SELECT k, k, CAST([] AS INT[]), [k] FROM k
+  UNION ALL SELECT file, b, list_append(way, e.place), list_append(seen, b) FROM w JOIN e ON e.a = w.place WHERE len(way) < 5 AND NOT list_contains(seen, b))
+SELECT CAST(k.k AS VARCHAR) AS file, CAST(arg_min(w.place, way) AS VARCHAR) AS final_file FROM k LEFT JOIN w ON w.file = k.k AND w.place % 4 = 0 GROUP BY k.k""",
     "implementers": """
 WITH i AS (SELECT DISTINCT o_custkey % 20 AS interface, o_orderpriority AS method FROM orders WHERE o_totalprice > 450000),
 t AS (SELECT DISTINCT o_custkey AS type, o_orderpriority AS method FROM orders),
 n AS (SELECT interface, count(*) AS need FROM i GROUP BY 1)
 SELECT interface, type FROM i JOIN t USING (method) JOIN n USING (interface) GROUP BY interface, type, need HAVING count(*) = need""",
     "sole_owners": """
-WITH m AS (SELECT DISTINCT l_partkey AS method, o_custkey AS class FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45),
-f AS (SELECT method FROM m GROUP BY method HAVING count(*) <= 2)
+WITH m AS (SELECT DISTINCT l_partkey AS method, o_custkey AS class FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+f AS (SELECT method FROM m GROUP BY method HAVING count(*) <= 25)
 SELECT m.method, m.class, count(*) AS calls FROM m SEMI JOIN f USING (method) JOIN lineitem ON l_partkey = m.method GROUP BY 1, 2""",
     "undeclared": r"""
 WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^\p{L}]+')) AS module FROM benchmark),
@@ -144,12 +148,12 @@ WITH p AS (SELECT p_partkey, p_partkey % 10 AS k, [p_size % 4, p_partkey % 10, p
 SELECT p_partkey, CASE k WHEN 0 THEN v >= b WHEN 1 THEN v > b WHEN 2 THEN v < b WHEN 3 THEN v <= b WHEN 4 THEN v >= b AND (CASE WHEN b[1] > 0 THEN v[1] = b[1] ELSE v[1] = 0 AND v[2] = b[2] END)
   WHEN 5 THEN v >= b AND v[1] = b[1] AND v[2] = b[2] WHEN 6 THEN v >= b AND v[:lead] = b[:lead] AND (lead = 2 OR p_partkey % 5 = 0) WHEN 8 THEN v <> b ELSE v = b END AS allowed FROM p""",
     "scoped_advisories": """
-WITH l AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS k, l_linenumber AS n FROM lineitem WHERE l_linenumber < 3),
+WITH l AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS k, l_linenumber AS n FROM lineitem),
 m AS (SELECT DISTINCT a, k FROM l), e AS (SELECT * FROM l WHERE k % 3 = 0),
 r AS (SELECT m.k, e.n FROM m JOIN e USING (a, k) UNION ALL SELECT m.k, e.n FROM m JOIN e USING (a) WHERE NOT EXISTS (FROM e o WHERE o.a = m.a AND o.k = m.k))
 SELECT 'Pkg_' || k AS package, count(*) AS entries, CAST(sum(n) AS BIGINT) AS total FROM r GROUP BY k""",
     "reachable_symbols": """
-WITH c AS (SELECT DISTINCT 'p' || (l_suppkey % 50) AS package, 'f' || (l_partkey % 30) AS tail FROM lineitem WHERE l_quantity = 50)
+WITH c AS (SELECT DISTINCT 'p' || (l_suppkey % 50) AS package, 'f' || (l_partkey % 30) AS tail FROM lineitem)
 SELECT p_partkey AS advisory_id, CASE WHEN tail IS NULL THEN 'unknown' ELSE 'reachable' END AS reachability, package || '.' || tail AS evidence
 FROM part LEFT JOIN c ON package = 'p' || p_size AND tail = 'f' || (p_partkey % 30)""",
 }
