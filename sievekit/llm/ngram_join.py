@@ -52,6 +52,9 @@ MOST_TOLD = 1 << 20
 CELL = 4096
 #: With more partners left than this a set meets only the likeliest of each other component in the first round.
 LIKELIEST = 512
+#: Tiles of a set, the first by shingle, that its rows carry. A pair that two sets could make in later tiles too is made in the
+#: first one of both alone; beyond these tiles it may be made again, and none is lost.
+TILES_KEPT = 32
 #: Bits of the filter that keeps texts without a partner from being read again: 8 MB.
 BITS = 1 << 26
 CACHE_WORDS = 200_000
@@ -443,7 +446,7 @@ def _tiles(best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
     Rows come sorted by cell. In a cell of kind 0 sets of the tile's largest component meet the others; in one of
     kind 1 these others meet each other, and if i != j only the sides i and j do. ``rest``: pairs were left for later.
     """
-    columns = ("shingle", "band", "kind", "i", "j", "side", "guest", "id", "component", "n", "bits")
+    columns = ("shingle", "band", "kind", "i", "j", "side", "guest", "id", "component", "n", "bits", "tiles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {k: [] for k in columns}
@@ -454,6 +457,9 @@ def _tiles(best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             ids, comp, n, side = (np.array(held[k], dtype=np.int64) for k in ("id", "component", "n", "side"))
             apart = bool(held["i"]) and (held["kind"][0] == 0 or held["i"][0] != held["j"][0])
             bits = folded(held["bits"]) if len(ids) else None
+            tiles = np.full((len(ids), TILES_KEPT), np.iinfo(np.int64).max)
+            for at, own in enumerate(held["tiles"]):
+                tiles[at, : len(own)] = own
             for k in np.flatnonzero(~guest):
                 # Each pair once: a guest is always from the band below; hosts are compared with later hosts.
                 other = np.flatnonzero((comp != comp[k]) & (guest | (np.arange(len(ids)) > k)) & (side != side[k] if apart else True))
@@ -465,6 +471,10 @@ def _tiles(best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 most = np.minimum(n[k] - lacks, n[other] - more)
                 left = most * (100 + NEAR) >= (n[k] + n[other]) * NEAR
                 other, most = other[left], most[left]
+                before = tiles[k][tiles[k] < held["shingle"][0]]
+                if len(before):  # a pair that meets in an earlier tile is that one's
+                    own = ~np.isin(tiles[other], before).any(axis=1)
+                    other, most = other[own], most[own]
                 rest = False
                 if best and len(other) > LIKELIEST:
                     other = other[np.argsort((n[k] + n[other]) / (most + 1), kind="stable")]
@@ -517,7 +527,9 @@ def _compared(members: DataFrame, component: DataFrame, sets: DataFrame, best: b
     chosen = chosen.select("band", "s.shingle", "s.major", F.col("s.components").alias("components"), sides[0].alias("sides"), sides[1].alias("others"))
     # A tile of many sets is cut into cells, so no task holds more than two sides. The largest component's sets are in
     # one cell each; the others are in all of those, and in one cell for each two of their own sides.
-    rows = tiles.join(chosen, ["shingle", "band"]).withColumn("at", F.xxhash64(F.lit(3), "id"))
+    rows = cut(tiles.join(chosen, ["shingle", "band"]).withColumn("at", F.xxhash64(F.lit(3), "id")))
+    # Sets that share many shingles meet in many tiles; each knows its first ones, so that most pairs are made in one alone.
+    first = rows.groupBy("id", "band").agg(F.slice(F.array_sort(F.collect_set("shingle")), 1, TILES_KEPT).alias("tiles"))
     cell = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
     major = F.array(cell(0, F.pmod("at", F.col("sides")), F.lit(0), F.lit(0)))
     across = F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda k: cell(0, k, F.lit(0), F.lit(1)))
@@ -525,8 +537,8 @@ def _compared(members: DataFrame, component: DataFrame, sets: DataFrame, best: b
     among = F.when(F.col("components") > 2, F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda k: cell(1, F.least(side, k), F.greatest(side, k), side))).otherwise(F.array().cast("array<struct<kind:int,i:int,j:int,side:int>>"))
     rows = rows.withColumn("cell", F.explode(F.when(F.col("component") == F.col("major"), major).otherwise(F.concat(across, among))))
     keys = ["shingle", "band", "kind", "i", "j"]
-    rows = rows.select("shingle", "band", "cell.*", "guest", "id", "component", "n").join(sets.select("id", "bits"), "id")
-    rows = rows.select(*keys, "side", "guest", "id", "component", "n", "bits").repartition(*keys).sortWithinPartitions(*keys, "id")
+    rows = rows.select("shingle", "band", "cell.*", "guest", "id", "component", "n").join(sets.select("id", "bits"), "id").join(first, ["id", "band"])
+    rows = rows.select(*keys, "side", "guest", "id", "component", "n", "bits", "tiles").repartition(*keys).sortWithinPartitions(*keys, "id")
     return cut(rows.mapInArrow(_tiles(best), "a long, b long, rest boolean").groupBy("a", "b").agg(F.max("rest").alias("rest")))
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from sievekit.operators.graph import Fronts
 from sievekit.operators.materialise import cut
 
-#: Rounds of trimming before each colouring; what they leave is coloured.
-TRIMS = 3
+#: Trimming goes on while it takes away this share of the edges; what it leaves is coloured.
+WORTH_TRIMMING = 0.05
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -26,10 +26,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
     left = cut(pairs.filter("caller != callee"))
     found: Fronts | None = None
     while True:
-        for _ in range(TRIMS):
+        while True:
             ends = cut(left.select(F.col("caller").alias("node")).distinct().join(left.select(F.col("callee").alias("node")).distinct(), "node", "left_semi"))
             before, left = left.count(), cut(_inside(left, ends))
-            if left.count() == before:
+            if left.count() >= (1 - WORTH_TRIMMING) * before:
                 break
         if left.isEmpty():
             break
