@@ -34,8 +34,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID, WINDOW, BLOCK_TOKENS, LEAST_PIECE = 2, 4096, 1 << 20, 256
 #: Shares of blocks (block and source) up to which they are broadcast, about 20 MB; beyond, Spark joins them.
 BROADCAST_SHARES = 400_000
-#: Words that a worker remembers and their characters, about 150 MB; characters of texts looked up at once.
-WORDS, WORD_CHARS = 800_000, 12_000_000
+#: Words that a worker remembers and their characters, about 250 MB; characters of texts looked up at once.
+WORDS, WORD_CHARS = 1_600_000, 24_000_000
 CHARS_AT_ONCE = 4_000_000
 
 
