@@ -160,13 +160,6 @@ def test_near_lines_include_the_edge(spark):
     assert sorted(r.line for r in joins.near_lines(found, hints, 15).collect()) == [10, 25]
 
 
-def test_re_exports_end_at_cycles(spark):
-    names = spark.createDataFrame([("a", "x"), ("c", "y")], "file string, name string")
-    exports = spark.createDataFrame([("a", "x", "b", "x2"), ("b", "x2", "d", "x3"), ("c", "y", "e", "y"), ("e", "y", "c", "y")], "file string, name string, target_file string, target_name string")
-    out = {r.file: (r.final_file, r.final_name) for r in joins.re_exports(names, exports).collect()}
-    assert out == {"a": ("d", "x3"), "c": ("e", "y")}
-
-
 def test_interfaces_and_sole_owners(spark):
     i = spark.createDataFrame([("I", "m"), ("I", "n")], "interface string, method string")
     t = spark.createDataFrame([("T", "m"), ("T", "n"), ("U", "m")], "type string, method string")
