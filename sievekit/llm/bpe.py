@@ -29,6 +29,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 MAX_STATES = 100_000
 MAX_PIECES = 250_000
 MAX_PIECE = 64
+#: Bytes that may pass a full table of states before it is begun anew, as a multiple of its size.
+PASSED = 100
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -53,10 +55,12 @@ class MergeTransducer:
         self.steps: dict[int, int] = {}  # the next state; its complement where something is emitted
         self.emits: dict[int, bytes] = {}
         self.suffixes: dict[bytes, tuple] = {}
+        self.passed = 0
         self._number((b"", None, (), ()))
 
-    def _number(self, state: tuple) -> int:
-        if (k := self.numbers.get(state)) is None:
+    def _number(self, state: tuple) -> int | None:
+        """The state's number; None for a new one once the table is full."""
+        if (k := self.numbers.get(state)) is None and len(self.states) < self.max_states:
             k = self.numbers[state] = len(self.states)
             self.states.append(state)
             self.last.append(None)
@@ -92,6 +96,8 @@ class MergeTransducer:
         """Of the bytes since a token may have begun: tokens that end here, sizes with which a token may still begin, the longest of these as bytes."""
         if (found := self.suffixes.get(seen)) is None:
             tails = [seen[-k:] for k in range(len(seen), 0, -1)]
+            if len(self.suffixes) >= self.max_states:
+                self.suffixes.clear()
             found = self.suffixes[seen] = (
                 tuple((len(t), t) for t in tails if t in self.ranks and self._stands(t)),
                 tuple(len(t) for t in tails if t in self.prefixes),
@@ -99,10 +105,10 @@ class MergeTransducer:
             )
         return found
 
-    def _step(self, number: int, byte: int) -> tuple[int, bytes]:
-        """A state: bytes since a token may have begun, last emitted token, then for each place after that one
+    def _move(self, state: tuple, byte: int) -> tuple[tuple, bytes]:
+        """The next state and what is emitted. A state: bytes since a token may have begun, last emitted token, then for each place after that one
         the token that ends there (None: nothing depends on it) and its token ends so far as bits."""
-        suffix, before, pending, ends = self.states[number]
+        suffix, before, pending, ends = state
         tokens, begins, suffix = self._known(suffix + bytes([byte]))
         end, pairs = len(pending) + 1, self.pairs
         for size, token in tokens:
@@ -145,42 +151,53 @@ class MergeTransducer:
             ends = tuple([x if needed >> k & 1 else 0 for k, x in enumerate(ends, 1)])
         # The places up to the last emitted token all look alike from here on.
         ends = tuple([x & -2 for x in ends])
-        if full := len(self.states) >= self.max_states:
-            self._reset()
-        after = self._number((suffix, before, pending, ends))
-        if not full:
-            self.steps[number << 8 | byte] = ~after if emitted else after
-            if emitted:
-                self.emits[number << 8 | byte] = emitted
-        return after, emitted
+        return (suffix, before, pending, ends), emitted
 
-    def _finish(self, number: int) -> bytes:
-        pending, tokens = self.states[number][2], []
+    def _finish(self, state: tuple) -> bytes:
+        """What is left to be emitted at the end of a piece."""
+        pending, tokens = state[2], []
         at = len(pending)
         while at:
             tokens.append(pending[at - 1])
             at -= len(tokens[-1])
-        self.last[number] = out = b"".join(map(self.packed.__getitem__, reversed(tokens)))
-        return out
+        return b"".join(map(self.packed.__getitem__, reversed(tokens)))
 
     def encode(self, piece: bytes) -> bytes:
+        """States met while the table has room are kept with their steps. Later ones are gone through and forgotten; once that was done
+        for as many bytes as would have filled the table many times, it is begun anew, as the texts may have changed."""
         if (whole := self.packed.get(piece)) is not None:
             return whole
-        number, out, steps, emits = 0, [], self.steps, self.emits
+        if self.passed > PASSED * self.max_states:
+            self._reset()
+        number, state, out, steps, emits = 0, None, [], self.steps, self.emits
         for byte in piece:
-            found = steps.get(number << 8 | byte)
-            if found is None:
-                number, emitted = self._step(number, byte)
-                steps, emits = self.steps, self.emits
+            if number is not None:
+                found = steps.get(number << 8 | byte)
+                if found is not None:
+                    if found < 0:
+                        out.append(emits[number << 8 | byte])
+                        number = ~found
+                    else:
+                        number = found
+                    continue
+                state = self.states[number]
+            state, emitted = self._move(state, byte)
+            after = self._number(state)
+            if emitted:
+                out.append(emitted)
+            if after is None:
+                self.passed += 1
+            elif number is not None:
+                steps[number << 8 | byte] = ~after if emitted else after
                 if emitted:
-                    out.append(emitted)
-            elif found < 0:
-                out.append(emits[number << 8 | byte])
-                number = ~found
-            else:
-                number = found
-        rest = self.last[number]
-        out.append(self._finish(number) if rest is None else rest)
+                    emits[number << 8 | byte] = emitted
+            number = after
+        if number is None:
+            out.append(self._finish(state))
+        else:
+            if (rest := self.last[number]) is None:
+                rest = self.last[number] = self._finish(self.states[number])
+            out.append(rest)
         return b"".join(out)
 
 
