@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievekit.operators.findings import hop_confidence
+from sievekit.operators.joins import partners
 from sievekit.operators.materialise import cut
 
 
@@ -240,3 +241,11 @@ def persistent_flows(functions: DataFrame, channels: DataFrame) -> DataFrame:
     reads = channels.filter("role = 'read'").select("kind", "key", F.col("fn_id").alias("reader")).distinct()
     rows = writes.join(functions.filter("has_source").select(F.col("node").alias("writer")), "writer", "left_semi")
     return rows.join(reads.join(functions.filter("has_sink").select(F.col("node").alias("reader")), "reader", "left_semi"), ["kind", "key"])
+
+
+def stored_flows(functions: DataFrame, channels: DataFrame) -> DataFrame:
+    """``persistent_flows`` by members: each writer with a source and each reader with a sink, with how many of the other side its key has, and the first of these."""
+    rows = channels.select("kind", "key", "role", "fn_id").distinct()
+    able = functions.select(F.col("node").alias("fn_id"), "has_source", "has_sink")
+    rows = rows.join(able, "fn_id").filter((F.col("has_source") & (F.col("role") == "write")) | (F.col("has_sink") & (F.col("role") == "read")))
+    return partners(rows, ["kind", "key"])

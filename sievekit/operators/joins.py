@@ -64,6 +64,37 @@ def unresolved_match(writes: DataFrame, reads: DataFrame, keys: list[str]) -> Da
     return writes.join(r, keys).filter(F.col("file").isNull() | F.col("reader_file").isNull() | (F.col("file") == F.col("reader_file")))
 
 
+def partners(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each row of one role with how many different ones of the other role have its keys, and the least of these, itself left out.
+
+    rows: keys, role (read or write), fn_id. Rows: keys, role, fn_id, ``partners``, ``first_partner``; those without a partner are left
+    out. A class of many writers and many readers makes as many rows as it has members, never their pairs.
+    """
+    rows = cut(rows.filter("role in ('read', 'write')").select(*keys, "role", "fn_id").dropna().distinct())
+    other = F.when(F.col("role") == "read", "write").otherwise("read").alias("role")
+    first = rows.groupBy(*keys, "role").agg(F.count("*").alias("many"), F.min("fn_id").alias("least"))
+    beyond = rows.join(first.select(*keys, "role", F.col("least").alias("fn_id")), [*keys, "role", "fn_id"], "left_anti").groupBy(*keys, "role").agg(F.min("fn_id").alias("second"))
+    known = first.join(beyond, [*keys, "role"], "left").select(*keys, other, "many", "least", "second")
+    own = rows.select(*keys, other, "fn_id", F.lit(1).alias("_own"))
+    out = rows.join(known, [*keys, "role"]).join(own, [*keys, "role", "fn_id"], "left")
+    out = out.select(*keys, "role", "fn_id", (F.col("many") - F.coalesce("_own", F.lit(0))).alias("partners"), F.when(F.col("least") == F.col("fn_id"), F.col("second")).otherwise(F.col("least")).alias("first_partner"))
+    return out.filter("partners > 0")
+
+
+def unresolved_classes(writes: DataFrame, reads: DataFrame, keys: list[str]) -> DataFrame:
+    """What ``unresolved_match`` pairs, by classes of equal keys and file: keys, writer_file, reader_file, writers, readers, first_writer, first_reader.
+
+    writes: keys, file, writer; reads: keys, file, reader. Known files meet by equality, unknown ones (NULL) meet each class of the key once.
+    """
+    w = cut(writes.groupBy(*keys, F.col("file").alias("writer_file")).agg(F.count("*").alias("writers"), F.min("writer").alias("first_writer")))
+    r = cut(reads.groupBy(*keys, F.col("file").alias("reader_file")).agg(F.count("*").alias("readers"), F.min("reader").alias("first_reader")))
+    columns = [*keys, "writer_file", "reader_file", "writers", "readers", "first_writer", "first_reader"]
+    same = w.join(r.withColumn("writer_file", F.col("reader_file")), [*keys, "writer_file"]).select(columns)
+    from_unknown = w.filter("writer_file is null").join(r, keys).select(columns)
+    to_unknown = w.filter("writer_file is not null").join(r.filter("reader_file is null"), keys).select(columns)
+    return same.unionByName(from_unknown).unionByName(to_unknown)
+
+
 def bypasses(calls: DataFrame, wrappers: DataFrame, least_uses: int = 3, least_files: int = 2) -> DataFrame:
     """Direct calls of a primitive that most callers reach through a wrapper.
 

@@ -23,8 +23,8 @@ def persistent_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
     functions = events.select(F.col("event_id").alias("node"), (F.col("value") > 60).alias("has_source"), (F.col("value") < 20).alias("has_sink"))
     role = F.when(F.col("event_type") == "signup", "write").when(F.col("event_type") == "error", "read")
-    channels = events.select(F.lit("event").alias("kind"), (F.col("user_id") % 200).alias("key"), F.col("event_id").alias("fn_id"), role.alias("role"))
-    return graph.persistent_flows(functions, channels).select("key", "writer", "reader")
+    channels = events.select(F.lit("event").alias("kind"), F.col("user_id").alias("key"), F.col("event_id").alias("fn_id"), role.alias("role"))
+    return graph.stored_flows(functions, channels).select("key", "role", "fn_id", "partners", "first_partner")
 
 
 def unresolved_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def unresolved_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_custkey").alias("key"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("file"))
     writes = orders.filter("o_orderstatus = 'O'").select("key", "file", F.col("o_orderkey").alias("writer"))
     reads = orders.filter("o_orderstatus = 'F'").select("key", "file", F.col("o_orderkey").alias("reader"))
-    return joins.unresolved_match(writes, reads, ["key"]).select("key", "writer", "reader")
+    return joins.unresolved_classes(writes, reads, ["key"])
 
 
 def bound_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +94,14 @@ WITH f AS (SELECT l_suppkey AS node, l_partkey % 500 AS line, -l_discount AS c,
 b AS (SELECT node, min(struct_pack(line := line, c := c, seq := seq)) AS b FROM f GROUP BY node)
 SELECT s_suppkey AS node, b.line AS sink_line, 'R' || (b.seq % 9) AS sink_rule_id FROM supplier LEFT JOIN b ON node = s_suppkey""",
     "persistent_flows": """
-SELECT DISTINCT w.user_id % 200 AS key, w.event_id AS writer, r.event_id AS reader FROM events w JOIN events r ON w.user_id % 200 = r.user_id % 200
-WHERE w.event_type = 'signup' AND r.event_type = 'error' AND w.value > 60 AND r.value < 20""",
+WITH m AS (
+  SELECT DISTINCT user_id AS key, event_id AS fn_id, 'write' AS role FROM events WHERE event_type = 'signup' AND value > 60
+  UNION SELECT user_id, event_id, 'read' FROM events WHERE event_type = 'error' AND value < 20)
+SELECT a.key, a.role, a.fn_id, count(*) AS partners, min(b.fn_id) AS first_partner FROM m a JOIN m b ON b.key = a.key AND b.role <> a.role AND b.fn_id <> a.fn_id GROUP BY 1, 2, 3""",
     "unresolved_stores": """
 WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_custkey AS key, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS file FROM orders)
-SELECT w.key, w.k AS writer, r.k AS reader FROM o w JOIN o r USING (key) WHERE w.s = 'O' AND r.s = 'F' AND (w.file IS NULL OR r.file IS NULL OR w.file = r.file)""",
+SELECT w.key, w.file AS writer_file, r.file AS reader_file, count(DISTINCT w.k) AS writers, count(DISTINCT r.k) AS readers, min(w.k) AS first_writer, min(r.k) AS first_reader
+FROM o w JOIN o r USING (key) WHERE w.s = 'O' AND r.s = 'F' AND (w.file IS NULL OR r.file IS NULL OR w.file = r.file) GROUP BY w.key, w.file, r.file""",
     "bound_parameters": """
 WITH p AS (SELECT p_partkey, p_size % 3 AS z, p_partkey % 3 AS pos, CASE p_partkey % 5 WHEN 0 THEN 'b' WHEN 1 THEN 'z' END AS kw FROM part),
 q AS (SELECT *, CASE z WHEN 0 THEN ['self', 'a', 'b'] WHEN 1 THEN ['a', 'b'] ELSE ['cls'] END AS params, CASE WHEN z = 1 THEN pos ELSE pos + 1 END AS place FROM p)

@@ -150,8 +150,10 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("event").alias("kind"), F.get_json_object("props", "$.k").cast("long").alias("key"), F.when(F.col("event_type") == "signup", "write").otherwise("read").alias("role"),
         F.col("user_id").alias("file"), F.col("event_id").alias("fn_id"),
     )
-    pairs = joins.channel_pairs(rows)
-    return pairs.groupBy("key", "writer_file").agg(F.count("*").alias("readers"), F.min("reader").alias("first_reader"), F.min("writer").alias("writer"))
+    writers = rows.filter("role = 'write'").groupBy("kind", "key", F.col("file").alias("writer_file")).agg(F.min("fn_id").alias("fn_id"))
+    first = writers.select("kind", "key", "fn_id", F.lit("write").alias("role")).unionByName(rows.filter("role = 'read'").select("kind", "key", "fn_id", "role"))
+    met = joins.partners(first, ["kind", "key"]).filter("role = 'write'")
+    return writers.join(met, ["kind", "key", "fn_id"]).select("key", "writer_file", F.col("partners").alias("readers"), F.col("first_partner").alias("first_reader"), F.col("fn_id").alias("writer"))
 
 
 def bypassed_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:

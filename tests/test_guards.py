@@ -158,3 +158,23 @@ def test_priority_with_ties(spark):
     out = selection.priority(df, ["path"], 30).collect()
     assert len(out) == 54  # the first 30 rows, 16 of them AI findings, and the other 24 of these
     assert collections.Counter(r.k for r in out if r.is_ai) == {k: 2 for k in range(0, 40, 2)}
+
+
+def test_partners_and_classes_without_pairs(spark):
+    rng = random.Random(8)
+    rows = [(rng.randrange(6), rng.choice(["read", "write", "other"]), rng.randrange(12)) for _ in range(90)] + [(None, "read", 1)]
+    held = {r for r in rows if r[0] is not None}
+    wanted = {}
+    for key, role, fn in held:
+        met = {g for k, r, g in held if k == key and {r, role} == {"read", "write"} and g != fn}
+        if met:
+            wanted[key, role, fn] = (len(met), min(met))
+    out = joins.partners(spark.createDataFrame(rows, "key long, role string, fn_id long"), ["key"])
+    assert {(r.key, r.role, r.fn_id): (r.partners, r.first_partner) for r in out.collect()} == wanted
+    writes = [(rng.randrange(3), rng.choice([None, "a", "b", "c"]), k) for k in range(25)]
+    reads = [(rng.randrange(3), rng.choice([None, "a", "b", "d"]), k) for k in range(25)]
+    w, r = spark.createDataFrame(writes, "key long, file string, writer long"), spark.createDataFrame(reads, "key long, file string, reader long")
+    pairs = joins.unresolved_match(w, r, ["key"]).groupBy("key", F.col("file").alias("writer_file"), "reader_file").agg(
+        F.count_distinct("writer").alias("writers"), F.count_distinct("reader").alias("readers"), F.min("writer").alias("first_writer"), F.min("reader").alias("first_reader")
+    )
+    assert collections.Counter(map(tuple, joins.unresolved_classes(w, r, ["key"]).select(pairs.columns).collect())) == collections.Counter(map(tuple, pairs.collect()))
