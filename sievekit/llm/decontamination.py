@@ -33,6 +33,8 @@ SHARE = 0.5
 #: Bits of the filter of window hashes that every task holds: 2 MB.
 BITS = 1 << 24
 CACHE_WORDS = 300_000
+#: Characters of the words that are remembered from one text to the next.
+CACHE_CHARS = 8_000_000
 
 _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*%?")
 _NAME = re.compile(r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+(?:'s)?")
@@ -55,6 +57,7 @@ class Vocabulary:
 
     def __init__(self):
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.rows = np.zeros((1024, 3), dtype=np.uint64)
 
     def _row(self, token: str) -> tuple[int, int, int]:
@@ -64,13 +67,15 @@ class Vocabulary:
 
     def numbers(self, tokens: list[str]) -> np.ndarray:
         known = self.known
-        if len(known) > CACHE_WORDS:
+        if len(known) > CACHE_WORDS or self.chars > CACHE_CHARS:
             known.clear()
+            self.chars = 0
         out = [known.get(t, -1) for t in tokens]
         for k, n in enumerate(out):
             if n < 0:
                 if (n := known.get(tokens[k], -1)) < 0:
                     n = known[tokens[k]] = len(known)
+                    self.chars += len(tokens[k])
                     if n >= len(self.rows):
                         self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
                     self.rows[n] = self._row(tokens[k])

@@ -58,6 +58,8 @@ TILES_KEPT = 32
 #: Bits of the filter that keeps texts without a partner from being read again: 8 MB.
 BITS = 1 << 26
 CACHE_WORDS = 200_000
+#: Longer words aren't remembered.
+WORD_BYTES = 64
 #: Bits of a hash that are left out where hashes only look for candidates. More candidates are harmless.
 DROPPED = 20
 #: Ids in one row of a tile's members.
@@ -66,9 +68,11 @@ MEMBERS = 1 << 16
 
 class Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = self[word] = xxhash.xxh3_64_intdigest(word)
+        out = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= WORD_BYTES:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = out
         return out
 
 

@@ -43,6 +43,8 @@ BLOCK = 1 << 16
 #: Words and sequences that a task counts before it hands on; words whose difference it remembers.
 COUNTED = 200_000
 CACHE_WORDS = 200_000
+#: Characters of the words that are remembered from one slice of texts to the next.
+CACHE_CHARS = 8_000_000
 START, END = "\x02", "\x03"
 _EDGE = ".,;:!?\"'()[]{}<>|%&*#$-" + START + END
 
@@ -186,6 +188,7 @@ class KneserNey:
         self.key = xxhash.xxh3_64_hexdigest(b"".join(k.to_bytes(8) + blocks[k] for k in sorted(blocks)))
         self.values: np.ndarray | None = None
         self.known: dict[str, float] = {}
+        self.chars = 0
 
     @classmethod
     def of(cls, words: DataFrame) -> KneserNey:
@@ -221,9 +224,12 @@ class KneserNey:
         """Of each text: mean difference of its words, and the greatest mean over windows of some lengths. A text without words has 0."""
         out = np.zeros((len(texts), 1 + len(WINDOWS)))
         own = [words_of(t) for t in texts]
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.known.clear()
-        self.learn(list({w for x in own for w in x if w not in self.known}))
+            self.chars = 0
+        new = list({w for x in own for w in x if w not in self.known})
+        self.chars += sum(map(len, new))
+        self.learn(new)
         for k, words in enumerate(own):
             if n := len(words):
                 sums = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.known.__getitem__, words), dtype=float, count=n))])

@@ -368,6 +368,21 @@ def test_templates_do_not_depend_on_case_and_punctuation(spark, change):
     assert {(r.doc_id, r.item_id) for r in out.collect()} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4)}
 
 
+def test_long_words_are_not_kept(spark):
+    """Texts of words of 100 KB: what is remembered is bounded in bytes."""
+    words, vocabulary = ngram_join.Words(), decontamination.Vocabulary()
+    for k in range(300):
+        word = f"{k:04d}" * 25_000
+        ngram_join.shingles(f"{word} a b c d e", words)
+        vocabulary.numbers([word, "a"])
+    assert sum(map(len, words)) < 1000 and sum(map(len, vocabulary.known)) < decontamination.CACHE_CHARS + 200_000
+    docs, labels = labelled(spark)
+    model = toxicity.fit(docs, labels, F.lit(True), "toxic")
+    for k in range(100):
+        model.language.features([f"{k:04d}" * 25_000])
+    assert sum(map(len, model.language.known)) < toxicity.CACHE_CHARS + 200_000
+
+
 def test_vocabularies_grow(spark):
     words = [f"word{k}" for k in range(5000)]
     bench = spark.createDataFrame([(1, " ".join(words[2000:2030]))], "item_id long, text string")
