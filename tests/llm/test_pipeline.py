@@ -61,13 +61,14 @@ def test_stages_take_awkward_rows(spark, tmp_path):
 def test_registered():
     names = entry.queries()
     assert [n for n, _ in corpus_pipeline.STAGES] and names["pipeline"] is corpus_pipeline.run
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(llm.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for name_ in ("documents", "conversations"):
+        con.sql(f"create view {name_} as select * from '{SF}/{name_}.parquet'")
     df = llm.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     expected = con.sql(f"select {', '.join(columns)} from ({llm.ORACLES[name]})").fetchall()
