@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from sievekit.llm.common import map_texts, worker_table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Bounds of a worker's tables, about 200 MB together: states of the transducer (half a KB each with their steps) and encoded
+#: Bounds of a worker's tables, about 150 MB together: states of the transducer (half a KB each with their steps) and encoded
 #: pieces in each of two generations (0.2 KB each, up to MAX_PIECE characters).
-MAX_STATES = 100_000
-MAX_PIECES = 250_000
+MAX_STATES = 80_000
+MAX_PIECES = 120_000
 MAX_PIECE = 64
 #: Bytes that may pass a full table of states before it is begun anew, as a multiple of its size.
 PASSED = 100
