@@ -207,3 +207,16 @@ def test_facts_of_nothing(spark):
     assert loops.strong_components(empty).count() == 0 and loops.feedback_loops(empty).count() == 0
     none = proofs.bounded(spark.createDataFrame([], "value long, definition long, operation string, literal string"), spark.createDataFrame([], "definition long, part long"))
     assert none.count() == 0 and list(itertools.chain(none.columns)) == ["value", "kind"] and none.filter(F.col("kind").isNull()).count() == 0
+
+
+def test_walk_writes_no_facts_of_functions_that_nothing_calls(spark, monkeypatch):
+    """Rows written by the walk grow with calls and with what called functions know, not with all facts."""
+    written, cut = [], origins.cut
+    monkeypatch.setattr(origins, "cut", lambda df: (written.append((out := cut(df)).count()), out)[1])
+    fns = [f"g{k}" for k in range(50)]
+    start = [(f, p, p, False) for f in [*fns, "callee"] for p in ("p0", "p1")]
+    moves = [(f, a, b) for f in fns for a, b in (("p0", "a"), ("a", "b"), ("p1", "c"), ("c", "d"))] + [("callee", "p0", "@sink")]
+    arguments = [(f, 1, "callee", "p0", "b") for f in fns]
+    facts = walked(spark, start, moves, arguments, [])
+    assert facts == brute(start, moves, arguments, [])
+    assert sum(written) < len(facts) < 360
