@@ -130,3 +130,16 @@ def test_reports(spark):
     assert reports.exploitability(v).first().status == "under_investigation"
     passes = spark.createDataFrame([("scan", "completed"), ("sca", "failed")], "name string, status string")
     assert reports.exit_status(f, passes, True).first().status == 2
+
+
+def test_overlaps_are_told_once_for_each_class(spark, monkeypatch):
+    """The pairs that are judged grow with different ranges and windows, not with packages and advisories."""
+    written, cut = [], versions.cut
+    monkeypatch.setattr(versions, "cut", lambda df: (written.append((out := cut(df)).count()), out)[1])
+    specs = ["==1.0", ">=2", None]
+    packages = spark.createDataFrame([(k, "pypi", "a_b", specs[k % 3]) for k in range(60)], "k long, ecosystem string, package string, spec string")
+    event = "events array<struct<introduced:string,fixed:string,last_affected:string>>"
+    advisories = spark.createDataFrame([(k, "PyPI", "A.b", [("1", None, None), (None, "1.5", None)]) for k in range(1200)], f"advisory_id long, ecosystem string, package string, {event}")
+    out = {(r.k, r.advisory_id): r.confidence for r in versions.vulnerable(packages, versions.advisory_intervals(advisories)).collect()}
+    assert out == {(k, a): (1.0, None, 0.5)[k % 3] for k in range(60) if k % 3 != 1 for a in range(1200)}
+    assert sorted(written) == [2, 1200]
