@@ -104,10 +104,12 @@ def capability_findings(dispatches: DataFrame, imports: DataFrame, registries: D
     first = able.groupBy("registry_file", "_registry", "capability").agg(F.min(F.struct("place", "_line", "function")).alias("_f"))
     exposed = first.groupBy("registry_file", "_registry").agg(F.sort_array(F.collect_list(F.struct("capability", F.col("_f.function").alias("function"), F.col("_f._line").alias("line")))).alias("_e"))
     of = strong_components(edges)
-    alike = held.select("registry_file", "_registry", F.concat_ws(":", "registry_file", "function").alias("node")).join(of, "node").select("registry_file", "_registry", "component", F.col("node").alias("_tool")).distinct()
-    own = rows.select("file", "fn", "registry_file", "_registry", F.concat_ws(":", "file", "fn").alias("node")).distinct().join(of, "node")
     calls = edges.filter("caller = callee").select(F.col("caller").alias("_tool"), F.lit(True).alias("_self")).distinct()
-    looped = own.join(alike, ["registry_file", "_registry", "component"]).join(calls, "_tool", "left").filter("_tool != node or _self")
+    alike = held.select("registry_file", "_registry", F.concat_ws(":", "registry_file", "function").alias("_tool")).distinct().join(of.withColumnRenamed("node", "_tool"), "_tool").join(calls, "_tool", "left")
+    # Of a registry and a component one row: any tool but the dispatching function itself will do, and that one too if it calls itself.
+    alike = alike.groupBy("registry_file", "_registry", "component").agg(F.count("*").alias("_many"), F.min("_tool").alias("_tool"), F.coalesce(F.bool_or("_self"), F.lit(False)).alias("_self"))
+    own = rows.select("file", "fn", "registry_file", "_registry", F.concat_ws(":", "file", "fn").alias("node")).distinct().join(of, "node")
+    looped = own.join(alike, ["registry_file", "_registry", "component"]).filter("_many > 1 or _tool != node or _self")
     looped = looped.select("file", "fn", "registry_file", "_registry", F.lit(True).alias("_loop")).distinct()
     rows = rows.join(exposed, ["registry_file", "_registry"]).join(looped, ["file", "fn", "registry_file", "_registry"], "left")
     names = F.transform("_e", lambda x: x["capability"])

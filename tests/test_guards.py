@@ -178,3 +178,19 @@ def test_partners_and_classes_without_pairs(spark):
         F.count_distinct("writer").alias("writers"), F.count_distinct("reader").alias("readers"), F.min("writer").alias("first_writer"), F.min("reader").alias("first_reader")
     )
     assert collections.Counter(map(tuple, joins.unresolved_classes(w, r, ["key"]).select(pairs.columns).collect())) == collections.Counter(map(tuple, pairs.collect()))
+
+
+def test_stored_flows_query_returns_every_pair(spark):
+    """Each writer with each reader of a key, by the key that 200 users share."""
+    from pathlib import Path
+
+    from sievekit.plans import checks
+
+    if not Path("/root/testdata/sf0.001").is_dir():
+        return
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet").collect()
+    writers = [r for r in rows if r.event_type == "signup" and r.value > 60]
+    readers = [r for r in rows if r.event_type == "error" and r.value < 20]
+    wanted = {(w.user_id % 200, w.event_id, r.event_id) for w in writers for r in readers if w.user_id % 200 == r.user_id % 200}
+    out = [(r.key, r.writer, r.reader) for r in checks.persistent_flows(spark, "/root/testdata/sf0.001").collect()]
+    assert len(out) == len(set(out)) and set(out) == wanted
