@@ -194,3 +194,21 @@ def test_stored_flows_query_returns_every_pair(spark):
     wanted = {(w.user_id % 200, w.event_id, r.event_id) for w in writers for r in readers if w.user_id % 200 == r.user_id % 200}
     out = [(r.key, r.writer, r.reader) for r in checks.persistent_flows(spark, "/root/testdata/sf0.001").collect()]
     assert len(out) == len(set(out)) and set(out) == wanted
+
+
+def test_unresolved_stores_query_returns_every_pair(spark):
+    from pathlib import Path
+
+    from sievekit.plans import checks
+
+    if not Path("/root/testdata/sf0.001").is_dir():
+        return
+    rows = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").collect()
+    file = lambda r: r.o_orderpriority if r.o_orderkey % 3 > 0 else None
+    wanted = {
+        (w.o_custkey, w.o_orderkey, r.o_orderkey)
+        for w in rows for r in rows
+        if (w.o_orderstatus, r.o_orderstatus) == ("O", "F") and w.o_custkey == r.o_custkey and (None in (file(w), file(r)) or file(w) == file(r))
+    }
+    out = [(r.key, r.writer, r.reader) for r in checks.unresolved_stores(spark, "/root/testdata/sf0.001").collect()]
+    assert len(out) == len(set(out)) and set(out) == wanted
