@@ -220,3 +220,17 @@ def test_walk_writes_no_facts_of_functions_that_nothing_calls(spark, monkeypatch
     facts = walked(spark, start, moves, arguments, [])
     assert facts == brute(start, moves, arguments, [])
     assert sum(written) < len(facts) < 360
+
+
+def test_loops_of_registries_meet_by_component_not_by_tool(spark):
+    """One tool that is the dispatching function itself loops only if it calls itself; with another one in its component it does anyway."""
+    frame = spark.createDataFrame
+    dispatches = frame([("a", f, k, r, 1) for k, (f, r) in enumerate([("x", "ONE"), ("y", "ONE_SELF"), ("z", "TWO"), ("z", "AWAY")])], "file string, fn string, line long, registry string, model_line long")
+    imports = frame([], "file string, local_name string, target_file string, target_name string")
+    held = [("ONE", "x"), ("ONE_SELF", "y"), ("TWO", "z"), ("TWO", "t"), ("AWAY", "q")]
+    registries = frame([("a", r, k, f) for k, (r, f) in enumerate(held)], "file string, registry string, place long, function string")
+    capabilities = frame([("a", f, "shell", 1) for f in "xyztq"], "file string, function string, capability string, line long")
+    edges = frame([("a:x", "a:w"), ("a:w", "a:x"), ("a:y", "a:y"), ("a:z", "a:t"), ("a:t", "a:z"), ("a:z", "a:q")], "caller string, callee string")
+    out = loops.capability_findings(dispatches, imports, registries, capabilities, edges)
+    assert {r.registry: r.feedback_loop for r in out.collect()} == {"ONE": False, "ONE_SELF": True, "TWO": True, "AWAY": False}
+    assert "_tool" not in out.columns
