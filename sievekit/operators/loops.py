@@ -2,76 +2,115 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from sievekit.operators.graph import Fronts
-from sievekit.operators.materialise import cut
+from sievekit.operators.materialise import stored
 
-#: Trimming goes on while it takes away this share of the edges; what it leaves is coloured.
-WORTH_TRIMMING = 0.05
+#: Nodes are bypassed as long as this takes away this share of the edges; what it leaves is labelled.
+WORTH_BYPASSING = 0.1
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node in ``edges`` (caller, callee).
 
-    Nodes that nothing enters or leaves are components of their own and go first (trimming). Then each node takes the smallest
-    node that reaches it as its colour; a node of its own colour, and those of the colour that lead back to it, form a
-    component, which goes; the rest is coloured anew. Every round finds a component of each colour. Only nodes whose
-    colour has changed send it on, minima are taken map-side, and the edges of a node with very many are split between tasks.
+    1. Nodes that nothing enters or leaves go. Others go if edges from each node before them to each node behind them are no
+       more than their own edges: these replace them, so who reaches whom stays the same among the rest, and the number of
+       edges never grows. Of neighbours only one goes in a round. Long ways and circles shrink to a core of few steps.
+    2. In the core each node takes the smallest label that reaches it and the smallest that it reaches, both at once. Where these
+       are the same, it is in that label's component; else only edges between nodes with the same two labels can be in a
+       component. These start again at 1. Labels are numbers mixed one to one, so that no order of the nodes is a bad one.
+    3. Nodes that have gone return, last ones first: into the component that one node before and one behind have in common.
+
+    Rounds of 1 and 3 and steps of 2 grow with the logarithm of the table where ways in the core do. Only labels that have
+    changed are sent on, and minima are taken map-side.
     """
-    pairs = edges.select("caller", "callee").dropna().distinct()
-    pairs = cut(pairs)
-    nodes = cut(pairs.select(F.col("caller").alias("node")).unionByName(pairs.select(F.col("callee").alias("node"))).distinct())
-    left = cut(pairs.filter("caller != callee"))
-    found: Fronts | None = None
-    while True:
-        while True:
-            ends = cut(left.select(F.col("caller").alias("node")).distinct().join(left.select(F.col("callee").alias("node")).distinct(), "node", "left_semi"))
-            before, left = left.count(), cut(_inside(left, ends))
-            if left.count() >= (1 - WORTH_TRIMMING) * before:
-                break
-        if left.isEmpty():
-            break
-        whole = cut(_back(left, _colours(left, ends)))
-        if found is None:
-            found = Fronts(whole)
-        else:
-            found.add(whole)
-        left = cut(_inside(left, ends.join(whole, "node", "left_anti")))
-    if found is None:
-        return nodes.withColumn("component", F.col("node"))
-    return nodes.join(found.all(), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
-
-
-def _inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The edges with both ends in ``nodes``."""
-    return edges.join(nodes.select(F.col("node").alias("caller")), "caller", "left_semi").join(nodes.select(F.col("node").alias("callee")), "callee", "left_semi")
-
-
-def _colours(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, colour: the smallest node from which it can be reached."""
-    colours = cut(nodes.select("node", F.col("node").alias("colour")))
-    news = colours
+    pairs = stored(edges.select("caller", "callee").dropna().distinct())
+    names = stored(pairs.select(F.col("caller").alias("node")).unionByName(pairs.select(F.col("callee").alias("node"))).distinct())
+    if names.schema["node"].dataType == LongType():
+        numbers, left = names.withColumn("id", F.col("node")), pairs
+    else:
+        numbers = stored(names.withColumn("id", F.monotonically_increasing_id()))
+        of = lambda end: numbers.select(F.col("node").alias(end), F.col("id").alias(f"_{end}"))
+        left = pairs.join(of("caller"), "caller").join(of("callee"), "callee").select(F.col("_caller").alias("caller"), F.col("_callee").alias("callee"))
+    left = stored(left.filter("caller != callee"))
+    gone: list[DataFrame] = []
+    found = numbers.select("id", F.col("id").alias("label")).limit(0)
+    many = left.count()
+    while many:
+        before = many
+        left, between = _bypassed(left, len(gone))
+        gone.append(between)
+        many = left.count()
+        if not many or many < (1 - WORTH_BYPASSING) * before:
+            continue
+        labels = _labels(left)
+        found = stored(found.unionByName(labels.filter("first = last").select("id", F.col("first").alias("label"))))
+        own = labels.filter("first != last")
+        of = lambda end: own.select(F.col("id").alias(end), "first", "last")
+        left = stored(left.join(of("caller"), "caller").join(of("callee"), ["callee", "first", "last"]).select("caller", "callee"))
+        many = left.count()
+    for between in reversed(gone):
+        # Early rounds take the most nodes, so what has returned before is written again for a part of the last ones.
+        found = stored(found.unionByName(_returned(between, found)))
+    labelled = stored(numbers.join(found, "id", "left").select("node", F.coalesce("label", _mixed("id")).alias("label")))
+    least = labelled.groupBy("label").agg(F.min("node").alias("component"))
+    return labelled.join(least, "label").select("node", "component")
+
+
+def _mixed(column: str) -> Column:
+    """A number's label: one to one, by shifts."""
+    x = F.col(column)
+    for _ in range(2):
+        x = x.bitwiseXOR(F.shiftleft(x, 13))
+        x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
+        x = x.bitwiseXOR(F.shiftleft(x, 17))
+    return x
+
+
+def _bypassed(edges: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The edges that a round leaves, and of each node that was bypassed (``id``) the pairs of nodes ``x`` before and ``y`` behind it."""
+    rank = lambda end: F.xxhash64(F.lit(seed), end)
+    ends = edges.select(F.col("callee").alias("id"), F.lit(1).alias("ins"), F.lit(0).alias("outs"), rank("caller").alias("rank"))
+    ends = ends.unionByName(edges.select(F.col("caller").alias("id"), F.lit(0).alias("ins"), F.lit(1).alias("outs"), rank("callee").alias("rank")))
+    ends = ends.groupBy("id").agg(F.sum("ins").alias("ins"), F.sum("outs").alias("outs"), F.min("rank").alias("rank"))
+    # In doubles: a product of two numbers of edges may be larger than a long.
+    few = F.col("ins").cast("double") * F.col("outs") <= F.col("ins") + F.col("outs")
+    dead = (F.col("ins") == 0) | (F.col("outs") == 0)
+    leaving = stored(ends.filter(dead | (few & (rank("id") < F.col("rank")))).select("id", dead.alias("dead")))
+    dead, chosen = (leaving.filter(c).select("id") for c in ("dead", "not dead"))
+    into = edges.join(chosen.withColumnRenamed("id", "callee"), "callee").join(dead.withColumnRenamed("id", "caller"), "caller", "left_anti")
+    out = edges.join(chosen.withColumnRenamed("id", "caller"), "caller").join(dead.withColumnRenamed("id", "callee"), "callee", "left_anti")
+    between = into.select(F.col("callee").alias("id"), F.col("caller").alias("x")).join(out.select(F.col("caller").alias("id"), F.col("callee").alias("y")), "id")
+    between = stored(between.select("id", "x", "y"))
+    kept = edges.join(leaving.select(F.col("id").alias("caller")), "caller", "left_anti").join(leaving.select(F.col("id").alias("callee")), "callee", "left_anti")
+    new = between.filter("x != y").select(F.col("x").alias("caller"), F.col("y").alias("callee"))
+    return stored(kept.select("caller", "callee").unionByName(new).distinct()), between
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """id, ``first`` (the smallest label that reaches it) and ``last`` (the smallest that it reaches)."""
+    nodes = edges.select(F.col("caller").alias("id")).unionByName(edges.select(F.col("callee").alias("id"))).distinct()
+    labels = stored(nodes.select("id", _mixed("id").alias("first"), _mixed("id").alias("last"), F.lit(True).alias("_new")))
     while True:
-        sent = edges.join(news.select(F.col("node").alias("caller"), "colour"), "caller").groupBy(F.col("callee").alias("node")).agg(F.min("colour").alias("_less"))
-        after = cut(colours.join(sent, "node", "left").select("node", F.least("colour", "_less").alias("colour"), (F.coalesce(F.col("_less") < F.col("colour"), F.lit(False))).alias("_new")))
-        colours, news = after.select("node", "colour"), after.filter("_new").select("node", "colour")
-        if news.isEmpty():
-            return colours
-
-
-def _back(edges: DataFrame, colours: DataFrame) -> DataFrame:
-    """node, component: of each colour the nodes that lead to its own node."""
-    of = lambda end: colours.select(F.col("node").alias(end), F.col("colour").alias(f"_{end}"))
-    same = cut(edges.join(of("caller"), "caller").join(of("callee"), "callee").filter("_caller = _callee").select("caller", "callee", F.col("_caller").alias("component")))
-    front = cut(colours.filter("node = colour").select("node", F.col("colour").alias("component")))
-    reached = Fronts(front)
-    while not front.isEmpty():
-        step = same.join(front.select(F.col("node").alias("callee"), "component"), ["callee", "component"]).select(F.col("caller").alias("node"), "component").distinct()
-        front = cut(step.join(reached.all().select("node"), "node", "left_anti"))
-        reached.add(front)
-    return reached.all()
+        news = labels.filter("_new")
+        none = F.lit(None).cast("long")
+        down = edges.join(news.select(F.col("id").alias("caller"), "first"), "caller").select(F.col("callee").alias("id"), F.col("first").alias("_first"), none.alias("_last"))
+        up = edges.join(news.select(F.col("id").alias("callee"), "last"), "callee").select(F.col("caller").alias("id"), none.alias("_first"), F.col("last").alias("_last"))
+        sent = down.unionByName(up).groupBy("id").agg(F.min("_first").alias("_first"), F.min("_last").alias("_last"))
+        less = F.coalesce(F.col("_first") < F.col("first"), F.lit(False)) | F.coalesce(F.col("_last") < F.col("last"), F.lit(False))
+        labels = stored(labels.join(sent, "id", "left").select("id", F.least("first", "_first").alias("first"), F.least("last", "_last").alias("last"), less.alias("_new")))
+        if labels.filter("_new").isEmpty():
+            return labels.drop("_new")
+
+
+def _returned(between: DataFrame, found: DataFrame) -> DataFrame:
+    """id and label of the bypassed nodes that are in a component; a node without one so far has its own label."""
+    for end in ("x", "y"):
+        of = found.select(F.col("id").alias(end), F.col("label").alias(f"_{end}"))
+        between = between.join(of, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", _mixed(end)))
+    return between.filter("_x = _y").groupBy("id").agg(F.min("_x").alias("label"))
 
 
 def feedback_loops(edges: DataFrame) -> DataFrame:

@@ -234,3 +234,16 @@ def test_loops_of_registries_meet_by_component_not_by_tool(spark):
     out = loops.capability_findings(dispatches, imports, registries, capabilities, edges)
     assert {r.registry: r.feedback_loop for r in out.collect()} == {"ONE": False, "ONE_SELF": True, "TWO": True, "AWAY": False}
     assert "_tool" not in out.columns
+
+
+def test_components_need_few_rounds_of_a_long_circle(spark, monkeypatch):
+    """Rounds grow with the logarithm of a circle's length, and a long way between two circles is no component."""
+    written, stored = [], loops.stored
+    monkeypatch.setattr(loops, "stored", lambda df: (written.append(1), stored(df))[1])
+    circle = lambda n, at: [(at + k, at + (k + 1) % n) for k in range(n)]
+    edges = circle(400, 0) + circle(7, 1000) + [(2000 + k, 2001 + k) for k in range(300)] + [(5, 2000), (2300, 1003), (1, 0), (0, 9)]
+    out = loops.strong_components(spark.createDataFrame([(f"n{a:05}", f"n{b:05}") for a, b in edges], "caller string, callee string"))
+    found = {r.node: r.component for r in out.collect()}
+    assert all(found[f"n{k:05}"] == "n00000" for k in range(400)) and all(found[f"n{k:05}"] == "n01000" for k in range(1000, 1007))
+    assert all(found[f"n{k:05}"] == f"n{k:05}" for k in range(2000, 2301)) and len(found) == 708
+    assert len(written) < 120
