@@ -50,8 +50,9 @@ CHUNK_SHINGLES = 1_000_000
 MOST_TOLD = 1 << 20
 #: Sets in one side of a tile.
 CELL = 4096
-#: With more partners left than this a set meets only the likeliest of each other component in the first round.
-LIKELIEST = 512
+#: With more partners left than this a set meets only the likeliest in the first round, one of a component and so many in all: a
+#: group of near copies then makes pairs with its members, not with their square. The second round makes what is still apart.
+LIKELIEST = 16
 #: Tiles of a set, the first by shingle, that its rows carry. A pair that two sets could make in later tiles too is made in the
 #: first one of both alone; beyond these tiles it may be made again, and none is lost.
 TILES_KEPT = 32
@@ -483,6 +484,7 @@ def _tiles(best: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                 if best and len(other) > LIKELIEST:
                     other = other[np.argsort((n[k] + n[other]) / (most + 1), kind="stable")]
                     _, first = np.unique(comp[other], return_index=True)
+                    first = np.sort(first)[:LIKELIEST]
                     rest, other = len(first) < len(other), other[first]
                 new = [p for p in zip(np.minimum(ids[other], ids[k]).tolist(), np.maximum(ids[other], ids[k]).tolist(), strict=True) if rest or p not in told]
                 if new:

@@ -309,6 +309,17 @@ def test_near_duplicates_of_nothing_and_of_one(spark):
     assert (row.doc_id, row.n_shingles, row.component_id) == (5, 2, 5)
 
 
+def test_near_copies_in_components_of_their_own_make_few_pairs(spark, monkeypatch):
+    """Without stars all of a group's sets are apart when tiles are made; what is verified grows with the group, not with its square."""
+    made, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_stars", lambda sets: sets.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    monkeypatch.setattr(ngram_join, "_verified", lambda sets, pairs: (made.append((out := verified(sets, pairs)).count()), out)[1])
+    words = [f"w{k}" for k in range(200)]
+    texts = [" ".join([*words[:k], "other", *words[k + 1 :]]) for k in range(120)]
+    out = {r.component_id for r in ngram_join.near_duplicates(table(spark, texts)).collect()}
+    assert out == {0} and sum(made) < 120 * 119 // 4
+
+
 def test_a_chain_of_links_is_one_component(spark):
     words = [f"w{k}" for k in range(150)]
     texts = [" ".join(words[k : k + 100]) for k in range(0, 50, 5)]  # neighbours link, the ends don't
