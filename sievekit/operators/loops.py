@@ -27,16 +27,33 @@ def strong_components(edges: DataFrame) -> DataFrame:
     changed are sent on, and minima are taken map-side.
     """
     pairs = stored(edges.select("caller", "callee").dropna().distinct())
+    numbers, left = _numbered(pairs)
+    found = _circles(stored(_called_callers(left.filter("caller != callee"))))
+    labelled = stored(numbers.join(found, "id", "left").select("node", F.coalesce("label", _mixed("id")).alias("label")))
+    least = labelled.groupBy("label").agg(F.min("node").alias("component"))
+    return labelled.join(least, "label").select("node", "component")
+
+
+def _numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of ``pairs`` (``node``) with a number each (``id``), and the pairs in these numbers."""
     names = stored(pairs.select(F.col("caller").alias("node")).unionByName(pairs.select(F.col("callee").alias("node"))).distinct())
     if names.schema["node"].dataType == LongType():
-        numbers, left = names.withColumn("id", F.col("node")), pairs
-    else:
-        numbers = stored(names.withColumn("id", F.monotonically_increasing_id()))
-        of = lambda end: numbers.select(F.col("node").alias(end), F.col("id").alias(f"_{end}"))
-        left = pairs.join(of("caller"), "caller").join(of("callee"), "callee").select(F.col("_caller").alias("caller"), F.col("_callee").alias("callee"))
-    left = stored(left.filter("caller != callee"))
+        return names.withColumn("id", F.col("node")), pairs
+    numbers = stored(names.withColumn("id", F.monotonically_increasing_id()))
+    of = lambda end: numbers.select(F.col("node").alias(end), F.col("id").alias(f"_{end}"))
+    left = pairs.join(of("caller"), "caller").join(of("callee"), "callee")
+    return numbers, left.select(F.col("_caller").alias("caller"), F.col("_callee").alias("callee"))
+
+
+def _called_callers(edges: DataFrame) -> DataFrame:
+    """Edges whose caller is called itself: no other can be in a circle. Most go here before they are made distinct."""
+    return edges.join(edges.select(F.col("callee").alias("caller")).distinct(), "caller", "left_semi")
+
+
+def _circles(left: DataFrame) -> DataFrame:
+    """``id`` and ``label`` of every node that is in a component with another one (of others only some). left: caller, callee, in numbers, no node with itself."""
     gone: list[DataFrame] = []
-    found = numbers.select("id", F.col("id").alias("label")).limit(0)
+    found = left.select(F.col("caller").alias("id"), F.col("caller").alias("label")).limit(0)
     many = left.count()
     while many:
         before = many
@@ -54,9 +71,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     for between in reversed(gone):
         # Early rounds take the most nodes, so what has returned before is written again for a part of the last ones.
         found = stored(found.unionByName(_returned(between, found)))
-    labelled = stored(numbers.join(found, "id", "left").select("node", F.coalesce("label", _mixed("id")).alias("label")))
-    least = labelled.groupBy("label").agg(F.min("node").alias("component"))
-    return labelled.join(least, "label").select("node", "component")
+    return found
 
 
 def _mixed(column: str) -> Column:
@@ -106,20 +121,32 @@ def _labels(edges: DataFrame) -> DataFrame:
 
 
 def _returned(between: DataFrame, found: DataFrame) -> DataFrame:
-    """id and label of the bypassed nodes that are in a component; a node without one so far has its own label."""
+    """id and label of the bypassed nodes that are in a component, and of the others that these make one; a node without one so far has its own label."""
     for end in ("x", "y"):
         of = found.select(F.col("id").alias(end), F.col("label").alias(f"_{end}"))
-        between = between.join(of, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", _mixed(end)))
-    return between.filter("_x = _y").groupBy("id").agg(F.min("_x").alias("label"))
+        between = between.join(of, end, "left")
+    alone = between.filter("x = y and _x is null").select(F.col("x").alias("id"), _mixed("x").alias("label")).distinct()
+    labels = between.select("id", F.coalesce("_x", _mixed("x")).alias("_x"), F.coalesce("_y", _mixed("y")).alias("_y"))
+    return labels.filter("_x = _y").groupBy("id").agg(F.min("_x").alias("label")).unionByName(alone)
 
 
 def feedback_loops(edges: DataFrame) -> DataFrame:
-    """Components that are loops: ``component``, ``members``, ``inner_edges``; more than one node, or a node that calls itself."""
-    of = strong_components(edges)
-    pairs = edges.select("caller", "callee").dropna().distinct()
-    inner = pairs.join(of.select(F.col("node").alias("caller"), "component"), "caller").join(of.select(F.col("node").alias("callee"), F.col("component").alias("_other")), "callee")
-    inner = inner.filter("component = _other").groupBy("component").agg(F.count("*").alias("inner_edges"))
-    return of.groupBy("component").agg(F.count("*").alias("members")).join(inner, "component")
+    """Components that are loops: ``component``, ``members``, ``inner_edges``; more than one node, or a node that calls itself.
+
+    Nodes outside of all loops are neither numbered nor joined: only pairs whose caller is called are written at all.
+    """
+    pairs = edges.select("caller", "callee").dropna()
+    itself = stored(pairs.filter("caller = callee").select(F.col("caller").alias("node")).distinct())
+    pairs = stored(_called_callers(pairs.filter("caller != callee")).distinct())
+    numbers, numbered = _numbered(pairs)
+    members = stored(numbers.join(_circles(numbered), "id").select("node", "label"))
+    of = lambda end: members.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
+    inner = pairs.join(of("caller"), "caller").join(of("callee"), "callee").filter("_caller = _callee").groupBy(F.col("_caller").alias("label")).agg(F.count("*").alias("_inner"))
+    loops = members.join(itself.withColumn("_self", F.lit(1)), "node", "left").groupBy("label")
+    loops = loops.agg(F.min("node").alias("component"), F.count("*").alias("members"), F.count("_self").alias("_self"))
+    loops = loops.join(inner, "label", "left").select("component", "members", (F.coalesce("_inner", F.lit(0)) + F.col("_self")).alias("inner_edges")).filter("inner_edges > 0")
+    alone = itself.join(members, "node", "left_anti").select(F.col("node").alias("component"), F.lit(1).cast("long").alias("members"), F.lit(1).cast("long").alias("inner_edges"))
+    return loops.unionByName(alone)
 
 
 #: Weaknesses of a dispatch: any, and of one capability beside it.

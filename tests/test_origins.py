@@ -247,3 +247,26 @@ def test_components_need_few_rounds_of_a_long_circle(spark, monkeypatch):
     assert all(found[f"n{k:05}"] == "n00000" for k in range(400)) and all(found[f"n{k:05}"] == "n01000" for k in range(1000, 1007))
     assert all(found[f"n{k:05}"] == f"n{k:05}" for k in range(2000, 2301)) and len(found) == 708
     assert len(written) < 120
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_feedback_loops_write_nothing_of_nodes_that_are_not_called(spark, monkeypatch, kind):
+    """Loops equal the brute force, and rows written grow with what may lie in a circle, not with all edges."""
+    rng = random.Random(7)
+    edges = {(rng.randrange(30), rng.randrange(30)) for _ in range(38)} | {(40, 41), (41, 40), (41, 42), (42, 41), (50, 50), (None, 1)}
+    of = components([e for e in edges if e[0] is not None])
+    expected = {}
+    for c in set(of.values()):
+        inner = sum(1 for a, b in edges if a is not None and of[a] == of[b] == c)
+        if inner:
+            expected[c] = (sum(1 for x in of.values() if x == c), inner)
+    assert len(expected) > 2
+    written, stored = [], loops.stored
+    monkeypatch.setattr(loops, "stored", lambda df: (written.append((out := stored(df)).count()), out)[1])
+    rows = [*edges, *((k, rng.randrange(30)) for k in range(1000, 6000))]
+    frame = spark.createDataFrame(rows, "caller long, callee long")
+    if kind == "string":
+        frame = frame.selectExpr("'n' || lpad(caller, 5, '0') as caller", "'n' || lpad(callee, 5, '0') as callee")
+        expected = {f"n{c:05}": n for c, n in expected.items()}
+    assert {r.component: (r.members, r.inner_edges) for r in loops.feedback_loops(frame).collect()} == expected
+    assert sum(written) < 2000
