@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievekit.operators.findings import hop_confidence
 from sievekit.operators.joins import partners
-from sievekit.operators.materialise import cut
+from sievekit.operators.materialise import cut, stored
 
 
 #: Fronts that are kept apart until they are written as one.
@@ -30,43 +30,54 @@ class Fronts:
     def add(self, front: DataFrame) -> None:
         self.parts.append(front)
         if len(self.parts) > FRONTS:
-            self.parts = [cut(self.all())]
+            self.parts = [stored(self.all())]
 
     def all(self) -> DataFrame:
         return reduce(DataFrame.unionByName, self.parts)
 
 
-def layers(edges: DataFrame, seeds: DataFrame, first_edges: DataFrame | None = None, most: int | None = None, upward: bool = True) -> DataFrame:
+def layers(
+    edges: DataFrame, seeds: DataFrame, first_edges: DataFrame | None = None, most: int | None = None, upward: bool = True, written: bool = False, known: DataFrame | None = None
+) -> DataFrame:
     """Breadth-first layers from all ``seeds`` (column ``node``): node, ``dist`` (fewest hops), ``pred`` (the smallest node of the layer before), ``origin`` (the seed that ``pred`` leads to).
 
     ``upward`` goes from callees to callers, else from callers to callees. ``first_edges`` replaces the edges of
-    the first hop. ``most``: hops at most; None: as many as there are.
+    the first hop. ``most``: hops at most; None: as many as there are. ``written``: the edges are stored already, so they are
+    read as they are. ``known``: nodes (column ``node``) that aren't entered and aren't returned.
+
+    Of a layer only the nodes that edges lead on from meet the edges, as a table whose size the planner knows: a small one
+    meets them without a shuffle.
     """
     near, far = ("callee", "caller") if upward else ("caller", "callee")
 
-    def pairs(e: DataFrame) -> DataFrame:
-        return cut(e.select(F.col(near).alias("_near"), F.col(far).alias("_far")).distinct())
+    def pairs(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+        e = e.select(F.col(near).alias("_near"), F.col(far).alias("_far"))
+        e = e if written else stored(e.distinct())
+        return e, stored(e.select(F.col("_near").alias("node")).distinct())
 
     later = pairs(edges)
     first = pairs(first_edges) if first_edges is not None else later
     node_type = seeds.schema["node"].dataType
-    front = cut(seeds.select("node", F.lit(0).alias("dist"), F.lit(None).cast(node_type).alias("pred"), F.col("node").alias("origin")).distinct())
+    front = stored(seeds.select("node", F.lit(0).alias("dist"), F.lit(None).cast(node_type).alias("pred"), F.col("node").alias("origin")).distinct())
     reached, hop = Fronts(front), 0
     while most is None or hop < most:
         hop += 1
-        moves = first if hop == 1 else later
-        found = moves.join(front.select(F.col("node").alias("_near"), "origin"), "_near").groupBy(F.col("_far").alias("node"))
+        moves, able = first if hop == 1 else later
+        leading = stored(front.join(able, "node", "left_semi").select(F.col("node").alias("_near"), "origin"))
+        found = moves.join(leading, "_near").groupBy(F.col("_far").alias("node"))
         found = found.agg(F.min("_near").alias("pred"), F.min_by("origin", "_near").alias("origin"))
-        front = cut(found.join(reached.all().select("node"), "node", "left_anti").select("node", F.lit(hop).alias("dist"), "pred", "origin"))
+        before = reached.all().select("node")
+        before = before if known is None else before.unionByName(known.select("node"))
+        front = stored(found.join(before, "node", "left_anti").select("node", F.lit(hop).alias("dist"), "pred", "origin"))
         if front.isEmpty():
             break
         reached.add(front)
     return reached.all()
 
 
-def closure(edges: DataFrame, seeds: DataFrame, upward: bool = False, most: int | None = None) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, upward: bool = False, most: int | None = None, written: bool = False) -> DataFrame:
     """The nodes that can be reached, seeds included."""
-    return layers(edges, seeds, most=most, upward=upward).select("node")
+    return layers(edges, seeds, most=most, upward=upward, written=written).select("node")
 
 
 def misses_sink() -> Column:
@@ -140,27 +151,39 @@ def emissions(edges: DataFrame, functions: DataFrame, most: int | None = None) -
     forged log entries and for an operator's own input, whose confidence is at most 0.5; low for a return from a
     callee of which nothing is known.
     """
+    functions = stored(functions)
     f = lambda side, *names: functions.select(F.col("node").alias(side), *(F.col(n).alias(f"{side}_{n}") for n in names))
     rows = edges.join(f("caller", "file", "has_sink", "sink_calls", "returned_calls"), "caller")
-    rows = cut(rows.join(f("callee", "file", "sink_params", "return_params"), "callee"))
-    gated = rows.withColumnRenamed("callee_sink_params", "sink_params").withColumnRenamed("caller_returned_calls", "returned_calls")
-    passing = gated.filter(passes_taint())
+    rows = rows.join(f("callee", "file", "sink_params", "return_params"), "callee")
+    rows = rows.withColumnRenamed("callee_sink_params", "sink_params").withColumnRenamed("caller_returned_calls", "returned_calls")
+    across = F.col("caller_file") != F.col("callee_file")
+    named = F.col("caller_sink_calls").isNull() | F.array_contains("caller_sink_calls", F.col("callee_name"))
+    # What the searches ask of an edge are yes-or-no answers: they are given once, and arrays and names stay behind.
+    answers = {
+        "passes": passes_taint(), "reaches": ~misses_sink(), "returns": returns_call(), "across": across, "hits": hits_sink(), "uses": across & F.col("caller_has_sink") & named,
+        "through": across & F.col("caller_has_sink") & F.arrays_overlap("tainted_slots", "callee_return_params"),
+    }
+    gated = stored(rows.select("caller", "callee", *(F.coalesce(x, F.lit(False)).alias(n) for n, x in answers.items())))
+    passing = gated.filter("passes")
     sinks = functions.filter("has_sink").select("node")
     sources = functions.filter("has_source")
-    to_sink = layers(passing, sinks, first_edges=gated.filter(~misses_sink()), most=most)
-    returning = layers(gated.filter(returns_call()), sources.select("node"), most=most)
-    from_source = closure(passing, sources.select("node"), upward=False, most=most)
-    from_remote = closure(passing, sources.filter("not operator_only").select("node"), upward=False, most=most)
-    across = gated.filter("caller_file != callee_file")
-
-    hit = across.join(to_sink.select(F.col("node").alias("callee"), "dist", "origin"), "callee").join(from_source.select(F.col("node").alias("caller")), "caller", "left_semi")
-    hit = hit.filter(F.when(F.col("dist") == 0, hits_sink()).otherwise(passes_taint()))
-    remote = from_remote.select(F.col("node").alias("caller"), F.lit(False).alias("own_input"))
+    to_sink = layers(passing, sinks, first_edges=gated.filter("reaches"), most=most, written=True)
+    returning = layers(gated.filter("returns"), sources.select("node"), most=most, written=True)
+    from_remote = closure(passing, sources.filter("not operator_only").select("node"), upward=False, most=most, written=True)
+    own_input = sources.select("node").join(from_remote, "node", "left_anti")
+    if most is None:
+        # Whatever the remote sources reach leads to nothing new.
+        from_source = from_remote.unionByName(layers(passing, own_input, upward=False, written=True, known=from_remote).select("node"))
+    else:
+        from_source = closure(passing, sources.select("node"), upward=False, most=most, written=True)
+
+    hit = gated.filter("across and (hits or passes)").join(to_sink.select(F.col("node").alias("callee"), "dist", "origin"), "callee")
+    hit = hit.filter(F.when(F.col("dist") == 0, F.col("hits")).otherwise(F.col("passes"))).join(from_source.select(F.col("node").alias("caller")), "caller", "left_semi")
     hit = hit.select("caller", "callee", F.lit("sink").alias("direction"), F.col("dist").alias("depth"), F.col("origin").alias("sink")).distinct()
+    remote = from_remote.select(F.col("node").alias("caller"), F.lit(False).alias("own_input"))
     hit = hit.join(remote, "caller", "left").withColumn("own_input", F.coalesce("own_input", F.lit(True)))
-    back = across.filter("caller_has_sink").join(returning.select(F.col("node").alias("callee"), "dist"), "callee")
-    back = back.filter(F.col("caller_sink_calls").isNull() | F.array_contains("caller_sink_calls", F.col("callee_name")))
-    through = across.filter("caller_has_sink").filter(F.coalesce(F.arrays_overlap("tainted_slots", "callee_return_params"), F.lit(False)))
+    back = gated.filter("uses").join(returning.select(F.col("node").alias("callee"), "dist"), "callee")
+    through = gated.filter("through")
     # Where both ways find an edge, the relayed one counts.
     back = back.select("caller", "callee", F.col("dist").alias("depth"), F.lit(0).alias("_way")).unionByName(through.select("caller", "callee", F.lit(0).alias("depth"), F.lit(1).alias("_way")))
     back = back.groupBy("caller", "callee").agg(F.min_by("depth", F.struct("_way", "depth")).alias("depth"))

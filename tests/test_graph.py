@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from sievekit.operators import graph
+from sievekit.operators import graph, materialise
 
 
 def edges(spark, pairs):
@@ -147,3 +149,18 @@ def test_many_fronts(spark, monkeypatch):
     found = graph.layers(e, seeds(spark, "n8"))
     assert {r.node: (r.dist, r.origin) for r in found.collect()} == {f"n{k}": (8 - k, "n8") for k in range(9)}
     assert max(len(r.path) for r in graph.paths(found).collect()) == 9
+
+
+def test_emissions_write_edges_once(spark, monkeypatch):
+    """The searches read one table of edges; what they write themselves are nodes."""
+    rng = random.Random(3)
+    names = [f"n{k}" for k in range(12)]
+    functions = [function(n, f"{k % 5}.py", k % 4 == 0, k % 3 == 0, k % 2 == 0, [None, [], ["0"]][k % 3], [None, ["0"]][k % 2], cwe=[89]) for k, n in enumerate(names)]
+    calls = [(rng.choice(names), b := f"leaf{k}" if k % 2 else rng.choice(names), b, True, rng.choice([None, [], ["0"], ["1"]])) for k in range(400)]
+    functions += [function(f"leaf{k}", "leaf.py") for k in range(1, 400, 2)]
+    written = []
+    for name in ("cut", "stored"):
+        write = getattr(materialise, name)
+        monkeypatch.setattr(graph, name, lambda df, write=write: (written.append((out := write(df)).filter("false" if "caller" not in df.columns and "_far" not in df.columns else "true").count()), out)[1], raising=False)
+    assert emitted(spark, functions, calls)
+    assert sum(written) == len(calls)
