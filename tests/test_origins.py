@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sievekit.operators import loops, origins, proofs
+from sievekit.operators import loops, materialise, origins, proofs
 
 ORIGINS, MOVES = "fn string, origin string, node string, seed boolean", "fn string, src string, dst string"
 ARGUMENTS, RESULTS = "fn string, call long, callee string, slot string, src string", "fn string, call long, callee string, dst string"
@@ -270,3 +270,20 @@ def test_feedback_loops_write_nothing_of_nodes_that_are_not_called(spark, monkey
         expected = {f"n{c:05}": n for c, n in expected.items()}
     assert {r.component: (r.members, r.inner_edges) for r in loops.feedback_loops(frame).collect()} == expected
     assert sum(written) < 2000
+
+
+def test_values_without_a_chance_are_not_written(spark, monkeypatch):
+    """A definition that is never bounded, or literals of both kinds, tell a value before its definitions meet their premises."""
+    written = []
+    for name in ("cut", "stored"):
+        write = getattr(materialise, name)
+        monkeypatch.setattr(proofs, name, lambda df, write=write: (written.append((out := write(df)).count()), out)[1], raising=False)
+    definitions, premises = [(0, 0, "copy", "number"), (1, 1, "copy", None), (1, 1, "format", None)], [(1, 0)]
+    for v in range(2, 202):
+        definitions += [(v, 10 * v, "copy", None), (v, 10 * v + 1, "character" if v % 2 else "join", None if v % 2 else "number"), (v, 10 * v + 2, "copy", "text")]
+        premises += [(10 * v, v - 1)]
+    definitions += [(300, 3000, "copy", None), (300, 3001, "copy", "number"), (301, 3010, "copy", None)]
+    premises += [(3000, 0), (3010, 300), (3010, 0)]
+    out = proofs.bounded(spark.createDataFrame(definitions, "value long, definition long, operation string, literal string"), spark.createDataFrame(premises, "definition long, part long"))
+    assert {r.value: r.kind for r in out.collect()} == {0: "number", 300: "number", 301: "number"} == proven(definitions, premises)
+    assert sum(written) < 40
