@@ -14,19 +14,38 @@ from sievekit.operators.materialise import cut
 def containing(points: DataFrame, scopes: DataFrame, key: str, at: str, begin: str, end: str, carry: list[str]) -> DataFrame:
     """Each point with every scope of its key that holds it. Places are whole numbers.
 
-    Scopes stand in blocks of a power of two that is at least their length, so in two at most; a point looks into its
-    block of each such size.
+    Scopes stand in blocks of a power of two that is at least their length, so in two at most. One sort of scopes and points by
+    block of the largest size tells of which sizes a scope that has begun before a point hasn't ended: only in its blocks of
+    these sizes does the point look, so it is copied no oftener than there are scopes that hold it.
     """
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.col(end) - F.col(begin) + 1))).cast("int")
-    block = lambda place, size: F.floor(F.col(place) / F.pow(F.lit(2.0), size)).cast("long")
     held = scopes.filter(F.col(begin) <= F.col(end)).select(key, begin, end, *carry, level.alias("_level"))
-    held = held.withColumn("_block", F.explode(F.array_distinct(F.array(block(begin, F.col("_level")), block(end, F.col("_level"))))))
     sizes = sorted(r._level for r in held.select("_level").distinct().collect())  # 64 at most
-    asked = points.withColumn("_level", F.explode(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>")))
-    found = asked.withColumn("_block", block(at, F.col("_level"))).join(held, [key, "_level", "_block"])
+    if not sizes:
+        return points.join(held.drop("_level"), key).limit(0)
+    found = _looking(points, held, key, at, begin, end, sizes).withColumn("_block", _block(at, F.col("_level")))
+    found = found.join(held.withColumn("_block", F.explode(_blocks(begin, end, F.col("_level")))), [key, "_level", "_block"])
     return found.filter((F.col(begin) <= F.col(at)) & (F.col(at) <= F.col(end))).drop("_level", "_block")
 
 
+def _block(place: str, size: Column) -> Column:
+    return F.floor(F.col(place) / F.pow(F.lit(2.0), size)).cast("long")
+
+
+def _blocks(begin: str, end: str, size: Column) -> Column:
+    return F.array_distinct(F.array(_block(begin, size), _block(end, size)))
+
+
+def _looking(points: DataFrame, held: DataFrame, key: str, at: str, begin: str, end: str, sizes: list[int]) -> DataFrame:
+    """Each point once for each size (``_level``) of which a scope holds it."""
+    largest = F.lit(sizes[-1])
+    ends = held.select(key, F.col(begin).alias("_at"), F.col(end).alias("_end"), "_level", F.explode(_blocks(begin, end, largest)).alias("_stretch"))
+    rows = points.withColumns({"_at": F.col(at), "_stretch": _block(at, largest)}).unionByName(ends, allowMissingColumns=True)
+    begun = W.partitionBy(key, "_stretch").orderBy("_at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    open_ = F.array_compact(F.array(*(F.when(F.max(F.when(F.col("_level") == size, F.col("_end"))).over(begun) >= F.col("_at"), F.lit(size)) for size in sizes)))
+    return rows.withColumn("_open", open_).filter("_level is null").select(*points.columns, F.explode("_open").alias("_level"))
+
+
 def innermost(points: DataFrame, scopes: DataFrame, key: str, at: str, begin: str, end: str, carry: list[str]) -> DataFrame:
     """Of each point the scope of its key that holds it and begins last; NULLs if none does.
 

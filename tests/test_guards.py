@@ -212,3 +212,20 @@ def test_unresolved_stores_query_returns_every_pair(spark):
     }
     out = [(r.key, r.writer, r.reader) for r in checks.unresolved_stores(spark, "/root/testdata/sf0.001").collect()]
     assert len(out) == len(set(out)) and set(out) == wanted
+
+
+@pytest.mark.parametrize("long", [8, 3000])
+def test_points_look_only_where_a_scope_holds_them(spark, monkeypatch, long):
+    """All pairs of a point and a scope that holds it, and no more copies of points than such pairs."""
+    rng = random.Random(long)
+    points = [(k, rng.choice(["a", "b", None]), rng.randrange(-1000, 20_000)) for k in range(300)]
+    scopes = [(k, rng.choice(["a", "b"]), at := rng.randrange(-1000, 20_000), at + rng.randrange(-1, rng.choice([2, 9, long]))) for k in range(60)]
+    copies, looking = [], joins._looking
+    monkeypatch.setattr(joins, "_looking", lambda *args: (copies.append((out := looking(*args)).count()), out)[1])
+    frame = spark.createDataFrame
+    out = joins.containing(frame(points, "point int, path string, line int"), frame(scopes, "scope int, path string, b long, e long"), "path", "line", "b", "e", ["scope"])
+    assert out.columns == ["path", "point", "line", "b", "e", "scope"]
+    expected = sorted((p, s) for p, f, at in points for s, g, b, e in scopes if f == g and b <= at <= e)
+    assert sorted((r.point, r.scope) for r in out.collect()) == expected and copies[0] <= len(expected)
+    none = joins.containing(frame(points, "point int, path string, line int"), frame([], "scope int, path string, b long, e long"), "path", "line", "b", "e", ["scope"])
+    assert none.columns == out.columns and none.count() == 0
