@@ -226,9 +226,11 @@ def fixpoint(state: DataFrame, key: str, edges: DataFrame, combine: Callable[[Da
 
     ``state``: ``key`` and ``value`` (an array of what a function's summary holds). ``combine`` turns rows
     (key, value of a callee) into rows (key, value). Values only grow, so their sizes tell what has changed, and
-    the rounds end. Raises RuntimeError if ``rounds`` is given and doesn't suffice.
+    the rounds end. Raises RuntimeError if ``rounds`` is given and doesn't suffice. Edges are made once, and what has changed is a
+    table whose size the planner knows, so edges are shuffled only where much has changed.
     """
-    state = cut(state.select(key, "value"))
+    edges = stored(edges.select("caller", "callee"))
+    state = stored(state.select(key, "value"))
     kind = state.schema["value"].dataType
     changed, done = state, 0
     while not changed.isEmpty():
@@ -239,8 +241,8 @@ def fixpoint(state: DataFrame, key: str, edges: DataFrame, combine: Callable[[Da
         news = combine(news).withColumnRenamed("value", "_more")
         joined = state.join(news, key, "full_outer")
         union = F.array_sort(F.array_union(F.coalesce("value", F.array().cast(kind)), F.coalesce("_more", F.array().cast(kind))))
-        after = cut(joined.select(key, union.alias("value"), (F.size(union) > F.coalesce(F.size("value"), F.lit(0))).alias("_grew")))
-        changed = after.filter("_grew").select(key, "value")
+        after = stored(joined.select(key, union.alias("value"), (F.size(union) > F.coalesce(F.size("value"), F.lit(0))).alias("_grew")))
+        changed = stored(after.filter("_grew").select(key, "value"))
         state = after.select(key, "value")
     return state
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievekit.operators import graph, materialise
 
@@ -164,3 +165,20 @@ def test_emissions_write_edges_once(spark, monkeypatch):
         monkeypatch.setattr(graph, name, lambda df, write=write: (written.append((out := write(df)).filter("false" if "caller" not in df.columns and "_far" not in df.columns else "true").count()), out)[1], raising=False)
     assert emitted(spark, functions, calls)
     assert sum(written) == len(calls)
+
+
+def test_fixpoint_makes_its_edges_once(spark):
+    """What makes the edges runs once, not in every round."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    way = edges(spark, [(f"n{k:02}", f"n{k + 1:02}") for k in range(8)]).mapInArrow(counted, "caller string, callee string")
+    state = spark.createDataFrame([("n08", ["x"]), ("n05", ["y"])], "node string, value array<string>")
+    combine = lambda rows: rows.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("value"))).alias("value"))
+    out = {r.node: r.value for r in graph.fixpoint(state, "node", way, combine).collect()}
+    assert out == {f"n{k:02}": ["x", "y"] if k <= 5 else ["x"] for k in range(9)}
+    assert made.value == 8
