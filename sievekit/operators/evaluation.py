@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievekit.operators.graph import Fronts
 from sievekit.operators.joins import containing
-from sievekit.operators.materialise import cut
+from sievekit.operators.materialise import cut, stored
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -108,29 +108,30 @@ def distinct_findings(findings: DataFrame, expected: DataFrame, decoys: DataFram
     the nearest.
     """
     size = reach + 1
-    alarms = findings.select("finding", "path", "line", F.explode("cwe").alias("cwe"))
-    alarms = _within(alarms, decoys)
-    free = findings.join(alarms, "finding", "left_anti")
-    left = free.withColumn("_block", F.floor(F.col("line") / size))
+    # Findings are made once; what is told of them goes by numbers, which are shorter than their names.
+    rows = stored(findings.withColumn("_n", F.monotonically_increasing_id()))
+    alarms = stored(_within(rows.select("_n", "path", "line", F.explode("cwe").alias("cwe")), decoys))
+    left = rows.select("_n", "finding", "path", "line", "cwe", "rule_id").withColumn("_block", F.floor(F.col("line") / size))
     right = expected.select("sink", "path", "line_hint", F.col("cwe").alias("_cwe"), "native_rule")
     right = right.withColumn("_block", F.explode(F.sequence(F.floor((F.col("line_hint") - reach) / size), F.floor((F.col("line_hint") + reach) / size))))
     near = left.join(right, ["path", "_block"]).withColumn("distance", F.abs(F.col("line") - F.col("line_hint"))).filter(F.col("distance") <= reach)
     rank = F.when(F.col("native_rule") == F.col("rule_id"), 0).when(F.array_contains("cwe", F.col("_cwe")), 1)
-    near = cut(near.select("finding", "sink", "distance", rank.alias("rank"), (F.size("cwe") > 0).alias("_told")))
-    candidates = near.filter("rank is not null")
-    best = candidates.groupBy("finding").agg(F.min(F.struct("rank", "distance", "sink")).alias("_b")).select("finding", F.col("_b.sink").alias("_best"))
-    hits = one_to_one(candidates.select("finding", "sink", "rank", "distance")).select("finding", F.col("sink").alias("_hit"))
-    drift = near.groupBy("finding").agg(F.min(F.struct("distance", "sink")).alias("_n"), F.bool_or("_told").alias("_told")).filter("_told").select("finding", F.col("_n.sink").alias("_near"))
-    rows = findings.join(alarms.withColumn("_alarm", F.lit(True)), "finding", "left").join(hits, "finding", "left").join(best, "finding", "left").join(drift, "finding", "left")
+    near = near.select("_n", "finding", "sink", "distance", rank.alias("rank"), (F.size("cwe") > 0).alias("_told"))
+    near = stored(near.join(alarms, "_n", "left_anti").filter("rank is not null or _told"))
+    hits = one_to_one(near.filter("rank is not null").select("finding", "sink", "rank", "distance")).select("finding", F.col("sink").alias("_hit"))
+    best, nearest = F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "distance", "sink"))), F.min(F.struct("distance", "sink"))
+    told = near.groupBy("_n", "finding").agg(best.alias("_b"), nearest.alias("_d"), F.bool_or("_told").alias("_told")).join(hits, "finding", "left")
+    told = told.select("_n", "_hit", F.col("_b.sink").alias("_best"), F.when(F.col("_told"), F.col("_d.sink")).alias("_near"))
+    rows = rows.join(alarms.withColumn("_alarm", F.lit(True)), "_n", "left").join(told, "_n", "left")
     state = F.when(F.col("_alarm"), "decoy").when(F.col("_hit").isNotNull(), "hit").when(F.col("_best").isNotNull(), "duplicate").when(F.col("_near").isNotNull(), "mismatch").otherwise("unmatched")
     return rows.select(*findings.columns, state.alias("state"), F.coalesce("_hit", "_best", "_near").alias("sink"))
 
 
 def _within(alarms: DataFrame, decoys: DataFrame) -> DataFrame:
-    """The findings that lie in a decoy of their path and CWE."""
+    """The findings (``_n``) that lie in a decoy of their path and CWE."""
     key = F.concat_ws("#", "cwe", "path")
-    held = containing(alarms.withColumn("_key", key), decoys.withColumn("_key", key).select("_key", "first", "last"), "_key", "line", "first", "last", [])
-    return held.select("finding").distinct()
+    held = containing(alarms.select("_n", "line", key.alias("_key")), decoys.withColumn("_key", key).select("_key", "first", "last"), "_key", "line", "first", "last", [])
+    return held.select("_n").distinct()
 
 
 def rule_scores(scored: DataFrame) -> DataFrame:

@@ -37,7 +37,9 @@ def _blocks(begin: str, end: str, size: Column) -> Column:
 
 
 def _looking(points: DataFrame, held: DataFrame, key: str, at: str, begin: str, end: str, sizes: list[int]) -> DataFrame:
-    """Each point once for each size (``_level``) of which a scope holds it."""
+    """Each point once for each size (``_level``) of which a scope holds it; where there are two sizes at most, once for each of these."""
+    if len(sizes) <= 2:
+        return points.withColumn("_level", F.explode(F.array(*map(F.lit, sizes))))
     largest = F.lit(sizes[-1])
     ends = held.select(key, F.col(begin).alias("_at"), F.col(end).alias("_end"), "_level", F.explode(_blocks(begin, end, largest)).alias("_stretch"))
     rows = points.withColumns({"_at": F.col(at), "_stretch": _block(at, largest)}).unionByName(ends, allowMissingColumns=True)

@@ -51,8 +51,10 @@ def dominating_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distinct_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines against one labelled sink an order and, for cheap orders, a decoy; how many findings of each rule are distinct hits."""
-    found = scored(spark, sf_dir).withColumn("cwe", F.when(F.col("q") % 5 == 0, F.array().cast("array<int>")).otherwise(F.array((F.col("q") % 3).cast("int"))))
-    found = found.select(F.concat_ws(":", "path", "line", "q", "rule_id", F.col("confidence").cast("string")).alias("finding"), "path", (F.col("line") * 7 + F.col("q")).alias("line"), "cwe", "rule_id").dropDuplicates(["finding"])
+    # Findings are told apart by numbers, names are made of what is left.
+    found = scored(spark, sf_dir).select("path", "line", "q", "rule_id", "confidence").distinct()
+    found = found.withColumn("cwe", F.when(F.col("q") % 5 == 0, F.array().cast("array<int>")).otherwise(F.array((F.col("q") % 3).cast("int"))))
+    found = found.select(F.concat_ws(":", "path", "line", "q", "rule_id", F.col("confidence").cast("string")).alias("finding"), "path", (F.col("line") * 7 + F.col("q")).alias("line"), "cwe", "rule_id")
     orders = read(spark, sf_dir, "orders")
     expected = orders.select(
         F.col("o_orderkey").alias("sink"), F.col("o_orderkey").alias("path"), (F.col("o_orderkey") % 60).alias("line_hint"), (F.col("o_orderkey") % 3).cast("int").alias("cwe"),

@@ -229,3 +229,22 @@ def test_points_look_only_where_a_scope_holds_them(spark, monkeypatch, long):
     assert sorted((r.point, r.scope) for r in out.collect()) == expected and copies[0] <= len(expected)
     none = joins.containing(frame(points, "point int, path string, line int"), frame([], "scope int, path string, b long, e long"), "path", "line", "b", "e", ["scope"])
     assert none.columns == out.columns and none.count() == 0
+
+
+def test_distinct_findings_make_their_findings_once(spark):
+    """What makes the findings runs once, and states are as told: alarm, hit, duplicate, mismatch, unmatched."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [("a", "f", 5, [1], "R1"), ("b", "f", 6, [1], "R1"), ("c", "f", 4, [2], "R1"), ("d", "f", 90, [1], "R1"), ("e", "f", 2, [], "R9"), ("g", "f", 21, [3], "R2"), ("h", "g", 5, [7], "R1")]
+    schema = "finding string, path string, line long, cwe array<int>, rule_id string"
+    findings = spark.createDataFrame(rows, schema).mapInArrow(counted, schema)
+    expected = spark.createDataFrame([(1, "f", 5, 1, None), (2, "f", 20, 9, "R2")], "sink long, path string, line_hint long, cwe int, native_rule string")
+    decoys = spark.createDataFrame([("g", 0, 10, 7)], "path string, first int, last int, cwe int")
+    out = {r.finding: (r.state, r.sink) for r in evaluation.distinct_findings(findings, expected, decoys).collect()}
+    assert out == {"a": ("hit", 1), "b": ("duplicate", 1), "c": ("mismatch", 1), "d": ("unmatched", None), "e": ("unmatched", None), "g": ("hit", 2), "h": ("decoy", None)}
+    assert made.value == len(rows)
