@@ -120,7 +120,8 @@ def distinct_findings(findings: DataFrame, expected: DataFrame, decoys: DataFram
     near = stored(near.join(alarms, "_n", "left_anti").filter("rank is not null or _told"))
     hits = one_to_one(near.filter("rank is not null").select("finding", "sink", "rank", "distance")).select("finding", F.col("sink").alias("_hit"))
     best, nearest = F.min(F.when(F.col("rank").isNotNull(), F.struct("rank", "distance", "sink"))), F.min(F.struct("distance", "sink"))
-    told = near.groupBy("_n", "finding").agg(best.alias("_b"), nearest.alias("_d"), F.bool_or("_told").alias("_told")).join(hits, "finding", "left")
+    # Dealt by name once: the sums and the hits meet there.
+    told = near.repartition("finding").groupBy("_n", "finding").agg(best.alias("_b"), nearest.alias("_d"), F.bool_or("_told").alias("_told")).join(hits, "finding", "left")
     told = told.select("_n", "_hit", F.col("_b.sink").alias("_best"), F.when(F.col("_told"), F.col("_d.sink")).alias("_near"))
     rows = rows.join(alarms.withColumn("_alarm", F.lit(True)), "_n", "left").join(told, "_n", "left")
     state = F.when(F.col("_alarm"), "decoy").when(F.col("_hit").isNotNull(), "hit").when(F.col("_best").isNotNull(), "duplicate").when(F.col("_near").isNotNull(), "mismatch").otherwise("unmatched")
