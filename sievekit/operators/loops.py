@@ -15,20 +15,21 @@ WORTH_BYPASSING = 0.1
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (its smallest node) of every node in ``edges`` (caller, callee).
 
+    0. Nodes that call each other are in one component, so what such pairs connect is merged into one node first.
     1. Nodes that nothing enters or leaves go. Others go if edges from each node before them to each node behind them are no
        more than their own edges: these replace them, so who reaches whom stays the same among the rest, and the number of
        edges never grows. Of neighbours only one goes in a round. Long ways and circles shrink to a core of few steps.
     2. In the core each node takes the smallest label that reaches it and the smallest that it reaches, both at once. Where these
        are the same, it is in that label's component; else only edges between nodes with the same two labels can be in a
        component. These start again at 1. Labels are numbers mixed one to one, so that no order of the nodes is a bad one.
-    3. Nodes that have gone return, last ones first: into the component that one node before and one behind have in common.
+    3. Nodes that have gone return, last ones first: into the component that one node before and one behind have in common; merged ones at last.
 
     Rounds of 1 and 3 and steps of 2 grow with the logarithm of the table where ways in the core do. Only labels that have
     changed are sent on, and minima are taken map-side.
     """
     pairs = stored(edges.select("caller", "callee").dropna().distinct())
     numbers, left = _numbered(pairs)
-    found = _circles(stored(_called_callers(left.filter("caller != callee"))))
+    found = _circles(left.filter("caller != callee"))
     labelled = stored(numbers.join(found, "id", "left").select("node", F.coalesce("label", _mixed("id")).alias("label")))
     least = labelled.groupBy("label").agg(F.min("node").alias("component"))
     return labelled.join(least, "label").select("node", "component")
@@ -50,8 +51,70 @@ def _called_callers(edges: DataFrame) -> DataFrame:
     return edges.join(edges.select(F.col("callee").alias("caller")).distinct(), "caller", "left_semi")
 
 
-def _circles(left: DataFrame) -> DataFrame:
-    """``id`` and ``label`` of every node that is in a component with another one (of others only some). left: caller, callee, in numbers, no node with itself."""
+def _members(pairs: DataFrame) -> DataFrame:
+    """``node`` and ``label`` of every node that is in a component with another one (of others only some). pairs: caller, callee, of any kind, no node with itself."""
+    if pairs.schema["caller"].dataType == LongType():
+        return _circles(pairs).withColumnRenamed("id", "node")
+    numbers, numbered = _numbered(stored(_called_callers(pairs).distinct()))
+    return stored(numbers.join(_circles(numbered), "id").select("node", "label"))
+
+
+def _circles(edges: DataFrame) -> DataFrame:
+    """``id`` and ``label`` of every node that is in a component with another one (of others only some). edges: caller, callee, in numbers, no node with itself."""
+    merged, left = _merged(edges)
+    found = _core_circles(left)
+    # A merged node's label is that of the node it has gone into, or this one's own.
+    of = found.select(F.col("id").alias("into"), "label")
+    back = merged.join(of, "into", "left").select("id", F.coalesce("label", _mixed("into")).alias("label"))
+    return stored(back.unionByName(found.join(merged, "id", "left_anti").select("id", "label")))
+
+
+def _merged(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes that are called by one that they call (``id``) with the node that they are merged ``into``, and the distinct edges that this leaves."""
+    least, most = F.least("caller", "callee").alias("a"), F.greatest("caller", "callee").alias("b")
+    pairs = edges.groupBy(least, most).agg(F.bool_or(F.col("caller") < F.col("callee")).alias("up"), F.bool_or(F.col("caller") > F.col("callee")).alias("down"))
+    pairs = stored(pairs)
+    into = _joined(pairs.filter("up and down").select("a", "b"))
+    single = pairs.filter("not (up and down)").select(F.when(F.col("up"), F.col("a")).otherwise(F.col("b")).alias("caller"), F.when(F.col("up"), F.col("b")).otherwise(F.col("a")).alias("callee"))
+    # Nodes that call: merged ones, and callers. Most edges end elsewhere.
+    calling = into.unionByName(single.select(F.col("caller").alias("id"), F.lit(None).cast("long").alias("into"))).groupBy("id").agg(F.max("into").alias("into"))
+    left = single.join(calling.select(F.col("id").alias("callee"), F.coalesce("into", "id").alias("_callee")), "callee").select("caller", "_callee")
+    left = left.join(into.select(F.col("id").alias("caller"), F.col("into").alias("_caller")), "caller", "left").select(F.coalesce("_caller", "caller").alias("caller"), F.col("_callee").alias("callee"))
+    return into, stored(_called_callers(stored(left.filter("caller != callee").distinct())))
+
+
+def _joined(pairs: DataFrame) -> DataFrame:
+    """``id`` of each node of ``pairs`` (a < b, distinct) and ``into``, one node of those that pairs connect it with.
+
+    Of nodes that are the greater one in all their pairs each goes into its least partner at once, which the others meet: of pairs between
+    two kinds of nodes this leaves one kind. Then each node takes the one of lowest rank of itself and its partners, with ranks that are new
+    in each round, and pairs go on between what was taken.
+    """
+    between = stored(pairs.select("a").distinct().join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))
+    of_tops = pairs.join(between.withColumnRenamed("a", "b"), "b", "left_anti")
+    tops = stored(of_tops.groupBy("b").agg(F.min("a").alias("into")))
+    met = of_tops.join(tops, "b").filter("a != into").select(F.col("into").alias("a"), F.col("a").alias("b"))
+    left = stored(met.unionByName(pairs.join(between.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")).distinct())
+    taken: list[DataFrame] = []
+    while not left.isEmpty():
+        rank = lambda x: F.xxhash64(F.lit(len(taken)), x)  # noqa: B023, E731
+        ends = left.select(F.col("a").alias("id"), F.struct(rank("b").alias("rank"), F.col("b").alias("into")).alias("other"))
+        ends = ends.unionByName(left.select(F.col("b").alias("id"), F.struct(rank("a").alias("rank"), F.col("a").alias("into")).alias("other")))
+        own = F.struct(rank("id").alias("rank"), F.col("id").alias("into"))
+        took = stored(ends.groupBy("id").agg(F.min("other").alias("other")).select("id", F.least("other", own)["into"].alias("into")))
+        taken.append(took)
+        of = lambda end: took.select(F.col("id").alias(end), F.col("into").alias(f"_{end}"))  # noqa: B023, E731
+        left = left.join(of("a"), "a").join(of("b"), "b").filter("_a != _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+        left = stored(left.distinct())
+    into = tops.select(F.col("b").alias("id"), "into").limit(0)
+    for took in reversed(taken):
+        into = stored(took.join(into.select(F.col("id").alias("into"), F.col("into").alias("_into")), "into", "left").select("id", F.coalesce("_into", "into").alias("into")))
+    all_ = tops.select(F.col("b").alias("id"), "into").unionByName(pairs.select(F.col("a").alias("id"), F.col("a").alias("into")).distinct())
+    return stored(all_.join(into.select(F.col("id").alias("into"), F.col("into").alias("_into")), "into", "left").select("id", F.coalesce("_into", "into").alias("into")))
+
+
+def _core_circles(left: DataFrame) -> DataFrame:
+    """``_circles`` of distinct edges, by steps 1 to 3."""
     gone: list[DataFrame] = []
     found = left.select(F.col("caller").alias("id"), F.col("caller").alias("label")).limit(0)
     many = left.count()
@@ -138,8 +201,7 @@ def feedback_loops(edges: DataFrame) -> DataFrame:
     pairs = edges.select("caller", "callee").dropna()
     itself = stored(pairs.filter("caller = callee").select(F.col("caller").alias("node")).distinct())
     pairs = stored(_called_callers(pairs.filter("caller != callee")).distinct())
-    numbers, numbered = _numbered(pairs)
-    members = stored(numbers.join(_circles(numbered), "id").select("node", "label"))
+    members = _members(pairs)
     of = lambda end: members.select(F.col("node").alias(end), F.col("label").alias(f"_{end}"))
     inner = pairs.join(of("caller"), "caller").join(of("callee"), "callee").filter("_caller = _callee").groupBy(F.col("_caller").alias("label")).agg(F.count("*").alias("_inner"))
     loops = members.join(itself.withColumn("_self", F.lit(1)), "node", "left").groupBy("label")
@@ -158,29 +220,42 @@ def capability_findings(dispatches: DataFrame, imports: DataFrame, registries: D
 
     dispatches: file, fn, line, registry (its local name), model_line; imports: file, local_name, target_file, target_name;
     registries: file, registry, place, function; capabilities: file, function, capability, line; edges: caller, callee,
-    as ``file:function``. A registry is the imported one, else the file's own. Of each capability the first function that has
+    as ``file:function``. Where edges have other keys (numbers are quicker), dispatches, registries and capabilities bring the key of
+    their function as ``node``. A registry is the imported one, else the file's own. Of each capability the first function that has
     it counts. One row for each dispatch into a registry with capabilities: its columns and ``registry_file``,
     ``capabilities`` (sorted), ``sink_function``, ``sink_line`` (of the first capability), ``cwe`` and ``feedback_loop``: is
     a function that the registry holds in one loop with the dispatching one?
+
+    What is known of a function (capabilities, component) meets the registries once, what is known of a registry the dispatches once.
     """
-    known = imports.select("file", F.col("local_name").alias("registry"), F.col("target_file").alias("_file"), F.col("target_name").alias("_name"))
-    rows = dispatches.join(known, ["file", "registry"], "left").withColumns({"registry_file": F.coalesce("_file", "file"), "_registry": F.coalesce("_name", "registry")}).drop("_file", "_name")
-    held = registries.select(F.col("file").alias("registry_file"), F.col("registry").alias("_registry"), "place", "function")
-    able = held.join(capabilities.select(F.col("file").alias("registry_file"), "function", "capability", F.col("line").alias("_line")), ["registry_file", "function"])
-    first = able.groupBy("registry_file", "_registry", "capability").agg(F.min(F.struct("place", "_line", "function")).alias("_f"))
-    exposed = first.groupBy("registry_file", "_registry").agg(F.sort_array(F.collect_list(F.struct("capability", F.col("_f.function").alias("function"), F.col("_f._line").alias("line")))).alias("_e"))
-    of = strong_components(edges)
-    calls = edges.filter("caller = callee").select(F.col("caller").alias("_tool"), F.lit(True).alias("_self")).distinct()
-    alike = held.select("registry_file", "_registry", F.concat_ws(":", "registry_file", "function").alias("_tool")).distinct().join(of.withColumnRenamed("node", "_tool"), "_tool").join(calls, "_tool", "left")
+    keyed = lambda rows, *names: rows if "node" in rows.columns else rows.withColumn("node", F.concat_ws(":", *names))
+    registry = ["registry_file", "_registry"]
+    pairs = edges.select("caller", "callee").dropna()
+    members = _members(pairs.filter("caller != callee")).select("node", F.col("label").alias("_label"))
+    able = keyed(capabilities, "file", "function").groupBy("node").agg(F.collect_list(F.struct("file", "function", "capability", F.col("line").alias("_line"))).alias("_able"))
+    held = keyed(registries, "file", "function").select("node", F.col("file").alias("registry_file"), F.col("registry").alias("_registry"), "place", "function")
+    held = stored(held.join(able.join(members, "node", "full_outer"), "node"))
+
+    first = held.select(*registry, "place", "function", F.explode("_able").alias("_a")).filter("_a.file = registry_file and _a.function = function")
+    first = first.groupBy(*registry, F.col("_a.capability").alias("capability"))
+    first = first.agg(F.min(F.struct("place", F.col("_a._line").alias("_line"), "function")).alias("_f"))
+    exposed = first.groupBy(*registry).agg(F.sort_array(F.collect_list("capability")).alias("capabilities"), F.min(F.struct("capability", "_f")).alias("_f"))
+    exposed = exposed.select(*registry, "capabilities", F.col("_f._f.function").alias("sink_function"), F.col("_f._f._line").alias("sink_line"))
+    known = imports.select("file", F.col("local_name").alias("registry"), F.coalesce("target_file", "file").alias("registry_file"), F.coalesce("target_name", "local_name").alias("_registry"))
+    own = exposed.withColumns({"file": F.col("registry_file"), "registry": F.col("_registry")}).join(known.select("file", "registry").distinct(), ["file", "registry"], "left_anti")
+    named = known.join(exposed, registry).unionByName(own)
+
     # Of a registry and a component one row: any tool but the dispatching function itself will do, and that one too if it calls itself.
-    alike = alike.groupBy("registry_file", "_registry", "component").agg(F.count("*").alias("_many"), F.min("_tool").alias("_tool"), F.coalesce(F.bool_or("_self"), F.lit(False)).alias("_self"))
-    own = rows.select("file", "fn", "registry_file", "_registry", F.concat_ws(":", "file", "fn").alias("node")).distinct().join(of, "node")
-    looped = own.join(alike, ["registry_file", "_registry", "component"]).filter("_many > 1 or _tool != node or _self")
-    looped = looped.select("file", "fn", "registry_file", "_registry", F.lit(True).alias("_loop")).distinct()
-    rows = rows.join(exposed, ["registry_file", "_registry"]).join(looped, ["file", "fn", "registry_file", "_registry"], "left")
-    names = F.transform("_e", lambda x: x["capability"])
-    more = [F.when(F.array_contains(names, c), F.array(F.lit(n))).otherwise(F.array().cast("array<int>")) for c, n in CAPABILITY_CWE.items()]
+    alike = held.filter("_label is not null").groupBy(*registry, "_label").agg(F.min("node").alias("_least"), F.max("node").alias("_most"))
+    rows = keyed(dispatches, "file", "fn").join(members, "node", "left").join(named, ["file", "registry"]).join(alike, [*registry, "_label"], "left")
+    looped = F.coalesce((F.col("_least") != F.col("node")) | (F.col("_most") != F.col("node")), F.lit(False))
+    itself = stored(pairs.filter("caller = callee").select(F.col("caller").alias("node")).distinct())
+    if not itself.isEmpty():
+        itself = keyed(registries, "file", "function").join(itself, "node").select("node", F.col("file").alias("registry_file"), F.col("registry").alias("_registry"), F.lit(True).alias("_self")).distinct()
+        rows = rows.join(itself, ["node", *registry], "left")
+        looped = looped | F.coalesce("_self", F.lit(False))
+    more = [F.when(F.array_contains("capabilities", c), F.array(F.lit(n))).otherwise(F.array().cast("array<int>")) for c, n in CAPABILITY_CWE.items()]
     return rows.select(
-        *dispatches.columns, "registry_file", names.alias("capabilities"), F.col("_e")[0]["function"].alias("sink_function"), F.col("_e")[0]["line"].alias("sink_line"),
-        F.concat(F.array(F.lit(DISPATCH_CWE)), *more).alias("cwe"), F.coalesce("_loop", F.lit(False)).alias("feedback_loop"),
+        *(c for c in dispatches.columns if c != "node"), "registry_file", "capabilities", "sink_function", "sink_line",
+        F.concat(F.array(F.lit(DISPATCH_CWE)), *more).alias("cwe"), looped.alias("feedback_loop"),
     )

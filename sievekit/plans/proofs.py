@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievekit.operators import loops, proofs
+from sievekit.operators.materialise import stored
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,20 +21,27 @@ def call_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def selected_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders select parts from suppliers' registries; a part of size 1 to 3 has a capability, and returned parts call the order back."""
-    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    lines = lines.join(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("n"), "c_nationkey").alias("file")), "o_custkey")
-    lines = lines.join(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.concat(F.lit("n"), "s_nationkey").alias("home")), "l_suppkey")
-    registry, part, order = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("o"), "l_orderkey")
-    dispatches = lines.select("file", order.alias("fn"), F.col("l_linenumber").alias("line"), registry.alias("registry"), F.lit(1).alias("model_line"))
-    imports = lines.filter("file != home").select("file", registry.alias("local_name"), F.col("home").alias("target_file"), registry.alias("target_name")).distinct()
-    registries = lines.select(F.col("home").alias("file"), registry.alias("registry"), F.col("l_partkey").alias("place"), part.alias("function")).distinct()
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    orders = orders.join(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("file")), "o_custkey").drop("o_custkey")
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("returned"))
+    lines = lines.join(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("home")), "l_suppkey").join(orders, "l_orderkey")
+    # Orders are even numbers, a nation's parts odd ones; names are spelt at the end.
+    order, part = F.col("l_orderkey") * 2, (F.col("l_partkey") * 2**31 + F.col("home")) * 2 + 1
+    lines = stored(lines).withColumns({"order": order, "part": part})
+    dispatches = lines.select(F.col("order").alias("node"), "file", F.col("l_orderkey").alias("fn"), F.col("l_linenumber").alias("line"), F.col("l_suppkey").alias("registry"), F.lit(1).alias("model_line"))
+    imports = lines.filter("file != home").select("file", F.col("l_suppkey").alias("local_name"), F.col("home").alias("target_file"), F.col("l_suppkey").alias("target_name")).distinct()
+    registries = lines.select(F.col("part").alias("node"), F.col("home").alias("file"), F.col("l_suppkey").alias("registry"), F.col("l_partkey").alias("place"), F.col("l_partkey").alias("function"))
     able = F.element_at(F.array(F.lit("shell"), F.lit("file write"), F.lit("unpinned package supply chain execution")), F.col("p_size"))
-    parts = read(spark, sf_dir, "part").filter("p_size <= 3").select(F.concat(F.lit("p"), "p_partkey").alias("function"), able.alias("capability"), F.col("p_size").alias("line"))
-    capabilities = registries.select("file", "function").distinct().join(parts, "function")
-    down = lines.select(F.concat_ws(":", "file", order).alias("caller"), F.concat_ws(":", "home", part).alias("callee"))
-    up = lines.filter("l_returnflag = 'R'").select(F.concat_ws(":", "home", part).alias("caller"), F.concat_ws(":", "file", order).alias("callee"))
-    out = loops.capability_findings(dispatches, imports, registries, capabilities, down.unionByName(up).distinct())
-    return out.withColumns({"capabilities": F.array_join("capabilities", ","), "cwe": F.array_join(F.transform("cwe", lambda x: x.cast("string")), ",")})
+    parts = read(spark, sf_dir, "part").filter("p_size <= 3").select(F.col("p_partkey").alias("l_partkey"), able.alias("capability"), F.col("p_size").alias("line"))
+    capabilities = lines.join(parts, "l_partkey").select(F.col("part").alias("node"), F.col("home").alias("file"), F.col("l_partkey").alias("function"), "capability", "line").distinct()
+    call = lambda caller, callee: F.struct(F.col(caller).alias("caller"), F.col(callee).alias("callee"))
+    calls = F.when(F.col("returned"), F.array(call("order", "part"), call("part", "order"))).otherwise(F.array(call("order", "part")))
+    out = loops.capability_findings(dispatches, imports, registries, capabilities, lines.select(F.inline(calls)))
+    name = lambda letter, c: F.concat(F.lit(letter), c)
+    return out.withColumns({
+        "file": name("n", "file"), "fn": name("o", "fn"), "registry": name("s", "registry"), "registry_file": name("n", "registry_file"), "sink_function": name("p", "sink_function"),
+        "capabilities": F.array_join("capabilities", ","), "cwe": F.array_join(F.transform("cwe", lambda x: x.cast("string")), ","),
+    })
 
 
 #: An operation for each line number.

@@ -137,6 +137,35 @@ def test_selected_tools(spark):
     }
 
 
+@pytest.mark.parametrize(("n", "m"), [(30, 25), (60, 40), (12, 40)])
+def test_nodes_that_call_each_other(spark, n, m):
+    """Pairs of mutual calls, a few circles beside them: of the former nothing is left for the rounds."""
+    rng = random.Random(n)
+    mutual = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+    mutual = [e for a, b in mutual if a != b for e in ((a, b), (b, a))]
+    assert loops._merged(spark.createDataFrame(mutual, "caller long, callee long"))[1].isEmpty()
+    edges = mutual + [(rng.randrange(n), rng.randrange(n)) for _ in range(m // 2)]
+    for kind, name in (("long", int), ("string", "{:03d}".format)):
+        named = [(name(a), name(b)) for a, b in edges]
+        out = loops.strong_components(spark.createDataFrame(named, f"caller {kind}, callee {kind}"))
+        assert {r.node: r.component for r in out.collect()} == components(named)
+
+
+def test_selected_tools_by_number(spark):
+    """Files, functions and registries as numbers; function 7 calls itself and holds itself, 8 doesn't, and a capability of another file's function isn't its own."""
+    frame = spark.createDataFrame
+    dispatches = frame([(70, 1, 7, 1, 5, 1), (80, 1, 8, 1, 6, 1), (80, 1, 8, 2, 5, 1)], "node long, file long, fn long, line long, registry long, model_line long")
+    imports = frame([], "file long, local_name long, target_file long, target_name long")
+    registries = frame([(70, 1, 5, 0, 7), (80, 1, 6, 0, 8)], "node long, file long, registry long, place long, function long")
+    capabilities = frame([(70, 1, 7, "shell", 3), (80, 1, 8, "shell", 4), (80, 2, 8, "file write", 5)], "node long, file long, function long, capability string, line long")
+    edges = frame([(70, 70), (80, 90), (90, 80), (80, 70)], "caller long, callee long")
+    out = loops.capability_findings(dispatches, imports, registries, capabilities, edges)
+    assert out.columns[:5] == ["file", "fn", "line", "registry", "model_line"]
+    assert {(r.fn, r.registry): (r.capabilities, r.sink_function, r.sink_line, r.feedback_loop) for r in out.collect()} == {
+        (7, 5): (["shell"], 7, 3, True), (8, 6): (["shell"], 8, 4, False), (8, 5): (["shell"], 7, 3, False),
+    }
+
+
 def proven(definitions, premises):
     parts = collections.defaultdict(set)
     for d, p in premises:
