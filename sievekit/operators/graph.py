@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sievekit.operators.findings import hop_confidence
 from sievekit.operators.joins import partners
-from sievekit.operators.materialise import cut, stored
+from sievekit.operators.materialise import SENT, cut, side, stored
 
 
 #: Fronts that are kept apart until they are written as one.
@@ -45,8 +45,7 @@ def layers(
     the first hop. ``most``: hops at most; None: as many as there are. ``written``: the edges are stored already, so they are
     read as they are. ``known``: nodes (column ``node``) that aren't entered and aren't returned.
 
-    Of a layer only the nodes that edges lead on from meet the edges, as a table whose size the planner knows: a small one
-    meets them without a shuffle.
+    Of a layer only the nodes that edges lead on from meet the edges. A table of few rows meets a larger one without a shuffle.
     """
     near, far = ("callee", "caller") if upward else ("caller", "callee")
 
@@ -59,18 +58,23 @@ def layers(
     first = pairs(first_edges) if first_edges is not None else later
     node_type = seeds.schema["node"].dataType
     front = stored(seeds.select("node", F.lit(0).alias("dist"), F.lit(None).cast(node_type).alias("pred"), F.col("node").alias("origin")).distinct())
-    reached, hop = Fronts(front), 0
+    reached, hop, new = Fronts(front), 0, front.count()
+    entered = new + (0 if known is None else known.count())
     while most is None or hop < most:
         hop += 1
         moves, able = first if hop == 1 else later
-        leading = stored(front.join(able, "node", "left_semi").select(F.col("node").alias("_near"), "origin"))
-        found = moves.join(leading, "_near").groupBy(F.col("_far").alias("node"))
+        leading = stored(able.join(side(front.select("node", "origin"), new), "node").select(F.col("node").alias("_near"), "origin"))
+        found = moves.join(side(leading, new if new <= SENT else None), "_near").groupBy(F.col("_far").alias("node"))
         found = found.agg(F.min("_near").alias("pred"), F.min_by("origin", "_near").alias("origin"))
         before = reached.all().select("node")
         before = before if known is None else before.unionByName(known.select("node"))
-        front = stored(found.join(before, "node", "left_anti").select("node", F.lit(hop).alias("dist"), "pred", "origin"))
-        if front.isEmpty():
+        # No anti-join: the planner would do one on the edges, before they meet the few nodes that lead on.
+        found = found.join(side(before.withColumn("_before", F.lit(True)), entered), "node", "left").filter("_before is null")
+        front = stored(found.select("node", F.lit(hop).alias("dist"), "pred", "origin"))
+        new = front.count()
+        if not new:
             break
+        entered += new
         reached.add(front)
     return reached.all()
 
@@ -152,15 +156,16 @@ def emissions(edges: DataFrame, functions: DataFrame, most: int | None = None) -
     callee of which nothing is known.
     """
     functions = stored(functions)
-    f = lambda side, *names: functions.select(F.col("node").alias(side), *(F.col(n).alias(f"{side}_{n}") for n in names))
-    rows = edges.join(f("caller", "file", "has_sink", "sink_calls", "returned_calls"), "caller")
-    rows = rows.join(f("callee", "file", "sink_params", "return_params"), "callee")
-    rows = rows.withColumnRenamed("callee_sink_params", "sink_params").withColumnRenamed("caller_returned_calls", "returned_calls")
-    across = F.col("caller_file") != F.col("callee_file")
+    many = functions.count()  # no table of nodes has more rows
+    f = lambda end, *names: side(functions.select(F.col("node").alias(end), *(F.col(n).alias(f"{end}_{n}") for n in names)), many, "shuffle_hash")
     named = F.col("caller_sink_calls").isNull() | F.array_contains("caller_sink_calls", F.col("callee_name"))
-    # What the searches ask of an edge are yes-or-no answers: they are given once, and arrays and names stay behind.
+    # What the searches ask of an edge are yes-or-no answers: they are given once, as soon as they can be, and arrays and names stay behind.
+    rows = edges.join(f("caller", "file", "has_sink", "sink_calls", "returned_calls"), "caller").withColumnRenamed("caller_returned_calls", "returned_calls")
+    rows = rows.select("caller", "callee", "caller_file", "caller_has_sink", (F.col("caller_has_sink") & named).alias("named"), returns_call().alias("returns"), "has_args", "tainted_slots")
+    rows = rows.join(f("callee", "file", "sink_params", "return_params"), "callee").withColumnRenamed("callee_sink_params", "sink_params")
+    across = F.col("caller_file") != F.col("callee_file")
     answers = {
-        "passes": passes_taint(), "reaches": ~misses_sink(), "returns": returns_call(), "across": across, "hits": hits_sink(), "uses": across & F.col("caller_has_sink") & named,
+        "passes": passes_taint(), "reaches": ~misses_sink(), "returns": F.col("returns"), "across": across, "hits": hits_sink(), "uses": across & F.col("named"),
         "through": across & F.col("caller_has_sink") & F.arrays_overlap("tainted_slots", "callee_return_params"),
     }
     gated = stored(rows.select("caller", "callee", *(F.coalesce(x, F.lit(False)).alias(n) for n, x in answers.items())))
@@ -170,25 +175,25 @@ def emissions(edges: DataFrame, functions: DataFrame, most: int | None = None) -
     to_sink = layers(passing, sinks, first_edges=gated.filter("reaches"), most=most, written=True)
     returning = layers(gated.filter("returns"), sources.select("node"), most=most, written=True)
     from_remote = closure(passing, sources.filter("not operator_only").select("node"), upward=False, most=most, written=True)
-    own_input = sources.select("node").join(from_remote, "node", "left_anti")
+    own_input = sources.select("node").join(side(from_remote, many), "node", "left_anti")
     if most is None:
         # Whatever the remote sources reach leads to nothing new.
         from_source = from_remote.unionByName(layers(passing, own_input, upward=False, written=True, known=from_remote).select("node"))
     else:
         from_source = closure(passing, sources.select("node"), upward=False, most=most, written=True)
 
-    hit = gated.filter("across and (hits or passes)").join(to_sink.select(F.col("node").alias("callee"), "dist", "origin"), "callee")
-    hit = hit.filter(F.when(F.col("dist") == 0, F.col("hits")).otherwise(F.col("passes"))).join(from_source.select(F.col("node").alias("caller")), "caller", "left_semi")
+    hit = gated.filter("across and (hits or passes)").join(side(to_sink.select(F.col("node").alias("callee"), "dist", "origin"), many), "callee")
+    hit = hit.filter(F.when(F.col("dist") == 0, F.col("hits")).otherwise(F.col("passes"))).join(side(from_source.select(F.col("node").alias("caller")), many), "caller", "left_semi")
     hit = hit.select("caller", "callee", F.lit("sink").alias("direction"), F.col("dist").alias("depth"), F.col("origin").alias("sink")).distinct()
     remote = from_remote.select(F.col("node").alias("caller"), F.lit(False).alias("own_input"))
-    hit = hit.join(remote, "caller", "left").withColumn("own_input", F.coalesce("own_input", F.lit(True)))
-    back = gated.filter("uses").join(returning.select(F.col("node").alias("callee"), "dist"), "callee")
+    hit = hit.join(side(remote, many), "caller", "left").withColumn("own_input", F.coalesce("own_input", F.lit(True)))
+    back = gated.filter("uses").join(side(returning.select(F.col("node").alias("callee"), "dist"), many), "callee")
     through = gated.filter("through")
     # Where both ways find an edge, the relayed one counts.
     back = back.select("caller", "callee", F.col("dist").alias("depth"), F.lit(0).alias("_way")).unionByName(through.select("caller", "callee", F.lit(0).alias("depth"), F.lit(1).alias("_way")))
     back = back.groupBy("caller", "callee").agg(F.min_by("depth", F.struct("_way", "depth")).alias("depth"))
     back = back.select("caller", "callee", F.lit("return").alias("direction"), "depth", F.col("callee").alias("sink"), F.lit(False).alias("own_input"))
-    found = hit.unionByName(back).join(functions.select(F.col("node").alias("sink"), "sink_cwe", "classified"), "sink")
+    found = hit.unionByName(back).join(side(functions.select(F.col("node").alias("sink"), "sink_cwe", "classified"), many, "shuffle_hash"), "sink")
     unknown = (F.col("direction") == "return") & (F.size("sink_cwe") == 0) & ~F.col("classified")
     mild = F.array_contains("sink_cwe", LOG_FORGING) | F.col("own_input")
     confidence = hop_confidence(F.col("depth"), "cross-file")
@@ -226,8 +231,8 @@ def fixpoint(state: DataFrame, key: str, edges: DataFrame, combine: Callable[[Da
 
     ``state``: ``key`` and ``value`` (an array of what a function's summary holds). ``combine`` turns rows
     (key, value of a callee) into rows (key, value). Values only grow, so their sizes tell what has changed, and
-    the rounds end. Raises RuntimeError if ``rounds`` is given and doesn't suffice. Edges are made once, and what has changed is a
-    table whose size the planner knows, so edges are shuffled only where much has changed.
+    the rounds end. Raises RuntimeError if ``rounds`` is given and doesn't suffice. Edges are made once, and shuffled only where
+    many summaries have changed.
     """
     edges = stored(edges.select("caller", "callee"))
     state = stored(state.select(key, "value"))
@@ -237,7 +242,7 @@ def fixpoint(state: DataFrame, key: str, edges: DataFrame, combine: Callable[[Da
         if done == rounds:
             raise RuntimeError("fixpoint: more rounds are needed")
         done += 1
-        news = edges.join(changed.withColumnRenamed(key, "callee"), "callee").select(F.col("caller").alias(key), "value")
+        news = edges.join(side(changed.withColumnRenamed(key, "callee")), "callee").select(F.col("caller").alias(key), "value")
         news = combine(news).withColumnRenamed("value", "_more")
         joined = state.join(news, key, "full_outer")
         union = F.array_sort(F.array_union(F.coalesce("value", F.array().cast(kind)), F.coalesce("_more", F.array().cast(kind))))

@@ -182,3 +182,21 @@ def test_fixpoint_makes_its_edges_once(spark):
     out = {r.node: r.value for r in graph.fixpoint(state, "node", way, combine).collect()}
     assert out == {f"n{k:02}": ["x", "y"] if k <= 5 else ["x"] for k in range(9)}
     assert made.value == 8
+
+
+def test_large_tables_do_not_pass_through_the_driver(spark, monkeypatch):
+    """Tables of nodes pack so well that the planner takes them for small ones; beyond SENT rows none is sent whole."""
+    monkeypatch.setattr(materialise, "SENT", 2)
+    monkeypatch.setattr(graph, "SENT", 2)
+    functions = [(k, k, k == 9, k == 0, False, None, None, None, None, [89], False) for k in range(10)]
+    edges = [(k, k + 1, "f", True, None) for k in range(9)]
+    out = graph.emissions(
+        spark.createDataFrame(edges, "caller int, callee int, callee_name string, has_args boolean, tainted_slots array<string>"),
+        spark.createDataFrame(
+            functions,
+            "node int, file int, has_sink boolean, has_source boolean, operator_only boolean, sink_params array<string>, return_params array<string>, "
+            "sink_calls array<string>, returned_calls array<string>, sink_cwe array<int>, classified boolean",
+        ),
+    )
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.caller, r.depth) for r in out.collect() if r.direction == "sink") == [(k, 8 - k) for k in range(9)]
