@@ -145,6 +145,23 @@ def test_overlaps_are_told_once_for_each_class(spark, monkeypatch):
     assert sorted(written) == [2, 1200]
 
 
+def test_packages_are_not_shuffled_by_class(spark):
+    """Where tables are too large for the planner to send whole, advisories still meet the packages as they lie."""
+    packages = spark.createDataFrame([(k, "pypi", "a_b", ["==1.0", ">=2", None][k % 3]) for k in range(9)], "k long, ecosystem string, package string, spec string")
+    event = "events array<struct<introduced:string,fixed:string,last_affected:string>>"
+    advisories = spark.createDataFrame([(k, "PyPI", "A.b", [("1", None, None), (None, "1.5", None)]) for k in range(4)], f"advisory_id long, ecosystem string, package string, {event}")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = versions.vulnerable(packages, versions.advisory_intervals(advisories))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        found = {(r.k, r.advisory_id): r.confidence for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert found == {(k, a): (1.0, None, 0.5)[k % 3] for k in range(9) if k % 3 != 1 for a in range(4)}
+
+
 def test_scoped_totals_are_those_of_scoped(spark):
     matches = [(a, "PyPI", f"Pkg_{k}") for a in range(4) for k in range(7)]
     entries = [(a, "pypi", f"pkg.{k}", n) for a in range(3) for k in range(0, 7, 3) for n in range(a + k + 1)]
